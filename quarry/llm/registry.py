@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import quality_rules
+from quarry.llm import quality_rules, token_counts, toxicity
 
 QUERIES = {
+    "op2_token_counts": token_counts.query,
+    "op4_toxicity": toxicity.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLES = {
