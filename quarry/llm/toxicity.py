@@ -1,7 +1,8 @@
 """Toxicity scores from a convolutional text classifier trained in numpy (operator 4).
 
-Words (plain words, A-Z lower-cased) are hashed to 2^20 buckets. Buckets seen often enough among
-the training texts get an embedding, all others the zero vector. Filters of widths 1, 2 and 3 run
+Words (plain words, A-Z lower-cased) and their stems (first characters) are hashed to 2^20 buckets.
+Buckets seen often enough among the training texts get an embedding, all others the zero vector; a
+word's vector is the sum of both, so that inflected words share what their stem has taught. Filters of widths 1, 2 and 3 run
 over the embedded words, each filter keeps its maximum over the whole text, and a logistic layer
 reads the maxima. Training is plain numpy with Adam; since only the place of a maximum receives a
 gradient, a step costs little. The first embedding dimension starts at the bucket's smoothed
@@ -42,6 +43,8 @@ DIM = 8
 WIDTHS = {1: 8, 2: 6, 3: 6}
 SAMPLE = 8_000
 EPOCHS = 6
+#: Characters of a word that make its stem.
+STEM = 4
 DEFAULT_THRESHOLD = 0.3
 MEMO = 1_000_000
 #: Words scored at a time, to bound a task's memory whatever the length of a text.
@@ -49,17 +52,18 @@ CHUNK = 200_000
 
 
 class Hasher(dict):
-    """Word to bucket, remembering what it has seen up to a bound."""
+    """Word to the buckets of the word and its stem, packed; remembers what it has seen up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > MEMO:
             self.clear()
-        bucket = self[word] = zlib.crc32(word) & (BUCKETS - 1)
-        return bucket
+        stem = word.decode(errors="replace")[:STEM].encode()
+        pair = self[word] = (zlib.crc32(word) & (BUCKETS - 1)) << 32 | (zlib.crc32(stem, 1) & (BUCKETS - 1))
+        return pair
 
     def text(self, text: bytes) -> np.ndarray:
         words = plain_words(text)
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -87,39 +91,43 @@ class Network:
     def freeze(self) -> None:
         self.tables = {w: [self.embedding @ f[j] for j in range(w)] for w, f in self.filters.items()}
 
+    def looked_up(self, text: np.ndarray) -> np.ndarray:
+        return self.rows[np.stack([text >> 32, text & 0xFFFFFFFF])]
+
     def _maxima(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Filter maxima of texts laid end to end, each followed by three neutral words."""
         found = []
         for w, tables in self.tables.items():
-            response = tables[0][ids]
+            response = tables[0][ids[0]] + tables[0][ids[1]]
             for j in range(1, w):
-                response[:-j] += tables[j][ids[j:]]
+                response[:-j] += tables[j][ids[0, j:]]
+                response[:-j] += tables[j][ids[1, j:]]
             found.append(np.maximum.reduceat(response, starts, axis=0))
         return np.hstack(found) + self.bias
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Scores of texts given as bucket arrays."""
-        pad = np.zeros(3, np.int32)
+        """Scores of texts given as packed bucket arrays."""
+        pad = np.zeros((2, 3), np.int32)
         maxima = np.empty((len(texts), len(self.bias)), np.float32)
         first, held, size = 0, [], 0
 
         def flush(upto: int) -> None:
             nonlocal held, size, first
             if held:
-                starts = np.cumsum([0, *map(len, held[:-1])])
-                maxima[first:upto] = self._maxima(np.concatenate(held), starts)
+                starts = np.cumsum([0, *(x.shape[1] for x in held[:-1])])
+                maxima[first:upto] = self._maxima(np.concatenate(held, axis=1), starts)
             held, size, first = [], 0, upto
 
         for i, text in enumerate(texts):
-            ids = self.rows[text]
-            if len(ids) > CHUNK:  # piece by piece, with the words that filters reach across
+            ids = self.looked_up(text)
+            if len(text) > CHUNK:  # piece by piece, with the words that filters reach across
                 flush(i)
-                parts = [self._maxima(np.concatenate([ids[a : a + CHUNK + 2], pad]), np.array([0])) for a in range(0, len(ids), CHUNK)]
+                parts = [self._maxima(np.concatenate([ids[:, a : a + CHUNK + 2], pad], axis=1), np.array([0])) for a in range(0, len(text), CHUNK)]
                 maxima[i] = np.max(np.vstack(parts), axis=0)
                 first = i + 1
                 continue
-            held.append(np.concatenate([ids, pad]))
-            size += len(ids) + 3
+            held.append(np.concatenate([ids, pad], axis=1))
+            size += len(text) + 3
             if size > CHUNK:
                 flush(i + 1)
         flush(len(texts))
@@ -135,7 +143,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list[str], share:
     if len(set(labels[fit].tolist())) < 2:
         fit[:] = True
     n_pos, n_neg = int(labels[fit].sum()), int((~labels[fit].astype(bool)).sum())
-    seen = [np.unique(t) for t, f in zip(texts, fit, strict=True) if f]
+    seen = [np.unique(np.concatenate([t >> 32, t & 0xFFFFFFFF])) for t, f in zip(texts, fit, strict=True) if f]
     with_toxic = np.bincount(np.concatenate([s for s, y in zip(seen, labels[fit], strict=True) if y] or [np.zeros(0, int)]), minlength=BUCKETS)
     with_clean = np.bincount(np.concatenate([s for s, y in zip(seen, labels[fit], strict=True) if not y] or [np.zeros(0, int)]), minlength=BUCKETS)
     del seen
@@ -167,19 +175,20 @@ def _descend(net: Network, texts: list[np.ndarray], labels: np.ndarray, rate: fl
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in dense.items()}
     moved, speed = np.zeros_like(net.embedding), np.zeros_like(net.embedding)
     step = 0
-    pad = np.zeros(3, np.int32)
+    pad = np.zeros((2, 3), np.int32)
     weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * len(labels)
     for _ in range(EPOCHS):
         for at in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
             step += 1
-            parts = [np.concatenate([net.rows[texts[i]], pad]) for i in at]
-            starts = np.cumsum([0, *map(len, parts[:-1])])
-            ids = np.concatenate([*parts, pad])
-            ends = np.append(starts[1:], len(ids) - 3)
-            words = net.embedding[ids]
+            parts = [np.concatenate([net.looked_up(texts[i]), pad], axis=1) for i in at]
+            starts = np.cumsum([0, *(x.shape[1] for x in parts[:-1])])
+            ids = np.concatenate([*parts, pad], axis=1)
+            n = ids.shape[1]
+            ends = np.append(starts[1:], n - 3)
+            words = net.embedding[ids[0]] + net.embedding[ids[1]]
             maxima, places = [], []
             for w, f in net.filters.items():
-                response = sum(words[j : len(ids) - 3 + j] @ f[j] for j in range(w))
+                response = sum(words[j : n - 3 + j] @ f[j] for j in range(w))
                 where = np.stack([a + response[a:b].argmax(axis=0) for a, b in zip(starts, ends, strict=True)])
                 places.append(where)
                 maxima.append(np.take_along_axis(response, where, axis=0))
@@ -193,8 +202,9 @@ def _descend(net: Network, texts: list[np.ndarray], labels: np.ndarray, rate: fl
                 offset += f.shape[2]
                 grads[f"f{w}"] = np.stack([np.einsum("bkd,bk->dk", words[where + j], own) for j in range(w)])
                 for j in range(w):
-                    touched.append(ids[where + j].ravel())
-                    pushed.append((own[:, :, None] * f[j].T[None]).reshape(-1, DIM))
+                    for k in (0, 1):
+                        touched.append(ids[k][where + j].ravel())
+                        pushed.append((own[:, :, None] * f[j].T[None]).reshape(-1, DIM))
             for k, v in dense.items():
                 m, s = moments[k]
                 m += 0.1 * (grads[k] - m)
@@ -250,13 +260,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             ids = pa.array([hasher.text(t).tobytes() for t in text_bytes(batch.column("t"))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("y"), batch.column("lang"), ids], ["i", "y", "lang", "ids"])
 
-    # A repeated id is trained on once; the sample is collected as bucket numbers, 4 bytes a word.
+    # A repeated id is trained on once; the sample is collected as bucket numbers, 8 bytes a word.
     classes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = classes.get(1, 0) / max(1, sum(classes.values()))
     rows = map_arrow(texts.select("i", "y", "lang", "t"), hashed, "i long, y int, lang string, ids binary").dropDuplicates(["i"]).toArrow()
     rows = rows.sort_by("i").to_pydict()
     order = np.random.default_rng(3).permutation(len(rows["i"]))
-    arrays = [np.frombuffer(rows["ids"][i], np.int32) for i in order]
+    arrays = [np.frombuffer(rows["ids"][i], np.int64) for i in order]
     net, thresholds = train(arrays, np.array([rows["y"][i] for i in order], int), [rows["lang"][i] for i in order], share)
     return net, thresholds, share
 
