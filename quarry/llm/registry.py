@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quarry.llm import quality_rules, token_counts, toxicity
+from quarry.llm import decontamination, quality_rules, token_counts, toxicity
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
     "op4_toxicity": toxicity.query,
+    "op9_decontamination": decontamination.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLES = {
+    "op9_decontamination": decontamination.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
