@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, near_dedup, quality_rules, token_counts, toxicity
+from quarry.llm import decontamination, license_scan, near_dedup, quality_rules, token_counts, toxicity
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
     "op4_toxicity": toxicity.query,
     "op5_near_dedup": near_dedup.query,
+    "op6_license_scan": license_scan.query,
     "op9_decontamination": decontamination.query,
     "op10_quality_rules": quality_rules.query,
 }
