@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, license_scan, near_dedup, quality_rules, token_counts, toxicity
+from quarry.llm import decontamination, license_scan, mixing, near_dedup, quality_rules, token_counts, toxicity
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
     "op4_toxicity": toxicity.query,
     "op5_near_dedup": near_dedup.query,
     "op6_license_scan": license_scan.query,
+    "op7_mixing": mixing.query,
     "op9_decontamination": decontamination.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLES = {
+    "op7_mixing": mixing.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
