@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, license_scan, mixing, near_dedup, quality_rules, token_counts, toxicity
+from quarry.llm import decontamination, language_model, license_scan, mixing, near_dedup, quality_rules, token_counts, toxicity
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.query,
     "op6_license_scan": license_scan.query,
     "op7_mixing": mixing.query,
+    "op8_language_model": language_model.query,
     "op9_decontamination": decontamination.query,
     "op10_quality_rules": quality_rules.query,
 }
