@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, language_model, license_scan, mixing, near_dedup, quality_rules, token_counts, toxicity
+from quarry.llm import decontamination, language_model, license_scan, mixing, near_dedup, quality_rules, token_counts, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op2_token_counts": token_counts.query,
     "op4_toxicity": toxicity.query,
     "op5_near_dedup": near_dedup.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.query,
 }
 ORACLES = {
+    "op1_warc": warc.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
