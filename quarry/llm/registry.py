@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, language_model, license_scan, mixing, near_dedup, quality_rules, token_counts, toxicity, warc
+from quarry.llm import decontamination, html_text, language_model, license_scan, mixing, near_dedup, quality_rules, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_token_counts": token_counts.query,
+    "op3_html_text": html_text.query,
     "op4_toxicity": toxicity.query,
     "op5_near_dedup": near_dedup.query,
     "op6_license_scan": license_scan.query,
