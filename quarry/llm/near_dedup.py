@@ -10,10 +10,10 @@
    smallest class is its star: members are first compared with it alone. Pairs whose joint likelihood
    estimate of the similarity is below ``threshold - MARGIN`` are dropped, the others are checked on the full sets.
 4. Links give components (``components``). Buckets that still hold several components are compared
-   exactly, in blocks of ``BLOCK`` members: first the best pair of each member and component is
-   checked, then all remaining plausible pairs of different components. Nothing is capped: a large
-   bucket only makes more block pairs, each a bounded piece of work, and pairs inside one component,
-   which could add nothing, are never formed.
+   whole, block by block: estimates mark the members that have a plausible partner in another
+   component, and these members' full sets are then compared in the same blocks. Nothing is capped: a
+   large bucket only makes more pairs of blocks, each a bounded piece of work, and pairs inside one
+   component, which could add nothing, are passed over.
 
 The chance that a pair at the threshold shares no band is (1 - 0.85^8)^40, some 3 in a million.
 
@@ -49,7 +49,9 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 #: A pair is dropped unseen only if its estimate is this far below the threshold: at 320 registers
 #: the estimate's standard error near the threshold is 0.02.
 MARGIN = 0.09
-BLOCK = 512
+#: Members and shingles of a block of a bucket.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+GROUP = ["bucket", "i", "j"]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -192,18 +194,21 @@ def _likely(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
     return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long")
 
 
+def linked(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two full sets are similar enough."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets meet the threshold."""
     side = lambda x: sets.select(F.col("class").alias(x), F.col("shingles").alias(f"s_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(good, pa.bool_())
+            sides = zip(batch.column("s_a"), batch.column("s_b"), strict=True)
+            mask = pa.array([linked(x.as_py(), y.as_py(), percent) for x, y in sides], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long")
@@ -248,60 +253,101 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _between(members: DataFrame, classes: DataFrame, floor: float, best: bool) -> DataFrame:
-    """Plausible pairs of different components that share a bucket, as (a, list of b).
+def _blocked(members: DataFrame, columns: DataFrame) -> DataFrame:
+    """``members`` (bucket, class, component) joined with ``columns`` by class and dealt out as pairs of blocks.
 
-    ``members`` has (bucket, class, component) for buckets with several components. A bucket of k members is
-    compared as pairs of blocks of about ``BLOCK`` members, each pair of blocks in a group of its own.
-    ``best``: only the likeliest pair of each class with each other component in the group.
+    A bucket is cut into blocks of about ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles; each pair of blocks is a
+    group of its own, so a bucket of any size is compared in bounded pieces.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    known = members.join(columns, "class")
+    cut = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = members.join(columns.select("class", "n"), "class").groupBy("bucket").agg(cut.alias("blocks"))
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    dealt = members.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component")
-    rows = dealt.join(classes.select("class", "n", "registers"), "class")
-    key = ["bucket", "i", "j"]
+    dealt = known.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+
+def _plausible(group: pa.Table, floor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, other rows, estimates) of a group: pairs of different components with an estimate of at least ``floor``."""
+    registers = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    ids, comps, n, side = (group.column(c).to_numpy() for c in ("class", "component", "n", "own"))
+    bucket, i, j = (group.column(c)[0].as_py() for c in GROUP)
+    mine = bands(registers)
+    this = int(np.flatnonzero(mine[0] == np.int64(bucket).view(np.uint64))[0])
+    left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+    for x in left:
+        others = right[(comps[right] != comps[x]) & ((ids[right] > ids[x]) if i == j else True)]
+        # A pair that shares an earlier band is compared in that band's bucket.
+        others = others[~(mine[others, :this] == mine[x, :this]).any(axis=1)]
+        if not len(others):
+            continue
+        above, below = (registers[x] > registers[others]).sum(axis=1), (registers[x] < registers[others]).sum(axis=1)
+        rough = REGISTERS - above - below >= (floor - 0.1) * REGISTERS
+        others, above, below = others[rough], above[rough], below[rough]
+        if not len(others):
+            continue
+        guess = similarity(above, below, np.full(len(others), float(n[x])), n[others].astype(float))
+        good = guess >= floor
+        if good.any():
+            yield x, others[good], guess[good]
+
+
+def _pairs(rows: list[tuple[int, int]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names)
+
+
+def _undecided(members: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
+    """(bucket, class) of members that have a plausible partner in another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int]] = []
+        for group in _grouped(batches, GROUP):
+            marked: set[int] = set()
+            for x, others, _ in _plausible(group, floor):
+                marked |= {int(x), *others.tolist()}
+            bucket, ids = group.column("bucket")[0].as_py(), group.column("class").to_numpy()
+            held += [(bucket, int(ids[k])) for k in marked]
+            if len(held) > 10_000:
+                yield _pairs(held, ["bucket", "class"])
+                held = []
+        if held:
+            yield _pairs(held, ["bucket", "class"])
+
+    return map_arrow(_blocked(members, classes), run, "bucket long, class long").distinct()
+
+
+def _joined(members: DataFrame, classes: DataFrame, sets: DataFrame, floor: float, percent: int) -> DataFrame:
+    """Links (a, b) between components, checked on the full sets that lie beside the sketches.
+
+    Within a group likelier pairs come first, and pairs that the group's own links have joined are passed over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, key):
-            registers = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            ids, comps, n, side = (group.column(c).to_numpy() for c in ("class", "component", "n", "own"))
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            mine = bands(registers)
-            this = int(np.flatnonzero(mine[0] == np.int64(group.column("bucket")[0].as_py()).view(np.uint64))[0])
-            left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-            for x in left:
-                others = right[(comps[right] != comps[x]) & ((ids[right] > ids[x]) if i == j else True)]
-                # A pair that shares an earlier band is compared in that band's bucket.
-                others = others[~(mine[others, :this] == mine[x, :this]).any(axis=1)]
-                if not len(others):
-                    continue
-                above, below = (registers[x] > registers[others]).sum(axis=1), (registers[x] < registers[others]).sum(axis=1)
-                rough = REGISTERS - above - below >= (floor - 0.1) * REGISTERS
-                others, above, below = others[rough], above[rough], below[rough]
-                if not len(others):
-                    continue
-                guess = similarity(above, below, np.full(len(others), float(n[x])), n[others].astype(float))
-                good = guess >= floor
-                others, guess = others[good], guess[good]
-                if best and len(others):
-                    order = np.lexsort((-guess, comps[others]))
-                    others = others[order][np.unique(comps[others][order], return_index=True)[1]]
-                if len(others):
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[x]], pa.int64()), pa.array([ids[others].tolist()], pa.list_(pa.int64()))], ["a", "others"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in run(batches):
-            held.append(batch)
-            if len(held) >= 2000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held: list[tuple[int, int]] = []
+        for group in _grouped(batches, GROUP):
+            pairs = [(-g, int(x), y) for x, others, guess in _plausible(group, floor) for y, g in zip(others.tolist(), guess.tolist(), strict=True)]
+            ids, comps = group.column("class").to_numpy(), group.column("component").to_pylist()
+            shingled = group.column("shingles")
+            root = {c: c for c in comps}
+
+            def top(c: int, root: dict[int, int] = root) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for _, x, y in sorted(pairs):
+                a, b = top(comps[x]), top(comps[y])
+                if a != b and linked(shingled[x].as_py(), shingled[y].as_py(), percent):
+                    root[a] = b
+                    held.append((int(ids[x]), int(ids[y])))
+            if len(held) > 10_000:
+                yield _pairs(held, ["a", "b"])
                 held = []
         if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield _pairs(held, ["a", "b"])
 
-    dealt_out = rows.repartition(*key).sortWithinPartitions(*key)
-    return map_arrow(dealt_out, packed, "a long, others array<bigint>")
+    return map_arrow(_blocked(members, classes.join(sets, "class")), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,19 +366,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     wanted = buckets.select("class").distinct()
     sets = save(_sets(docs, wanted, id_col, text_col), "sets")
 
-    def grow(links: DataFrame, pairs: DataFrame) -> DataFrame:
-        return save(links.union(_verified(pairs, sets, percent)), "links")
-
     links = save(_verified(_likely(stars, classes, floor), sets, percent), "links")
     reached = components(links)
-    for best in (True, False):
-        members = _divided(buckets, reached)
-        found = save(_between(members, classes, floor, best), "between")
-        pairs = found.select("a", F.explode("others").alias("b")).distinct()
-        if found.isEmpty():
-            break
-        links = grow(links, pairs)
-        reached = components(links)
+    members = _divided(buckets, reached)
+    undecided = save(_undecided(members, classes.select("class", "n", "registers"), floor), "undecided")
+    if not undecided.isEmpty():
+        again = members.join(undecided, ["bucket", "class"], "left_semi")
+        more = save(_joined(again, classes.select("class", "n", "registers"), sets, floor, percent), "links")
+        reached = components(links.union(more))
 
     moved = classes.join(reached, "class", "left").select("class_key", "class", "copies", F.coalesce("component", "class").alias("component"))
     moved = moved.filter("copies > 1 or component <> class").select("class_key", "component")
