@@ -84,7 +84,9 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
         F.expr(f"coalesce({_COVERED}, 0L)").alias("n_repeat_words"),
     )
     bits = " + ".join(f"if({condition}, {BIT[name]}L, 0L)" for name, condition in RULES)
-    return numbers.withColumn("failed_bits", F.expr(bits))
+    # The optimizer would copy all of the above into a filter on the bits, again and again inside itself. It
+    # leaves filters above a column that is not deterministic; the condition here never holds.
+    return numbers.withColumn("failed_bits", F.expr(f"if(monotonically_increasing_id() < 0, 0L, {bits})"))
 
 
 def apply_policy(measured: DataFrame, policy: str = "v1") -> DataFrame:
