@@ -4,7 +4,7 @@ A text is brought to words (A-Z lower-cased), each written between its own pair
 that a phrase is found whole by plain string search and no two finds share a space. Three base phrases are
 looked for in every text. The signature rules, several hundred regular expressions built from the
 license families below, are tried only on texts that pass the keyword prefilter, and of these each
-rule only where its own keyword stands.
+rule only where its own keyword and the plain pieces of its pattern stand.
 
 Every find is an interval of words with the rule's priority. A find is suppressed if another one
 contains its interval and has a greater priority, or the same priority and more words, or
@@ -94,26 +94,36 @@ SINGLE = [
 ]
 
 
-def _rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, word pattern, priority, confidence); a longer context has the greater priority."""
-    rules = list(SINGLE)
+def _rules() -> list[tuple[str, str, str, int, float, list[str]]]:
+    """(label, keyword, word pattern, priority, confidence, needs); a longer context has the greater priority.
+
+    ``needs`` are plain pieces of every text that the pattern hits, in words as the pattern writes them.
+    """
+    rules = [(*rule, []) for rule in SINGLE]
+    any_grant, later = f"({'|'.join(GRANTS)})", "(or (any )?later|or newer)( version)?"
     named = [(label, key, name, versions) for label, key, names, versions in FAMILIES for name in names]
     for label, key, name, versions in named:
-        rules.append((label, key, name, 30, 0.6))
-        rules += [(label, key, f"({grant}) (the )?{name}", 40, 0.8) for grant in GRANTS]
+        plain = name.split("[")[0]
+        rules.append((label, key, name, 30, 0.6, [plain]))
+        rules += [(label, key, f"({grant}) (the )?{name}", 40, 0.8, [plain, grant.split("]")[-1]]) for grant in GRANTS]
         for suffix, pattern in versions:
-            rules.append((f"{label}-{suffix}", key, f"{name} (version |v ?)?({pattern})", 50, 0.9))
-            rules.append((f"{label}-{suffix}+", key, f"{name} (version |v ?)?({pattern}) (or (any )?later|or newer)( version)?", 60, 0.9))
-        if versions:
-            rules += [(f"{label}-{s}", key, f"({'|'.join(GRANTS)}) (the )?{name} (version |v ?)?({p})", 70, 0.95) for s, p in versions]
-            rules += [(f"{label}-{s}+", key, f"({'|'.join(GRANTS)}) (the )?{name} (version |v ?)?({p}) (or (any )?later|or newer)( version)?", 75, 0.95) for s, p in versions]
+            number = f"{pattern.split('|')[0].split()[0]} "
+            version = f"{name} (version |v ?)?({pattern})"
+            rules += [
+                (f"{label}-{suffix}", key, version, 50, 0.9, [plain, number]),
+                (f"{label}-{suffix}+", key, f"{version} {later}", 60, 0.9, [plain, number, " or "]),
+                (f"{label}-{suffix}", key, f"{any_grant} (the )?{version}", 70, 0.95, [plain, number]),
+                (f"{label}-{suffix}+", key, f"{any_grant} (the )?{version} {later}", 75, 0.95, [plain, number, " or "]),
+            ]
     for label, short, long in CC:
-        rules.append((f"cc-{label}", "cc", f"cc {short}", 30 + len(short.split()), 0.7))
-        rules.append((f"cc-{label}", "creative", f"creative commons ({long})", 30 + len(short.split()), 0.7))
+        rank = len(short.split())
+        rules.append((f"cc-{label}", "cc", f"cc {short}", 30 + rank, 0.7, [f"cc {short}"]))
+        rules.append((f"cc-{label}", "creative", f"creative commons ({long})", 30 + rank, 0.7, ["creative commons"]))
         for version in CC_VERSIONS:
-            dotted = version.replace(" ", ".")
-            rules.append((f"cc-{label}-{dotted}", "cc", f"cc {short} {version}", 50 + len(short.split()), 0.9))
-            rules.append((f"cc-{label}-{dotted}", "creative", f"creative commons ({long})( licen[sc]e)?( international)? {version}", 50 + len(short.split()), 0.9))
+            dotted, number = version.replace(" ", "."), f" {version.split()[0]} "
+            rules.append((f"cc-{label}-{dotted}", "cc", f"cc {short} {version}", 50 + rank, 0.9, [f"cc {short} {version}"]))
+            international = f"creative commons ({long})( licen[sc]e)?( international)? {version}"
+            rules.append((f"cc-{label}-{dotted}", "creative", international, 50 + rank, 0.9, ["creative commons", number]))
     return rules
 
 
@@ -134,6 +144,12 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _needed(needs: list[str]) -> str:
+    """SQL: the pieces of spaced text that a rule needs besides its keyword."""
+    pieces = [n.replace(" ", "  ") if n == n.strip() else n for n in needs]
+    return f"cast(array({', '.join(map(_literal, pieces))}) as array<string>)"
+
+
 def _words_in(expression: str) -> str:
     """How many words a piece of the spaced text has."""
     return f"((length({expression}) - length(replace({expression}, ' ', ''))) div 2)"
@@ -171,12 +187,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         )
     texts = texts.withColumn("base", F.expr(f"filter(array({', '.join(bases)}), x -> x is not null)"))
 
-    rules = ", ".join(
-        f"struct({_literal(label)} as label, {_literal(' ' + key + ' ')} as word, {_literal(_spaced(pattern))} as pattern, {priority} as priority, {confidence}D as confidence, {i} as rule)"
-        for i, (label, key, pattern, priority, confidence) in enumerate(RULES)
-    )
-    gate = " or ".join(f"contains(s, {_literal(' ' + key + ' ')})" for key in KEYWORDS)
-    tried = texts.withColumn("tried", F.expr(f"if({gate}, filter(array({rules}), r -> contains(s, r.word)), null)"))
+    # Rules are kept by keyword, so that a text is searched once for each keyword and then for the rules of those it has.
+    by_key: dict[str, list[str]] = {}
+    for i, (label, key, pattern, priority, confidence, needs) in enumerate(RULES):
+        by_key.setdefault(key, []).append(
+            f"struct({_literal(label)} as label, {_needed(needs)} as needs, {_literal(_spaced(pattern))} as pattern, {priority} as priority, {confidence}D as confidence, {i} as rule)"
+        )
+    families = ", ".join(f"struct({_literal(f' {key} ')} as word, array({', '.join(own)}) as rules)" for key, own in by_key.items())
+    gate = f"s rlike {_literal(' (?:' + '|'.join(KEYWORDS) + ') ')}"
+    present = f"flatten(transform(filter(array({families}), f -> contains(s, f.word)), f -> f.rules))"
+    hit = "forall(r.needs, k -> contains(s, k)) and s rlike r.pattern"
+    tried = texts.withColumn("tried", F.expr(f"if({gate}, filter({present}, r -> {hit}), null)"))
     interval = "struct(r.label as label, x.start as start, x.stop as stop, r.priority as priority, r.confidence as confidence, r.rule as rule)"
     finds = f"flatten(transform(tried, r -> transform({_finds('r.pattern')}, x -> {interval})))"
     found = tried.withColumn("finds", F.expr(f"if(tried is null, null, {finds})"))
