@@ -1,8 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting (operator 7, DataFrame functions only).
 
 Documents fall into cells by source, language and topic. Every cell starts at its tokens; the fit
-rakes the cell weights to the source, language and topic marginals in turn, until all three hold or
-``rounds`` are over. A document's inclusion probability is its cell's weight over its cell's tokens, scaled
+rakes the cell weights to the source, language and topic marginals in turn, ``ROUNDS`` times. A document's inclusion probability is its cell's weight over its cell's tokens, scaled
 so that the expected tokens are ``share`` of all tokens, at most 1; what full cells cannot give, the others make up
 (``SCALINGS`` times). A document is sampled if a hash of its id, uniform in [0, 1), is below it: repeatable,
 independent of order and partitions, and equal for repeated rows.
@@ -27,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import lower_ascii, save, table
+from quarry.llm.common import save, table
 
 DIMS = ["source", "lang", "topic"]
 #: Power of the observed marginals that makes the default targets: 1 keeps them, 0 evens them out.
@@ -37,18 +36,22 @@ ROUNDS = 6
 SCALINGS = 4
 SEED = "mix-1"
 
-#: Topic rules, the first that matches counts: (topic, pattern over the lower-cased text).
+#: Topic rules, the first that matches counts: (topic, plain pieces of which one must stand in the text, pattern).
+#: The plain search spares most texts the pattern.
 TOPICS = [
-    ("legal", "licen[sc]e|copyright|all rights reserved"),
-    ("contact", "[a-z0-9._-]+@[a-z0-9-]+[.][a-z]"),
-    ("tabular", " [|] [^|]* [|] "),
-    ("numeric", "[0-9]{3,}"),
+    ("legal", ["icense", "icence", "opyright", "ights reserved", "LICENSE", "COPYRIGHT"], None),
+    ("contact", ["@"], "[A-Za-z0-9]@[A-Za-z0-9-]+[.][a-z]"),
+    ("tabular", [" | "], " [|] [^|]* [|] "),
+    ("numeric", [], "[0-9]{3}"),
 ]
 
 
 def topic(text: Column) -> Column:
-    lowered = lower_ascii(text)
-    first = reduce(lambda rest, rule: F.when(lowered.rlike(rule[1]), rule[0]).otherwise(rest), reversed(TOPICS), F.lit("prose"))
+    def hit(pieces: list[str], pattern: str | None) -> Column:
+        tests = [reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in pieces])] if pieces else []
+        return reduce(lambda a, b: a & b, tests + ([text.rlike(pattern)] if pattern else []))
+
+    first = reduce(lambda rest, rule: F.when(hit(*rule[1:]), rule[0]).otherwise(rest), reversed(TOPICS), F.lit("prose"))
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "none").otherwise(first)
 
 
@@ -75,8 +78,8 @@ def tempered(cells: DataFrame, dim: str, alpha: float = ALPHA) -> DataFrame:
 
 def shares(target: DataFrame, dim: str) -> DataFrame:
     """(dim, goal): weights as shares of their sum."""
-    total = target.agg(F.sum("weight").alias("total"))
-    return target.crossJoin(F.broadcast(total)).select(dim, (F.col("weight") / F.col("total")).alias("goal"))  # one row on the right
+    total = target.agg(F.sum("weight")).first()[0]
+    return target.select(dim, (F.col("weight") / F.lit(total)).alias("goal"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
@@ -102,9 +105,10 @@ def probabilities(fitted: DataFrame, share: float = SHARE, scalings: int = SCALI
             F.sum("tokens").alias("all"), F.sum(F.when(open_, 0.0).otherwise(F.col("tokens"))).alias("full"),
             F.sum(F.when(open_, F.col("weight")).otherwise(0.0)).alias("rest"),
         )
-        factor = sums.select(F.when(F.col("rest") > 0, (F.col("all") * share - F.col("full")) / F.col("rest")).otherwise(0.0).alias("factor"))
-        scaled = F.when(open_, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("rate") * F.col("factor")))).otherwise(F.col("p"))
-        cells = save(cells.crossJoin(F.broadcast(factor)).withColumn("p", scaled).drop("factor"), "cells")  # one row on the right
+        found = sums.first()
+        factor = (found["all"] * share - found["full"]) / found["rest"] if found["rest"] else 0.0
+        scaled = F.when(open_, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("rate") * F.lit(factor)))).otherwise(F.col("p"))
+        cells = cells.withColumn("p", scaled)
     return cells
 
 
@@ -119,8 +123,10 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: flo
 
     ``weight`` is the cell's share of the mixture, ``targets`` maps a dimension to a table (dimension, weight).
     """
-    rows = described(docs, carry=carry)
-    cells = save(described(docs).groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    # Without the rows' texts the description is small enough to keep; with them the texts are read again.
+    slim = described(docs) if carry else save(described(docs), "described")
+    rows = described(docs, carry=True) if carry else slim
+    cells = save(slim.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     given = {dim: save(shares((targets or {}).get(dim, tempered(cells, dim)), dim), "targets") for dim in DIMS}
     mixed = probabilities(rake(cells, given), share)
     joined = rows.join(mixed.select(*DIMS, "weight", "p"), DIMS, "left").withColumn("u", uniform())
@@ -139,10 +145,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     """The same fit as DuckDB common table expressions, one per raking step."""
-    topics = " ".join(f"WHEN regexp_matches(l, '{pattern}') THEN '{name}'" for name, pattern in TOPICS)
+    def hit(pieces: list[str], pattern: str | None) -> str:
+        tests = ["(" + " OR ".join(f"contains(x, '{p}')" for p in pieces) + ")"] if pieces else []
+        return " AND ".join(tests + ([f"regexp_matches(x, '{pattern}')"] if pattern else []))
+
+    topics = " ".join(f"WHEN {hit(*rule)} THEN '{name}'" for name, *rule in TOPICS)
     steps = [
-        "t AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS x, "
-        "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l FROM documents)",
+        "t AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS x FROM documents)",
         "d AS (SELECT doc_id, source, lang, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens, "
         f"CASE WHEN x = '' THEN 'none' {topics} ELSE 'prose' END AS topic FROM t)",
         "c0 AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS weight FROM d GROUP BY ALL)",
