@@ -94,15 +94,15 @@ class Network:
     def looked_up(self, text: np.ndarray) -> np.ndarray:
         return self.rows[np.stack([text >> 32, text & 0xFFFFFFFF])]
 
-    def _maxima(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Filter maxima of texts laid end to end, each followed by three neutral words."""
+    def _maxima(self, ids: np.ndarray, starts: np.ndarray, upto: int | None = None) -> np.ndarray:
+        """Filter maxima of texts laid end to end, each followed by three neutral words; ``upto``: filters start before it."""
         found = []
         for w, tables in self.tables.items():
             response = tables[0][ids[0]] + tables[0][ids[1]]
             for j in range(1, w):
                 response[:-j] += tables[j][ids[0, j:]]
                 response[:-j] += tables[j][ids[1, j:]]
-            found.append(np.maximum.reduceat(response, starts, axis=0))
+            found.append(np.maximum.reduceat(response[:upto], starts, axis=0))
         return np.hstack(found) + self.bias
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -122,7 +122,8 @@ class Network:
             ids = self.looked_up(text)
             if len(text) > CHUNK:  # piece by piece, with the words that filters reach across
                 flush(i)
-                parts = [self._maxima(np.concatenate([ids[:, a : a + CHUNK + 2], pad], axis=1), np.array([0])) for a in range(0, len(text), CHUNK)]
+                padded = np.concatenate([ids, pad], axis=1)
+                parts = [self._maxima(padded[:, a : a + CHUNK + 2], np.array([0]), CHUNK) for a in range(0, padded.shape[1], CHUNK)]
                 maxima[i] = np.max(np.vstack(parts), axis=0)
                 first = i + 1
                 continue
