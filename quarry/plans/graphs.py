@@ -93,8 +93,8 @@ def nearest_preceding(spark, sf):
     return rel.asof_backward(views, bought, ["user_id"], "at", ["previous"], strict=True).select("event_id", "previous")
 
 
-SPANS = """r AS (SELECT user_id, event_id AS range_id, epoch(ts)::BIGINT // 1 AS a, epoch(ts)::BIGINT + 600 * (1 + event_id % 50) AS b FROM events WHERE event_type = 'signup'),
-p AS (SELECT user_id, event_id, epoch(ts)::BIGINT AS at FROM events WHERE event_type = 'click')"""
+SPANS = """r AS (SELECT user_id, event_id AS range_id, epoch(ts)::BIGINT AS a, epoch(ts)::BIGINT + 600 * (1 + event_id % 50) AS b FROM events WHERE event_type = 'signup'),
+p AS (SELECT user_id, event_id, epoch(ts)::BIGINT AS pos FROM events WHERE event_type = 'click')"""
 
 
 def _spans(spark, sf):
@@ -103,14 +103,14 @@ def _spans(spark, sf):
     return events.filter("event_type = 'click'").select("user_id", "event_id", "at"), ranges
 
 
-@query(f"WITH {SPANS.replace('epoch(ts)::BIGINT', 'floor(epoch(ts))::BIGINT')} SELECT p.event_id, r.range_id FROM p JOIN r USING (user_id) WHERE a <= at AND at < b QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY b - a, range_id) = 1")
+@query(f"WITH {SPANS.replace('epoch(ts)::BIGINT', 'floor(epoch(ts))::BIGINT')} SELECT p.event_id, r.range_id FROM p JOIN r USING (user_id) WHERE a <= pos AND pos < b QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY b - a, range_id) = 1")
 def covering_range(spark, sf):
     points, ranges = _spans(spark, sf)
     held = rel.range_join(points, ranges, ["user_id"], "at", "a", "b", width=7200)
     return rel.smallest_cover(held, ["event_id"], "a", "b", ["range_id"]).select("event_id", "range_id")
 
 
-@query(f"WITH {SPANS.replace('epoch(ts)::BIGINT', 'floor(epoch(ts))::BIGINT')} SELECT r.range_id, count(*) AS n, min(p.event_id) AS first FROM p JOIN r USING (user_id) WHERE a <= at AND at <= b GROUP BY 1")
+@query(f"WITH {SPANS.replace('epoch(ts)::BIGINT', 'floor(epoch(ts))::BIGINT')} SELECT r.range_id, count(*) AS n, min(p.event_id) AS first FROM p JOIN r USING (user_id) WHERE a <= pos AND pos <= b GROUP BY 1")
 def comments_in_range(spark, sf):
     points, ranges = _spans(spark, sf)
     held = rel.range_join(points, ranges, ["user_id"], "at", "a", "b", width=7200, closed=True)
