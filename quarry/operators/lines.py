@@ -9,10 +9,10 @@ from quarry.functions.names import display_width, is_pragma
 from quarry.operators.rel import islands
 
 #: Characters easily taken for an ASCII one, and that one. Fixed values.
-CONFUSABLE = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", "×": "x", " ": " ", "´": "`", "…": "."}
+CONFUSABLE = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", "×": "x", "\u00a0": " ", "´": "`", "…": "."}
 #: Characters that change the direction of text, and other control characters that hide.
-BIDI = "[‪-‮⁦-⁩‏؜]"
-INVISIBLE = "[\\x08\\x1a\\x1b\\x00​]"
+BIDI = "[\u202a-\u202e\u2066-\u2069\u200f\u061c]"
+INVISIBLE = "[\x08\x1a\x1b\x00\u200b]"
 
 SECRET = r"""(?i)(pass(word|wd)?|secret|token|api_?key|access_?key)["']?\s*[:=]\s*["'][^"'\s]{4,}["']"""
 ALL_INTERFACES = r"\b0[.]0[.]0[.]0\b"
