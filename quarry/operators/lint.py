@@ -187,12 +187,12 @@ def _rules(table: list[tuple[str, str, str]], enabled: set[str] | None):
     return F.explode(F.expr(f"filter(array({hits}), x -> x is not null)")) if chosen else None
 
 
-def check_nodes(nodes: DataFrame, enabled: set[str] | None = None) -> DataFrame:
+def check_nodes(nodes: DataFrame, enabled: set[str] | None = None, table: list[tuple[str, str, str]] = NODE_RULES) -> DataFrame:
     """(path, row, col, code, message) of rules over nodes; call names are resolved through the file's imports."""
-    rules = _rules(NODE_RULES, enabled)
+    rules = _rules(table, enabled)
     if rules is None:
         return nodes.selectExpr("path", "row", "col", "'' as code", "'' as message").limit(0)
-    parents = nodes.select("path", F.col("node").alias("parent"), F.col("kind").alias("parent_kind"), F.col("parent").alias("up"))
+    parents = nodes.select("path", F.col("node").alias("parent"), F.col("kind").alias("parent_kind"), F.col("attrs")["src"].alias("parent_test"))
     handlers = nodes.filter("kind = 'ExceptHandler'").select("path", F.col("node").alias("handler"), F.col("name").alias("handler_name"), F.col("row").alias("h_row"), F.col("end_row").alias("h_end"))
     inner = nodes.filter("kind in ('Raise', 'Call')").select("path", "node", "row").join(handlers, "path").filter("row >= h_row and row <= h_end")
     inner = inner.groupBy("path", "node").agg(F.max_by("handler_name", "h_row").alias("handler_name"), F.lit(True).alias("in_handler"))
@@ -201,6 +201,12 @@ def check_nodes(nodes: DataFrame, enabled: set[str] | None = None) -> DataFrame:
     pieces = nodes.filter("kind = 'Constant' and attrs['type'] = 'str'").groupBy("path", "parent").agg(F.bool_or(F.col("value").rlike(text_lines.SQL_TEXT)).alias("text_sql"))
     joined = known.join(parents, ["path", "parent"], "left").join(inner, ["path", "node"], "left").join(siblings, ["path", "parent", "field"], "left")
     joined = joined.join(pieces.withColumnRenamed("parent", "node"), ["path", "node"], "left").withColumn("a", F.col("attrs"))
+    functions = nodes.filter("kind in ('FunctionDef', 'AsyncFunctionDef')").select("path", F.col("node").alias("func"), F.col("name").alias("in_function"), (F.col("kind") == "AsyncFunctionDef").alias("in_async"), F.col("end_row").alias("func_end"))
+    joined = joined.join(functions, ["path", "func"], "left").withColumn("in_async", F.coalesce("in_async", F.lit(False)))
+    joined = joined.withColumn("last_in_function", F.coalesce((F.col("end_row") == F.col("func_end")) & (F.col("parent") == F.col("func")), F.lit(False)))
+    loops = nodes.filter("kind in ('For', 'AsyncFor', 'While')").select("path", F.col("row").alias("l_row"), F.col("end_row").alias("l_end"))
+    jumps = nodes.filter("kind in ('Break', 'Continue')").select("path", "node", "row").join(loops, "path").filter("row > l_row and row <= l_end")
+    joined = joined.join(jumps.select("path", "node", F.lit(True).alias("in_loop")).distinct(), ["path", "node"], "left").withColumn("in_loop", F.coalesce("in_loop", F.lit(False)))
     ready = joined.withColumn("in_handler", F.coalesce("in_handler", F.lit(False))).withColumn("text_sql", F.coalesce("text_sql", F.lit(False)))
     return ready.select("path", F.coalesce("row", F.lit(1)).alias("row"), F.coalesce("col", F.lit(0)).alias("col"), rules.alias("r")).select("path", "row", "col", "r.*")
 
@@ -318,6 +324,9 @@ def check(files: DataFrame, enabled: set[str] | None = None) -> DataFrame:
     for code, rule in joins.items():
         if enabled is None or code in enabled:
             found = found.unionByName(rule(nodes))
+    from quarry.operators import lint_more
+
+    found = found.unionByName(lint_more.check(nodes, enabled))
     return suppressed(found, suppressions(tokens))[0]
 
 

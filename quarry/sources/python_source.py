@@ -97,6 +97,31 @@ def _attrs(node: ast.AST) -> dict[str, str]:
         found["value_src"] = ast.unparse(node.value)[:120]
     if isinstance(node, ast.Try) and node.handlers:
         found["handler_body"] = _kinds(node.handlers[0].body)
+    for field in ("value", "msg"):
+        if isinstance(getattr(node, field, None), ast.Call):
+            found["call_name" if field == "value" else "msg_call"] = dotted(getattr(node, field).func) or ""
+    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+        found["decorator_calls"] = ",".join(ast.unparse(d) for d in node.decorator_list if isinstance(d, ast.Call))
+    if isinstance(node, ast.Try):
+        found["handler_types"] = ",".join(ast.unparse(h.type) for h in node.handlers if h.type)
+    if isinstance(node, ast.ExceptHandler):
+        found["type_src"] = ast.unparse(node.type) if node.type else ""
+        first = node.body[0]
+        found["reraise"] = str(int(isinstance(first, ast.Raise) and (first.exc is None or (node.name is not None and dotted(first.exc) == node.name))))
+    if isinstance(node, (ast.ListComp, ast.SetComp)):
+        g = node.generators[0]
+        found["same"] = str(int(not g.ifs and dotted(node.elt) is not None and dotted(node.elt) == dotted(g.target)))
+    if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Constant):
+        found |= {f"{node.func.attr}_literal": "1"} if node.func.attr in ("join", "split") else {}
+    if isinstance(node, ast.Call):
+        found["spread_literal"] = str(int(any(k.arg is None and isinstance(k.value, ast.Dict) for k in node.keywords)))
+    if isinstance(node, ast.Lambda):
+        found["empty_body"] = str(int(isinstance(node.body, (ast.List, ast.Dict)) and not getattr(node.body, "elts", getattr(node.body, "keys", None))))
+    if isinstance(node, ast.If) and len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If):
+        found["else_nested"] = str(int(node.orelse[0].col_offset > node.col_offset))
+    if isinstance(node, ast.For) and len(node.body) == 1 and isinstance(node.body[0], ast.Expr) and isinstance(node.body[0].value, ast.Yield):
+        given = node.body[0].value.value
+        found["yields_target"] = str(int(given is not None and dotted(given) is not None and dotted(given) == dotted(node.target)))
     if isinstance(node, ast.JoinedStr):
         found["placeholders"] = str(sum(isinstance(v, ast.FormattedValue) for v in node.values))
     return found
