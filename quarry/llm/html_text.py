@@ -9,7 +9,8 @@ are left out. Then
   for its length;
 * an element's points are discounted by its link density, the share of its text inside links;
 * elements that say what they are (article, main, itemprop ...) get a bonus;
-* the best container is kept, and of its siblings those that score a fifth of it or are dense paragraphs.
+* the best container is kept, or the one around it as long as all else in that is text too; and of its siblings those that
+  score a fifth of it, dense paragraphs and the headings before it.
 
 The kept text is cut at block elements. In a block, character references are decoded, white space becomes one space and is trimmed;
 blocks are joined by a line feed in page order. Inside what is kept nothing is dropped or capped.
@@ -94,7 +95,7 @@ def _judged(tag: str, raw: str, parent: Node) -> tuple[bool, bool]:
         return True, False
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         return True, False
-    if tag == "header" and not _inside(parent, ("article", "main")):
+    if (tag == "header" or (words & {"header"} and not named)) and not _inside(parent, ("article", "main")):
         return True, False
     if tag not in ("html", "body", "article", "main") and words & JUNK and not (named and not words & {"comment", "comments", "ad", "ads", "sidebar"}):
         return True, False
@@ -211,7 +212,7 @@ def container(root: Node) -> list[Node]:
                 elif not c.dropped and c.tag not in PARAGRAPH:
                     inner.append(c)
         points = (1 + commas + min(node.chars // 100, 3)) * (1 - min(1.0, node.linked / node.chars))
-        up, share = node.parent if node.tag not in ("div", "section", "article", "main") else node, 1.0
+        up, share = node.parent if node.tag not in ("div", "section", "article", "main", "td") else node, 1.0
         for _ in range(4):
             if up is None or up.tag in ("#root", "html"):
                 break
@@ -219,7 +220,7 @@ def container(root: Node) -> list[Node]:
             up, share = up.parent, share / 2
     best, most = None, 0.0
     for node in nodes:
-        if node.points > 0 and node.tag not in ("p", "li", "td", "tr", "ul", "ol", "dl", "h1", "h2", "h3", "h4", "h5", "h6"):
+        if node.points > 0 and node.tag not in ("p", "li", "tr", "ul", "ol", "dl", "h1", "h2", "h3", "h4", "h5", "h6"):
             score = (node.points + BONUS.get(node.tag, 0.0) + (25.0 if node.named else 0.0)) * (1 - min(1.0, node.linked / max(1, node.chars)))
             scored.append((node, score))
             if score > most:
@@ -227,14 +228,23 @@ def container(root: Node) -> list[Node]:
     if best is None:
         return [n for n in nodes if n.tag == "body"][:1] or [root]
     by_node = {id(n): s for n, s in scored}
+    # A container whose other children are text as well belongs to the article as a whole.
+    while best.tag not in ("article", "main", "body") and best.parent is not None and best.parent.tag not in ("body", "html", "#root"):
+        others = [c for c in best.parent.children if isinstance(c, Node) and c is not best and not c.dropped and c.chars]
+        if any(c.linked >= 0.5 * c.chars for c in others):
+            break
+        best = best.parent
     kept = []
+    before = True
     for sibling in (best.parent or root).children:
         if not isinstance(sibling, Node) or sibling.dropped:
             continue
+        before = before and sibling is not best
         dense = sibling.linked < 0.25 * max(1, sibling.chars)
         if (
             sibling is best
             or (by_node.get(id(sibling), 0.0) >= max(10.0, 0.2 * most) and dense)
+            or (before and sibling.tag in ("h1", "h2", "h3") and best.tag not in ("article", "main") and dense)
             or (sibling.tag == "p" and best.tag not in ("article", "main") and sibling.chars > 80 and dense)
         ):
             kept.append(sibling)

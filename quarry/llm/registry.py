@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_warc": warc.ORACLE_SQL,
+    "op5_near_dedup": near_dedup.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,

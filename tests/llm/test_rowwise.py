@@ -159,6 +159,16 @@ PAGES = [
     ("<p>just a paragraph<p>and another", "just a paragraph\nand another"),
     ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
     ("plain text", "plain text"),
+    (
+        '<div id="header">Site</div><div class="menu"><a href="/">Home</a></div><h1>Title</h1><div class="post"><div><p>' + "Long text, with commas, " * 20
+        + "</p></div><div><p>Short.</p></div></div><div id='comments'><p>" + "I think, so, " * 90 + '</p></div><div id="footer">end</div>',
+        "Title\n" + ("Long text, with commas, " * 20).strip() + "\nShort.",
+    ),
+    (
+        '<div id="wrap"><ul><li><a href="a">a</a><li><a href="b">b</a></ul><div class="x"><p>One, two.</p><p>Three.</p></div></div>',
+        "One, two.\nThree.",
+    ),
+    ("<table><tr><td><a href=a>menu</a></td><td><p>Text, in a layout table.</p></td></tr></table>", "Text, in a layout table."),
     ('<script>var a = "<p>no</p>";</script><p>yes, this one</p><!-- <p>no</p> -->', "yes, this one"),
     ("", ""),
     (None, ""),
