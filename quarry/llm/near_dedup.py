@@ -415,14 +415,32 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
 
 
 def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, with its columns as they were; of repeated rows one stays."""
-    found = save(near_duplicates(docs, percent), "verdicts")
-    gone = found.filter("not kept").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(repeated, "doc_id", "left_anti").unionByName(once)
+    """One document of each component, with its columns as they were; of repeated rows one stays.
+
+    Texts move once, in the join with the ids that go, which is a merge join at any size, for these ids grow with the
+    corpus. Ids that occur more than once are written first: where there are none or few the planner sees it from
+    the table's size, and spares their join the shuffle.
+    """
+    found = near_duplicates(docs, percent).filter("doc_id is not null")
+    verdicts = save(found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 or not kept"), "verdicts")
+    repeated = save(verdicts.filter("n > 1 and kept").select("doc_id"), "repeated")
+    once = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(verdicts.select("doc_id").hint("merge"), "doc_id", "left_anti").unionByName(once).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL for query(): all pairs that share a shingle, on the driver's small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM d, unnest(range(1, greatest(2, len(w) - 3))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
