@@ -85,13 +85,15 @@ def shares(target: DataFrame, dim: str) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """Cells with ``weight``, fitted to the targets (dim, goal) of each dimension."""
     fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for dim in DIMS:
+        fitted = fitted.join(targets[dim].withColumnRenamed("goal", f"goal_{dim}"), dim, "left")
     for _ in range(rounds):
         for dim in DIMS:
-            sums = fitted.groupBy(dim).agg(F.sum("weight").alias("have"))
-            factor = sums.join(targets[dim], dim, "left").select(dim, F.coalesce(F.when(F.col("have") > 0, F.col("goal") / F.col("have")), F.lit(0.0)).alias("factor"))
+            sums = fitted.groupBy(dim).agg(F.sum("weight").alias("have"), F.max(f"goal_{dim}").alias("goal"))
+            factor = sums.select(dim, F.coalesce(F.when(F.col("have") > 0, F.col("goal") / F.col("have")), F.lit(0.0)).alias("factor"))
             fitted = fitted.join(factor, dim).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        fitted = save(fitted.select(*DIMS, "tokens", "weight"), "cells")
-    return fitted
+        fitted = save(fitted, "cells")
+    return fitted.select(*DIMS, "tokens", "weight")
 
 
 def probabilities(fitted: DataFrame, share: float = SHARE, scalings: int = SCALINGS) -> DataFrame:

@@ -27,6 +27,7 @@ ids are scored row by row.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -259,16 +260,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         hasher = Hasher()
         for batch in batches:
             ids = pa.array([hasher.text(t).tobytes() for t in text_bytes(batch.column("t"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("y"), batch.column("lang"), ids], ["i", "y", "lang", "ids"])
+            one = pa.array(np.zeros(batch.num_rows, np.int32))
+            yield pa.RecordBatch.from_arrays([one, batch.column("i"), batch.column("y"), batch.column("lang"), ids], ["one", "i", "y", "lang", "ids"])
+
+    def trained(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by("i")
+        order = np.random.default_rng(3).permutation(sample.num_rows)
+        ids, langs = sample.column("ids"), sample.column("lang").to_pylist()
+        arrays = [np.frombuffer(ids[int(i)].as_py(), np.int64) for i in order]
+        fitted = train(arrays, sample.column("y").to_numpy()[order].astype(int), [langs[i] for i in order], share)
+        return pa.table({"model": pa.array([pickle.dumps(fitted)], pa.binary())})
 
-    # A repeated id is trained on once; the sample is collected as bucket numbers, 8 bytes a word.
     classes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = classes.get(1, 0) / max(1, sum(classes.values()))
-    rows = map_arrow(texts.select("i", "y", "lang", "t"), hashed, "i long, y int, lang string, ids binary").dropDuplicates(["i"]).toArrow()
-    rows = rows.sort_by("i").to_pydict()
-    order = np.random.default_rng(3).permutation(len(rows["i"]))
-    arrays = [np.frombuffer(rows["ids"][i], np.int64) for i in order]
-    net, thresholds = train(arrays, np.array([rows["y"][i] for i in order], int), [rows["lang"][i] for i in order], share)
+    # A repeated id is trained on once. The sample, bucket numbers of 8 bytes a word, is the one group of a task;
+    # the driver sees the model alone.
+    hashed_texts = map_arrow(texts.select("i", "y", "lang", "t"), hashed, "one int, i long, y int, lang string, ids binary")
+    found = hashed_texts.dropDuplicates(["i"]).groupBy("one").applyInArrow(trained, "model binary").collect()
+    net, thresholds = pickle.loads(found[0].model) if found else (None, {})
     return net, thresholds, share
 
 
