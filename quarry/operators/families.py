@@ -45,13 +45,14 @@ def top(rows: DataFrame, value: str, k: int) -> DataFrame:
     return histogram(rows, value).orderBy(F.desc("n"), value).limit(k)
 
 
-def nearest(names: DataFrame, candidates: DataFrame, name: str, candidate: str) -> DataFrame:
+def nearest(names: DataFrame, candidates: DataFrame, name: str, candidate: str, most: int = 10_000) -> DataFrame:
     """Each distinct name with the candidate of least edit distance; ties go to the candidate that sorts first.
 
-    A name that is a candidate needs no search. The others are compared with the candidates of a bounded list.
+    Candidates are the keys of a configuration, a list of at most ``most`` that every task holds; a longer one is refused.
     """
-    wanted = names.select(name).distinct()
-    listed = candidates.agg(F.array_sort(F.collect_set(candidate)).alias("all"))
-    scored = F.transform("all", lambda c: F.struct(F.levenshtein(F.col(name), c).alias("d"), c.alias("c")))
+    listed = [r[0] for r in candidates.select(candidate).filter(F.col(candidate).isNotNull()).distinct().orderBy(candidate).limit(most + 1).collect()]
+    if len(listed) > most:
+        raise ValueError(f"more than {most} candidates")
+    scored = F.array(*[F.struct(F.levenshtein(F.col(name), F.lit(c)).alias("d"), F.lit(c).alias("c")) for c in listed])
     best = F.array_min(scored)
-    return wanted.join(F.broadcast(listed)).select(name, best["c"].alias("nearest"), best["d"].alias("distance"))
+    return names.select(name).distinct().select(name, best["c"].alias("nearest"), best["d"].alias("distance"))
