@@ -43,7 +43,7 @@ ROWS = 60_000
 DIM = 8
 WIDTHS = {1: 8, 2: 6, 3: 6}
 SAMPLE = 8_000
-EPOCHS = 6
+EPOCHS = 2
 #: Characters of a word that make its stem.
 STEM = 4
 DEFAULT_THRESHOLD = 0.3
