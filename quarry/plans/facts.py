@@ -290,3 +290,29 @@ def isort_order(spark, sf):
     keyed = table(spark, sf, "pages").select("page_id", module.alias("module"))
     window = Window.partitionBy(F.size(F.split("module", "/"))).orderBy(F.lower(natural_key(F.col("module"))), "module", "page_id")
     return keyed.withColumn("place", F.row_number().over(window).cast("long"))
+
+
+@query("""WITH m AS (SELECT DISTINCT 'p' || l_partkey AS target, 's' || l_suppkey AS function FROM lineitem WHERE l_quantity >= 49),
+r AS (SELECT DISTINCT 's' || s_suppkey AS function, 'n' || s_nationkey AS source FROM supplier UNION SELECT DISTINCT 's' || s_suppkey, 'b' || (s_suppkey % 7) FROM supplier)
+SELECT target, function, string_agg(source, ',' ORDER BY source) AS sources FROM m JOIN r USING (function) GROUP BY ALL""")
+def field_provenance(spark, sf):
+    """Parts as fields that suppliers emit from what they read."""
+    from quarry.operators import navdigest
+
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    made = table(spark, sf, "lineitem").filter("l_quantity >= 49").select(tag("p", "l_partkey").alias("s"), F.lit("emitted_by").alias("p"), tag("s", "l_suppkey").alias("o"))
+    supplier = table(spark, sf, "supplier")
+    read = supplier.select(tag("s", "s_suppkey").alias("s"), F.lit("reads_field").alias("p"), tag("n", "s_nationkey").alias("o"))
+    more = supplier.select(tag("s", "s_suppkey").alias("s"), F.lit("reads_field").alias("p"), F.concat(F.lit("b"), (F.col("s_suppkey") % 7).cast("string")).alias("o"))
+    found = navdigest.provenance(made.unionByName(read).unionByName(more))
+    return found.select("target", "function", F.array_join("sources", ",").alias("sources"))
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a, count(*) FILTER (role = 'system') AS s FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN s > 0 THEN 'report' WHEN a > 0 AND u <= a THEN 'list' WHEN u > 0 THEN 'form' ELSE 'empty' END AS purpose FROM c""")
+def screen_purposes(spark, sf):
+    """Conversations as screens, their turns as controls by role."""
+    from quarry.operators import navdigest
+
+    kind = F.when(F.col("role") == "user", "input").when(F.col("role") == "assistant", "grid").when(F.col("role") == "system", "chart")
+    return navdigest.purposes(table(spark, sf, "conversations").select(F.col("conv_id").alias("screen"), kind.alias("kind"))).withColumnRenamed("screen", "conv_id")

@@ -50,3 +50,15 @@ def test_atoms(spark):
 )
 def test_language_facts(spark, function, value, result):
     assert spark.createDataFrame([(value,)], "v string").select(function(F.col("v"))).first()[0] == result
+
+
+def test_navigation_digest(spark):
+    from quarry.operators import navdigest
+
+    facts = [("s1", "opens", "s2"), ("s1", "opens", "s2"), ("s1", "docks", "Left"), ("s2", "docks", "odd"), ("s1", "has_control", "a"), ("s1", "has_control", "b"), ("s2", "binds_concept", "patient")]
+    got = sorted(tuple(r) for r in navdigest.digest(spark.createDataFrame(facts, "s string, p string, o string")).collect())
+    assert got == [("bindings", "s2", "patient"), ("controls", "s1", "2"), ("edges", "s1", "s2"), ("regions", "s1", "navigation"), ("regions", "s2", "unmapped:odd")]
+    opens = spark.createDataFrame([("m", "x", 2), ("k", "x", 1), ("z", "y", 1)], "opener string, screen string, pos int")
+    assert sorted(tuple(r) for r in navdigest.parents(opens).collect()) == [("x", "k"), ("y", "z")]
+    functions = spark.createDataFrame([(["a", "b"],), (["a"],), ([],)], "reads array<string>")
+    assert sorted(tuple(r) for r in navdigest.group_census(functions, {"one": ["a", "b"], "two": ["b"]}, "reads").collect()) == [("one", 2), ("two", 1)]
