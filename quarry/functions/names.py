@@ -74,7 +74,7 @@ def is_cased_uppercase(text: Column) -> Column:
 def is_pragma(comment: Column) -> Column:
     """Comments that speak to tools: type checkers, linters, formatters, coverage."""
     body = F.ltrim(F.regexp_replace(comment, "^#+", ""))
-    return body.rlike(r"^(?i:noqa)\b|^(type:|pyright:|pylint:|mypy:|flake8:|ruff:|ty:|nosec\b|isort:|fmt:|yapf:|pragma:)")
+    return body.rlike(r"^(?i:noqa)\b|^(type:|pyright:|pylint:|mypy:|flake8:|nosec\b|isort:|fmt:|yapf:|pragma:)|^[a-z]+: *(ignore|noqa|disable|enable)\b")
 
 
 def fuzzy_pattern(query: str) -> str:
