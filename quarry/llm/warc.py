@@ -103,8 +103,9 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
                 done.append((name, records, size))
                 out = None
 
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to"))
+        # Some hundred rows at a time become Python objects.
+        for part in (batch.slice(at, 500) for batch in batches for at in range(0, batch.num_rows, 500)):
+            columns = (part.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to"))
             for page_id, url, payload, refers_to in zip(*columns, strict=True):
                 if out is None:
                     name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
