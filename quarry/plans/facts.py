@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.names import concept_key, fnv_hex, natural_key
 from quarry.operators import families, order, rel, reports, triples
-from quarry.plans.base import query, table
+from quarry.plans.base import ORACLES, query, table
 
 #: How event types stand for kinds of facts of a user's function. Fixed mapping of this demonstration.
 KINDS = {"view": "reads_field", "click": "writes_field", "purchase": "calls", "error": "raises", "signup": "guarded_write"}
@@ -46,13 +46,15 @@ def star(spark: SparkSession, sf: str) -> DataFrame:
     return found
 
 
-def event_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as facts of users: kind by event type, object by the tens of the value."""
+def _as_facts(events: DataFrame, subject: Column) -> DataFrame:
+    """Events as facts: kind by event type, object by the tens of the value."""
     kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
-    return table(spark, sf, "events").select(
-        F.concat(F.lit("u:"), F.col("user_id").cast("string")).alias("s"), kinds[F.col("event_type")].alias("p"),
-        F.concat(F.lit("v"), F.floor(F.col("value") / 10).cast("string")).alias("o"), "event_id",
-    )
+    return events.select(subject.alias("s"), kinds[F.col("event_type")].alias("p"), F.concat(F.lit("v"), F.floor(F.col("value") / 10).cast("string")).alias("o"), "event_id")
+
+
+def event_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as facts of users."""
+    return _as_facts(table(spark, sf, "events"), F.concat(F.lit("u:"), F.col("user_id").cast("string")))
 
 
 KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items()) + " END"
@@ -152,6 +154,40 @@ def recipe_census(spark, sf):
     return triples.recipe_census(_functions(spark, sf))
 
 
+#: The same folds over every event, with a user's day as the function.
+DAILY = FUNCTIONS.replace("'u:' || user_id AS s", "'u:' || user_id || '@' || strftime(ts, '%Y-%m-%d') AS s").replace(" WHERE event_id % 40 < 3", "")
+
+
+def _whole(name: str) -> str:
+    return ORACLES[name].replace(FUNCTIONS, DAILY)
+
+
+def _daily_functions(spark, sf):
+    """All events by user and day: a user's facts of all days hold every kind, so that their recipes would all be alike."""
+    day = F.concat(F.lit("u:"), F.col("user_id").cast("string"), F.lit("@"), F.date_format("ts", "yyyy-MM-dd"))
+    return triples.classified(triples.group_functions(_as_facts(table(spark, sf, "events"), day)))
+
+
+@query(_whole("group_functions"))
+def group_functions_whole(spark, sf):
+    return _daily_functions(spark, sf).select("s", *[F.array_join(c, ",").alias(c) for c in ("reads", "writes", "guarded", "calls", "raises")])
+
+
+@query(_whole("recipe_histogram"))
+def recipe_histogram_whole(spark, sf):
+    return families.histogram(_daily_functions(spark, sf), "recipe")
+
+
+@query(_whole("recipe_band"))
+def recipe_band_whole(spark, sf):
+    return triples.band(_daily_functions(spark, sf))
+
+
+@query(_whole("recipe_census"))
+def recipe_census_whole(spark, sf):
+    return triples.recipe_census(_daily_functions(spark, sf))
+
+
 @query("SELECT l_orderkey, bool_and(l_returnflag IN ('A', 'R')) AS pure FROM lineitem GROUP BY l_orderkey")
 def purity_fold(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_returnflag").isin("A", "R")).alias("pure"))
