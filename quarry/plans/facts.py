@@ -333,10 +333,20 @@ r AS (SELECT DISTINCT 's' || s_suppkey AS function, 'n' || s_nationkey AS source
 SELECT target, function, string_agg(source, ',' ORDER BY source) AS sources FROM m JOIN r USING (function) GROUP BY ALL""")
 def field_provenance(spark, sf):
     """Parts as fields that suppliers emit from what they read."""
+    return _provenance(spark, sf, table(spark, sf, "lineitem").filter("l_quantity >= 49"))
+
+
+@query(ORACLES["field_provenance"].replace(" WHERE l_quantity >= 49", ""))
+def field_provenance_whole(spark, sf):
+    """The same over every line."""
+    return _provenance(spark, sf, table(spark, sf, "lineitem"))
+
+
+def _provenance(spark: SparkSession, sf: str, lines: DataFrame) -> DataFrame:
     from quarry.operators import navdigest
 
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    made = table(spark, sf, "lineitem").filter("l_quantity >= 49").select(tag("p", "l_partkey").alias("s"), F.lit("emitted_by").alias("p"), tag("s", "l_suppkey").alias("o"))
+    made = lines.select(tag("p", "l_partkey").alias("s"), F.lit("emitted_by").alias("p"), tag("s", "l_suppkey").alias("o"))
     supplier = table(spark, sf, "supplier")
     read = supplier.select(tag("s", "s_suppkey").alias("s"), F.lit("reads_field").alias("p"), tag("n", "s_nationkey").alias("o"))
     more = supplier.select(tag("s", "s_suppkey").alias("s"), F.lit("reads_field").alias("p"), F.concat(F.lit("b"), (F.col("s_suppkey") % 7).cast("string")).alias("o"))

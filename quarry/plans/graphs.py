@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.names import fuzzy_pattern
 from quarry.operators import fixes, graph, rel
-from quarry.plans.base import query, table
+from quarry.plans.base import ORACLES, query, table
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,6 +30,26 @@ def import_dependents(spark, sf):
     return graph.dependents(nodes, _edges(spark, sf)).select("node", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
 
 
+#: The same maps over the edges of every line, with the parts themselves as targets.
+ALL_EDGES = EDGES.replace("l_partkey % 500", "l_partkey").replace(" WHERE l_quantity >= 45", "")
+
+
+def _all_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+
+
+@query(ORACLES["import_dependencies"].replace(EDGES, ALL_EDGES))
+def import_dependencies_whole(spark, sf):
+    nodes = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"))
+    return graph.dependencies(nodes, _all_edges(spark, sf)).select("node", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
+
+
+@query(ORACLES["import_dependents"].replace(EDGES, ALL_EDGES).replace("p_partkey % 500", "p_partkey"))
+def import_dependents_whole(spark, sf):
+    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("node")).distinct()
+    return graph.dependents(nodes, _all_edges(spark, sf)).select("node", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey")
 def dangling_refs(spark, sf):
     calls = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
