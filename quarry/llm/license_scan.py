@@ -54,16 +54,19 @@ FAMILIES = [
     ("cddl", "cddl", ["cddl"], [("1.0", "1 0|1"), ("1.1", "1 1")]),
     ("ofl", "ofl", ["sil ofl", "ofl"], [("1.1", "1 1")]),
     ("gfdl", "documentation", ["gnu free documentation licen[sc]e", "free documentation licen[sc]e"], [("1.2", "1 2"), ("1.3", "1 3")]),
-    ("mit", "mit", ["mit licen[sc]e", "expat licen[sc]e"], []),
+    ("mit", "mit", ["mit licen[sc]e"], []),
+    ("mit", "expat", ["expat licen[sc]e"], []),
     ("x11", "x11", ["x11 licen[sc]e"], []),
     ("isc", "isc", ["isc licen[sc]e"], []),
     ("zlib", "zlib", ["zlib licen[sc]e", "zlib libpng licen[sc]e"], []),
     ("wtfpl", "wtfpl", ["wtfpl"], []),
     ("unlicense", "unlicense", ["the unlicense", "unlicense"], []),
-    ("python", "python", ["python software foundation licen[sc]e", "psf licen[sc]e"], []),
+    ("python", "python", ["python software foundation licen[sc]e"], []),
+    ("python", "psf", ["psf licen[sc]e"], []),
     ("postgresql", "postgresql", ["postgresql licen[sc]e"], []),
     ("bsd", "bsd", ["bsd licen[sc]e", "bsd style licen[sc]e"], []),
-    ("bsd-2", "bsd", ["2 clause bsd", "bsd 2 clause", "simplified bsd", "freebsd licen[sc]e"], []),
+    ("bsd-2", "bsd", ["2 clause bsd", "bsd 2 clause", "simplified bsd"], []),
+    ("bsd-2", "freebsd", ["freebsd licen[sc]e"], []),
     ("bsd-3", "bsd", ["3 clause bsd", "bsd 3 clause", "new bsd", "modified bsd"], []),
     ("bsd-4", "bsd", ["4 clause bsd", "bsd 4 clause", "original bsd"], []),
     ("odbl", "database", ["open database licen[sc]e"], [("1.0", "1 0|1")]),
