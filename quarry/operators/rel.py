@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_earlier_blocks(rows: DataFrame, by: list[str], per_block: Column, fold, name: str) -> DataFrame:
+    """``rows`` (with ``_block``) with ``name``: ``fold`` of the aggregate ``per_block`` over the earlier blocks of the same ``by``, null in the first."""
+    blocks = rows.groupBy(*by, "_block").agg(per_block.alias(name))
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.withColumn(name, fold(name).over(earlier)).alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "_block"]]
+    return rows.alias("a").join(carried, reduce(and_, same)).select("a.*", f"b.{name}")
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with their number from 1 within ``by``, in ``order``.
+
+    Rows are dealt in ranges of both and numbered within a range; the counts of the earlier ranges are added, so that no group has to be sorted by one task.
+    """
+    ranged = cut(rows.repartitionByRange(*by, *order).withColumn("_block", F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(*order)) + F.coalesce("_carried", F.lit(0))
+    return with_earlier_blocks(ranged, by, F.count(F.lit(1)), F.sum, "_carried").withColumn(name, place.cast("long")).drop("_block", "_carried")
+
+
 def asof_backward(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], strict: bool = False) -> DataFrame:
     """``left`` with the ``values`` of the last row of ``right`` at or (``strict``) before each ``at``, within ``by``.
 

@@ -324,8 +324,8 @@ def isort_order(spark, sf):
     """Modules in import order within their distance: natural lower-case name, name, then the id."""
     module = F.regexp_replace(F.substring_index("url", "://", -1), "[?#].*$", "")
     keyed = table(spark, sf, "pages").select("page_id", module.alias("module"))
-    window = Window.partitionBy(F.size(F.split("module", "/"))).orderBy(F.lower(natural_key(F.col("module"))), "module", "page_id")
-    return keyed.withColumn("place", F.row_number().over(window).cast("long"))
+    keyed = keyed.withColumn("distance", F.size(F.split("module", "/"))).withColumn("k", F.lower(natural_key(F.col("module"))))
+    return rel.ranked(keyed, ["distance"], ["k", "module", "page_id"], "place").select("page_id", "module", "place")
 
 
 @query("""WITH m AS (SELECT DISTINCT 'p' || l_partkey AS target, 's' || l_suppkey AS function FROM lineitem WHERE l_quantity >= 49),
