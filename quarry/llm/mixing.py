@@ -6,8 +6,10 @@ so that the expected tokens are ``share`` of all tokens, at most 1; what full ce
 (``SCALINGS`` times). A document is sampled if a hash of its id, uniform in [0, 1), is below it: repeatable,
 independent of order and partitions, and equal for repeated rows.
 
-Only the cell table is raked; it has a row per cell, never per document, and each round writes it to the
-shared folder, so that plans stay small. Cells are summed on the map side, so a source with a third of all
+Only the cell table is raked; it has a row per cell, never per document, and each round writes it to the shared folder,
+so that plans do not grow with the rounds (or a few rounds of windows at once). Up to ``WINDOWED`` cells, counted first, a marginal's sums are windows over
+the cells; above that each is a sum per value, combined on the map side and joined to the cells, so that no language
+or topic gathers its cells in one task. ``residuals`` tells how far each marginal is from its targets, and ``rake`` may stop by it. Cells are summed on the map side, so a source with a third of all
 rows reaches one reducer as a row per task. Documents are joined with the cells' probabilities; if the
 cells are few the planner broadcasts them by their written size, else it may split a hot cell's rows.
 
@@ -16,14 +18,15 @@ overrides them. Values without a positive target get weight 0.
 
 Defined results: null source and lang are values of their own, written as empty text; null text counts 0
 tokens and topic ``none``; a cell without tokens has probability 0. Rows with null ids share one hash.
-An empty table gives an empty result. Other columns are not read (but kept as ``row``).
+An empty table gives an empty result, and very long texts are counted whole. Other columns, whatever their names, are not
+read (but kept as ``row``). ``keep`` judges repeated rows alike, so they stay or go together.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import save, table
@@ -34,6 +37,10 @@ ALPHA = 0.7
 SHARE = 0.5
 ROUNDS = 6
 SCALINGS = 4
+#: Cells up to which a marginal's sums are windows; a window holds all cells of a value in one task.
+WINDOWED = 100_000
+#: Rounds of windows in one plan.
+STEPS = 3
 SEED = "mix-1"
 
 #: Topic rules, the first that matches counts: (topic, plain pieces of which one must stand in the text, pattern).
@@ -76,42 +83,72 @@ def tempered(cells: DataFrame, dim: str, alpha: float = ALPHA) -> DataFrame:
     return cells.groupBy(dim).agg(F.pow(F.sum("tokens"), F.lit(alpha)).alias("weight"))
 
 
-def shares(target: DataFrame, dim: str) -> DataFrame:
-    """(dim, goal): weights as shares of their sum."""
-    total = target.agg(F.sum("weight")).first()[0]
-    return target.select(dim, (F.col("weight") / F.lit(total)).alias("goal"))
+def shares(targets: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables (dim, goal): weights as shares of their dimension's sum. One job reads all sums."""
+    sums = [t.agg(F.sum("weight").alias("total")).select(F.lit(dim).alias("dim"), "total") for dim, t in targets.items()]
+    totals = {r["dim"]: r["total"] for r in reduce(DataFrame.unionByName, sums).collect()}
+    return {dim: t.select(dim, (F.col("weight") / F.lit(totals[dim])).alias("goal")) for dim, t in targets.items()}
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """Cells with ``weight``, fitted to the targets (dim, goal) of each dimension."""
+def residuals(fitted: DataFrame, targets: dict[str, DataFrame]) -> dict[str, float]:
+    """Per dimension the greatest distance of a value's share of the weight from its goal (0 without cells).
+
+    Values that have a goal but no cell, which no weight can reach, are left out.
+    """
+    found = {}
+    for dim in DIMS:
+        sums = fitted.groupBy(dim).agg(F.sum("weight").alias("have")).join(targets[dim], dim, "left")
+        found[dim] = sums.agg(F.max(F.abs(F.col("have") - F.coalesce("goal", F.lit(0.0))))).first()[0] or 0.0
+    return found
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
+    """Cells with ``weight``, fitted to the targets (dim, goal) of each dimension.
+
+    At most ``rounds`` rounds; with ``tolerance`` the fit ends after the round that leaves no greater residual.
+    """
     fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
     for dim in DIMS:
         fitted = fitted.join(targets[dim].withColumnRenamed("goal", f"goal_{dim}"), dim, "left")
-    for _ in range(rounds):
+    few = cells.count() <= WINDOWED
+    for i in range(1, rounds + 1):
         for dim in DIMS:
-            sums = fitted.groupBy(dim).agg(F.sum("weight").alias("have"), F.max(f"goal_{dim}").alias("goal"))
-            factor = sums.select(dim, F.coalesce(F.when(F.col("have") > 0, F.col("goal") / F.col("have")), F.lit(0.0)).alias("factor"))
-            fitted = fitted.join(factor, dim).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        fitted = save(fitted, "cells")
+            fitted = _windowed(fitted, dim) if few else save(_joined(fitted, dim), "cells")
+        if few and (i % STEPS == 0 or i == rounds or tolerance is not None):
+            fitted = save(fitted, "cells")
+        if tolerance is not None and max(residuals(fitted, targets).values()) <= tolerance:
+            break
     return fitted.select(*DIMS, "tokens", "weight")
 
 
+def _windowed(cells: DataFrame, dim: str) -> DataFrame:
+    """One raking step, a marginal's sums as a window over the cells."""
+    have = F.sum("weight").over(Window.partitionBy(dim))
+    return cells.withColumn("weight", F.coalesce(F.when(have > 0, F.col("weight") * (F.col(f"goal_{dim}") / have)), F.lit(0.0)))
+
+
+def _joined(cells: DataFrame, dim: str) -> DataFrame:
+    """The same step, the sums as a table of the dimension's values."""
+    sums = cells.groupBy(dim).agg(F.sum("weight").alias("have"), F.max(f"goal_{dim}").alias("goal"))
+    factor = sums.select(dim, F.coalesce(F.when(F.col("have") > 0, F.col("goal") / F.col("have")), F.lit(0.0)).alias("factor"))
+    return cells.join(factor, dim).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+
+
 def probabilities(fitted: DataFrame, share: float = SHARE, scalings: int = SCALINGS) -> DataFrame:
     """Cells with ``p``, at most 1, such that the expected tokens are ``share`` of all."""
-    rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    cells = fitted.withColumn("p", F.lit(0.0)).withColumn("rate", rate)
+    cells = fitted.withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
+    factor = most = 0.0
     for _ in range(scalings):
-        # Open cells are scaled to the tokens that full cells leave.
-        open_ = F.col("p") < 1
-        sums = cells.agg(
-            F.sum("tokens").alias("all"), F.sum(F.when(open_, 0.0).otherwise(F.col("tokens"))).alias("full"),
-            F.sum(F.when(open_, F.col("weight")).otherwise(0.0)).alias("rest"),
-        )
-        found = sums.first()
+        # Open cells, which no factor so far has filled, are scaled to the tokens that full cells leave.
+        full = F.col("rate") * F.lit(most) >= 1
+        found = cells.agg(
+            F.sum("tokens").alias("all"), F.sum(F.when(full, F.col("tokens")).otherwise(0.0)).alias("full"),
+            F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("rest"),
+        ).first()
         factor = (found["all"] * share - found["full"]) / found["rest"] if found["rest"] else 0.0
-        scaled = F.when(open_, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("rate") * F.lit(factor)))).otherwise(F.col("p"))
-        cells = cells.withColumn("p", scaled)
-    return cells
+        most = max(most, factor)
+    p = F.when(F.col("rate") * F.lit(most) >= 1, 1.0).otherwise(F.greatest(F.lit(0.0), F.col("rate") * F.lit(factor)))
+    return cells.withColumn("p", p)
 
 
 def uniform(id_col: str = "doc_id", seed: str = SEED) -> Column:
@@ -129,7 +166,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: flo
     slim = described(docs) if carry else save(described(docs), "described")
     rows = described(docs, carry=True) if carry else slim
     cells = save(slim.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    given = {dim: save(shares((targets or {}).get(dim, tempered(cells, dim)), dim), "targets") for dim in DIMS}
+    given = shares({dim: (targets or {}).get(dim, tempered(cells, dim)) for dim in DIMS})
     mixed = probabilities(rake(cells, given), share)
     joined = rows.join(mixed.select(*DIMS, "weight", "p"), DIMS, "left").withColumn("u", uniform())
     return joined.withColumn("kept", F.coalesce(F.col("u") < F.col("p"), F.lit(False)))

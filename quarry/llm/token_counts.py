@@ -13,9 +13,11 @@ size). A text with a character outside the proven classes or with an added token
 any tokenizer that is not plain byte-level BPE, goes to the library whole; the counts are the
 library's in every case.
 
-The plan is one narrow stage. The broadcast holds at most one string per vocabulary entry and one
-byte per character of the basic plane, whatever the corpus. Null texts count as empty: 0 bytes and
-0 tokens. Rows are counted one by one, so repeated rows and null ids pass through.
+The plan is one narrow stage. The broadcast holds the tokenizer's definition, at most one string per vocabulary entry
+and one byte per character of the basic plane, whatever the corpus; executors open no file. Null texts count as
+empty: 0 bytes and 0 tokens. Very long texts are counted whole, in the memory of one task. Rows are counted one by
+one, so repeated rows and null ids pass through; an empty table gives an empty result; columns other than id and text
+are not read, so their names may clash with results.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import json
 import re
 from collections.abc import Iterator
 from itertools import groupby
+from pathlib import Path
 
 import public_tokenizers
 import pyarrow as pa
@@ -86,8 +89,9 @@ def prove(path: str) -> dict | None:
 class Counter:
     """Counts tokens of whole texts; built once per task."""
 
-    def __init__(self, path: str, proof: dict | None):
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, proof: dict | None, definition: str | None = None):
+        """``definition``: the content of the file at ``path``, for executors that do not see it."""
+        self.tokenizer = Tokenizer.from_str(definition) if definition else Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.proof = proof
@@ -117,12 +121,13 @@ class Counter:
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (doc_id, n_bytes, n_tokens) per row of ``docs``."""
+    """One row (doc_id, n_bytes, n_tokens) per row of ``docs``; ``path`` is read on the driver alone."""
     context = docs.sparkSession.sparkContext
-    proof = context.broadcast(prove(path))
+    definition = Path(path).read_text(encoding="utf-8")
+    shared = context.broadcast((prove(path), definition))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path, proof.value)
+        counter = Counter(path, *shared.value)
         for batch in batches:
             counts = pa.array([counter.count(t) if t else 0 for t in batch.column("t").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), counts], ["doc_id", "n_bytes", "n_tokens"])
