@@ -5,7 +5,8 @@
    exponential scale, ``floor(1 - log_b(min))`` truncated to 16 bits; sketches merge by register-wise
    maximum. A shingle's variables are the first arrivals of one Poisson process whose points are dealt
    out over the registers, so only the early points are ever drawn.
-2. Texts with equal sets form one *class*; classes, not copies, are compared from here on.
+2. Texts with equal sets form one *class*, numbered when the table of classes is written; classes, not copies and not
+   ids, are compared from here on.
 3. Registers are banded (``BANDS`` bands of ``ROWS``); equal bands put classes in one bucket. Each bucket's
    smallest class is its star: members are first compared with it alone. Pairs whose joint likelihood
    estimate of the similarity is below ``threshold - MARGIN`` are dropped, the others are checked on the full sets.
@@ -18,13 +19,14 @@
 The chance that a pair at the threshold shares no band is (1 - 0.85^8)^40, some 3 in a million.
 
 Sets are recomputed only for classes that share a bucket, written once, and joined by class. All
-joins are on class or bucket, so that adaptive execution may split a hot one; aggregations combine on the map
+joins are on class, its key or bucket, so that adaptive execution may split a hot one; aggregations combine on the map
 side. Intermediate tables live in the shared folder, so a lost executor costs a task, not the job.
 
 Defined results: null and empty texts have no shingles and stand alone; a text of 1 to 4 words has
-its whole word sequence as its only shingle. Rows with a null id are not linked (component null) and are
-kept. Repeated rows (same id and text) fall into one class and count as one document; if one id has
-several texts, each row is judged by its own text. Only id and text are read.
+its whole word sequence as its only shingle; texts of any length are read whole, one at a time in a task. Rows with a
+null id are not linked (component null) and are kept. Every row is judged by its own text: repeated rows fall into one class and count
+as one document, and if one id has several texts each row has the component of its own. An empty table gives an
+empty result. Only id and text are read, so other columns may bear any name.
 """
 
 from __future__ import annotations
@@ -157,7 +159,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 part = batch.slice(at, 500)
                 sets = [shingles(t, words) for t in text_bytes(part.column("t"))]
                 found = sketch(sets)
-                keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                keys = [_set_key(s) for s in sets]
                 registers = [r.tobytes() if len(s) else None for r, s in zip(found, sets, strict=True)]
                 arrays = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(registers, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "class_key", "registers"])
@@ -350,41 +352,55 @@ def _joined(members: DataFrame, classes: DataFrame, sets: DataFrame, floor: floa
     return map_arrow(_blocked(members, classes.join(sets, "class")), run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per row of ``docs``."""
+def judged(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, class_key, group, component_id, kept`` per row of ``docs``.
+
+    ``class_key`` names the text's set (null without words), ``group`` numbers its component's classes; ``component_id`` is the
+    smallest id among the group's rows.
+    """
     floor = percent / 100 - MARGIN
     rows = save(sketches(docs, id_col, text_col), "sketches")
     usable = rows.filter("doc_id is not null and class_key is not null")
     grouped = usable.groupBy("class_key").agg(
-        F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies"),
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"),
         F.first("n_shingles").alias("n"), F.first("registers").alias("registers"),
     )
-    classes = save(grouped, "classes")
+    # The number is fixed by being written: every later step reads this table.
+    classes = save(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")
+    compared = classes.select("class", "n", "registers")
 
     buckets = save(_shared(_banded(classes)), "buckets")
     stars = buckets.filter("class <> star").select(F.col("class").alias("a"), F.col("star").alias("b")).distinct()
-    wanted = buckets.select("class").distinct()
+    wanted = buckets.select("class").distinct().join(classes.select("class", "class_key", "least"), "class")
     sets = save(_sets(docs, wanted, id_col, text_col), "sets")
 
-    links = save(_verified(_likely(stars, classes, floor), sets, percent), "links")
+    links = save(_verified(_likely(stars, compared, floor), sets, percent), "links")
     reached = components(links)
     members = _divided(buckets, reached)
-    undecided = save(_undecided(members, classes.select("class", "n", "registers"), floor), "undecided")
+    undecided = save(_undecided(members, compared, floor), "undecided")
     if not undecided.isEmpty():
         again = members.join(undecided, ["bucket", "class"], "left_semi")
-        more = save(_joined(again, classes.select("class", "n", "registers"), sets, floor, percent), "links")
+        more = save(_joined(again, compared, sets, floor, percent), "links")
         reached = components(links.union(more))
 
-    moved = classes.join(reached, "class", "left").select("class_key", "class", "copies", F.coalesce("component", "class").alias("component"))
-    moved = moved.filter("copies > 1 or component <> class").select("class_key", "component")
-    joined = rows.select("doc_id", "n_shingles", "class_key").join(moved, "class_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    # Only linked classes and those of several ids differ from their rows' own ids.
+    named = save(classes.select("class_key", "class", "least", "greatest").join(reached, "class"), "named")
+    least = named.groupBy("component").agg(F.min("least").alias("id"))
+    linked_ = named.join(least, "component").select("class_key", F.col("component").alias("group"), "id")
+    alone = classes.filter("least <> greatest").join(reached, "class", "left_anti").select("class_key", F.col("class").alias("group"), F.col("least").alias("id"))
+    joined = rows.select("doc_id", "n_shingles", "class_key").join(linked_.union(alone), "class_key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id"))
     return joined.select(
-        "doc_id", "n_shingles", component.alias("component_id"),
+        "doc_id", "n_shingles", "class_key", "group", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
 
 
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` per row of ``docs``."""
+    return judged(docs, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def _shared(banded: DataFrame) -> DataFrame:
     """(bucket, class, star) for buckets with several classes."""
     stars = banded.groupBy("bucket").agg(F.min("class").alias("star"), F.max("class").alias("last")).filter("star <> last")
@@ -399,33 +415,67 @@ def _divided(buckets: DataFrame, reached: DataFrame) -> DataFrame:
     return members.join(divided.select("bucket"), "bucket")
 
 
+def _set_key(shingled: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingled.tobytes()) if len(shingled) else None
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The full shingle sets of the wanted classes; a class is named by the id of one of its documents."""
+    """``class, shingles``: the full set of each wanted class (class, class_key, least), read from the texts of its least id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sets = [shingles(t, words) for t in text_bytes(batch.slice(at, 500).column("t"))]
+                arrays = [pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["class_key", "shingles"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).alias("t")).filter("t is not null")
+    read = texts.join(wanted.select("least"), "least", "left_semi").select("t")
+    # An id may have other texts as well; a set is known by its key.
+    return map_arrow(read, run, "class_key binary, shingles binary").dropDuplicates(["class_key"]).join(wanted.select("class", "class_key"), "class_key").select("class", "shingles")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``row, class_key`` of rows of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingles(t, words).tobytes() for t in text_bytes(part.column("t"))]
-                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(sets, pa.binary())], ["class", "shingles"])
+                keys = [_set_key(shingles(t, words)) for t in text_bytes(part.column("t"))]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(keys, pa.binary())], ["row", "class_key"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("class"), F.col(text_col).alias("t")).filter("t is not null")
-    return map_arrow(texts.join(wanted, "class", "left_semi"), run, "class long, shingles binary").dropDuplicates(["class", "shingles"])
+    columns = docs.select(F.struct("*").alias("row"), F.col("text").alias("t"))
+    return map_arrow(columns, run, columns.select("row").schema.add("class_key", "binary"))
 
 
 def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, with its columns as they were; of repeated rows one stays.
+    """One document of each component, with its columns as they were.
+
+    Rows that share id and text (null is empty) count as one document, of which the row that is least as JSON stays. An id's other texts are judged
+    for themselves. Rows without words are no copies of each other; rows with a null id stay as they are.
 
     Texts move once, in the join with the ids that go, which is a merge join at any size, for these ids grow with the
     corpus. Ids that occur more than once are written first: where there are none or few the planner sees it from
-    the table's size, and spares their join the shuffle.
+    the table's size, and spares their join the shuffle. Only their rows are read for their sets again.
     """
-    found = near_duplicates(docs, percent).filter("doc_id is not null")
-    verdicts = save(found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 or not kept"), "verdicts")
-    repeated = save(verdicts.filter("n > 1 and kept").select("doc_id"), "repeated")
-    once = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(verdicts.select("doc_id").hint("merge"), "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    found = save(judged(docs, percent).filter("doc_id is not null"), "judged")
+    verdicts = found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    verdicts = save(verdicts.filter("n > 1 or not kept"), "verdicts")
+    several = save(verdicts.filter("n > 1").select("doc_id"), "repeated")
+    rest = docs.join(verdicts.select("doc_id").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+    # Of an id's kept texts in one group the one with the least key stays.
+    staying = found.join(several, "doc_id", "left_semi").filter("kept and class_key is not null")
+    staying = staying.groupBy("doc_id", F.coalesce("group", F.xxhash64("class_key")).alias("group")).agg(F.min("class_key").alias("class_key"))
+    keyed = _keyed(docs.join(several, "doc_id", "left_semi").select(docs.columns)).withColumn("doc_id", F.col("row.doc_id").cast("long"))
+    known = keyed.filter("class_key is not null").join(staying.select("doc_id", "class_key").distinct(), ["doc_id", "class_key"], "left_semi")
+    kept = known.unionByName(keyed.filter("class_key is null"))
+    text = F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256)
+    once = kept.groupBy("doc_id", "class_key", F.when(F.col("class_key").isNull(), text).alias("blank")).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rest.unionByName(once.select("row.*").select(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

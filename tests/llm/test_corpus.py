@@ -117,6 +117,26 @@ def test_near_duplicates_take_odd_rows(odd_docs, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0 and near_dedup.keep(no_docs).count() == 0
 
 
+def test_near_duplicates_judge_rows_by_their_own_text(spark):
+    a, b = "one text that others copy word for word", "another text that nobody has copied at all"
+    schema = "doc_id long, text string, extra string"
+    rows = [(1, a, "x"), (5, b, "x"), (5, a, "x"), (7, b + " x1 x2", "z"), (7, b + " x1 x2", "y"), (9, "", "p"), (9, None, "p"), (9, "", "p"), (9, " ", "p"), (None, a, "n"), (None, a, "n")]
+    docs = spark.createDataFrame(rows, schema).repartition(4)
+    found = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).filter("n_shingles > 0 and doc_id < 7").collect()}
+    assert found == {(1, 4, 1, True), (5, 4, 5, True), (5, 4, 1, False)}
+    kept = sorted(map(tuple, near_dedup.keep(docs).collect()), key=repr)
+    assert kept == sorted([(1, a, "x"), (5, b, "x"), (7, b + " x1 x2", "y"), (9, None, "p"), (9, " ", "p"), (None, a, "n"), (None, a, "n")], key=repr)
+
+
+def test_one_of_an_id_s_linked_texts_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join([*words, "more"])]
+    other = " ".join(reversed(words))
+    docs = spark.createDataFrame([(3, near[0]), (3, near[1]), (3, other), (8, near[2])], "doc_id long, text string")
+    kept = sorted(map(tuple, near_dedup.keep(docs).collect()))
+    assert len(kept) == 2 and kept[0][0] == kept[1][0] == 3 and other in {t for _, t in kept}
+
+
 # --- decontamination
 
 
