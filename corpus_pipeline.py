@@ -2,7 +2,7 @@
 
 1. quality rules: documents that fail the policy go;
 2. toxicity: documents at or above their language's threshold go;
-3. near-duplicates: one document of each component stays;
+3. near-duplicates: texts that share 0.8 or more of their five-word shingles are linked, one document of each component stays;
 4. decontamination: documents in which a benchmark passage occurs go;
 5. mixing: documents are sampled to the target mixture.
 
@@ -26,7 +26,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep(docs)
+    return near_dedup.keep(docs, percent=80)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
