@@ -2,8 +2,9 @@
 
 A page is cut into tags and text by one regular expression and built into a tree with the end-tag rules that
 matter here (a block closes an open paragraph, list items and table cells close their kind). Boilerplate subtrees, known by
-their element (menus, footers, sidebars, forms, scripts, styles ...), role or class words (adverts, notices, comments ...),
-are left out. Then
+their element (menus, footers, sidebars, controls, scripts, styles ...), role or class words (adverts, notices, comments ...),
+are left out. Forms, and elements with class words that say less for certain (share, related ...), go with them unless
+they wrap the page: then most of its paragraphs' plain text stands in them. Then
 
 * every paragraph-like block passes points to its parent and, halved, to the levels above it: one, one per comma, and up to three
   for its length;
@@ -12,13 +13,14 @@ are left out. Then
 * the best container is kept, or the one around it as long as all else in that is text too; and of its siblings those that
   score a fifth of it, dense paragraphs and the headings before it.
 
-The kept text is cut at block elements. In a block, character references are decoded, white space becomes one space and is trimmed;
+Character references are decoded in the text between two tags. The kept text is cut at block elements. In a block white space becomes one space and is trimmed;
 blocks are joined by a line feed in page order. Inside what is kept nothing is dropped or capped.
 
 A page is one row's work and pages do not meet, so the plan is one narrow stage without a shuffle.
 
 Defined results: null or empty html gives an empty text; a page without any scoring container gives the text of its
-body that is not boilerplate; broken and unclosed markup is read as far as it goes; deep nesting is not recursed into.
+body that is not boilerplate; broken and unclosed markup is read as far as it goes; deep nesting is not recursed into, and
+very long pages are read whole, in time that grows with their length; an empty table gives an empty result.
 Repeated rows and null ids are extracted row by row; columns other than page_id, url and html are not read.
 """
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,15 +56,18 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that are no part of an article wherever they stand.
-DROPPED = set("nav footer aside form button select input textarea script style noscript iframe template dialog menu head title link meta svg math object embed canvas audio video noembed noframes label fieldset".split())
-ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar tablist toolbar".split())
+DROPPED = set("nav footer aside button select input textarea script style noscript iframe template dialog menu head title link meta svg math object embed canvas audio video noembed noframes label fieldset".split())
+ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar tablist toolbar".split())
 #: Words of class and id that mark what is no article text.
 JUNK = set(
-    "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion promoted newsletter subscribe "
-    "subscription signup comment comments disqus respond reply replies discussion reader-comments sidebar side-bar widget widgets "
-    "menu nav navbar navigation breadcrumb breadcrumbs pager pagination footer masthead cookie cookies consent gdpr notice notices "
-    "popup modal overlay share sharing social related recommended recommendations toolbar skip login hidden".split()
+    "ad ads advert adverts advertisement advertising adbox sponsor sponsored newsletter subscribe subscription signup comment comments disqus "
+    "respond reply replies reader-comments sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs pager pagination "
+    "footer masthead cookie cookies consent gdpr popup modal overlay toolbar skip login hidden".split()
 )
+#: Words that mark it too, but also stand on wrappers of a whole page.
+UNSURE = set("banner promo promotion promoted discussion widget widgets notice notices share sharing social related recommended recommendations".split())
+#: Share of the page's plain paragraph text, and characters of it, that make an unsure element a wrapper.
+WRAPS, WRAPPED = 0.6, 200
 #: Class words that keep an element although another word would drop it.
 CONTENT = set("article content main post story entry body text articlebody article-body post-content entry-content".split())
 #: Start tags that close an open element of the same group.
@@ -72,65 +78,75 @@ PARAGRAPH = set("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption section
 BONUS = {"article": 30.0, "main": 25.0, "section": 2.0, "div": 1.0, "blockquote": 1.0, "body": -3.0, "ul": -3.0, "ol": -3.0, "table": -3.0, "li": -3.0, "td": 0.0}
 
 
+#: Elements in which a paragraph outside is not closed.
+BARRIER = set("table td th caption button object".split())
+SURE, MAYBE, NO = "boilerplate", "unsure", "content"
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "linked", "named")
+    __slots__ = ("tag", "parent", "children", "dropped", "unsure", "points", "chars", "linked", "named", "in_p", "in_article")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, named: bool):
-        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
+        self.tag, self.parent, self.dropped, self.named, self.unsure = tag, parent, dropped, named, False
         self.children: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
+        # Whether a paragraph is open that a block would close, and whether an article is.
+        self.in_p = tag == "p" or (parent is not None and parent.in_p and tag not in BARRIER)
+        self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
 
 
-def _judged(tag: str, raw: str, parent: Node) -> tuple[bool, bool]:
+def _judged(tag: str, raw: str, parent: Node) -> tuple[str, bool]:
     """Whether an element is boilerplate, and whether it says that it holds the content."""
     found = _attributes(raw)
     words = set(re.split(r"[^a-z0-9]+", (found.get("class", "") + " " + found.get("id", "")).lower()))
     words |= {w for v in (found.get("class", ""), found.get("id", "")) for w in v.lower().replace("_", "-").split()}
     named = bool(words & CONTENT) or found.get("itemprop", "").lower() == "articlebody" or found.get("role", "").lower() in ("main", "article")
     if tag in DROPPED or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true":
-        return True, False
+        return SURE, False
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return True, False
-    if (tag == "header" or (words & {"header"} and not named)) and not _inside(parent, ("article", "main")):
-        return True, False
-    if tag not in ("html", "body", "article", "main") and words & JUNK and not (named and not words & {"comment", "comments", "ad", "ads", "sidebar"}):
-        return True, False
-    return False, named
-
-
-def _inside(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+        return SURE, False
+    if (tag == "header" or (words & {"header"} and not named)) and not parent.in_article:
+        return SURE, False
+    if tag == "form":
+        return MAYBE, named
+    if tag not in ("html", "body", "article", "main") and words & (JUNK | UNSURE) and not (named and not words & {"comment", "comments", "ad", "ads", "sidebar"}):
+        return SURE if words & JUNK else MAYBE, False
+    return NO, named
 
 
 def tree(page: str) -> Node:
     root = Node("#root", None, False, False)
     at, place, size = root, 0, len(page)
+    open_: Counter[str] = Counter()
+
+    def climb(to: Node) -> None:
+        nonlocal at
+        while at is not to:
+            open_[at.tag] -= 1
+            at = at.parent
+
     while place < size:
         found = _TOKEN.search(page, place)
         end = found.start() if found else size
         if end > place and not at.dropped:
-            at.children.append(page[place:end])
+            at.children.append(html.unescape(page[place:end]))
         if not found:
             break
         place = found.end()
         if not found[2]:
             if found[0].startswith("<![CDATA[") and not at.dropped:
-                at.children.append(html.escape(found[0][9:].removesuffix("]]>")))
+                at.children.append(found[0][9:].removesuffix("]]>"))
             continue
         tag = found[2].lower()
         if found[1]:
-            if tag == "br" or (tag == "p" and not _inside(at, ("p",))):
+            if tag == "br" or (tag == "p" and not open_["p"]):
                 at.children.append(Node(tag, at, at.dropped, False))
                 continue
-            node = at
+            node = at if open_[tag] else root
             while node is not root and node.tag != tag:
                 # An end tag of an inline element does not reach out of its block.
                 if tag not in BLOCK and node.tag in BLOCK:
@@ -138,17 +154,13 @@ def tree(page: str) -> Node:
                     break
                 node = node.parent
             if node is not root:
-                at = node.parent
+                climb(node.parent)
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and at.in_p:
             node = at
-            while node is not root and node.tag != "p":
-                if node.tag in ("table", "td", "th", "caption", "button", "object"):
-                    node = root
-                    break
+            while node.tag != "p":
                 node = node.parent
-            if node is not root:
-                at = node.parent
+            climb(node.parent)
         if tag in CLOSES:
             node, last = at, None
             while node is not root and node.tag not in SCOPE[tag]:
@@ -156,9 +168,10 @@ def tree(page: str) -> Node:
                     last = node
                 node = node.parent
             if last is not None:
-                at = last.parent
-        dropped, named = (True, False) if at.dropped else _judged(tag, found[3], at)
-        node = Node(tag, at, dropped, named)
+                climb(last.parent)
+        kind, named = (SURE, False) if at.dropped else _judged(tag, found[3], at)
+        node = Node(tag, at, kind == SURE, named)
+        node.unsure = kind == MAYBE
         at.children.append(node)
         if tag in RAW:
             closing = re.compile(rf"</{tag}[\s/>]", re.I).search(page, place)
@@ -169,9 +182,33 @@ def tree(page: str) -> Node:
                 place = page.find(">", closing.start()) + 1 or size
         elif tag not in VOID and not (found[3].endswith("/") and tag not in BLOCK):
             at = node
+            open_[tag] += 1
+    _decide(root)
     return root
 
 
+def _decide(root: Node) -> None:
+    """Drop the unsure elements that do not wrap the page."""
+    nodes = _order(root)
+    if not any(n.unsure for n in nodes):
+        return
+    # Plain paragraph text of each subtree: outside links, under something paragraph-like.
+    plain: dict[int, int] = {}
+    linked = {id(n) for n in nodes if n.tag == "a"}
+    told = {id(root): False}
+    for node in nodes[1:]:
+        told[id(node)] = (told[id(node.parent)] or node.tag in ("p", "pre", "blockquote", "td", "li", "dd") or node.named) and id(node) not in linked
+    for node in reversed(nodes):
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str)) if told[id(node)] else 0
+        plain[id(node)] = plain.get(id(node), 0) + own
+        if node.parent is not None:
+            plain[id(node.parent)] = plain.get(id(node.parent), 0) + plain[id(node)]
+    whole = plain[id(root)]
+    for node in nodes:
+        if node.unsure and (plain[id(node)] < WRAPPED or plain[id(node)] < WRAPS * whole):
+            node.dropped = True
+
+
 def _order(root: Node) -> list[Node]:
     """Kept elements, parents first."""
     nodes, stack = [], [root]
@@ -258,7 +295,7 @@ def text_of(nodes: list[Node]) -> str:
 
     def close() -> None:
         if parts:
-            block = " ".join(html.unescape("".join(parts)).split())
+            block = " ".join("".join(parts).split())
             if block:
                 blocks.append(block)
             parts.clear()

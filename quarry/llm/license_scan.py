@@ -2,8 +2,8 @@
 
 A text is brought to words (A-Z lower-cased), each written between its own pair of spaces, so
 that a phrase is found whole by plain string search and no two finds share a space. Three base phrases are
-looked for in every text. The signature rules, several hundred regular expressions built from the
-license families below, are tried only on texts that pass the keyword prefilter, and of these each
+looked for in every text. The rules, hand-written signatures of license bodies and headers and several hundred names,
+grants and versions of the license families below, are tried only on texts that pass the keyword prefilter, and of these each
 rule only where its own keyword and the plain pieces of its pattern stand.
 
 Every find is an interval of words with the rule's priority. A find is suppressed if another one
@@ -21,6 +21,8 @@ not read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,26 +85,146 @@ CC = [
 CC_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
 #: Contexts that name a license as the one granted: label-giving phrases before the name.
 GRANTS = ["licen[sc]ed under", "released under", "distributed under", "under the terms of", "available under", "spdx licen[sc]e identifier"]
-#: (label, keyword, pattern, priority, confidence) of rules that fit no family.
-SINGLE = [
+#: Signatures: (label, keyword, pattern, priority, confidence). Sentences of license bodies and headers, which are public texts and fixed values.
+#: A body's own sentence (80) outranks names and grants; a sentence that several licenses share has less priority and confidence.
+SIGNATURES = [
+    ("0bsd", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is", 85, 0.95),
+    ("afl-3.0", "academic", "licensed under the academic free license version 3 0", 80, 0.95),
+    ("agpl-3", "affero", "under the terms of the gnu affero general public license as published by the free software foundation( either version 3)?", 80, 0.95),
+    ("agpl-3", "affero", "gnu affero general public license version 3 19 november 2007", 85, 0.97),
+    ("agpl-3", "remotely", "all users interacting with it remotely through a computer network", 80, 0.95),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation", 80, 0.9),
+    ("apache-2", "apache", "apache license version 2 0 january 2004", 85, 0.97),
+    ("apache-2", "apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", 85, 0.97),
+    ("apache-2", "compliance", "you may not use this file except in compliance with the license", 70, 0.85),
+    ("apache-2", "applicable", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 70, 0.85),
+    ("apache-2", "contributor", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable( except as stated in this section)? (copyright|patent) license", 80, 0.95),
+    ("apache-2", "derivative", "you must give any other recipients of the work or derivative works a copy of this license", 80, 0.95),
+    ("artistic-1.0", "artistic", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control", 80, 0.95),
+    ("artistic-2.0", "package", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed", 80, 0.95),
+    ("beerware", "beer", "(the )?beer ware license", 60, 0.9),
+    ("beerware", "beer", "you can buy me a beer in return", 80, 0.95),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 75, 0.9),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 70, 0.9),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice", 70, 0.9),
+    ("bsd", "regents", "the regents and contributors be liable for any direct indirect incidental special exemplary or consequential damages", 70, 0.85),
+    ("bsd-3", "contributors", "nor the names of (its|his|their) contributors may be used to endorse or promote products derived from this software", 80, 0.95),
+    ("bsd-3", "endorse", "may (not )?be used to endorse or promote products derived from this software", 72, 0.85),
+    ("bsd-3-clear", "patent", "no express or implied licenses to any party s patent rights are granted by this license", 82, 0.95),
+    ("bsd-4", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 82, 0.95),
+    ("bsl-1.0", "boost", "boost software license version 1 0 august 17th 2003", 85, 0.97),
+    ("bsl-1.0", "accompanying", "obtaining a copy of the software and accompanying documentation covered by this license", 80, 0.95),
+    ("busl-1.1", "business", "business source license 1 1", 60, 0.9),
+    ("busl-1.1", "licensor", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", 80, 0.95),
     ("cc0", "cc0", "cc0( 1 0)?( universal)?", 60, 0.9),
+    ("cc0", "affirmer", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders", 80, 0.95),
+    ("cc0", "waived", "has waived all copyright and related or neighboring rights to", 80, 0.95),
+    ("cc-by", "appropriate", "you must give appropriate credit provide a link to the license and indicate if changes were made", 70, 0.85),
+    ("cc-by-nc", "material", "you may not use the material for commercial purposes", 70, 0.85),
+    ("cc-by-sa", "remix", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original", 70, 0.85),
+    ("cc-by-nd", "remix", "if you remix transform or build upon the material you may not distribute the modified material", 70, 0.85),
+    ("cddl-1.0", "development", "common development and distribution license (cddl )?version 1 0", 80, 0.95),
+    ("cddl", "development", "common development and distribution license", 50, 0.8),
+    ("cecill", "cecill", "cecill( free software license agreement)?", 60, 0.85),
+    ("cecill", "french", "governed by the cecill( b| c)? license under french law and abiding by the rules of distribution of free software", 80, 0.95),
+    ("cpl-1.0", "common", "common public license( version)? (1 0|v1 0)", 60, 0.9),
+    ("curl", "fee", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 82, 0.9),
+    ("ecl-2.0", "educational", "educational community license version 2 0", 60, 0.9),
+    ("elastic-2.0", "elastic", "elastic license (2 0|v2)", 60, 0.9),
+    ("elastic-2.0", "hosted", "you may not provide the software to third parties as a hosted or managed service", 80, 0.95),
+    ("epl-1.0", "eclipse", "accompanying program is provided under the terms of this eclipse public license", 80, 0.95),
+    ("epl-2.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", 85, 0.97),
+    ("epl-1.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", 85, 0.97),
+    ("eupl-1.2", "eupl", "licensed under the eupl( version 1 2)?", 75, 0.9),
+    ("gfdl-1.3", "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 80, 0.95),
+    ("gfdl", "invariant", "with no invariant sections( with)? no front cover texts and( with)? no back cover texts", 75, 0.9),
+    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", 80, 0.95),
+    ("gpl-2", "general", "it under the terms of the gnu general public license as published by the free software foundation version 2", 85, 0.95),
+    ("gpl-2+", "general", "gnu general public license as published by the free software foundation either version 2 of the license or (at your option )?any later version", 86, 0.97),
+    ("gpl-3+", "general", "gnu general public license as published by the free software foundation either version 3 of the license or (at your option )?any later version", 86, 0.97),
+    ("gpl-2", "june", "gnu general public license version 2 june 1991", 85, 0.97),
+    ("gpl-3", "june", "gnu general public license version 3 29 june 2007", 85, 0.97),
+    ("gpl", "received", "you should have received a copy of the gnu general public license along with this program", 65, 0.85),
+    ("gpl-2", "verbatim", "you may copy and distribute verbatim copies of the program s source code as you receive it in any medium", 80, 0.95),
+    ("gpl-3", "convey", "you may convey verbatim copies of the program s source code as you receive it in any medium", 80, 0.95),
+    ("gpl-classpath", "exception", "as a special exception the copyright holders of this library give you permission to link this library with independent modules to produce an executable", 82, 0.95),
+    ("hpnd", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose( and without fee)? is hereby granted", 75, 0.85),
+    ("icu", "unicode", "unicode inc license agreement data files and software", 80, 0.95),
+    ("ijg", "independent", "this software is based in part on the work of the independent jpeg group", 80, 0.9),
+    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 74, 0.9),
+    ("isc", "permission", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", 74, 0.9),
+    ("json", "evil", "the software shall be used for good not evil", 90, 0.97),
+    ("lgpl", "lesser", "under the terms of the gnu lesser general public license as published by the free software foundation", 78, 0.95),
+    ("lgpl-2", "library", "under the terms of the gnu library general public license as published by the free software foundation", 80, 0.95),
+    ("lgpl-2.1", "lesser", "gnu lesser general public license version 2 1 february 1999", 85, 0.97),
+    ("lgpl-3", "lesser", "gnu lesser general public license version 3 29 june 2007", 85, 0.97),
+    ("lgpl-2.1+", "lesser", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license or (at your option )?any later version", 86, 0.97),
+    ("lgpl-3+", "lesser", "gnu lesser general public license as published by the free software foundation either version 3 of the license or (at your option )?any later version", 86, 0.97),
+    ("libpng", "png", "the png reference library is supplied as is", 80, 0.95),
+    ("llvm-exception", "llvm", "apache license v2 0 with llvm exceptions", 80, 0.95),
+    ("lppl-1.3c", "latex", "latex project public license( distributed from ctan archives)?( either)?( version 1 3c?)?", 60, 0.9),
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 74, 0.9),
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", 80, 0.97),
+    ("mit", "permission", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 74, 0.9),
+    ("mit-0", "furnished", "to permit persons to whom the software is furnished to do so the software is provided as is without warranty of any kind", 82, 0.9),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1", 85, 0.97),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0", 85, 0.97),
+    ("mpl-2.0", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", 80, 0.95),
+    ("mpl-2.0", "secondary", "this source code form is incompatible with secondary licenses", 80, 0.95),
+    ("ms-pl", "microsoft", "microsoft public license( ms pl)?", 60, 0.9),
+    ("ms-rl", "microsoft", "microsoft reciprocal license( ms rl)?", 60, 0.9),
+    ("ncsa", "university", "university of illinois( ncsa)? open source license", 80, 0.95),
+    ("odbl-1.0", "database", "made available under the open database license", 80, 0.95),
+    ("ofl-1.1", "font", "this font software is licensed under the sil open font license version 1 1", 85, 0.97),
+    ("ofl", "font", "sil open font license", 60, 0.9),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 80, 0.95),
+    ("osl-3.0", "open", "licensed under the open software license version 3 0", 80, 0.95),
+    ("php-3.01", "php", "this source file is subject to version 3 01 of the php license", 85, 0.97),
+    ("php", "php", "the php license( version 3 01?)?", 60, 0.85),
+    ("postgresql", "postgresql", "postgresql (database management system|is released under the postgresql license)", 70, 0.85),
     ("public-domain", "public", "(released|placed|dedicated) (in|in to|into|to) the public domain", 60, 0.9),
     ("public-domain", "public", "public domain", 20, 0.5),
+    ("python", "python", "psf is making python available to licensee on an as is basis", 80, 0.95),
+    ("python", "python", "python software foundation license version 2", 80, 0.95),
+    ("qpl-1.0", "public", "(the )?q public license version 1 0", 60, 0.9),
+    ("ruby", "ruby", "ruby s license", 50, 0.8),
+    ("sleepycat", "accompanied", "redistributions in any form must be accompanied by information on how to obtain complete source code", 60, 0.7),
+    ("sspl-1.0", "server", "server side public license( version 1| v1)?", 60, 0.9),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 85, 0.97),
+    ("unlicense", "anyone", "anyone is free to copy modify publish use compile sell or distribute this software", 80, 0.95),
+    ("upl-1.0", "universal", "universal permissive license( v 1 0| version 1 0)?", 60, 0.9),
+    ("vim", "vim", "vim is charityware", 80, 0.95),
+    ("w3c", "w3c", "w3c software (notice and license|and document notice and license)", 80, 0.95),
+    ("wtfpl", "fuck", "do what the fuck you want to( public license)?", 80, 0.95),
+    ("x11", "advertising", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization", 82, 0.95),
+    ("zlib", "arising", "in no event will the authors be held liable for any damages arising from the use of this software", 78, 0.9),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented", 80, 0.95),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 80, 0.95),
+    ("zpl-2.1", "zope", "zope public license( zpl)?( version 2 1)?", 60, 0.9),
     ("all-rights-reserved", "rights", "all rights reserved", 50, 0.7),
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 80, 0.95),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 80, 0.95),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 80, 0.95),
-    ("warranty-disclaimer", "warranty", "without warranty of any kind", 10, 0.3),
+    ("commercial", "eula", "end user licen[sc]e agreement eula", 50, 0.7),
     ("proprietary", "proprietary", "proprietary and confidential", 50, 0.7),
+    ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited", 70, 0.9),
+    ("warranty-disclaimer", "warranty", "without warranty of any kind", 10, 0.3),
+    ("warranty-disclaimer", "merchantability", "warranties of merchantability fitness for a particular purpose", 10, 0.3),
+    ("warranty-disclaimer", "merchantability", "implied warranty of merchantability or fitness for a particular purpose", 10, 0.3),
 ]
 
 
+def _start(pattern: str) -> list[str]:
+    """The plain words with which a pattern starts, up to the first that may vary."""
+    plain = re.split(r"[^a-z0-9 ]", pattern)[0]
+    whole = plain == pattern or plain.endswith(" ")
+    words = plain.split() if whole else plain.split()[:-1]
+    return [" ".join(words)] if len(words) > 1 else []
+
+
 def _rules() -> list[tuple[str, str, str, int, float, list[str]]]:
     """(label, keyword, word pattern, priority, confidence, needs); a longer context has the greater priority.
 
     ``needs`` are plain pieces of every text that the pattern hits, in words as the pattern writes them.
     """
-    rules = [(*rule, []) for rule in SINGLE]
+    rules = [(*rule, _start(rule[2])) for rule in SIGNATURES]
     any_grant, later = f"({'|'.join(GRANTS)})", "(or (any )?later|or newer)( version)?"
     named = [(label, key, name, versions) for label, key, names, versions in FAMILIES for name in names]
     for label, key, name, versions in named:

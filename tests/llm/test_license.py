@@ -1,5 +1,6 @@
 """The keyword prefilter of the license rules."""
 
+import re
 import re._constants as sre
 import re._parser as sre_parse
 
@@ -48,3 +49,46 @@ def test_license_prefilter_loses_no_rule():
 def test_license_names_without_the_family_keyword(spark, text, labels):
     found = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().detections
     assert [d.label for d in found] == labels
+
+
+def sample_texts():
+    """A text from each rule, and texts of several rules."""
+    texts = [texts_of(sre_parse.parse(pattern))[-1] for _, _, pattern, *_ in license_scan.RULES]
+    mixed = [" and then ".join(texts[i :: 97][:5]) for i in range(0, 97, 3)]
+    return texts[: len(license_scan.SIGNATURES)] + texts[len(license_scan.SIGNATURES) :: 30] + mixed[::3]
+
+
+def plain_scan(text):
+    """Surviving finds (label, start, stop, priority, confidence) of every rule, tried without a gate and judged pair by pair."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    spaced = "".join(f" {w} " for w in words)
+    finds = []
+    for rule, (label, _, pattern, priority, confidence, _) in enumerate(license_scan.RULES):
+        for m in re.finditer(license_scan._spaced(pattern), spaced):
+            start = len(spaced[: m.start()].split())
+            finds.append((start, start + len(m[0].split()), label, priority, confidence, rule))
+
+    def beaten(x):
+        for y in finds:
+            if y[0] <= x[0] and y[1] >= x[1]:
+                if y[3] > x[3] or (y[3] == x[3] and (y[1] - y[0] > x[1] - x[0] or (y[:2] == x[:2] and y[5] < x[5]))):
+                    return True
+        return False
+
+    return sorted({x[:5] for x in finds if not beaten(x)})
+
+
+def test_license_detections_equal_a_scan_without_gate(spark):
+    texts = sample_texts() + ["", "no license here", "MIT license mit license MIT License, cc by nc; CC-BY-NC-SA 4.0 cc by", "gpl gpl 2 or later gnu gpl version 2 or later"]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        got = sorted((d.start, d.stop, d.label, d.priority, d.confidence) for d in r.detections)
+        assert got == plain_scan(texts[r.doc_id]), texts[r.doc_id]
+
+
+def test_a_body_outranks_the_names_inside_it(spark):
+    body = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."
+    rows = license_scan.scan(spark.createDataFrame([(1, body), (2, apache), (3, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[(d.label, d.start) for d in r.detections] for r in rows] == [[("mit", 0)], [("apache-2", 0)], []]

@@ -1,6 +1,7 @@
 """Quality rules, token counts, licenses, toxicity and web pages: row by row against plain versions."""
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -186,3 +187,47 @@ def test_pages_table(spark, sf):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract_text(odd).collect()) == [(0, "", 0), (1, "Short one.", 10), (1, "Short one.", 10)]
     assert html_text.extract_text(odd.limit(0)).count() == 0
     assert html_text.query(spark, sf).filter("n_chars = 0").count() == 0
+
+
+# --- pages by construction
+
+
+def planted_page(rng):
+    """(html, text): an article between pieces that are none, in one of several layouts."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    paragraph = lambda: ", ".join(" ".join(rng.choice(words, 8)) for _ in range(int(rng.integers(3, 7)))) + "."
+    blocks = [("h1", " ".join(rng.choice(words, 4)))] + [("p", paragraph()) for _ in range(int(rng.integers(3, 8)))]
+    article = "".join(f"<{t}>{x.replace('beta', '<b>be</b>ta').replace('mu', '&#109;u')}</{t}>\n" for t, x in blocks)
+    junk = [
+        "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></nav>",
+        "<form action=/search><p>Search the site, or the archive</p><input name=q><button>Go</button></form>",
+        "<div class=related><p><a href=/x>One more story</a></p><p><a href=/y>And another</a></p></div>",
+        "<aside><p>An aside of a few words, with a comma</p></aside>",
+        "<div class='comments'><p>I think, therefore, that this is wrong, and long, and more.</p></div>",
+        "<footer><p>All rights reserved, by us</p></footer><script>var a = '<p>x</p>';</script>",
+    ]
+    wrap = [("<article>", "</article>"), ("<main><div>", "</div></main>"), ("<div id=content>", "</div>"), ("<form method=post><input type=hidden><div>", "</div></form>"), ("<div class='share wide'><div>", "</div></div>")]
+    a, b = wrap[int(rng.integers(len(wrap)))]
+    order = [junk[i] for i in rng.permutation(len(junk))]
+    page = f"<html><head><title>t</title></head><body>{''.join(order[:3])}{a}{article}{b}{''.join(order[3:])}</body></html>"
+    return page, "\n".join(x for _, x in blocks)
+
+
+def test_planted_articles_are_found_whole():
+    rng = np.random.default_rng(8)
+    for page, text in (planted_page(rng) for _ in range(300)):
+        assert html_text.extract(page) == text, page
+
+
+def test_references_are_decoded_in_their_own_text():
+    assert html_text.extract("<article><p>fish &am<b>p; chips</b> &amp; peas &#233;</p></article>") == "fish &amp; chips & peas é"
+
+
+def test_deep_pages_take_time_in_proportion():
+    def seconds(n):
+        began = time.process_time()
+        assert html_text.extract("<div>" * n + "<p>some text, and more" + "</i></div>" * n) == "some text, and more"
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(32_000) < 16 * max(seconds(4000), 0.05)
