@@ -186,6 +186,26 @@ def test_decontamination_is_exact(spark, odd_docs, monkeypatch, block, index):
         assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
 
 
+@pytest.mark.parametrize("size, block", [(1 << 20, 200_000), (50, 7)])
+def test_a_stored_index_finds_what_brute_force_finds(spark, odd_docs, monkeypatch, size, block):
+    monkeypatch.setattr(decontamination, "INDEX", size)
+    monkeypatch.setattr(decontamination, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    words = ["a", "b", "c", "d", "É", "7"]
+    items = [(i, " ".join(rng.choice(words, n))) for i, n in enumerate([3, 10, 11, 14, 1, 10])] + [(6, ""), (7, None), (None, "a b"), (0, "a B"), (9, "unheard words only")]
+    docs = [(i, " ".join(rng.choice(words, int(rng.integers(0, 300)))) + " X " + items[i % 6][1] + ", end") for i in range(12)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    both = spark.createDataFrame(docs, "doc_id long, text string").unionByName(odd_docs.select("doc_id", "text"))
+    index = decontamination.build_index(both.repartition(3))
+    got = sorted((r.doc_id or 0, r.n_words, sorted(k for s in r.spans for k in range(s.start, s.end)), r["items"]) for r in decontamination.search_index(index, benchmark).collect())
+    assert got == sorted((r.doc_id or 0, *brute_hits(r.text, items)) for r in both.collect())
+    # The same index serves another benchmark, and none.
+    other = spark.createDataFrame([(1, "d d d")], "item_id long, text string")
+    assert sorted((r.doc_id or 0, len(r["items"])) for r in decontamination.search_index(index, other).collect()) == sorted((r.doc_id or 0, len(brute_hits(r.text, [(1, "d d d")])[2])) for r in both.collect())
+    assert decontamination.search_index(index, benchmark.limit(0)).filter("size(spans) > 0").count() == 0
+    assert decontamination.search_index(decontamination.build_index(both.limit(0)), benchmark).count() == 0
+
+
 def test_decontamination_without_benchmark_or_documents(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     found = decontamination.search(odd_docs, none).collect()
