@@ -7,6 +7,8 @@ undefined, redefined names) are joins of their own.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ NODE_RULES = [
     ("E721", "kind = 'Compare' and a['op'] in ('Eq','NotEq','Is','IsNot') and a['left_src'] like 'type(%)'", "types are compared by isinstance"),
     ("E722", "kind = 'ExceptHandler' and a['type'] is null", "bare except"),
     ("E731", "kind = 'Assign' and a['value'] = 'Lambda' and a['targets'] = 'Name'", "lambda bound to a name"),
-    ("E741", "kind = 'Name' and a['ctx'] = 'Store' and name in ('l','O','I')", "ambiguous variable name"),
+    ("E741", "kind in ('Name','arg','ExceptHandler','Global','Nonlocal','alias') and (name in ('l','O','I') and (kind <> 'Name' or a['ctx'] = 'Store') or a['asname'] in ('l','O','I') or a['names_src'] rlike '(^|,)[lOI](,|$)')", "ambiguous variable name"),
     ("E742", "kind = 'ClassDef' and name in ('l','O','I')", "ambiguous class name"),
     ("E743", "kind in ('FunctionDef','AsyncFunctionDef') and name in ('l','O','I')", "ambiguous function name"),
     ("F403", "kind = 'ImportFrom' and a['names'] = '*'", "star import"),
@@ -39,7 +41,7 @@ NODE_RULES = [
     ("B002", "kind = 'UnaryOp' and a['op'] = 'UAdd' and a['operand'] = 'UnaryOp'", "there is no increment operator"),
     ("B003", "kind = 'Assign' and a['target_names'] = 'os.environ'", "assigning to os.environ does not clear the environment"),
     ("B004", "kind = 'Call' and name in ('hasattr','getattr') and a['arg1_src'] = '\\'__call__\\''", "callable() tests for calls"),
-    ("B005", "kind = 'Call' and name rlike '[.](strip|lstrip|rstrip)$' and a['arg0'] = 'Constant' and length(a['arg0_src']) > 3", "strip takes a set of characters"),
+    ("B005", "kind = 'Call' and name rlike '[.](strip|lstrip|rstrip)$' and a['arg0'] = 'Constant' and a['arg0_src'] rlike '^[\\'\"].*(.).*\\\\1.*[\\'\"]$'", "strip takes a set of characters, and one stands twice"),
     ("B006", "kind in ('FunctionDef','AsyncFunctionDef','Lambda') and (a['defaults'] rlike '(^|,)(List|Dict|Set|ListComp|DictComp|SetComp)(,|$)' or a['default_calls'] rlike '(^|,)(list|dict|set|defaultdict|deque|collections[.](defaultdict|deque|OrderedDict|Counter))(,|$)')", "mutable default"),
     ("B008", "kind in ('FunctionDef','AsyncFunctionDef') and a['default_calls'] <> '' and not a['default_calls'] rlike '(^|,)(list|dict|set|tuple|frozenset|MappingProxyType|types.MappingProxyType|operator[.].*)(,|$)'", "call in a default"),
     ("B009", "kind = 'Call' and name = 'getattr' and a['n_args'] = '2' and a['arg1'] = 'Constant' and a['arg1_src'] rlike '^\\'[A-Za-z_]+\\'$'", "getattr with a constant"),
@@ -92,7 +94,6 @@ NODE_RULES = [
     ("PLR2004", "kind = 'Compare' and a['right'] = 'Constant' and a['right_src'] rlike '^-?[0-9.]+$' and not a['right_src'] in ('0','1','0.0','1.0')", "magic value"),
     ("PLW0120", "kind in ('For','While') and a['orelse'] is not null and a['body'] not like '%Break%' and not a['body'] rlike 'If|Try|With|For|While'", "else on a loop without break"),
     ("PLW0127", "kind = 'Assign' and a['targets'] = 'Name' and a['value'] = 'Name' and a['target_names'] = a['value_src']", "assigned to itself"),
-    ("PLW0602", "kind = 'Global'", "global statement"),
     ("PLW1508", "kind = 'Call' and name = 'os.getenv' and a['arg1'] = 'Constant' and not a['arg1_src'] rlike '^[\\'\"N]'", "default of getenv is text"),
     ("PT015", "kind = 'Assert' and a['src'] in ('False','0','None','\\'\\'')", "assertion always fails"),
     ("PT018", "kind = 'Assert' and a['test'] = 'BoolOp' and a['src'] like '% and %'", "assertion of several parts"),
@@ -181,55 +182,61 @@ TOKEN_RULES = [
 ]
 
 
+_KINDS = re.compile(r"kind (?:= '(\w+)'|in \(([^)]*)\))(?: and (.*))?", re.S)
+
+
+def _hits(rules: list[tuple[str, str, str]]) -> str:
+    each = ", ".join(f"if({condition}, struct('{code}' as code, '{message}' as message), null)" for code, condition, message in rules)
+    return f"filter(array({each}), x -> x is not null)"
+
+
 def _rules(table: list[tuple[str, str, str]], enabled: set[str] | None):
-    chosen = [r for r in table if (enabled is None or r[0] in enabled)]
-    hits = ", ".join(f"if({condition}, struct('{code}' as code, '{message}' as message), null)" for code, condition, message in chosen)
-    return F.explode(F.expr(f"filter(array({hits}), x -> x is not null)")) if chosen else None
+    """The rules that hold for a row, or None where none is enabled.
+
+    Rules that name the kinds of rows they read are tried on rows of these kinds alone.
+    """
+    chosen = [r for r in table if enabled is None or r[0] in enabled]
+    by_kind: dict[str, list[tuple[str, str, str]]] = {}
+    rest = []
+    for code, condition, message in chosen:
+        told = _KINDS.fullmatch(condition)
+        if not told:
+            rest.append((code, condition, message))
+            continue
+        for kind in [told[1]] if told[1] else re.findall(r"'(\w+)'", told[2]):
+            by_kind.setdefault(kind, []).append((code, f"({told[3]})" if told[3] else "true", message))
+    if not chosen:
+        return None
+    none = "cast(array() as array<struct<code:string,message:string>>)"
+    cases = " ".join(f"when '{kind}' then {_hits(rules)}" for kind, rules in by_kind.items())
+    found = f"case kind {cases} else {none} end" if cases else none
+    return F.explode(F.expr(f"concat({found}, {_hits(rest)})" if rest else found))
 
 
 def check_nodes(nodes: DataFrame, enabled: set[str] | None = None, table: list[tuple[str, str, str]] = NODE_RULES) -> DataFrame:
-    """(path, row, col, code, message) of rules over nodes; call names are resolved through the file's imports."""
+    """(path, row, col, code, message) of rules over nodes, one narrow pass: a node's row tells where it stands."""
     rules = _rules(table, enabled)
     if rules is None:
         return nodes.selectExpr("path", "row", "col", "'' as code", "'' as message").limit(0)
-    parents = nodes.select("path", F.col("node").alias("parent"), F.col("kind").alias("parent_kind"), F.col("attrs")["src"].alias("parent_test"))
-    handlers = nodes.filter("kind = 'ExceptHandler'").select("path", F.col("node").alias("handler"), F.col("name").alias("handler_name"), F.col("row").alias("h_row"), F.col("end_row").alias("h_end"))
-    inner = nodes.filter("kind in ('Raise', 'Call')").select("path", "node", "row").join(handlers, "path").filter("row >= h_row and row <= h_end")
-    inner = inner.groupBy("path", "node").agg(F.max_by("handler_name", "h_row").alias("handler_name"), F.lit(True).alias("in_handler"))
-    siblings = nodes.groupBy("path", "parent", "field").agg(F.count(F.lit(1)).alias("siblings"))
-    known = source.qualified(nodes, source.imports(nodes), "name").withColumn("name", F.when(F.col("kind") == "Call", F.col("full")).otherwise(F.col("name"))).drop("full")
-    pieces = nodes.filter("kind = 'Constant' and attrs['type'] = 'str'").groupBy("path", "parent").agg(F.bool_or(F.col("value").rlike(text_lines.SQL_TEXT)).alias("text_sql"))
-    joined = known.join(parents, ["path", "parent"], "left").join(inner, ["path", "node"], "left").join(siblings, ["path", "parent", "field"], "left")
-    joined = joined.join(pieces.withColumnRenamed("parent", "node"), ["path", "node"], "left").withColumn("a", F.col("attrs"))
-    functions = nodes.filter("kind in ('FunctionDef', 'AsyncFunctionDef')").select("path", F.col("node").alias("func"), F.col("name").alias("in_function"), (F.col("kind") == "AsyncFunctionDef").alias("in_async"), F.col("end_row").alias("func_end"))
-    joined = joined.join(functions, ["path", "func"], "left").withColumn("in_async", F.coalesce("in_async", F.lit(False)))
-    joined = joined.withColumn("last_in_function", F.coalesce((F.col("end_row") == F.col("func_end")) & (F.col("parent") == F.col("func")), F.lit(False)))
-    loops = nodes.filter("kind in ('For', 'AsyncFor', 'While')").select("path", F.col("row").alias("l_row"), F.col("end_row").alias("l_end"))
-    jumps = nodes.filter("kind in ('Break', 'Continue')").select("path", "node", "row").join(loops, "path").filter("row > l_row and row <= l_end")
-    joined = joined.join(jumps.select("path", "node", F.lit(True).alias("in_loop")).distinct(), ["path", "node"], "left").withColumn("in_loop", F.coalesce("in_loop", F.lit(False)))
-    ready = joined.withColumn("in_handler", F.coalesce("in_handler", F.lit(False))).withColumn("text_sql", F.coalesce("text_sql", F.lit(False)))
+    ready = nodes.withColumn("bare", F.col("name")).withColumn("name", F.when(F.col("kind") == "Call", F.col("full")).otherwise(F.col("name"))).withColumn("a", F.col("attrs"))
+    ready = ready.withColumn("text_sql", F.coalesce(F.col("a")["constants"].rlike(text_lines.SQL_TEXT), F.lit(False)))
     return ready.select("path", F.coalesce("row", F.lit(1)).alias("row"), F.coalesce("col", F.lit(0)).alias("col"), rules.alias("r")).select("path", "row", "col", "r.*")
 
 
-def check_lines(files: DataFrame, enabled: set[str] | None = None) -> DataFrame:
-    rules = _rules(LINE_RULES, enabled)
+def check_lines(files: DataFrame, enabled: set[str] | None = None, table: list[tuple[str, str, str]] = LINE_RULES) -> DataFrame:
+    rules = _rules(table, enabled)
     found = text_lines.lines(files)
     if rules is None:
         return found.selectExpr("path", "line_no as row", "0 as col", "'' as code", "'' as message").limit(0)
     return found.select("path", F.col("line_no").alias("row"), F.lit(0).alias("col"), rules.alias("r")).select("path", "row", "col", "r.*")
 
 
-def check_tokens(tokens: DataFrame, enabled: set[str] | None = None) -> DataFrame:
-    """Rules over each token and its neighbours."""
-    rules = _rules(TOKEN_RULES, enabled)
-    window = Window.partitionBy("path").orderBy("seq")
-    sides = tokens
-    for side, step in (("p", F.lag), ("n", F.lead)):
-        for c in ("kind", "text", "row", "col", "end_row", "end_col"):
-            sides = sides.withColumn(f"{side}_{c}", step(c).over(window))
+def check_tokens(tokens: DataFrame, enabled: set[str] | None = None, table: list[tuple[str, str, str]] = TOKEN_RULES) -> DataFrame:
+    """Rules over each token and its neighbours, one narrow pass."""
+    rules = _rules(table, enabled)
     if rules is None:
-        return sides.selectExpr("path", "row", "col", "'' as code", "'' as message").limit(0)
-    return sides.select("path", "row", "col", rules.alias("r")).select("path", "row", "col", "r.*")
+        return tokens.selectExpr("path", "row", "col", "'' as code", "'' as message").limit(0)
+    return tokens.select("path", "row", "col", rules.alias("r")).select("path", "row", "col", "r.*")
 
 
 def unused_imports(nodes: DataFrame) -> DataFrame:
@@ -252,39 +259,42 @@ def redefined(nodes: DataFrame) -> DataFrame:
     return kept.select("path", "row", F.lit(0).alias("col"), F.lit("F811").alias("code"), F.concat(F.lit("redefinition of "), "name").alias("message"))
 
 
-def _scope_chain(nodes: DataFrame, depth: int = 20) -> DataFrame:
-    """(path, scope, at): every scope with itself and the scopes around it; a class's names are not seen from inside its functions."""
-    scopes = nodes.filter(F.col("kind").isin("Module", "FunctionDef", "AsyncFunctionDef", "Lambda", "ClassDef", "ListComp", "SetComp", "DictComp", "GeneratorExp"))
-    scopes = scopes.select("path", F.col("node").alias("id"), F.col("scope").alias("up"), F.col("kind").alias("scope_kind"))
-    level = scopes.select("path", F.col("id").alias("scope"), F.col("id").alias("at"))
-    chain = level
-    for _ in range(depth):
-        level = level.join(scopes.select("path", F.col("id").alias("at"), "up"), ["path", "at"]).filter("up is not null").select("path", "scope", F.col("up").alias("at"))
-        if level.isEmpty():
-            break
-        chain = chain.unionByName(level)
-    return chain.join(scopes.select("path", F.col("id").alias("at"), "scope_kind"), ["path", "at"]).filter("scope = at or scope_kind <> 'ClassDef'").select("path", "scope", "at")
+def _scope_chain(nodes: DataFrame) -> DataFrame:
+    """(path, scope, at): every scope with itself and the scopes around it, at any depth; a class's names are not seen from inside its functions."""
+    scopes = nodes.filter("around is not null")
+    return scopes.select("path", F.col("node").alias("scope"), F.explode(F.split("around", ",").cast("array<int>")).alias("at"))
+
+
+def _declared(nodes: DataFrame) -> DataFrame:
+    """(path, scope, name, kind): names of global and nonlocal statements."""
+    found = nodes.filter("kind in ('Global', 'Nonlocal')")
+    names = F.split(F.regexp_replace(F.col("attrs")["names_src"], " ", ""), ",")
+    return found.select("path", "scope", F.explode(names).alias("name"), "kind")
 
 
-def undefined_names(nodes: DataFrame, builtins: list[str] | None = None) -> DataFrame:
-    """Names read that no scope around binds and that are no builtins; files with star imports are left out."""
+def undefined_names(nodes: DataFrame, builtins: list[str] | None = None, stars: bool = False) -> DataFrame:
+    """Names read that no scope around binds and that are no builtins, in files without star imports; with ``stars`` in files with them.
+
+    A name that a scope declares global is bound in the module by what the scope assigns to it.
+    """
     import builtins as python
 
     known = builtins or [*dir(python), "__file__", "__name__", "__doc__", "__path__", "__package__", "__spec__", "__loader__", "__class__"]
-    stars = source.imports(nodes).filter("name = '*'").select("path").distinct()
+    open_ = source.imports(nodes).filter("name = '*'").select("path").distinct()
     bound = source.bindings(nodes).select("path", F.col("scope").alias("at"), "name").distinct()
-    visible = _scope_chain(nodes).join(bound, ["path", "at"]).select("path", "scope", "name").distinct()
-    globals_ = nodes.filter("kind in ('Global', 'Nonlocal')").select("path").distinct()
-    missing = source.references(nodes).filter(~F.col("name").isin(known)).join(visible, ["path", "scope", "name"], "left_anti").join(stars, "path", "left_anti").join(globals_, "path", "left_anti")
-    return missing.select("path", "row", "col", F.lit("F821").alias("code"), F.concat(F.lit("undefined name "), "name").alias("message"))
+    elsewhere = _declared(nodes).filter("kind = 'Global'").select("path", F.col("scope").alias("at"), "name").distinct()
+    lifted = bound.join(elsewhere, ["path", "at", "name"], "left_semi").select("path", F.lit(0).alias("at"), "name")
+    visible = _scope_chain(nodes).join(bound.unionByName(lifted).distinct(), ["path", "at"]).select("path", "scope", "name").distinct()
+    missing = source.references(nodes).filter(~F.col("name").isin(known)).join(visible, ["path", "scope", "name"], "left_anti")
+    missing = missing.join(open_, "path", "left_semi" if stars else "left_anti")
+    return missing.select("path", "row", "col", "name", F.lit("F821").alias("code"), F.concat(F.lit("undefined name "), "name").alias("message"))
 
 
 def unused_variables(nodes: DataFrame) -> DataFrame:
     """Plain assignments in functions to names that the function and those inside it never read."""
     stores = nodes.filter("kind = 'Name' and attrs['ctx'] = 'Store' and func is not null and func = scope and field = 'targets' and not name rlike '^_'")
     uses = source.references(nodes).join(_scope_chain(nodes), ["path", "scope"]).select("path", F.col("at").alias("scope"), "name").distinct()
-    declared = nodes.filter("kind in ('Global', 'Nonlocal')").select("path", "scope").distinct()
-    unused = stores.join(uses, ["path", "scope", "name"], "left_anti").join(declared, ["path", "scope"], "left_anti")
+    unused = stores.join(uses, ["path", "scope", "name"], "left_anti").join(_declared(nodes).select("path", "scope", "name").distinct(), ["path", "scope", "name"], "left_anti")
     return unused.select("path", "row", "col", F.lit("F841").alias("code"), F.concat("name", F.lit(" is assigned but never used")).alias("message"))
 
 
@@ -317,16 +327,17 @@ def suppressed(found: DataFrame, noqa: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def check(files: DataFrame, enabled: set[str] | None = None) -> DataFrame:
     """All findings of files (path, text): rules by relation, joins between relations, less the suppressed ones."""
+    from quarry.operators import lint_files, lint_more, lint_rules
+
     # Every rule that joins relations reads them again; files are parsed once.
     nodes, tokens = cut(source.nodes(files)), cut(source.tokens(files))
-    found = check_nodes(nodes, enabled).unionByName(check_lines(files, enabled)).unionByName(check_tokens(tokens, enabled))
+    found = check_nodes(nodes, enabled, [*NODE_RULES, *lint_more.NODE_RULES, *lint_rules.NODE_RULES])
+    found = found.unionByName(check_lines(files, enabled, [*LINE_RULES, *lint_rules.LINE_RULES])).unionByName(check_tokens(tokens, enabled, [*TOKEN_RULES, *lint_rules.TOKEN_RULES]))
     joins = {"F401": unused_imports, "F811": redefined, "F821": undefined_names, "F841": unused_variables, "I001": unsorted_imports}
     for code, rule in joins.items():
         if enabled is None or code in enabled:
-            found = found.unionByName(rule(nodes))
-    from quarry.operators import lint_more
-
-    found = found.unionByName(lint_more.check(nodes, enabled))
+            found = found.unionByName(rule(nodes).select(*found.columns))
+    found = found.unionByName(lint_more.joined(nodes, enabled)).unionByName(lint_files.check(files, nodes, tokens, enabled))
     return suppressed(found, suppressions(tokens))[0]
 
 

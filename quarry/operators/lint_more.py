@@ -29,7 +29,7 @@ NODE_RULES = [
     ("B019", f"{_DEF} and a['decorators'] rlike '(^|,)(functools[.])?(lru_cache|cache)(,|$)' and parent_kind = 'ClassDef'", "cache on a method keeps instances alive"),
     ("B022", "kind = 'Call' and name = 'contextlib.suppress' and a['n_args'] is null", "suppress without exceptions"),
     ("B025", "kind = 'Try' and size(array_distinct(split(a['handler_types'], ','))) < size(split(a['handler_types'], ','))", "exception handled twice"),
-    ("B026", "kind = 'Call' and a['args'] like '%Starred%' and a['kw'] <> '' and a['kw'] not like '**%'", "star after keyword"),
+    ("B026", "kind = 'Call' and a['star_after_keyword'] = '1'", "star after keyword"),
     ("B029", "kind = 'ExceptHandler' and a['type'] = 'Tuple' and a['n_elts'] is null and a['type_src'] = '()'", "handler of nothing"),
     ("B032", "kind = 'AnnAssign' and a['value'] is null and a['target'] = 'Attribute' and a['target_name'] not like 'self.%'", "annotation without assignment"),
     ("B034", "kind = 'Call' and name in ('re.sub','re.split','re.subn') and cast(a['n_args'] as int) > 3", "positional count or flags"),
@@ -84,7 +84,7 @@ NODE_RULES = [
     ("NPY002", "kind = 'Call' and name rlike '^numpy[.]random[.](rand|randn|randint|random|choice|shuffle|permutation|seed|normal|uniform)$'", "legacy random numbers"),
     ("PD002", "kind = 'Call' and a['kw_inplace'] = 'True'", "inplace has inconsistent effects"),
     ("PD011", "kind = 'Attribute' and name = 'values' and a['ctx'] = 'Load' and field not in ('func') and a['value'] in ('Name','Subscript') and a['value_name'] rlike '(^|_)df$'", "use to_numpy"),
-    ("PIE800", "kind = 'Dict' and a['keys'] like '%NoneType%'", "needless spread"),
+    ("PIE800", "kind = 'Dict' and a['spread_empty'] = '1'", "needless spread"),
     ("PIE804", "kind = 'Call' and a['kw'] = '**' and a['spread_literal'] = '1'", "needless keyword dict"),
     ("PIE807", "kind = 'Lambda' and a['body'] in ('List','Dict') and a['n_params'] = '0' and a['empty_body'] = '1'", "use list or dict"),
     ("PIE808", "kind = 'Call' and name = 'range' and a['n_args'] = '2' and a['arg0_src'] = '0'", "needless start of range"),
@@ -289,12 +289,17 @@ def repeated_methods(nodes: DataFrame) -> DataFrame:
 JOINS = {"C901": over_limits, "ARG001": unused_arguments, "A001": shadowed_builtins, "F822": undefined_exports, "B007": unused_loop_variables, "PIE794": repeated_methods}
 
 
-def check(nodes: DataFrame, enabled: set[str] | None = None) -> DataFrame:
-    """(path, row, col, code, message) of these rules."""
-    found = lint.check_nodes(nodes, enabled, NODE_RULES)
+def joined(nodes: DataFrame, enabled: set[str] | None = None) -> DataFrame:
+    """(path, row, col, code, message) of the rules that join or aggregate nodes."""
+    found = nodes.selectExpr("path", "row", "col", "'' as code", "'' as message").limit(0)
     for code, rule in JOINS.items():
         codes = {"C901": {c for c, *_ in LIMITS}, "A001": {"A001", "A002"}}.get(code, {code})
         if enabled is None or enabled & codes:
             own = rule(nodes)
             found = found.unionByName(own if enabled is None else own.filter(F.col("code").isin(sorted(enabled))))
     return found
+
+
+def check(nodes: DataFrame, enabled: set[str] | None = None) -> DataFrame:
+    """(path, row, col, code, message) of these rules."""
+    return lint.check_nodes(nodes, enabled, NODE_RULES).unionByName(joined(nodes, enabled))

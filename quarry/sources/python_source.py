@@ -1,7 +1,8 @@
 """Python files as relations: nodes, tokens, and from them calls, imports, bindings, references.
 
 A small helper walks the standard library's syntax tree of one file and writes a row per node; all analysis is
-done on those rows with DataFrame operations. A file that cannot be parsed gives one row of kind ``SyntaxError``.
+done on those rows with DataFrame operations. A file that cannot be parsed gives one row of kind ``SyntaxError``. Paths name files:
+rows of one path are taken for one file, so a table with a path twice gives each finding of a join for both.
 """
 
 from __future__ import annotations
@@ -17,8 +18,19 @@ from pyspark.sql import functions as F
 
 from quarry.shipping import ship
 
-NODE = "path string, node int, parent int, scope int, func int, field string, kind string, row int, col int, end_row int, end_col int, name string, value string, attrs map<string,string>"
-TOKEN = "path string, seq int, kind string, text string, row int, col int, end_row int, end_col int"
+NODE = (
+    "path string, node int, parent int, scope int, func int, field string, kind string, row int, col int, end_row int, end_col int, name string, value string, attrs map<string,string>, "
+    # What rules ask about the place of a node, so that they need no join: calls by their imported name, the node around, the
+    # innermost handler, loop and function, and for scopes the scopes that see what is bound here.
+    "full string, parent_kind string, parent_test string, siblings int, in_handler boolean, handler_name string, in_loop boolean, in_async boolean, "
+    "in_function string, in_class string, last_in_function boolean, around string, "
+    # The place among its siblings, the kinds before it (distinct) and right before it; parameters, bases and decorators of what is around.
+    "position int, before string, prev_kind string, params_around string, class_bases string, class_decorators string, parent_name string"
+)
+TOKEN = (
+    "path string, seq int, kind string, text string, row int, col int, end_row int, end_col int, depth int, p_kind string, p_text string, p_end_row int, p_end_col int, "
+    "n_kind string, n_text string, n_row int, n_col int, n_end_row int"
+)
 SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
 
 
@@ -43,8 +55,20 @@ def _name(node: ast.AST) -> str | None:
     return dotted(node.func) if isinstance(node, ast.Call) else None
 
 
-def _attrs(node: ast.AST) -> dict[str, str]:
-    """What rules ask of a node beside its place: shapes of children as text, flags as 1."""
+class Texts(dict):
+    """Source of nodes as the parser writes it back, each made once."""
+
+    def __missing__(self, node: ast.AST) -> str:
+        text = self[node] = ast.unparse(node)
+        return text
+
+
+SIMPLE = (ast.Assign, ast.AugAssign, ast.AnnAssign, ast.Expr, ast.Return, ast.Raise, ast.Delete, ast.Assert, ast.Pass, ast.Break, ast.Continue)
+WRITTEN = (ast.Compare, ast.BoolOp, ast.BinOp, ast.Subscript, ast.Call, ast.IfExp, ast.Attribute, ast.comprehension, ast.DictComp, ast.Lambda, *SIMPLE)
+
+
+def _attrs(node: ast.AST, texts: Texts) -> dict[str, str]:
+    """What rules ask of a node beside its place: shapes and sources of children, flags as 1; always whole."""
     found: dict[str, str] = {}
     for field, value in ast.iter_fields(node):
         if isinstance(value, list) and value and isinstance(value[0], ast.AST):
@@ -55,110 +79,277 @@ def _attrs(node: ast.AST) -> dict[str, str]:
             if (name := dotted(value)) is not None:
                 found[f"{field}_name"] = name
             elif isinstance(value, ast.Constant):
-                found[f"{field}_value"] = repr(value.value)[:80]
+                found[f"{field}_value"] = repr(value.value)
         elif isinstance(value, (int, str)) and field not in ("id", "name", "lineno"):
-            found[field] = str(value)[:200]
+            found[field] = str(value)
+    if isinstance(node, WRITTEN):
+        found["text"] = texts[node]
+    for part in ("body", "orelse"):
+        block = getattr(node, part, None)
+        if isinstance(block, list) and len(block) == 1 and isinstance(block[0], SIMPLE):
+            found[f"{part}_only"] = texts[block[0]]
     if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Module)):
         if (doc := ast.get_docstring(node, clean=False)) is not None:
             found["doc"] = doc
         found["decorators"] = ",".join(dotted(d.func if isinstance(d, ast.Call) else d) or "?" for d in getattr(node, "decorator_list", []))
+        if node.body and isinstance(node.body[0], ast.Expr):
+            found["first"] = type(node.body[0].value).__name__
     if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)):
         a = node.args
         names = [x.arg for x in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]]
         found |= {"params": ",".join(names), "n_params": str(len(names)), "defaults": _kinds([*a.defaults, *[d for d in a.kw_defaults if d]])}
+        found["n_positional"] = str(len(a.posonlyargs) + len(a.args))
         found["default_calls"] = ",".join(dotted(d.func) or "?" for d in [*a.defaults, *a.kw_defaults] if isinstance(d, ast.Call))
+        plain = [*a.posonlyargs, *a.args]
+        defaults = [*[None] * (len(plain) - len(a.defaults)), *a.defaults]
+        found["param_defaults"] = ";".join(f"{x.arg}={texts[d]}" for x, d in zip([*plain, *a.kwonlyargs], [*defaults, *a.kw_defaults], strict=True) if d is not None)
+        found["param_types"] = ";".join(f"{x.arg}:{texts[x.annotation]}" for x in [*plain, *a.kwonlyargs] if x.annotation is not None)
+        found["positional_types"] = ";".join(f"{x.arg}:{texts[x.annotation]}" for x in plain if x.annotation is not None)
+        found["positional_defaults"] = ";".join(f"{x.arg}={texts[d]}" for x, d in zip(plain, defaults, strict=True) if d is not None)
+        if getattr(node, "returns", None) is not None:
+            found["returns_src"] = texts[node.returns]
+        none = [(x, d) for x, d in zip([*plain, *a.kwonlyargs], [*defaults, *a.kw_defaults], strict=True) if isinstance(d, ast.Constant) and d.value is None]
+        found["none_defaults"] = ";".join(texts[x.annotation] for x, _ in none if x.annotation is not None)
     if isinstance(node, ast.ClassDef):
-        found["base_names"] = ",".join(dotted(b) or "?" for b in node.bases)
+        found["base_names"] = ",".join(dotted(b.value if isinstance(b, ast.Subscript) else b) or "?" for b in node.bases)
+        found["bases_src"] = ",".join(texts[b] for b in node.bases)
+        found["class_kw"] = ",".join(f"{k.arg}={texts[k.value]}" for k in node.keywords)
+        found["methods"] = ",".join(x.name for x in node.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)))
+        assigned = [t.id for x in node.body if isinstance(x, ast.Assign) for t in x.targets if isinstance(t, ast.Name)]
+        found["fields"] = ",".join([*assigned, *(x.target.id for x in node.body if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name))])
+        found["inner_classes"] = ",".join(x.name for x in node.body if isinstance(x, ast.ClassDef))
     if isinstance(node, ast.Call):
         found["kw"] = ",".join(k.arg or "**" for k in node.keywords)
-        found |= {f"kw_{k.arg}": ast.unparse(k.value)[:80] for k in node.keywords if k.arg}
-        for i, x in enumerate(node.args[:3]):
+        found |= {f"kw_{k.arg}": texts[k.value] for k in node.keywords if k.arg}
+        for i, x in enumerate(node.args):
             found[f"arg{i}"] = type(x).__name__
-            found[f"arg{i}_src"] = ast.unparse(x)[:80]
+            found[f"arg{i}_src"] = texts[x]
+        if isinstance(node.func, ast.Attribute):
+            found |= {"method": node.func.attr, "on": texts[node.func.value], "on_kind": type(node.func.value).__name__}
     if isinstance(node, ast.Compare):
-        found |= {"op": type(node.ops[0]).__name__, "n_ops": str(len(node.ops)), "left_src": ast.unparse(node.left)[:80], "right_src": ast.unparse(node.comparators[0])[:80], "right": type(node.comparators[0]).__name__}
+        found |= {"n_ops": str(len(node.ops)), **_link(node.left, node.ops[0], node.comparators[0], texts)}
     if isinstance(node, ast.Constant):
         found["type"] = type(node.value).__name__
+        found["chars"] = str(len(node.value)) if isinstance(node.value, (str, bytes)) else ""
     if isinstance(node, ast.Dict):
-        keys = [ast.unparse(k) for k in node.keys if isinstance(k, (ast.Constant, ast.Name))]
+        keys = [texts[k] for k in node.keys if isinstance(k, (ast.Constant, ast.Name))]
         found["repeated"] = ",".join(sorted({k for k in keys if keys.count(k) > 1}))
+        found["spread_empty"] = str(int(any(k is None and isinstance(v, ast.Dict) for k, v in zip(node.keys, node.values, strict=True))))
     if isinstance(node, ast.Set):
-        items = [ast.unparse(k) for k in node.elts if isinstance(k, ast.Constant)]
+        items = [texts[k] for k in node.elts if isinstance(k, ast.Constant)]
         found["repeated"] = ",".join(sorted({k for k in items if items.count(k) > 1}))
     if isinstance(node, (ast.If, ast.IfExp, ast.While, ast.Assert, ast.Return, ast.Raise, ast.UnaryOp)):
         part = getattr(node, "test", None) or getattr(node, "value", None) or getattr(node, "exc", None) or getattr(node, "operand", None)
-        found["src"] = ast.unparse(part)[:200] if part is not None else ""
+        found["src"] = texts[part] if part is not None else ""
+    if isinstance(node, ast.IfExp):
+        found |= {"body_src": texts[node.body], "orelse_src": texts[node.orelse]}
     if isinstance(node, ast.BoolOp):
-        found["parts"] = " ; ".join(ast.unparse(v)[:60] for v in node.values)
+        found["parts"] = " ; ".join(texts[v] for v in node.values)
     if isinstance(node, (ast.Import, ast.ImportFrom)):
         found["names"] = ",".join(f"{x.name} {x.asname or ''}".strip() for x in node.names)
+    if isinstance(node, (ast.Global, ast.Nonlocal)):
+        found["names_src"] = ",".join(node.names)
     if isinstance(node, ast.Assign):
         found["target_names"] = ",".join(dotted(t) or "" for t in node.targets)
-        found["value_src"] = ast.unparse(node.value)[:120]
+        found["targets_src"] = ",".join(texts[t] for t in node.targets)
+        found["value_src"] = texts[node.value]
+    if isinstance(node, (ast.AnnAssign, ast.AugAssign)):
+        found["target_src"] = texts[node.target]
+        found |= {"value_src": texts[node.value]} if node.value is not None else {}
+        found |= {"annotation_src": texts[node.annotation]} if isinstance(node, ast.AnnAssign) else {}
     if isinstance(node, ast.Try) and node.handlers:
         found["handler_body"] = _kinds(node.handlers[0].body)
     for field in ("value", "msg"):
         if isinstance(getattr(node, field, None), ast.Call):
             found["call_name" if field == "value" else "msg_call"] = dotted(getattr(node, field).func) or ""
     if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-        found["decorator_calls"] = ",".join(ast.unparse(d) for d in node.decorator_list if isinstance(d, ast.Call))
+        found["decorator_calls"] = ",".join(texts[d] for d in node.decorator_list if isinstance(d, ast.Call))
     if isinstance(node, ast.Try):
-        found["handler_types"] = ",".join(ast.unparse(h.type) for h in node.handlers if h.type)
+        found["handler_types"] = ",".join(texts[h.type] if h.type else "" for h in node.handlers)
     if isinstance(node, ast.ExceptHandler):
-        found["type_src"] = ast.unparse(node.type) if node.type else ""
+        found["type_src"] = texts[node.type] if node.type else ""
         first = node.body[0]
         found["reraise"] = str(int(isinstance(first, ast.Raise) and (first.exc is None or (node.name is not None and dotted(first.exc) == node.name))))
     if isinstance(node, (ast.ListComp, ast.SetComp)):
         g = node.generators[0]
         found["same"] = str(int(not g.ifs and dotted(node.elt) is not None and dotted(node.elt) == dotted(g.target)))
+    if isinstance(node, (ast.For, ast.AsyncFor, ast.comprehension)):
+        found |= {"target_src": texts[node.target], "iter_src": texts[node.iter]}
+    if isinstance(node, ast.With):
+        found["items_src"] = ",".join(texts[i.context_expr] for i in node.items)
     if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Constant):
         found |= {f"{node.func.attr}_literal": "1"} if node.func.attr in ("join", "split") else {}
     if isinstance(node, ast.Call):
+        stars = [(x.lineno, x.col_offset) for x in node.args if isinstance(x, ast.Starred)]
+        named = [(k.value.lineno, k.value.col_offset) for k in node.keywords if k.arg]
+        found["star_after_keyword"] = str(int(bool(stars and named) and max(stars) > min(named)))
         found["spread_literal"] = str(int(any(k.arg is None and isinstance(k.value, ast.Dict) for k in node.keywords)))
     if isinstance(node, ast.Lambda):
         found["empty_body"] = str(int(isinstance(node.body, (ast.List, ast.Dict)) and not getattr(node.body, "elts", getattr(node.body, "keys", None))))
+        found["body_src"] = texts[node.body]
     if isinstance(node, ast.If) and len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If):
         found["else_nested"] = str(int(node.orelse[0].col_offset > node.col_offset))
     if isinstance(node, ast.For) and len(node.body) == 1 and isinstance(node.body[0], ast.Expr) and isinstance(node.body[0].value, ast.Yield):
         given = node.body[0].value.value
         found["yields_target"] = str(int(given is not None and dotted(given) is not None and dotted(given) == dotted(node.target)))
+    if isinstance(node, ast.Subscript) and isinstance(node.value, (ast.List, ast.Tuple)):
+        found["value_len"] = str(len(node.value.elts))
+    annotation = getattr(node, "annotation", None) or getattr(node, "returns", None)
+    if isinstance(annotation, ast.Constant) and isinstance(annotation.value, str):
+        try:
+            ast.parse(annotation.value.strip(), mode="eval")
+        except (SyntaxError, ValueError):
+            found["bad_annotation"] = "1"
     if isinstance(node, ast.JoinedStr):
         found["placeholders"] = str(sum(isinstance(v, ast.FormattedValue) for v in node.values))
+    if isinstance(node, (ast.JoinedStr, ast.BinOp)):
+        parts = node.values if isinstance(node, ast.JoinedStr) else [node.left, node.right]
+        found["constants"] = "\n".join(repr(x.value) for x in parts if isinstance(x, ast.Constant) and isinstance(x.value, str))
+    return found
+
+
+def _link(left: ast.AST, op: ast.AST, right: ast.AST, texts: Texts) -> dict[str, str]:
+    """One comparison of a chain."""
+    return {
+        "op": type(op).__name__, "left": type(left).__name__, "right": type(right).__name__, "left_src": texts[left], "right_src": texts[right],
+    }
+
+
+def _step(node: ast.AST, place: int) -> str:
+    """The kind of a statement, with a name of its own for docstrings and for assignments to special names."""
+    if isinstance(node, ast.Expr) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str) and place == 0:
+        return "Doc"
+    if isinstance(node, ast.Assign) and (dotted(node.targets[0]) or "").startswith("__"):
+        return "Dunder"
+    return type(node).__name__
+
+
+class Place:
+    """Where a node stands."""
+
+    __slots__ = ("parent", "parent_kind", "parent_test", "scope", "func", "field", "siblings", "handler", "in_handler", "in_loop", "in_async", "in_function", "in_class", "func_end", "last", "around", "position", "before", "prev_kind", "params", "bases", "decorators", "parent_name")
+
+    def __init__(self):
+        self.parent = self.parent_kind = self.parent_test = self.scope = self.func = self.field = self.handler = self.in_function = self.in_class = self.func_end = None
+        self.siblings, self.in_handler, self.in_loop, self.in_async, self.last = 1, False, False, False, False
+        self.around: tuple[int, ...] = ()
+        self.position, self.before, self.prev_kind, self.params, self.bases, self.decorators, self.parent_name = 0, "", None, None, None, None, None
+
+    def inside(self, **changes) -> Place:
+        new = Place.__new__(Place)
+        for slot in Place.__slots__:
+            setattr(new, slot, changes.get(slot, getattr(self, slot)))
+        return new
+
+
+def _imported(tree: ast.AST) -> dict[str, str]:
+    """What the file's imports bind each name to; of several the greatest."""
+    found: dict[str, str] = {}
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            pairs = [(x.asname or x.name.split(".")[0], x.name if x.asname else x.name.split(".")[0]) for x in node.names]
+        elif isinstance(node, ast.ImportFrom) and not node.level:
+            pairs = [(x.asname or x.name, f"{node.module or ''}.{x.name}") for x in node.names]
+        else:
+            continue
+        for bound, target in pairs:
+            found[bound] = max(found.get(bound, ""), target)
     return found
 
 
 def node_rows(path: str, text: str) -> Iterator[tuple]:
-    """A row per node, parents first; ``scope`` is the scope a name belongs to, ``func`` the nearest function."""
+    """A row per node, parents first; ``scope`` is the scope a name belongs to, ``func`` the nearest function.
+
+    A chained comparison has a row of kind ``Compare`` for each link: its own for the first, further ones with field ``link``.
+    """
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError) as error:
-        yield (path, 0, None, None, None, None, "SyntaxError", getattr(error, "lineno", None), getattr(error, "offset", None), None, None, None, str(error)[:200], {})
+        place = (None, None, None, None, False, None, False, False, None, None, False, None, 0, "", None, None, None, None, None)
+        yield (path, 0, None, None, None, None, "SyntaxError", getattr(error, "lineno", None), getattr(error, "offset", None), None, None, None, str(error), {}, *place)
         return
-    stack: list[tuple[ast.AST, int | None, int | None, int | None, str | None]] = [(tree, None, None, None, None)]
+    texts, imported = Texts(), _imported(tree)
+    stack: list[tuple[ast.AST, Place]] = [(tree, Place())]
     number = 0
     while stack:
-        node, parent, scope, func, field = stack.pop()
+        node, at = stack.pop()
         own, number = number, number + 1
-        value = repr(node.value)[:200] if isinstance(node, ast.Constant) else None
-        yield (path, own, parent, scope, func, field, type(node).__name__, getattr(node, "lineno", None), getattr(node, "col_offset", None), getattr(node, "end_lineno", None), getattr(node, "end_col_offset", None), _name(node), value, _attrs(node))
-        inner = own if isinstance(node, (*SCOPES, ast.Module)) else scope
-        below = own if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)) else func
+        kind, name = type(node).__name__, _name(node)
+        function = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda))
+        value = repr(node.value) if isinstance(node, ast.Constant) else None
+        full = name
+        if isinstance(node, ast.Call) and name is not None:
+            head, _, rest = name.partition(".")
+            full = imported[head] + ("." + rest if rest else "") if head in imported else name
+        where = (getattr(node, "lineno", None), getattr(node, "col_offset", None), getattr(node, "end_lineno", None), getattr(node, "end_col_offset", None))
+        around = (own, *at.around) if isinstance(node, (*SCOPES, ast.Module)) else None
+        last = at.last and where[2] == at.func_end
+        place = (full, at.parent_kind, at.parent_test, at.siblings, at.in_handler, at.handler, at.in_loop, at.in_async, at.in_function, at.in_class, last, ",".join(map(str, around)) if around else None)
+        place += (at.position, at.before, at.prev_kind, at.params, at.bases, at.decorators, at.parent_name)
+        attrs = _attrs(node, texts)
+        yield (path, own, at.parent, at.scope, at.func, at.field, kind, *where, name, value, attrs, *place)
+        if isinstance(node, ast.Compare):
+            for k in range(1, len(node.ops)):
+                link = {"n_ops": "1", **_link(node.comparators[k - 1], node.ops[k], node.comparators[k], texts)}
+                yield (path, number, own, at.scope, at.func, "link", kind, *where, None, None, link, *place)
+                number += 1
+        inner = at.inside(parent=own, parent_kind=kind, parent_name=name, parent_test=attrs.get("src"), last=False)
+        if around is not None:
+            # A class's names are not seen from inside its functions.
+            inner.scope, inner.around = own, at.around if isinstance(node, ast.ClassDef) else around
+        if function:
+            inner.func, inner.in_loop, inner.in_async = own, False, isinstance(node, ast.AsyncFunctionDef)
+            if name is not None:
+                inner.in_function, inner.func_end, inner.in_handler, inner.handler = name, where[2], False, None
+            inner.params = attrs["params"]
+        if isinstance(node, ast.ClassDef):
+            inner.in_class, inner.in_loop, inner.bases, inner.decorators = name, False, attrs["base_names"], attrs["decorators"]
+        if isinstance(node, ast.ExceptHandler):
+            inner.in_handler, inner.handler = True, name
         children = []
-        for name, child in ast.iter_fields(node):
+        for field, child in ast.iter_fields(node):
             # Decorators, defaults, bases and annotations belong to the scope around.
-            outside = isinstance(node, SCOPES[:4]) and name in ("decorator_list", "bases", "keywords", "returns")
-            for x in child if isinstance(child, list) else [child]:
+            outside = isinstance(node, SCOPES[:4]) and field in ("decorator_list", "bases", "keywords", "returns")
+            of = child if isinstance(child, list) else [child]
+            count = sum(isinstance(x, ast.AST) for x in of)
+            before: set[str] = set()
+            told, last_kind = "", None
+            for k, x in enumerate(of):
                 if isinstance(x, ast.AST) and not isinstance(x, (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)):
-                    children.append((x, own, scope if outside else inner, func if outside else below, name))
+                    below = inner.inside(field=field, siblings=count, position=k, before=told, prev_kind=last_kind)
+                    if outside:
+                        below.scope, below.func, below.around = at.scope, at.func, at.around
+                    elif function and field == "body":
+                        below.last = True
+                    if isinstance(node, (ast.For, ast.AsyncFor, ast.While)):
+                        below.in_loop = field == "body" or at.in_loop
+                    children.append((x, below))
+                    last_kind = type(x).__name__
+                    if (what := _step(x, k)) not in before:
+                        before.add(what)
+                        told = ",".join(sorted(before))
         stack.extend(reversed(children))
 
 
 def token_rows(path: str, text: str) -> Iterator[tuple]:
+    """A row per token with its neighbours and the depth of brackets (and of replacement fields in f-strings) it stands in."""
+    found, broken = [], None
     try:
-        for seq, t in enumerate(tokenize.generate_tokens(io.StringIO(text).readline)):
-            yield (path, seq, tokenize.tok_name[t.exact_type], t.string, *t.start, *t.end)
+        for t in tokenize.generate_tokens(io.StringIO(text).readline):
+            found.append((tokenize.tok_name[t.exact_type], t))
     except (tokenize.TokenError, SyntaxError, IndentationError) as error:
-        yield (path, -1, "ERRORTOKEN", str(error)[:200], None, None, None, None)
+        broken = str(error)
+    depth = 0
+    for seq, (kind, t) in enumerate(found):
+        depth -= kind in ("RPAR", "RSQB", "RBRACE")
+        before = found[seq - 1] if seq else (None, None)
+        after = found[seq + 1] if seq + 1 < len(found) else (None, None)
+        p = (before[0], before[1].string, *before[1].end) if before[1] else (None, None, None, None)
+        n = (after[0], after[1].string, *after[1].start, after[1].end[0]) if after[1] else (None, None, None, None, None)
+        yield (path, seq, kind, t.string, *t.start, *t.end, depth, *p, *n)
+        depth += kind in ("LPAR", "LSQB", "LBRACE")
+    if broken is not None:
+        yield (path, -1, "ERRORTOKEN", broken, *[None] * 14)
 
 
 def _mapped(files: DataFrame, rows, schema: str) -> DataFrame:
@@ -177,11 +368,12 @@ def _mapped(files: DataFrame, rows, schema: str) -> DataFrame:
             if held:
                 yield packed(held)
 
-    types = {"attrs": pa.map_(pa.string(), pa.string()), **dict.fromkeys(("path", "field", "kind", "name", "value", "text"), pa.string())}
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "map": pa.map_(pa.string(), pa.string())}
+    types = dict(part.split() for part in schema.replace("map<string,string>", "map").split(", "))
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*held, strict=True))
-        arrays = [pa.array([list(x.items()) for x in c] if n == "attrs" else c, types.get(n, pa.int32())) for n, c in zip(names, columns, strict=True)]
+        arrays = [pa.array([list(x.items()) for x in c] if n == "attrs" else c, kinds[types[n]]) for n, c in zip(names, columns, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, names)
 
     return files.select("path", "text").mapInArrow(run, schema)
