@@ -466,6 +466,8 @@ def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     verdicts = save(verdicts.filter("n > 1 or not kept"), "verdicts")
     several = save(verdicts.filter("n > 1").select("doc_id"), "repeated")
     rest = docs.join(verdicts.select("doc_id").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    if several.isEmpty():
+        return rest
 
     # Of an id's kept texts in one group the one with the least key stays.
     staying = found.join(several, "doc_id", "left_semi").filter("kept and class_key is not null")
