@@ -35,7 +35,7 @@ def test_every_rule_has_a_case():
 
 
 def test_odd_characters(spark):
-    rows = [("PLE2510", "x = 'a\b'\n"), ("PLE2512", "x = 'a\x1a'\n"), ("PLE2513", "x = 'a\x1b'\n"), ("PLE2515", "x = 'a\u200b'\n"), ("PLE2502", "x = 'a\u202e'\n"), ("RUF003", f"# {lines.CONFUSABLE[0]}\n"), ("PGH004", "import os  # noqa\n"), ("none", "x = 'a'\n")]
+    rows = [("PLE2510", "x = 'a\b'\n"), ("PLE2512", "x = 'a\x1a'\n"), ("PLE2513", "x = 'a\x1b'\n"), ("PLE2515", "x = 'a\u200b'\n"), ("PLE2502", "x = 'a\u202e'\n"), ("RUF003", f"# {next(iter(lines.CONFUSABLE))}\n"), ("PGH004", "import os  # noqa\n"), ("none", "x = 'a'\n")]
     files = spark.createDataFrame(rows, "path string, text string")
     own = {c for c, _ in rows[:-1]}
     found = {(r.path, r.code) for r in lint.check_lines(files, own, [*lint.LINE_RULES, *lint_rules.LINE_RULES]).collect()}
