@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +91,20 @@ def fnv64(data: bytes) -> int:
 
 
 def _fnv_all(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: None if x is None else f"{fnv64(x.encode()):016x}")
+    """Digests of a batch, a byte position of all its texts at a time."""
+    texts = [None if x is None else x.encode() for x in values]
+    sizes = np.array([0 if t is None else len(t) for t in texts])
+    order = np.argsort(-sizes, kind="stable")
+    data = np.frombuffer(b"".join(t or b"" for t in texts), np.uint8).astype(np.uint64)
+    starts = (np.cumsum(sizes) - sizes)[order]
+    digests = np.full(len(texts), FNV_BASIS, np.uint64)
+    ends = np.searchsorted(-sizes[order], -np.arange(1, (sizes.max() if len(sizes) else 0) + 1), side="right")
+    with np.errstate(over="ignore"):
+        for at, alive in enumerate(ends.tolist()):  # the texts longer than ``at`` come first
+            digests[:alive] = (digests[:alive] ^ data[starts[:alive] + at]) * np.uint64(FNV_PRIME)
+    whole = np.empty(len(texts), np.uint64)
+    whole[order] = digests
+    return pd.Series([None if t is None else f"{d:016x}" for t, d in zip(texts, whole.tolist(), strict=True)], dtype=object, index=values.index)
 
 
 def fnv_hex(value: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.rel import cut
+
 #: Shares of the distribution of a measure in a family.
 SHARES = [0.25, 0.5, 0.75, 0.95, 0.99]
 
@@ -45,14 +47,21 @@ def top(rows: DataFrame, value: str, k: int) -> DataFrame:
     return histogram(rows, value).orderBy(F.desc("n"), value).limit(k)
 
 
-def nearest(names: DataFrame, candidates: DataFrame, name: str, candidate: str, most: int = 10_000) -> DataFrame:
+def nearest(names: DataFrame, candidates: DataFrame, name: str, candidate: str, block: int = 5_000) -> DataFrame:
     """Each distinct name with the candidate of least edit distance; ties go to the candidate that sorts first.
 
-    Candidates are the keys of a configuration, a list of at most ``most`` that every task holds; a longer one is refused.
+    The distinct candidates are written and taken in blocks of about ``block``, of which a task holds one; any number of them is compared.
     """
-    listed = [r[0] for r in candidates.select(candidate).filter(F.col(candidate).isNotNull()).distinct().orderBy(candidate).limit(most + 1).collect()]
-    if len(listed) > most:
-        raise ValueError(f"more than {most} candidates")
-    scored = F.array(*[F.struct(F.levenshtein(F.col(name), F.lit(c)).alias("d"), F.lit(c).alias("c")) for c in listed])
-    best = F.array_min(scored)
-    return names.select(name).distinct().select(name, best["c"].alias("nearest"), best["d"].alias("distance"))
+    listed = cut(candidates.select(F.col(candidate).alias("c")).filter("c is not null").distinct())
+    parts = 1 + listed.count() // block
+    asked = cut(names.select(name).distinct())
+    found = None
+    for part in range(parts):
+        held = listed.filter(F.pmod(F.xxhash64("c"), F.lit(parts)) == part).toArrow().column("c").to_pylist()
+        scored = F.array(*[F.struct(F.levenshtein(F.col(name), F.lit(c)).alias("d"), F.lit(c).alias("c")) for c in sorted(held)])
+        if held:
+            one = cut(asked.select(name, F.array_min(scored).alias("best")))
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        return asked.select(name, F.lit(None).cast("string").alias("nearest"), F.lit(None).cast("int").alias("distance"))
+    return found.groupBy(name).agg(F.min("best").alias("best")).select(name, F.col("best.c").alias("nearest"), F.col("best.d").alias("distance"))

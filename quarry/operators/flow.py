@@ -11,14 +11,14 @@ _BLOCKS = ["body", "orelse", "finalbody", "handlers"]
 def statements(nodes: DataFrame) -> DataFrame:
     """Statements with ``after``: what follows when they end, a sibling or what follows the statement around.
 
-    Statements nest less than 40 deep; the walk outwards is repeated that often at most.
+    The walk outwards ends with the deepest statement, one level a step.
     """
     found = nodes.filter(F.col("field").isin(_BLOCKS) & F.col("func").isNotNull()).select("path", "func", "node", "parent", "field", "kind")
     window = Window.partitionBy("path", "parent", "field").orderBy("node")
     with_next = found.withColumn("after", F.when(F.col("field") != "handlers", F.lead("node").over(window)))
     around = with_next.select("path", F.col("node").alias("outer"), F.col("after").alias("outer_after"), F.col("kind").alias("outer_kind"), F.col("parent").alias("next_outer"))
     open_ = with_next.withColumn("outer", F.col("parent"))
-    for _ in range(40):
+    while True:
         rest = open_.filter("after is null and outer is not null and outer <> func")
         if rest.isEmpty():
             break

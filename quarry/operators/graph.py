@@ -59,21 +59,24 @@ def first_on_path(requests: DataFrame, files: DataFrame, key: str, rank: str) ->
     return requests.join(best, key, "left").select(*requests.columns, "f.*")
 
 
-def paths(edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
-    """(node, parent, level, path) of a forest from its roots down; ``edges`` has child, parent. A cycle ends at ``depth`` levels."""
+def paths(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, parent, level, path) of a forest from its roots down, at any depth or ``depth`` levels; ``edges`` has child, parent.
+
+    A cycle ends where it would come back to a node of its path.
+    """
     from quarry.operators.rel import cut
 
-    level = roots.select(F.col("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level"), F.col("node").alias("path"))
-    found = level
-    for k in range(1, depth):
-        level = level.select(F.col("node").alias("parent"), "path").join(edges, "parent").select(
-            F.col("child").alias("node"), "parent", F.lit(k).alias("level"), F.concat_ws("/", "path", "child").alias("path")
-        )
-        level = cut(level)
+    level = roots.select(F.col("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level"), F.col("node").alias("path"), F.array("node").alias("seen"))
+    found, k = level, 1
+    while depth is None or k < depth:
+        step = level.select(F.col("node").alias("parent"), "path", "seen").join(edges, "parent").filter(~F.array_contains("seen", F.col("child")))
+        level = cut(step.select(
+            F.col("child").alias("node"), "parent", F.lit(k).alias("level"), F.concat_ws("/", "path", "child").alias("path"), F.concat("seen", F.array("child")).alias("seen")
+        ))
         if level.isEmpty():
             break
-        found = found.unionByName(level)
-    return found
+        found, k = found.unionByName(level), k + 1
+    return found.drop("seen")
 
 
 def sibling_ranks(nodes: DataFrame, most: int = 255) -> DataFrame:

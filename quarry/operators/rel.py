@@ -78,6 +78,20 @@ def smallest_cover(held: DataFrame, point: list[str], start: str, end: str, ties
     return held.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
 
 
+def widest_cover(held: DataFrame, point: list[str], start: str, end: str, ties: list[str]) -> DataFrame:
+    """Of the ranges that hold a point the longest one, the outermost of nested ranges; ``ties`` make the order total."""
+    key = F.struct((F.col(start) - F.col(end)).alias("length"), *[F.col(t).alias(f"tie_{i}") for i, t in enumerate(ties)])
+    rest = F.struct(*[c for c in held.columns if c not in point])
+    return held.groupBy(*point).agg(F.min_by(rest, key).alias("r")).select(*point, "r.*")
+
+
+def with_points(ranges: DataFrame, points: DataFrame, by: list[str], at: str, start: str, end: str) -> DataFrame:
+    """Ranges [start, end) in which some point lies: each range asks for the nearest point below its end, so that no pair of rows is formed."""
+    below = points.select(*by, F.col(at).cast("double").alias("_at"), F.col(at).cast("double").alias("_found"))
+    asked = ranges.withColumn("_at", F.col(end).cast("double"))
+    return asof_backward(asked, below, by, "_at", ["_found"], strict=True).filter(F.col("_found") >= F.col(start)).select(ranges.columns)
+
+
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: list[str]) -> DataFrame:
     """Rows reachable from ``seed``: ``step`` maps the rows found last to new ones, until none is new."""
     known = cut(seed.dropDuplicates(key))

@@ -103,9 +103,13 @@ def recipe_census(functions: DataFrame, examples: int = 3) -> DataFrame:
 
 
 def codebook(models: DataFrame, book: DataFrame, name: str = "name") -> DataFrame:
-    """``models`` with ``concept`` and ``class_id``, null where the book has no such concept."""
+    """``models`` with ``concept`` and ``class_id``, null where the book has no such concept.
+
+    Of a repeated concept the entry first in the book counts, by its ``position``; a book without one by the least class.
+    """
     keyed = models.withColumn("concept", concept_key(F.col(name)))
-    return keyed.join(book.dropDuplicates(["concept"]), "concept", "left")
+    first = book.groupBy("concept").agg(F.min_by("class_id", "position" if "position" in book.columns else "class_id").alias("class_id"))
+    return keyed.join(first, "concept", "left")
 
 
 def support(rows: DataFrame, what: list[str], corpus: str, corpora: int, least: int) -> DataFrame:

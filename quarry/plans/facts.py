@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.names import concept_key, fnv_hex, natural_key
 from quarry.operators import families, order, rel, reports, triples
-from quarry.plans.base import ORACLES, query, table
+from quarry.plans.base import query, table
 
 #: How event types stand for kinds of facts of a user's function. Fixed mapping of this demonstration.
 KINDS = {"view": "reads_field", "click": "writes_field", "purchase": "calls", "error": "raises", "signup": "guarded_write"}
@@ -116,10 +116,12 @@ def codebook_unbound(spark, sf):
     return _brands(spark, sf).filter("class_id is null").select("name")
 
 
-FUNCTIONS = f"WITH {FACTS}, fn AS (SELECT s, " + ", ".join(
+#: All events by user and day; a user's facts of all days hold every kind, so that the recipes of users would all be alike.
+_FOLD = f"WITH {FACTS}, fn AS (SELECT s, " + ", ".join(
     f"coalesce(list_sort(list(DISTINCT o) FILTER (p = '{p}')), []) AS {name}"
     for name, p in [("reads", "reads_field"), ("writes", "writes_field"), ("guarded", "guarded_write"), ("calls", "calls"), ("raises", "raises")]
-) + " FROM e WHERE event_id % 40 < 3 GROUP BY s)"
+) + " FROM e GROUP BY s)"
+FUNCTIONS = _FOLD.replace("'u:' || user_id AS s", "'u:' || user_id || '@' || strftime(ts, '%Y-%m-%d') AS s")
 LADDER = (
     "CASE WHEN len(calls) > 0 AND len(raises) > 0 THEN 'Compensate' WHEN len(calls) > 0 THEN 'Cascade' WHEN len(raises) > 0 AND len(writes) = 0 THEN 'Guard' "
     "WHEN len(raises) > 0 THEN 'WriteRaise' WHEN len(writes) > 0 AND writes = guarded THEN 'Default' "
@@ -128,8 +130,9 @@ LADDER = (
 
 
 def _functions(spark, sf):
-    """A share of the events as functions: with all of them every user would have facts of every kind."""
-    return triples.classified(triples.group_functions(event_facts(spark, sf).filter("event_id % 40 < 3")))
+    """A user's day as a function of the facts of all its events."""
+    day = F.concat(F.lit("u:"), F.col("user_id").cast("string"), F.lit("@"), F.date_format("ts", "yyyy-MM-dd"))
+    return triples.classified(triples.group_functions(_as_facts(table(spark, sf, "events"), day)))
 
 
 @query(FUNCTIONS + " SELECT s, " + ", ".join(f"array_to_string({c}, ',') AS {c}" for c in ("reads", "writes", "guarded", "calls", "raises")) + " FROM fn")
@@ -154,40 +157,6 @@ def recipe_census(spark, sf):
     return triples.recipe_census(_functions(spark, sf))
 
 
-#: The same folds over every event, with a user's day as the function.
-DAILY = FUNCTIONS.replace("'u:' || user_id AS s", "'u:' || user_id || '@' || strftime(ts, '%Y-%m-%d') AS s").replace(" WHERE event_id % 40 < 3", "")
-
-
-def _whole(name: str) -> str:
-    return ORACLES[name].replace(FUNCTIONS, DAILY)
-
-
-def _daily_functions(spark, sf):
-    """All events by user and day: a user's facts of all days hold every kind, so that their recipes would all be alike."""
-    day = F.concat(F.lit("u:"), F.col("user_id").cast("string"), F.lit("@"), F.date_format("ts", "yyyy-MM-dd"))
-    return triples.classified(triples.group_functions(_as_facts(table(spark, sf, "events"), day)))
-
-
-@query(_whole("group_functions"))
-def group_functions_whole(spark, sf):
-    return _daily_functions(spark, sf).select("s", *[F.array_join(c, ",").alias(c) for c in ("reads", "writes", "guarded", "calls", "raises")])
-
-
-@query(_whole("recipe_histogram"))
-def recipe_histogram_whole(spark, sf):
-    return families.histogram(_daily_functions(spark, sf), "recipe")
-
-
-@query(_whole("recipe_band"))
-def recipe_band_whole(spark, sf):
-    return triples.band(_daily_functions(spark, sf))
-
-
-@query(_whole("recipe_census"))
-def recipe_census_whole(spark, sf):
-    return triples.recipe_census(_daily_functions(spark, sf))
-
-
 @query("SELECT l_orderkey, bool_and(l_returnflag IN ('A', 'R')) AS pure FROM lineitem GROUP BY l_orderkey")
 def purity_fold(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_returnflag").isin("A", "R")).alias("pure"))
@@ -328,17 +297,11 @@ def isort_order(spark, sf):
     return rel.ranked(keyed, ["distance"], ["k", "module", "page_id"], "place").select("page_id", "module", "place")
 
 
-@query("""WITH m AS (SELECT DISTINCT 'p' || l_partkey AS target, 's' || l_suppkey AS function FROM lineitem WHERE l_quantity >= 49),
+@query("""WITH m AS (SELECT DISTINCT 'p' || l_partkey AS target, 's' || l_suppkey AS function FROM lineitem),
 r AS (SELECT DISTINCT 's' || s_suppkey AS function, 'n' || s_nationkey AS source FROM supplier UNION SELECT DISTINCT 's' || s_suppkey, 'b' || (s_suppkey % 7) FROM supplier)
 SELECT target, function, string_agg(source, ',' ORDER BY source) AS sources FROM m JOIN r USING (function) GROUP BY ALL""")
 def field_provenance(spark, sf):
     """Parts as fields that suppliers emit from what they read."""
-    return _provenance(spark, sf, table(spark, sf, "lineitem").filter("l_quantity >= 49"))
-
-
-@query(ORACLES["field_provenance"].replace(" WHERE l_quantity >= 49", ""))
-def field_provenance_whole(spark, sf):
-    """The same over every line."""
     return _provenance(spark, sf, table(spark, sf, "lineitem"))
 
 

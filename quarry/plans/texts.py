@@ -25,9 +25,11 @@ def no_newline_eof(spark, sf):
     return lines.without_final_newline(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line, unnest(range(1, len(string_split(html, chr(10))) + 1)) AS line_no FROM pages) SELECT page_id, line_no, regexp_matches(line, '^[ \\t]+$') AS blank FROM l WHERE regexp_matches(line, '[ \\t\\f\\x0b]$')")
+@query("WITH h AS (SELECT page_id, replace(html, '>', '> ') AS html FROM pages), l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line, unnest(range(1, len(string_split(html, chr(10))) + 1)) AS line_no FROM h) SELECT page_id, line_no, regexp_matches(line, '^[ \\t]+$') AS blank FROM l WHERE regexp_matches(line, '[ \\t\\f\\x0b]$')")
 def trailing_whitespace(spark, sf):
-    found = lines.trailing_space(lines.split_lines(table(spark, sf, "pages"), "page_id", "html"))
+    """Lines of pages that end in a blank, with one set behind every tag."""
+    pages = table(spark, sf, "pages").withColumn("html", F.replace("html", F.lit(">"), F.lit("> ")))
+    found = lines.trailing_space(lines.split_lines(pages, "page_id", "html"))
     return found.select("page_id", F.col("line_no").cast("long").alias("line_no"), "blank")
 
 

@@ -17,17 +17,17 @@ def one(spark, expression, value="x"):
     return spark.createDataFrame([(value,)], "v string").select(expression.alias("r")).first().r
 
 
-@pytest.mark.parametrize("name, key", [("LabValue", "lab_value"), ("csharp:Invoice", "invoice"), ("already_snake", "already_snake"), ("HTTPServer", "httpserver"), ("aBcD", "a_bc_d")])
+@pytest.mark.parametrize("name, key", [("OrderLine", "order_line"), ("shop:Basket", "basket"), ("in_stock", "in_stock"), ("XMLFeed", "xmlfeed"), ("v2Price", "v2_price")])
 def test_concept_key(spark, name, key):
     assert one(spark, names.concept_key(F.col("v")), name) == key
 
 
 def test_codebook_splits(spark):
-    models = spark.createDataFrame([("Patient",), ("LabValue",), ("SomethingBespoke",)], "name string")
-    book = spark.createDataFrame([("patient", 0x0901), ("diagnosis", 0x0902), ("lab_value", 0x0903)], "concept string, class_id int")
+    models = spark.createDataFrame([("OrderLine",), ("Basket",), ("Weather",)], "name string")
+    book = spark.createDataFrame([(2, "basket", 7), (1, "basket", 9), (3, "order_line", 4), (4, "voucher", 5)], "position int, concept string, class_id int")
     found = triples.codebook(models, book)
-    assert rows(found.filter("class_id is not null").select("class_id")) == [(0x0901,), (0x0903,)]
-    assert rows(found.filter("class_id is null").select("name")) == [("SomethingBespoke",)]
+    assert rows(found.filter("class_id is not null").select("class_id")) == [(4,), (9,)]
+    assert rows(found.filter("class_id is null").select("name")) == [("Weather",)]
 
 
 @pytest.mark.parametrize("text, digest", [("", "cbf29ce484222325"), ("a", "af63dc4c8601ec8c"), ("foobar", "85944171f73967e8")])
@@ -55,9 +55,9 @@ def test_pragmas(spark, comment, pragma):
 
 
 RECIPES = [
-    ("SetDefaults", [], ["Name"], ["Name"], [], [], "Default"), ("Tidy", ["Name"], ["Name"], [], [], [], "Normalize"), ("ComputeDisplay", ["Name"], ["Display"], [], [], [], "Compute"),
-    ("Cascade", [], [], [], ["SaveChanges"], [], "Cascade"), ("Guard", ["Name"], [], [], [], ["ArgumentException"], "Guard"), ("Compensate", [], ["_count"], [], ["SaveChanges"], ["E"], "Compensate"),
-    ("WriteRaise", [], ["_count"], [], [], ["E"], "WriteRaise"), ("DoThing", [], [], [], [], [], "Empty"), ("Look", ["a"], [], [], [], [], "Observe"),
+    ("open_shop", [], ["hours"], ["hours"], [], [], "Default"), ("trim", ["label"], ["label"], [], [], [], "Normalize"), ("add_up", ["price", "tax"], ["total"], [], [], [], "Compute"),
+    ("restock", ["level"], ["level"], [], ["order_goods"], [], "Cascade"), ("check_age", ["age"], [], [], [], ["TooYoung"], "Guard"), ("refund", [], ["paid"], [], ["pay_out"], ["NoMoney"], "Compensate"),
+    ("sell", ["stock"], ["stock"], [], [], ["SoldOut"], "WriteRaise"), ("idle", [], [], [], [], [], "Empty"), ("peek", ["stock", "price"], [], [], [], [], "Observe"),
 ]
 
 

@@ -41,7 +41,7 @@ def recipe(f):
 def test_functions_hold_all_events(spark, sf, functions):
     kinds = ("reads_field", "writes_field", "guarded_write", "calls", "raises")
     want = sorted((s, *(",".join(sorted(f[k])) for k in kinds)) for s, f in functions.items())
-    assert sorted(run(spark, sf, "group_functions_whole")) == want
+    assert sorted(run(spark, sf, "group_functions")) == want
 
 
 def test_recipes_of_all_events(spark, sf, functions):
@@ -49,18 +49,18 @@ def test_recipes_of_all_events(spark, sf, functions):
     for s, f in sorted(functions.items()):
         named[recipe(f)].append(s)
     assert len(named) > 4
-    assert dict(run(spark, sf, "recipe_histogram_whole")) == {k: len(v) for k, v in named.items()}
-    assert sorted(run(spark, sf, "recipe_census_whole")) == sorted((k, len(v), ",".join(v[:3])) for k, v in named.items())
+    assert dict(run(spark, sf, "recipe_histogram")) == {k: len(v) for k, v in named.items()}
+    assert sorted(run(spark, sf, "recipe_census")) == sorted((k, len(v), ",".join(v[:3])) for k, v in named.items())
     n, good = len(functions), sum(len(named[k]) for k in ("Default", "Compute", "Normalize", "Guard"))
-    assert run(spark, sf, "recipe_band_whole")[0][:2] == (n, good)
+    assert run(spark, sf, "recipe_band")[0][:2] == (n, good)
 
 
 def test_edges_of_all_lines(spark, sf):
     edges = set(read(sf, "lineitem", "l_suppkey", "l_partkey"))
     listed = lambda nodes, pairs: sorted((n, ",".join(map(str, sorted(b for a, b in pairs if a == n)))) for n in nodes)
     suppliers, parts = {s for (s,) in read(sf, "supplier", "s_suppkey")}, {p for (p,) in read(sf, "part", "p_partkey")}
-    assert sorted(run(spark, sf, "import_dependencies_whole")) == listed(suppliers, edges)
-    assert sorted(run(spark, sf, "import_dependents_whole")) == listed(parts, {(p, s) for s, p in edges})
+    assert sorted(run(spark, sf, "import_dependencies")) == listed(suppliers, edges)
+    assert sorted(run(spark, sf, "import_dependents")) == listed(parts, {(p, s) for s, p in edges})
     nations = dict(read(sf, "supplier", "s_suppkey", "s_nationkey"))
     want = sorted((f"p{p}", f"s{s}", f"b{s % 7},n{nations[s]}") for s, p in edges if s in nations)
-    assert sorted(run(spark, sf, "field_provenance_whole")) == want
+    assert sorted(run(spark, sf, "field_provenance")) == want
