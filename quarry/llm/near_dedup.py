@@ -53,6 +53,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 MARGIN = 0.09
 #: Members and shingles of a block of a bucket.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Classes whose links a task contracts at a time.
+HELD = 200_000
 GROUP = ["bucket", "i", "j"]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,18 +218,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long")
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links (class, other) that join the same classes with less: what a task reads is replaced by links to each group's smallest class.
+
+    A task holds ``HELD`` links at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        def told() -> pa.RecordBatch:
+            return _pairs([(c, top(c)) for c in root if top(c) != c], ["class", "other"])
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+            if len(root) > HELD:
+                yield told()
+                root.clear()
+        if root:
+            yield told()
+
+    return map_arrow(links.select("a", "b"), run, "class long, other long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``class, component``: the smallest class reachable, for every class with a link.
 
-    Each round a class takes the smallest label around it, and then the label of that label; rounds
-    end when no label changes.
+    Links are first contracted where they lie. Then each round a class takes the smallest label around it, and the label of that
+    label; rounds end when no label changes.
     """
-    both = links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct()
-    edges = save(both.toDF("class", "other"), "edges")
-    labels = save(edges.groupBy("class").agg(F.min("other").alias("m")).select("class", F.least("class", "m").alias("component")), "labels")
+    short = _contracted(links)
+    edges = save(short.union(short.select("other", "class")).filter("class <> other").distinct(), "edges")
+    labels = save(edges.groupBy("class").agg(F.least("class", F.min("other")).alias("component")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("class").alias("other"), "component"), "other").groupBy("class").agg(F.min("component").alias("m"))
-        stepped = labels.join(near, "class").select("class", F.col("component").alias("old"), F.least("component", "m").alias("c"))
+        around = edges.join(labels.select(F.col("class").alias("other"), "component"), "other").select("class", "component", F.lit(None).cast("long").alias("old"))
+        own = labels.select("class", "component", F.col("component").alias("old"))
+        stepped = around.unionByName(own).groupBy("class").agg(F.min("component").alias("c"), F.max("old").alias("old"))
         above = labels.select(F.col("class").alias("c"), F.col("component").alias("up"))
         jumped = save(stepped.join(above, "c", "left").select("class", "old", F.least("c", F.coalesce("up", "c")).alias("component")), "labels")
         labels = jumped.select("class", "component")

@@ -20,7 +20,9 @@ F1, the one nearest to ``DEFAULT_THRESHOLD``. The language chooses only the thre
 Scoring is one narrow stage over whole texts; the broadcast model is bounded by ``ROWS``.
 
 Defined results: null or empty texts are scored as texts without words. Labels without id or
-value are ignored, several labels of one id count as toxic if one is. Without both classes among
+value are ignored, several labels of one id count as toxic if one is; of an id's several texts the one that sorts first is
+learned. Texts of any length are learned and scored whole; the sample is bounded in rows, so its texts must fit one task.
+An empty table gives an empty result; columns other than id, text and lang are not read, whatever their names. Without both classes among
 the labels every text scores the share of toxic labels (0 without labels). Repeated rows and null
 ids are scored row by row.
 """
@@ -273,10 +275,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
     classes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = classes.get(1, 0) / max(1, sum(classes.values()))
-    # A repeated id is trained on once. The sample, bucket numbers of 8 bytes a word, is the one group of a task;
+    # A repeated id is trained on once, of several texts on that with the least numbers. The sample, bucket numbers of 8 bytes a word, is the one group of a task;
     # the driver sees the model alone.
     hashed_texts = map_arrow(texts.select("i", "y", "lang", "t"), hashed, "one int, i long, y int, lang string, ids binary")
-    found = hashed_texts.dropDuplicates(["i"]).groupBy("one").applyInArrow(trained, "model binary").collect()
+    once = hashed_texts.groupBy("one", "i").agg(F.min(F.struct("ids", "y", "lang")).alias("r")).select("one", "i", "r.y", "r.lang", "r.ids")
+    found = once.groupBy("one").applyInArrow(trained, "model binary").collect()
     net, thresholds = pickle.loads(found[0].model) if found else (None, {})
     return net, thresholds, share
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import decontamination, language_model, mixing, near_dedup, warc
+from quarry.llm import decontamination, language_model, mixing, near_dedup, toxicity, warc
 from quarry.llm.common import crc_mod, shared_dir
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -301,3 +301,56 @@ def test_pipeline_takes_odd_documents(spark, sf, odd_docs, no_docs):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd_docs, sf).columns == odd_docs.columns, name
         assert stage(spark, no_docs, sf).count() == 0, name
+
+
+def test_each_stage_equals_a_plain_version(spark, sf, tmp_path):
+    import duckdb
+
+    def fails(text):
+        """The rules every policy has: few words, or too many of them in repeated windows."""
+        words = SPACE.findall(text or "")
+        places = collections.defaultdict(list)
+        for i in range(len(words) - 4):
+            places[tuple(words[i : i + 5])].append(i)
+        repeated = {i + k for at in places.values() if len(at) > 1 for i in at for k in range(5)}
+        return len(words) < 10 or 100 * len(repeated) > 20 * len(words)
+
+    def rows(df):
+        return sorted((tuple(r) for r in df.collect()), key=repr)
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality_rules"](spark, docs, sf).cache()
+    failed = {r.doc_id for r in docs.collect() if fails(r.text)}
+    assert not failed & {r.doc_id for r in kept.collect()} and len(failed) > 0
+
+    scored = toxicity.score(kept, toxicity.fit(kept, toxicity.training_labels(spark.read.parquet(f"{sf}/labels.parquet"))))
+    clean = {r.doc_id for r in scored.collect() if r.score < r.threshold}
+    after = stages["toxicity"](spark, kept, sf).cache()
+    assert rows(after) == [r for r in rows(kept) if r[0] in clean]
+
+    found = brute_components([(r.doc_id, r.text) for r in after.collect()], percent=80)
+    single = stages["near_dedup"](spark, after, sf).cache()
+    assert rows(single) == [r for r in rows(after) if found[r[0]][1] == r[0]]
+
+    benchmark = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    sound = stages["decontamination"](spark, single, sf).cache()
+    assert rows(sound) == [r for r in rows(single) if not brute_hits(r[1], benchmark)[1]]
+
+    sound.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    chosen = {r[0] for r in con.execute(f"select doc_id from ({mixing.ORACLE_SQL}) where kept").fetchall()}
+    assert rows(stages["mixing"](spark, sound, sf)) == [r for r in rows(sound) if r[0] in chosen]
+
+
+def test_raking_by_joins_equals_raking_by_windows(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: (r.weight, r.p) for r in mixing.query(spark, sf).collect()}
+    monkeypatch.setattr(mixing, "WINDOWED", 0)
+    got = {r.doc_id: (r.weight, r.p) for r in mixing.query(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 2e-6 for k in got for a, b in zip(got[k], want[k]))
+    cells = mixing.save(mixing.described(docs).groupBy(*mixing.DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    given = mixing.shares({dim: mixing.tempered(cells, dim) for dim in mixing.DIMS})
+    ends = [max(mixing.residuals(mixing.rake(cells, given, rounds=n), given).values()) for n in (1, 4)]
+    assert ends[1] <= ends[0]
