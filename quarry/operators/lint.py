@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import lines as text_lines
-from quarry.operators.rel import cut
+from quarry.operators.rel import written
 from quarry.sources import python_source as source
 
 #: (code, condition over nodes, message). a is the node's attribute map.
@@ -318,11 +318,11 @@ def suppressions(tokens: DataFrame) -> DataFrame:
 def suppressed(found: DataFrame, noqa: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(findings that remain, suppressions that nothing used)."""
     by = noqa.select("path", "row", "codes")
-    hits = found.join(by, ["path", "row"]).filter("codes is null or array_contains(codes, code)")
-    silent = hits.select("path", "row", "code").distinct()
-    rest = found.join(silent, ["path", "row", "code"], "left_anti")
-    unused = by.join(hits.select("path", "row").distinct(), ["path", "row"], "left_anti")
-    return rest, unused
+    # A row's comments as one, so that every finding is read once.
+    whole = by.groupBy("path", "row").agg(F.bool_or(F.col("codes").isNull()).alias("_all"), F.flatten(F.collect_list("codes")).alias("_codes"))
+    marked = found.join(whole, ["path", "row"], "left").withColumn("_silent", F.coalesce(F.col("_all") | F.array_contains("_codes", F.col("code")), F.lit(False)))
+    unused = by.join(marked.filter("_silent").select("path", "row").distinct(), ["path", "row"], "left_anti")
+    return marked.filter("not _silent").select(found.columns), unused
 
 
 def check(files: DataFrame, enabled: set[str] | None = None) -> DataFrame:
@@ -330,7 +330,9 @@ def check(files: DataFrame, enabled: set[str] | None = None) -> DataFrame:
     from quarry.operators import lint_files, lint_more, lint_rules
 
     # Every rule that joins relations reads them again; files are parsed once.
-    nodes, tokens = cut(source.nodes(files)), cut(source.tokens(files))
+    nodes, tokens = written(source.nodes(files)), source.tokens(files)
+    if enabled is None or enabled & {code for code, *_ in [*TOKEN_RULES, *lint_rules.TOKEN_RULES]}:
+        tokens = written(tokens)
     found = check_nodes(nodes, enabled, [*NODE_RULES, *lint_more.NODE_RULES, *lint_rules.NODE_RULES])
     found = found.unionByName(check_lines(files, enabled, [*LINE_RULES, *lint_rules.LINE_RULES])).unionByName(check_tokens(tokens, enabled, [*TOKEN_RULES, *lint_rules.TOKEN_RULES]))
     joins = {"F401": unused_imports, "F811": redefined, "F821": undefined_names, "F841": unused_variables, "I001": unsorted_imports}

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; on one machine (tests) a temporary one where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = getattr(shared_folder, "own", None)
+        if not folder:
+            folder = shared_folder.own = f"file://{tempfile.mkdtemp(prefix='quarry-tables-')}"
+            atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration: a reliable checkpoint in spark.checkpoint.dir.
 
@@ -17,12 +34,17 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the shared folder, of which later plans read only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_earlier_blocks(rows: DataFrame, by: list[str], per_block: Column, fold, name: str) -> DataFrame:
     """``rows`` (with ``_block``) with ``name``: ``fold`` of the aggregate ``per_block`` over the earlier blocks of the same ``by``, null in the first."""
     blocks = rows.groupBy(*by, "_block").agg(per_block.alias(name))

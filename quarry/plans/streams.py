@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from quarry.operators import rel
 from quarry.plans.base import query
 from quarry.streaming import changes
 
@@ -12,8 +12,8 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def shared_folder(spark) -> str:
-    """A folder that driver and executors share; without the setting (tests, one machine) a temporary one."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='quarry-stream-')}/stream-{uuid.uuid4().hex}"
+    """A folder of its own for a stream, in the one that driver and executors share."""
+    return f"{rel.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
