@@ -46,10 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where it is unset (tests, one machine) a temporary folder of this process is used and removed at exit.
+    Where it is unset on one machine (tests) a temporary folder of this process is used and removed at exit; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = getattr(shared_dir, "own", None)
         if not found:
             path = tempfile.mkdtemp(prefix="quarry-")

@@ -19,7 +19,8 @@ the cut-off is read from a histogram of counts, so it is exact at any size. The
 Rows bear a number of their own through that join, so equal ids do not mix.
 
 Defined results: null and empty texts consist of the end alone. Without training texts the counts are 0 and the
-model is uniform over its symbols. Repeated rows and null ids are scored row by row; a null id is not held out.
+model is uniform over its symbols; an empty table gives an empty result. Texts of any length are read whole, some ``CHUNK`` tokens at a time.
+Columns other than id and text are not read, whatever their names. Repeated rows and null ids are scored row by row; a null id is not held out.
 """
 
 from __future__ import annotations

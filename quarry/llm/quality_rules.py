@@ -10,7 +10,8 @@ key, source or group of copies can make a task larger than its input split.
 
 Defined results: null or empty text has no words, all counts 0, and fails the rule ``few_words``.
 Repeated rows and repeated or null ids are judged row by row. Only the id and the text are read
-(plus the whole row with ``carry``), so other columns may bear any name.
+(plus the whole row with ``carry``), so other columns may bear any name. Very long texts are measured whole; an empty table
+gives an empty ledger.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ skew-splitting join when they are not.
 
 Defined results: null payloads are empty; a null url writes no target; of equal rows with the same largest id each is
 a response; in a group without any id all are responses. Record ids carry the row id (``none`` for null).
-Control characters of urls are percent-encoded. An empty table writes no archive and reads no record.
+Control characters of urls are percent-encoded. An empty table writes no archive and reads no record. A payload of any length is
+one record, in the memory of one task; columns other than id, url and payload are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import map_arrow, save, shared_dir, table, text_bytes
 
 ARCHIVE_BYTES = 64 << 20
+#: Bytes of archives that a reading task takes, once there are many.
+TASK_BYTES = 512 << 20
 PIECE = 1 << 18
 LEVEL = 4
 #: Every record bears this date; the tables have none.
@@ -192,7 +195,9 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield packed(rows)
 
-    tasks = max(1, manifest.count())
+    n, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    # A task to an archive while they are few, else some TASK_BYTES of archives to a task.
+    tasks = max(1, min(n, max(4 * manifest.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)))
     spread = manifest.select("path").repartitionByRange(tasks, "path")
     return map_arrow(spread, run, RECORDS)
 
