@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, html_text, language_model, license_scan, mixing, near_dedup, quality_rules, token_counts, toxicity, warc
+from quarry.llm import decontamination, html_text, language_model, license_scan, lloyd, mixing, near_dedup, quality_rules, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_model": language_model.query,
     "op9_decontamination": decontamination.query,
     "op10_quality_rules": quality_rules.query,
+    "op12_lloyd": lloyd.query,
 }
 ORACLES = {
     "op1_warc": warc.ORACLE_SQL,
@@ -22,4 +23,5 @@ ORACLES = {
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
+    "op12_lloyd": lloyd.ORACLE_SQL,
 }
