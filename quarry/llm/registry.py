@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, html_text, language_model, license_scan, lloyd, mixing, near_dedup, quality_rules, token_counts, toxicity, warc
+from quarry.llm import bpe_automaton, decontamination, html_text, impact_index, language_model, license_scan, lloyd, mixing, near_dedup, quality_rules, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_language_model": language_model.query,
     "op9_decontamination": decontamination.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_impact_search": impact_index.query,
     "op12_lloyd": lloyd.query,
+    "op13_bpe_automaton": bpe_automaton.query,
 }
 ORACLES = {
     "op1_warc": warc.ORACLE_SQL,
@@ -23,5 +25,6 @@ ORACLES = {
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
+    "op11_impact_search": impact_index.ORACLE_SQL,
     "op12_lloyd": lloyd.ORACLE_SQL,
 }
