@@ -8,7 +8,7 @@ Vectors are scaled to integers, so every distance, sum and mean is exact and a r
   centroid after another, takes the lowest index among the nearest, and gives its own sums; a groupBy merges the sums of all tasks.
 * ``assign`` is narrow: one row per kept vector.
 
-What the driver holds is k centroids. Every pass reads the table anew, so a lost executor costs its tasks alone; no row is shuffled but
+What the driver holds is k centroids with their members and inertia. Every pass reads the table anew, so a lost executor costs its tasks alone; no row is shuffled but
 the sums, k times the components per task.
 
 Null embeddings, other lengths, null, NaN or infinite components, and components beyond 2**150 after scaling (no 32-bit float is): the row is
@@ -147,19 +147,22 @@ def cluster(df: DataFrame, components: int = 64, k: int = 16, rounds: int = 3, s
         assigned = spark.createDataFrame([], "id long, cluster int, distance long")
     else:
         assigned = save(assign(kept, centroids, scale), "assigned")
-    digests = [(i, [str(c) for c in centroid], hashlib.sha256(",".join(map(str, centroid)).encode()).hexdigest()) for i, centroid in enumerate(centroids)]
-    named = spark.createDataFrame(digests, "cluster int, components array<string>, centroid_sha256 string")
-    totals = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), _total(F.col("distance")).alias("cluster_inertia"))
-    return assigned, named.join(totals, "cluster", "left")
+    found = {r.cluster: r for r in assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), _total(F.col("distance")).alias("inertia")).collect()}
+    rows = []
+    for i, centroid in enumerate(centroids):
+        digest = hashlib.sha256(",".join(map(str, centroid)).encode()).hexdigest()
+        members, inertia = (found[i].members, found[i].inertia) if i in found else (0, 0)
+        rows.append((i, [str(c) for c in centroid], digest, members, inertia))
+    return assigned, spark.createDataFrame(rows, "cluster int, components array<string>, centroid_sha256 string, members long, cluster_inertia long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 16 rows of clusters are joined back to the assigned vectors."""
+    """At most k rows of clusters are joined back to the assigned vectors."""
     assigned, clusters = cluster(table(spark, sf_dir, "embeddings"))
-    inertia = assigned.agg(_total(F.col("distance")).alias("inertia"))
-    per_cluster = clusters.select("cluster", "cluster_inertia", "centroid_sha256").join(F.broadcast(inertia), how="left")
-    joined = assigned.join(F.broadcast(per_cluster), "cluster")
-    return joined.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+    each = [r.cluster_inertia for r in clusters.select("cluster_inertia").collect()]
+    inertia = None if None in each or sum(each) > LONG else sum(each)
+    joined = assigned.join(F.broadcast(clusters.select("cluster", "cluster_inertia", "centroid_sha256")), "cluster")
+    return joined.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", F.lit(inertia).cast("long").alias("inertia"), "centroid_sha256")
 
 
 def _oracle(components: int = 64, k: int = 16, rounds: int = 3, seed: int = 1, scale: int = 64) -> str:
