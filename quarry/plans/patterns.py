@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import exports, globs, rel
+from quarry.operators import dataflow, exports, globs, rel, treepatterns
 from quarry.plans.base import query, table
 
 #: Customers as files; a pattern per part, of six shapes, in the part's order; SQL compares the parts of the paths instead.
@@ -93,3 +93,112 @@ def star_reads(spark, sf):
     """Names that modules read without binding them, with the module a star import brings them from."""
     of = rel.written(exports.facts(_modules(spark, sf)))
     return exports.resolved_reads(of, exports.names(of), []).select("module", "name", "origin")
+
+
+#: A function per part; what stands in lines 4, 7, 9 and 10 depends on the part.
+def _functions(spark, sf):
+    k = F.col("p_partkey")
+    own, size = k.cast("string"), F.col("p_size").cast("string")
+    choose = lambda of, *cases: F.element_at(F.array(*map(F.lit, cases)), (k % of + 1).cast("int"))
+    text = F.concat(
+        F.lit("def f"), own, F.lit("(a, b):\n    if a > "), size, F.lit(":\n        x = 1\n    "), choose(2, "elif", "if"), F.lit(" b:\n        x = 2\n    y = "), size, F.lit("\n    "),
+        choose(3, "y = a", "y += a", "print(y)"), F.lit("\n    while b:\n        "), F.when(k % 5 == 0, "break").otherwise("b -= 1"), F.lit("\n    "),
+        F.when(k % 7 == 0, "return x").otherwise("del a"), F.lit("\n    return x + y\n"),
+    )
+    return table(spark, sf, "part").select(F.concat(F.lit("f/"), own, F.lit(".py")).alias("path"), text.alias("text"))
+
+
+def _union(columns, *parts):
+    """SQL over parts: rows of values where a condition on the key holds."""
+    return "\nUNION ALL ".join(f"SELECT 'f/' || p_partkey || '.py' AS path, {columns} FROM part, (VALUES {values}) v({names}) WHERE {where}" for where, names, values in [(w, _names(columns), v) for w, v in parts])
+
+
+def _names(columns):
+    return ", ".join(c.split(" AS ")[0] for c in columns.split(", "))
+
+
+@query(_union("row, dst_row", (
+    "true", "(0, 2), (2, 3), (2, 4), (4, 5), (4, 6), (5, 6), (6, 7), (7, 8), (8, 9), (8, 10), (11, -1)"), ("p_partkey % 2 = 0", "(3, 6)"), ("p_partkey % 2 = 1", "(3, 4)"),
+    ("p_partkey % 5 = 0", "(9, 10)"), ("p_partkey % 5 <> 0", "(9, 8)"), ("p_partkey % 7 = 0", "(10, -1)"), ("p_partkey % 7 <> 0", "(10, 11)")))
+def flow_edges(spark, sf):
+    """Which line may follow which in each function; 0 is its entry and -1 its end."""
+    edges = dataflow.flow(_functions(spark, sf)).where("kind = 'edge'")
+    return edges.select("path", F.coalesce("row", F.lit(0)).alias("row"), F.coalesce("dst_row", F.lit(-1)).alias("dst_row"))
+
+
+def _solved(spark, sf):
+    of = rel.written(dataflow.flow(_functions(spark, sf)))
+    return of, dataflow.solved(of)
+
+
+@query(_union("name, row, dst_row, bound", (
+    "true", "('a', 2, 0, true), ('b', 4, 0, true), ('b', 8, 0, true)"), ("p_partkey % 5 <> 0", "('b', 8, 9, true), ('b', 9, 0, true), ('b', 9, 9, true)"),
+    ("p_partkey % 3 <> 2", "('a', 7, 0, true)"), ("p_partkey % 3 <> 0", "('y', 7, 6, true)"), ("p_partkey % 7 = 0", "('x', 10, 3, true), ('x', 10, 5, true), ('x', 10, 0, false)"),
+    ("p_partkey % 7 <> 0", "('a', 10, 0, true), ('x', 11, 3, true), ('x', 11, 5, true), ('x', 11, 0, false)"),
+    ("p_partkey % 7 <> 0 AND p_partkey % 3 <> 2", "('y', 11, 7, true)"), ("p_partkey % 7 <> 0 AND p_partkey % 3 = 2", "('y', 11, 6, true)")))
+def reaching_definitions(spark, sf):
+    """The lines whose definitions reach each use of a local name; bound with line 0 is a parameter."""
+    _, found = _solved(spark, sf)
+    return found.where("kind = 'reach'").select("path", F.col("text").alias("name"), "row", F.coalesce("dst_row", F.lit(0)).alias("dst_row"), F.col("dst").isNotNull().alias("bound"))
+
+
+@query("SELECT 'f/' || p_partkey || '.py' AS path, 'x' AS name, CASE WHEN p_partkey % 7 = 0 THEN 10 ELSE 11 END AS row, false AS certain FROM part")
+def unbound_uses(spark, sf):
+    """Uses of names that may not be bound yet."""
+    return dataflow.unbound_uses(*_solved(spark, sf)).select("path", "name", "row", "certain")
+
+
+@query(_union("name, row", ("p_partkey % 3 = 0", "('y', 6)"), ("p_partkey % 7 = 0 AND p_partkey % 3 <> 2", "('y', 7)")))
+def dead_stores(spark, sf):
+    """Values that no use ever reads."""
+    return dataflow.dead_stores(*_solved(spark, sf)).select("path", "name", "row")
+
+
+@query(_union("row, \"by\"", (
+    "true", "(2, 0), (3, 2), (4, 2), (5, 4), (7, 6), (8, 7), (9, 8), (10, 8)"), ("p_partkey % 2 = 0", "(6, 2)"), ("p_partkey % 2 = 1", "(6, 4)"), ("p_partkey % 7 <> 0", "(11, 10)")))
+def dominators(spark, sf):
+    """The line that every way to a line passes last, 0 for the entry."""
+    _, found = _solved(spark, sf)
+    return dataflow.dominators(found).select("path", "row", F.coalesce("by", F.lit(0)).alias("by"))
+
+
+#: What stands in the function of a part, by the part's number, and what it is. The last is nested.
+ACTIONS = [
+    ("sys.path.append('x')", "sys_path"), ("os.environ['A'] = '1'", "os_environ"), ("log.error('x')", "logger"), ("self.logger.info('x', exc_info=True)", "logger"), ("foo.error('x', exc_info=1)", None),
+    ("getLogger('a').warning('x')", "logger"), ("log_of.path.append('x')", None), ("del os.environ['A']", "os_environ"), ("for i in x:\n        with i:\n            sys.path += ['x']", "sys_path"),
+    ("return lambda: [getLogger(y).info(y) for y in x]", "logger"), ("x.sys.path.append('y')", None),
+]
+
+
+def _actions(spark, sf):
+    text = F.element_at(F.array(*[F.lit(a) for a, _ in ACTIONS]), (F.col("p_partkey") % len(ACTIONS) + 1).cast("int"))
+    head = F.lit("import sys, os\nimport logging as log\nfrom logging import getLogger\nfrom other import log_of\n\n\ndef f(self, x, foo):\n    ")
+    return table(spark, sf, "part").select(F.concat(F.lit("a/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.concat(head, text, F.lit("\n")).alias("text"))
+
+
+_ACTION_SQL = f"""a AS (SELECT 'a/' || p_partkey || '.py' AS path, p_partkey % {len(ACTIONS)} AS i, CASE WHEN p_partkey % {len(ACTIONS)} = 8 THEN 10 ELSE 8 END AS row FROM part),
+v(i, pattern) AS (VALUES {", ".join(f"({i}, '{p}')" for i, (_, p) in enumerate(ACTIONS) if p)})"""
+
+
+@query(f"WITH {_ACTION_SQL} SELECT path, row, pattern FROM a JOIN v USING (i) WHERE pattern <> 'logger'")
+def statement_patterns(spark, sf):
+    """Statements that change sys.path or os.environ, at any depth."""
+    found = treepatterns.matches(rel.written(treepatterns.tree(_actions(spark, sf))), treepatterns.statement_patterns(spark))
+    return found.where("pattern in ('sys_path', 'os_environ')").select("path", "row", "pattern")
+
+
+@query(f"WITH {_ACTION_SQL} SELECT path, row FROM a JOIN v USING (i) WHERE pattern = 'logger'")
+def logger_candidates(spark, sf):
+    nodes = rel.written(treepatterns.tree(_actions(spark, sf)))
+    return treepatterns.logger_calls(nodes, treepatterns.matches(nodes, treepatterns.statement_patterns(spark))).select("path", "row")
+
+
+@query(f"WITH {_ACTION_SQL} SELECT path, row FROM a WHERE i = 9")
+def nested_patterns(spark, sf):
+    """Functions whose body has a call inside a comprehension inside a lambda, and no loop statement; the pattern's steps lie at any distance."""
+    call = treepatterns.step("Call", field=None, full="logging.getLogger", inside=True)
+    comprehension = treepatterns.step("ListComp", call, inside=True)
+    pattern = treepatterns.step("FunctionDef", treepatterns.step("Return", treepatterns.step("Lambda", comprehension, inside=True)), treepatterns.step("For While", inside=True, absent=True))
+    nodes = rel.written(treepatterns.tree(_actions(spark, sf)))
+    found = treepatterns.matches(nodes, treepatterns.pattern_table(spark, [("nested", pattern)]))
+    return found.select("path", (F.col("row") + 1).alias("row"))
