@@ -114,7 +114,9 @@ class Graph:
             endless = isinstance(node, ast.While) and isinstance(node.test, ast.Constant) and bool(node.test.value)
             return breaks | (set() if endless else self.block(node.orelse, {at}))
         if isinstance(node, (ast.With, ast.AsyncWith)):
-            for item in node.items:
+            for i, item in enumerate(node.items):
+                # A later item reads what an earlier one binds.
+                at = self.statement("item", item.context_expr.lineno, {at}) if i else at
                 self.read(at, item.context_expr, item.optional_vars)
             return self.block(node.body, {at})
         if isinstance(node, ast.Match):

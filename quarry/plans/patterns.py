@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import dataflow, exports, globs, rel, treepatterns
+from quarry.operators import codemods, dataflow, exports, globs, rel, treepatterns
 from quarry.plans.base import query, table
 
 #: Customers as files; a pattern per part, of six shapes, in the part's order; SQL compares the parts of the paths instead.
@@ -202,3 +202,27 @@ def nested_patterns(spark, sf):
     nodes = rel.written(treepatterns.tree(_actions(spark, sf)))
     found = treepatterns.matches(nodes, treepatterns.pattern_table(spark, [("nested", pattern)]))
     return found.select("path", (F.col("row") + 1).alias("row"))
+
+
+#: Sources with imports of which os and b go, and what is left, by the part's number.
+IMPORTS = [
+    ("import os, sys\n", "import sys\n"),
+    ("from x import (\n    a,  # keep a\n    b,  # drop b\n    # own line\n    c,\n)\n", "from x import (\n    a,  # keep a\n    # own line\n    c,\n)\n"),
+    ("if t:\n    import os\nelse:\n    import os; y = 1\n", "if t:\n    pass\nelse:\n    y = 1\n"),
+    ("from x import a, \\\n    b\n", "from x import a\n"),
+    ("from x import (a, b)\n", "from x import (a)\n"),
+    ("try:\n    import os\nexcept E:\n    x = 1; import os\n", "try:\n    pass\nexcept E:\n    x = 1\n"),
+    ("from x import (\n    b,\n)\nd = 'é'\n", "d = 'é'\n"),
+    ("def f():\n    from x import b as os, b as c\n", "def f():\n    from x import b as c\n"),
+    ("import os; import os.path\nfrom b import *\n", "from b import *\n"),
+]
+
+
+@query(f"""WITH v(i, text) AS (VALUES {", ".join(f"({i}, '{left.replace(chr(39), chr(39) * 2)}')" for i, (_, left) in enumerate(IMPORTS))})
+SELECT 'i/' || p_partkey || '.py' AS path, '# é ' || p_partkey || chr(10) || text AS text FROM part JOIN v ON p_partkey % {len(IMPORTS)} = i""")
+def import_members_removed(spark, sf):
+    """Sources of parts without the imports of two names, over several lines, blocks and statements of one line."""
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in IMPORTS]), (F.col("p_partkey") % len(IMPORTS) + 1).cast("int"))
+    own = F.col("p_partkey").cast("string")
+    of = table(spark, sf, "part").select(F.concat(F.lit("i/"), own, F.lit(".py")).alias("path"), F.concat(F.lit("# é "), own, F.lit("\n"), text).alias("text"))
+    return codemods.without_imports(of, of.select("path", F.explode(F.array(F.lit("os"), F.lit("b"))).alias("name")))
