@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import codemods, dataflow, exports, globs, rel, treepatterns
+from quarry.operators import codemods, dataflow, exports, globs, namefilter, prefixes, rel, treepatterns
 from quarry.plans.base import query, table
+from quarry.sources import files as file_sources
 
 #: Customers as files; a pattern per part, of six shapes, in the part's order; SQL compares the parts of the paths instead.
 GLOB_SQL = """p AS (SELECT r_name AS r, n_name AS n, c_mktsegment AS s, c_name AS c, CASE c_custkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.pyi' ELSE '.txt' END AS ext,
@@ -226,3 +227,50 @@ def import_members_removed(spark, sf):
     own = F.col("p_partkey").cast("string")
     of = table(spark, sf, "part").select(F.concat(F.lit("i/"), own, F.lit(".py")).alias("path"), F.concat(F.lit("# é "), own, F.lit("\n"), text).alias("text"))
     return codemods.without_imports(of, of.select("path", F.explode(F.array(F.lit("os"), F.lit("b"))).alias("name")))
+
+
+#: Beginnings of customers' paths, of every length, some of which begin nothing.
+BEGINNINGS = "b AS (SELECT DISTINCT left(path, c_custkey % 41) || CASE WHEN c_custkey % 50 = 7 THEN '~' ELSE '' END AS prefix FROM p)"
+PREFIX_SQL = f"""p AS (SELECT c_custkey, r_name || '/' || n_name || '/' || c_mktsegment || '/' || c_name || CASE c_custkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.pyi' ELSE '.txt' END AS path
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), {BEGINNINGS}"""
+
+
+def _beginnings(paths):
+    return paths.select(F.concat(F.expr("left(path, cast(c_custkey % 41 as int))"), F.when(F.col("c_custkey") % 50 == 7, "~").otherwise("")).alias("prefix"))
+
+
+@query(f"WITH {PREFIX_SQL} SELECT prefix, count(path) AS n FROM b LEFT JOIN p ON starts_with(path, prefix) GROUP BY prefix")
+def prefix_counts(spark, sf):
+    """How many paths begin with each of a table of prefixes."""
+    paths = _paths(spark, sf)
+    return prefixes.counts(paths, _beginnings(paths), "path").select("prefix", "n")
+
+
+@query(f"WITH {PREFIX_SQL} SELECT prefix, c_custkey FROM b JOIN p ON starts_with(path, prefix) WHERE length(prefix) > 12")
+def prefix_members(spark, sf):
+    """The customers behind each prefix of more than twelve characters."""
+    paths = _paths(spark, sf)
+    return prefixes.members(paths, _beginnings(paths).where("length(prefix) > 12"), "path").select("prefix", "c_custkey")
+
+
+_FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+
+
+@query(f"""WITH d AS (SELECT 'p/' || p_partkey AS path, lpad(lower(to_hex({_FNV.format("p_name || ' ' || p_brand")}::UBIGINT)), 16, '0') AS digest FROM part),
+l AS (SELECT string_agg(path || chr(9) || digest || chr(10), '' ORDER BY path || chr(9) || digest) AS lines FROM d) SELECT lpad(lower(to_hex({_FNV.format("lines")}::UBIGINT)), 16, '0') AS digest FROM l""")
+def snapshot_digest(spark, sf):
+    """One digest over all parts as files, equal to the one of a sequential reader."""
+    of = table(spark, sf, "part").select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("path"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+    return file_sources.snapshot(of)
+
+
+WANTED = ["password", "license", "apache", "Theron", "über", "x9z"]
+
+
+@query(f"""WITH n(name) AS (VALUES {", ".join(f"('{n}')" for n in WANTED)}) SELECT doc_id, name FROM documents, n WHERE list_contains(regexp_extract_all(text, '[\\p{{L}}_][\\p{{L}}\\p{{N}}_]*'), name)""")
+def filtered_names(spark, sf):
+    """Which documents hold which of some names, read only where the stored filters allow for one."""
+    of = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text").withColumn("path", F.col("path").cast("string"))
+    kept = namefilter.files_to_parse(of, rel.written(namefilter.filters(of)), WANTED)
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}_][\p{L}\p{N}_]*"), F.lit(0)))
+    return kept.select(F.col("path").cast("long").alias("doc_id"), F.explode(F.array_intersect(words, F.array(*map(F.lit, WANTED)))).alias("name"))

@@ -9,8 +9,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from quarry.operators import codemods, dataflow, exports, globs, treepatterns
+from quarry.functions.names import fnv64
+from quarry.operators import codemods, dataflow, exports, globs, namefilter, prefixes, treepatterns
+from quarry.sources import files as file_sources
 from quarry.streaming import changes, refine
 
 STDLIB = sorted(Path(ast.__file__).parent.glob("*.py"))
@@ -287,3 +290,38 @@ def test_the_stream_says_what_the_batch_says(spark, tmp_path, cuts):
         # Each part is taken by a new start from the checkpoint of the last one.
         refine.run_once(changes.stream(spark, str(tmp_path / "in"), schema), 60, str(tmp_path / "out"), str(tmp_path / "state"), late="1 second" if i % 2 else "1 hour")
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=repr) == want
+
+
+def test_prefixes_count_and_hold_what_begins_with_them(spark):
+    r = random.Random(12)
+    texts = ["".join(r.choice(["a", "b", "é", "漢", "\U0010ffff", "~"]) for _ in range(r.randint(0, 6))) for _ in range(400)]
+    some = ["", "zzz", *[t[: r.randint(0, 5)] for t in texts[:120]]]
+    keys = spark.createDataFrame([(t, i) for i, t in enumerate([*texts, *texts[:50], None])], "key string, i int").repartition(5)
+    asked = spark.createDataFrame([(p,) for p in [*some, None]], "prefix string")
+    want = {p: [i for i, t in enumerate([*texts, *texts[:50]]) if t.startswith(p)] for p in some}
+    assert {(r.prefix, r.n, r.n_keys) for r in prefixes.counts(keys, asked).collect()} == {(p, len(ids), len({t for t in texts if t.startswith(p)})) for p, ids in want.items()}
+    assert sorted(map(tuple, prefixes.members(keys, asked).select("prefix", "i").collect())) == sorted((p, i) for p, ids in want.items() for i in ids)
+    assert prefixes.counts(keys.limit(0), asked.limit(1)).first().n == 0 and prefixes.members(keys, asked.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_snapshot_is_the_sequential_digest(spark, parts):
+    r = random.Random(13)
+    rows = [("".join(r.choice("ab/é漢") for _ in range(r.randint(0, 40))) + str(i), r.choice(["", "text", "ß" * i])) for i in range(1200)]
+    lines = sorted(f"{p}\t{fnv64(t.encode()):016x}\n".encode() for p, t in rows)
+    files = spark.createDataFrame([*rows, (None, "x"), ("y", None)], "path string, text string").repartition(parts)
+    assert file_sources.snapshot(files).first().digest == f"{fnv64(b''.join(lines)):016x}"
+    assert file_sources.snapshot(files.limit(0)).first().digest == f"{fnv64(b''):016x}"
+
+
+def test_name_filters_miss_nothing_and_skip_most(spark):
+    texts = {p.name: p.read_text(encoding="utf-8", errors="replace") for p in STDLIB} | {"none.py": None, "word.py": "über = größe1"}
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    stored = namefilter.filters(files).cache()
+    names = ["asyncio", "subprocess", "größe1", "Fraction", "nowhere_to_be_found"]
+    holds = {(p, n) for p, t in texts.items() for n in names if re.search(rf"(?<!\w){n}(?!\w)", t or "")}
+    found = {(r.path, n) for r in namefilter.candidates(stored, names).collect() for n in r.names}
+    assert holds <= found and len(found - holds) <= 0.02 * len(texts) * len(names)
+    changed = files.withColumn("text", F.when(F.col("path") == "abc.py", "changed = 1").otherwise(F.col("text")))
+    kept = {r.path for r in namefilter.files_to_parse(changed, stored, ["größe1"]).collect()}
+    assert {"word.py", "abc.py"} <= kept and len(kept) < 0.1 * len(texts)
