@@ -88,7 +88,7 @@ NODE_RULES = [
     ("PLC0414", "kind in ('Import','ImportFrom') and a['names'] rlike '(^|,)([A-Za-z_]+) \\\\2(,|$)'", "alias equals name"),
     ("PLR0124", "kind = 'Compare' and a['left_src'] = a['right_src'] and a['n_ops'] = '1'", "compared with itself"),
     ("PLR0402", "kind = 'Import' and a['names'] rlike '[.]([A-Za-z_]+) \\\\1(,|$)'", "use from import"),
-    ("PLR0913", "kind in ('FunctionDef','AsyncFunctionDef') and cast(a['n_params'] as int) > 5", "more than 5 parameters"),
+    ("PLR0913", "kind in ('FunctionDef','AsyncFunctionDef') and try_cast(a['n_params'] as int) > 5", "more than 5 parameters"),
     ("PLR1714", "kind = 'BoolOp' and a['op'] = 'Or' and a['parts'] rlike '^([A-Za-z_.]+) == .* ; \\\\1 == '", "membership says it shorter"),
     ("PLR1722", "kind = 'Call' and name in ('exit','quit')", "use sys.exit"),
     ("PLR2004", "kind = 'Compare' and a['right'] = 'Constant' and a['right_src'] rlike '^-?[0-9.]+$' and not a['right_src'] in ('0','1','0.0','1.0')", "magic value"),
@@ -239,12 +239,24 @@ def check_tokens(tokens: DataFrame, enabled: set[str] | None = None, table: list
     return tokens.select("path", "row", "col", rules.alias("r")).select("path", "row", "col", "r.*")
 
 
+def exported_names(nodes: DataFrame) -> DataFrame:
+    """(path, bound): names that statements on __all__ list."""
+    text = F.col("attrs")["text"]
+    lists = nodes.filter("kind in ('Assign', 'AnnAssign', 'AugAssign', 'Expr') and attrs['text'] rlike '^__all__( =| [+]=|:|[.](extend|append)[(])'")
+    return lists.select("path", F.explode(F.regexp_extract_all(text, F.lit("['\"]([^'\"]+)['\"]"), F.lit(1))).alias("bound"))
+
+
 def unused_imports(nodes: DataFrame) -> DataFrame:
-    """Imported names that their file never reads and does not export."""
-    used = nodes.filter("kind = 'Name' and attrs['ctx'] = 'Load'").select("path", F.col("name").alias("bound"))
-    exported = nodes.filter("kind = 'Constant' and field = 'elts' and attrs['type'] = 'str'").select("path", F.expr("substring(value, 2, length(value) - 2)").alias("bound"))
+    """Imported names that no scope which sees the import reads, that no annotation in quotes names, and that the module does not export."""
+    used = source.references(nodes).join(_scope_chain(nodes), ["path", "scope"]).select("path", F.col("at").alias("scope"), F.col("name").alias("bound"))
+    quoted = nodes.filter("kind = 'Constant' and field in ('annotation', 'returns', 'slice') and attrs['type'] = 'str'")
+    # Quoted names and exports are taken for uses of the import wherever it stands in the file.
+    named = quoted.select("path", F.explode(F.regexp_extract_all("value", F.lit(r"[^\W\d]\w*"), F.lit(0))).alias("bound")).unionByName(exported_names(nodes))
     found = source.imports(nodes).filter("coalesce(name, '') <> '*' and module <> '__future__' and coalesce(asname, '') <> coalesce(name, module)")
-    unused = found.join(used.unionByName(exported).distinct(), ["path", "bound"], "left_anti")
+    # A name that a function declares global is one of the module's.
+    lifted = _declared(nodes).filter("kind = 'Global'").select("path", "scope", F.col("name").alias("bound"), F.lit(True).alias("_lifted"))
+    placed = found.join(lifted.distinct(), ["path", "scope", "bound"], "left").withColumn("scope", F.when(F.col("_lifted"), F.lit(0)).otherwise(F.col("scope")))
+    unused = placed.join(used.distinct(), ["path", "scope", "bound"], "left_anti").join(named.distinct(), ["path", "bound"], "left_anti")
     return unused.select("path", "row", F.lit(0).alias("col"), F.lit("F401").alias("code"), F.concat("bound", F.lit(" imported but unused")).alias("message"))
 
 
@@ -279,7 +291,7 @@ def undefined_names(nodes: DataFrame, builtins: list[str] | None = None, stars:
     """
     import builtins as python
 
-    known = builtins or [*dir(python), "__file__", "__name__", "__doc__", "__path__", "__package__", "__spec__", "__loader__", "__class__"]
+    known = builtins or [*dir(python), "__file__", "__name__", "__doc__", "__path__", "__package__", "__spec__", "__loader__", "__class__", "__builtins__", "__annotations__", "__module__", "__qualname__", "WindowsError"]
     open_ = source.imports(nodes).filter("name = '*'").select("path").distinct()
     bound = source.bindings(nodes).select("path", F.col("scope").alias("at"), "name").distinct()
     elsewhere = _declared(nodes).filter("kind = 'Global'").select("path", F.col("scope").alias("at"), "name").distinct()
@@ -291,8 +303,11 @@ def undefined_names(nodes: DataFrame, builtins: list[str] | None = None, stars:
 
 
 def unused_variables(nodes: DataFrame) -> DataFrame:
-    """Plain assignments in functions to names that the function and those inside it never read."""
-    stores = nodes.filter("kind = 'Name' and attrs['ctx'] = 'Store' and func is not null and func = scope and field = 'targets' and not name rlike '^_'")
+    """Assignments, also annotated ones and those of ``with``, in functions to names that the function and those inside it never read."""
+    local = nodes.filter("kind = 'Name' and attrs['ctx'] = 'Store' and func is not null and func = scope and not name rlike '^_'")
+    valued = nodes.filter("kind = 'AnnAssign' and attrs['value'] is not null").select("path", F.col("node").alias("parent"))
+    annotated = local.filter("field = 'target' and parent_kind = 'AnnAssign'").join(valued, ["path", "parent"], "left_semi").select(local.columns)
+    stores = local.filter("field in ('targets', 'optional_vars')").unionByName(annotated)
     uses = source.references(nodes).join(_scope_chain(nodes), ["path", "scope"]).select("path", F.col("at").alias("scope"), "name").distinct()
     unused = stores.join(uses, ["path", "scope", "name"], "left_anti").join(_declared(nodes).select("path", "scope", "name").distinct(), ["path", "scope", "name"], "left_anti")
     return unused.select("path", "row", "col", F.lit("F841").alias("code"), F.concat("name", F.lit(" is assigned but never used")).alias("message"))

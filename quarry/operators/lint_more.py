@@ -32,8 +32,8 @@ NODE_RULES = [
     ("B026", "kind = 'Call' and a['star_after_keyword'] = '1'", "star after keyword"),
     ("B029", "kind = 'ExceptHandler' and a['type'] = 'Tuple' and a['n_elts'] is null and a['type_src'] = '()'", "handler of nothing"),
     ("B032", "kind = 'AnnAssign' and a['value'] is null and a['target'] = 'Attribute' and a['target_name'] not like 'self.%'", "annotation without assignment"),
-    ("B034", "kind = 'Call' and name in ('re.sub','re.split','re.subn') and cast(a['n_args'] as int) > 3", "positional count or flags"),
-    ("B905", "kind = 'Call' and name = 'zip' and cast(coalesce(a['n_args'], '0') as int) > 1 and a['kw'] not like '%strict%'", "zip without strict"),
+    ("B034", "kind = 'Call' and name in ('re.sub','re.split','re.subn') and try_cast(a['n_args'] as int) > 3", "positional count or flags"),
+    ("B905", "kind = 'Call' and name = 'zip' and try_cast(coalesce(a['n_args'], '0') as int) > 1 and a['kw'] not like '%strict%'", "zip without strict"),
     ("C404", "kind = 'Call' and name = 'dict' and a['arg0'] = 'ListComp'", "list comprehension in dict()"),
     ("C406", "kind = 'Call' and name = 'dict' and a['arg0'] in ('List','Tuple')", "literal in dict()"),
     ("C409", "kind = 'Call' and name = 'tuple' and a['arg0'] in ('List','Tuple')", "literal in tuple()"),
@@ -50,7 +50,7 @@ NODE_RULES = [
     ("D402", f"{_DEF} and split(a['doc'], '\\n')[0] like concat(name, '(%')", "docstring repeats the signature"),
     ("D404", "kind in ('FunctionDef','ClassDef','Module') and a['doc'] rlike '^ *This\\\\b'", "docstring starts with This"),
     ("D415", "kind in ('FunctionDef','ClassDef','Module') and a['doc'] is not null and not split(trim(a['doc']), '\\n')[0] rlike '[.?!]$'", "first line ends in punctuation"),
-    ("DTZ001", "kind = 'Call' and name = 'datetime.datetime' and a['kw'] not like '%tzinfo%' and cast(coalesce(a['n_args'], '0') as int) < 8", "datetime without zone"),
+    ("DTZ001", "kind = 'Call' and name = 'datetime.datetime' and a['kw'] not like '%tzinfo%' and try_cast(coalesce(a['n_args'], '0') as int) < 8", "datetime without zone"),
     ("DTZ003", "kind = 'Call' and name = 'datetime.datetime.utcnow'", "utcnow has no zone"),
     ("DTZ004", "kind = 'Call' and name = 'datetime.datetime.utcfromtimestamp'", "utcfromtimestamp has no zone"),
     ("DTZ005", "kind = 'Call' and name = 'datetime.datetime.now' and a['n_args'] is null and a['kw'] not like '%tz%'", "now without zone"),
@@ -101,10 +101,10 @@ NODE_RULES = [
     ("PLE0604", "kind = 'Assign' and a['target_names'] = '__all__' and a['value_src'] rlike '[\\\\[(,] ?[0-9A-Za-z_]+[,\\\\])]'", "export that is not a text"),
     ("PLE0605", "kind = 'Assign' and a['target_names'] = '__all__' and a['value'] not in ('List','Tuple','BinOp','Call','Attribute','Name','ListComp')", "exports are no list"),
     ("PLE1142", "kind = 'Await' and not in_async", "await outside an async function"),
-    ("PLE1205", "kind = 'Call' and name rlike '(^|[.])(log|logger|logging)[.](debug|info|warning|error|critical)$' and cast(coalesce(a['n_args'], '0') as int) > 1 and a['arg0'] = 'Constant' and not a['arg0_src'] like '%\\%%'", "too many arguments for the format"),
+    ("PLE1205", "kind = 'Call' and name rlike '(^|[.])(log|logger|logging)[.](debug|info|warning|error|critical)$' and try_cast(coalesce(a['n_args'], '0') as int) > 1 and a['arg0'] = 'Constant' and not a['arg0_src'] like '%\\%%'", "too many arguments for the format"),
     ("PLE1507", "kind = 'Call' and name = 'os.getenv' and a['arg0'] = 'Constant' and not a['arg0_src'] rlike '^[\\'\"]'", "name of a variable is text"),
     ("PLR0133", "kind = 'Compare' and a['left'] = 'Constant' and a['right'] = 'Constant'", "two constants compared"),
-    ("PLR0206", f"{_DEF} and a['decorators'] rlike '(^|,)property(,|$)' and cast(a['n_params'] as int) > 1", "property with parameters"),
+    ("PLR0206", f"{_DEF} and a['decorators'] rlike '(^|,)property(,|$)' and try_cast(a['n_params'] as int) > 1", "property with parameters"),
     ("PLR1711", "kind = 'Return' and a['src'] in ('','None') and last_in_function", "needless return"),
     ("PLR5501", "kind = 'If' and a['orelse'] = 'If' and a['else_nested'] = '1'", "else around an if"),
     ("PLW0129", "kind = 'Assert' and a['test'] = 'Constant' and a['src'] rlike '^[\\'\"].+'", "assertion of a text"),
@@ -194,7 +194,7 @@ NODE_RULES = [
     ("SIM905", "kind = 'Call' and a['func'] = 'Attribute' and a['split_literal'] = '1'", "split of a literal"),
     ("SIM910", "kind = 'Call' and name rlike '[.]get$' and a['arg1_src'] = 'None'", "None is the default"),
     ("SLF001", "kind = 'Attribute' and name rlike '^_[^_]' and not a['value_name'] in ('self','cls','mcs')", "private member used"),
-    ("TID252", "kind = 'ImportFrom' and cast(coalesce(a['level'], '0') as int) > 1", "relative import from a parent"),
+    ("TID252", "kind = 'ImportFrom' and try_cast(coalesce(a['level'], '0') as int) > 1", "relative import from a parent"),
     ("TRY003", "kind = 'Raise' and a['exc'] = 'Call' and length(a['src']) > 80 and a['src'] rlike '[(]f?[\"\\']'", "long message in a raise"),
     ("TRY004", "kind = 'Raise' and a['src'] rlike '^(Exception|ValueError|RuntimeError)' and parent_test like 'not isinstance%'", "use TypeError"),
     ("TRY203", "kind = 'ExceptHandler' and a['body'] = 'Raise' and a['reraise'] = '1'", "handler that only raises again"),

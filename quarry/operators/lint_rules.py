@@ -32,7 +32,7 @@ NODE_RULES = [
     ("F633", "kind = 'BinOp' and a['op'] = 'RShift' and a['left_name'] = 'print'", "print as a statement"),
     ("F707", "kind = 'ExceptHandler' and a['type'] is null and position < siblings - 1", "bare except before others"),
     ("F722", "kind in ('arg','AnnAssign','FunctionDef','AsyncFunctionDef') and a['bad_annotation'] = '1'", "annotation is no expression"),
-    ("E401", "kind = 'Import' and cast(a['n_names'] as int) > 1", "several imports on a line"),
+    ("E401", "kind = 'Import' and try_cast(a['n_names'] as int) > 1", "several imports on a line"),
     ("E402", "kind in ('Import','ImportFrom') and parent_kind = 'Module' and exists(split(before, ','), k -> k not in ('','Doc','Dunder','Import','ImportFrom','If','Try'))", "import below code"),
     ("PLC0131", "kind = 'Call' and name rlike '(^|[.])TypeVar$' and a['kw_covariant'] = 'True' and a['kw_contravariant'] = 'True'", "both covariant and contravariant"),
     ("PLC0132", "kind = 'Assign' and a['call_name'] rlike '(^|[.])(TypeVar|ParamSpec|NewType|TypeVarTuple)$' and a['targets'] = 'Name' and regexp_extract(a['value_src'], '[(][\\'\"]([^\\'\"]*)', 1) <> a['target_names']", "name differs from the variable"),
@@ -49,9 +49,9 @@ NODE_RULES = [
     ("PLE0307", _returns("__str__", "(a['value'] = 'JoinedStr' or coalesce(a['value_value'], '') rlike '^[\\'\"]')"), "text that is no str"),
     ("PLE0308", _returns("__bytes__", "coalesce(a['value_value'], '') rlike '^b[\\'\"]'"), "bytes that are none"),
     ("PLE0309", _returns("__hash__", "coalesce(a['value_value'], '') rlike '^-?[0-9]+$'"), "hash that is no number"),
-    ("PLE0643", "kind = 'Subscript' and a['value_len'] is not null and a['slice_value'] rlike '^[0-9]+$' and cast(a['slice_value'] as int) >= cast(a['value_len'] as int)", "index outside the literal"),
+    ("PLE0643", "kind = 'Subscript' and a['value_len'] is not null and a['slice_value'] rlike '^[0-9]+$' and try_cast(a['slice_value'] as int) >= try_cast(a['value_len'] as int)", "index outside the literal"),
     ("PLE0704", "kind = 'Raise' and a['src'] = '' and not in_handler and coalesce(in_function, '') <> '__exit__'", "bare raise outside a handler"),
-    ("PLE1206", f"kind = 'Call' and {_LOG} and a['method'] in ('debug','info','warning','error','critical','exception') and a['arg0'] = 'Constant' and cast(a['n_args'] as int) > 1 and size(regexp_extract_all(replace(a['arg0_src'], '%%', ''), '%[-+0-9.]*[sdrfxa]', 0)) > cast(a['n_args'] as int) - 1", "too few arguments for the format"),
+    ("PLE1206", f"kind = 'Call' and {_LOG} and a['method'] in ('debug','info','warning','error','critical','exception') and a['arg0'] = 'Constant' and try_cast(a['n_args'] as int) > 1 and size(regexp_extract_all(replace(a['arg0_src'], '%%', ''), '%[-+0-9.]*[sdrfxa]', 0)) > try_cast(a['n_args'] as int) - 1", "too few arguments for the format"),
     ("PLE1300", "kind = 'BinOp' and a['op'] = 'Mod' and a['left'] = 'Constant' and replace(a['left_value'], '%%', '') rlike '%[-+ #0-9.]*[^-+ #0-9.*hlLdiouxXeEfFgGcrsa(%\\'\"]'", "unknown format character"),
     ("PLE1307", "kind = 'BinOp' and a['op'] = 'Mod' and a['left_value'] rlike '^[^%]*%[dioxXeEfFgG][^%]*$' and a['right_value'] rlike '^[\\'\"]'", "text for a number format"),
     ("PLE1310", "kind = 'Call' and a['method'] in ('strip','lstrip','rstrip') and a['arg0'] = 'Constant' and a['arg0_src'] rlike '^[\\'\"].*(.).*\\\\1.*[\\'\"]$'", "strip with a character twice"),
@@ -62,7 +62,7 @@ NODE_RULES = [
     ("PLR0203", "kind = 'Assign' and parent_kind = 'ClassDef' and a['call_name'] = 'staticmethod'", "staticmethod without decorator"),
     ("PLR0904", "kind = 'ClassDef' and size(filter(split(a['methods'], ','), m -> m <> '' and m not like '!_%' escape '!')) > 20", "too many public methods"),
     ("PLR0916", "kind in ('If','While') and a['test'] = 'BoolOp' and size(split(a['src'], ' (and|or) ')) > 5", "too many boolean parts"),
-    ("PLR0917", f"{_DEF} and cast(a['n_positional'] as int) > 5", "too many positional parameters"),
+    ("PLR0917", f"{_DEF} and try_cast(a['n_positional'] as int) > 5", "too many positional parameters"),
     ("PLR1704", "kind in ('For','AsyncFor','withitem','ExceptHandler') and array_contains(split(coalesce(params_around, ''), ','), case kind when 'withitem' then a['optional_vars_name'] when 'ExceptHandler' then name else a['target_src'] end)", "argument redefined"),
     ("PLR1716", f"kind = 'BoolOp' and a['op'] = 'And' and (a['parts'] rlike '<=? ({_NAME}) ; \\\\1 <=? ' or a['parts'] rlike '>=? ({_NAME}) ; \\\\1 >=? ')", "comparisons can be chained"),
     ("PLR1730", f"kind = 'If' and a['orelse'] is null and a['src'] rlike '^({_NAME}) [<>]=? ({_NAME})$' and a['body_only'] in (concat(split(a['src'], ' ')[0], ' = ', split(a['src'], ' ')[2]), concat(split(a['src'], ' ')[2], ' = ', split(a['src'], ' ')[0]))", "use min or max"),
@@ -104,7 +104,7 @@ NODE_RULES = [
     ("PYI012", f"kind = 'Pass' and {_STUB} and parent_kind = 'ClassDef' and siblings > 1", "needless pass in a class"),
     ("PYI013", "kind = 'Expr' and parent_kind = 'ClassDef' and a['text'] = '...' and siblings > 1", "needless ellipsis in a class"),
     ("PYI016", f"kind = 'BinOp' and a['op'] = 'BitOr' and a['text'] rlike '(^|[|] )({_NAME}) [|] (.* [|] )?\\\\2$'", "union member twice"),
-    ("PYI017", f"kind = 'Assign' and {_STUB} and cast(a['n_targets'] as int) > 1", "several targets in a stub"),
+    ("PYI017", f"kind = 'Assign' and {_STUB} and try_cast(a['n_targets'] as int) > 1", "several targets in a stub"),
     ("PYI020", f"kind in ('arg','AnnAssign') and {_STUB} and a['annotation_value'] rlike '^[\\'\"]'", "quoted annotation in a stub"),
     ("PYI021", f"kind in ('FunctionDef','AsyncFunctionDef','ClassDef','Module') and {_STUB} and a['doc'] is not null", "docstring in a stub"),
     ("PYI024", "kind = 'Call' and name = 'collections.namedtuple'", "use NamedTuple"),
@@ -116,10 +116,10 @@ NODE_RULES = [
     ("PYI043", "kind = 'AnnAssign' and a['annotation_src'] rlike '(^|[.])TypeAlias$' and a['target_src'] rlike '^_.*[a-z0-9]T$'", "type alias with suffix T"),
     ("PYI044", f"kind = 'ImportFrom' and {_STUB} and name = '__future__' and a['names'] like '%annotations%'", "needless future import in a stub"),
     ("PYI045", f"{_DEF} and parent_kind = 'ClassDef' and ((name = '__iter__' and a['returns_src'] rlike '^(typing[.]|collections[.]abc[.])?Iterable') or (name = '__aiter__' and a['returns_src'] rlike '^(typing[.]|collections[.]abc[.])?AsyncIterable'))", "iterators are returned"),
-    ("PYI048", f"{_DEF} and {_STUB} and cast(a['n_body'] as int) > 1 and a['doc'] is null", "stub of several statements"),
+    ("PYI048", f"{_DEF} and {_STUB} and try_cast(a['n_body'] as int) > 1 and a['doc'] is null", "stub of several statements"),
     ("PYI050", f"{_DEF} and {_STUB} and a['param_types'] rlike ':(typing[.])?NoReturn(;|$)'", "use Never"),
     ("PYI051", "kind = 'BinOp' and a['op'] = 'BitOr' and (a['text'] rlike 'Literal\\\\[[\\'\"][^\\\\]]*\\\\] [|] (.*[|] )?str$' or a['text'] rlike '^str [|] .*Literal\\\\[[\\'\"]' or a['text'] rlike 'Literal\\\\[[0-9][^\\\\]]*\\\\] [|] (.*[|] )?int$')", "literal beside its type"),
-    ("PYI053", f"kind = 'Constant' and {_STUB} and a['type'] in ('str','bytes') and cast(a['chars'] as int) > 50 and parent_kind <> 'Expr'", "long text in a stub"),
+    ("PYI053", f"kind = 'Constant' and {_STUB} and a['type'] in ('str','bytes') and try_cast(a['chars'] as int) > 50 and parent_kind <> 'Expr'", "long text in a stub"),
     ("PYI054", f"kind = 'Constant' and {_STUB} and a['type'] = 'int' and length(value) > 10", "long number in a stub"),
     ("PYI055", "kind = 'BinOp' and a['op'] = 'BitOr' and a['text'] rlike '^(type|Type)\\\\[[^\\\\]]*\\\\] [|] (type|Type)\\\\['", "join the types"),
     ("PYI056", "kind = 'Call' and a['on'] = '__all__' and a['method'] in ('append','extend','remove')", "use += for exports"),
@@ -214,7 +214,7 @@ NODE_RULES = [
     ("ASYNC109", "kind = 'AsyncFunctionDef' and array_contains(split(a['params'], ','), 'timeout')", "timeout parameter of an async function"),
     ("ASYNC110", "kind = 'While' and a['body_only'] rlike '^await (asyncio|trio|anyio)[.]sleep[(]'", "busy wait"),
     ("ASYNC115", "kind = 'Call' and name in ('trio.sleep','anyio.sleep') and a['arg0_src'] = '0'", "use checkpoint"),
-    ("ASYNC116", "kind = 'Call' and name in ('trio.sleep','anyio.sleep') and a['arg0_src'] rlike '^[0-9]+$' and cast(a['arg0_src'] as bigint) > 86400", "use sleep_forever"),
+    ("ASYNC116", "kind = 'Call' and name in ('trio.sleep','anyio.sleep') and a['arg0_src'] rlike '^[0-9]+$' and try_cast(a['arg0_src'] as bigint) > 86400", "use sleep_forever"),
     ("ASYNC212", "kind = 'Call' and in_async and name rlike '^httpx[.](get|post|put|delete|patch|head|options|request)$'", "blocking client in an async function"),
     ("ASYNC220", "kind = 'Call' and in_async and name in ('subprocess.Popen','os.popen')", "process made in an async function"),
     ("ASYNC221", "kind = 'Call' and in_async and name in ('subprocess.run','subprocess.call','subprocess.check_call','subprocess.check_output','os.system')", "process run in an async function"),
@@ -232,8 +232,8 @@ NODE_RULES = [
     ("S107", f"{_DEF} and lower(a['param_defaults']) rlike '(^|;)[a-z_]*(pass(word|wd)?|secret|token)=[\\'\"].'", "hard-coded password default"),
     ("S201", "kind = 'Call' and a['method'] = 'run' and a['kw_debug'] = 'True'", "debug mode"),
     ("S503", f"{_DEF} and a['param_defaults'] rlike 'PROTOCOL_(SSLv2|SSLv3|TLSv1)'", "insecure protocol default"),
-    ("S505", "kind = 'Call' and name rlike '(rsa|dsa)[.]generate_private_key$' and cast(coalesce(a['kw_key_size'], a['arg1_src']) as int) < 2048", "weak key"),
-    ("S509", "kind = 'Call' and name = 'pysnmp.hlapi.UsmUserData' and cast(coalesce(a['n_args'], '0') as int) < 3", "unencrypted user"),
+    ("S505", "kind = 'Call' and name rlike '(rsa|dsa)[.]generate_private_key$' and try_cast(coalesce(a['kw_key_size'], a['arg1_src']) as int) < 2048", "weak key"),
+    ("S509", "kind = 'Call' and name = 'pysnmp.hlapi.UsmUserData' and try_cast(coalesce(a['n_args'], '0') as int) < 3", "unencrypted user"),
     ("S601", "kind = 'Call' and a['method'] = 'exec_command'", "remote command"),
     ("S612", "kind = 'Call' and name = 'logging.config.listen' and a['kw'] not like '%verify%'", "listener without verification"),
     ("S704", "kind = 'Call' and name = 'markupsafe.Markup' and a['arg0'] <> 'Constant'", "markup of a variable"),
@@ -259,14 +259,14 @@ NODE_RULES = [
     ("N999", "kind = 'Module' and not regexp_extract(path, '([^/]*)[.]pyi?$', 1) rlike '^[a-z0-9_]*$'", "module name"),
     ("PT008", "kind = 'Call' and name rlike '(^|[.])patch([.]object)?$' and coalesce(a['kw_new'], a['arg1_src'], a['arg2_src']) like 'lambda%:%'", "patch with a lambda"),
     ("PT010", "kind = 'Call' and name = 'pytest.raises' and a['n_args'] is null and a['kw'] not like '%expected_exception%'", "raises without an exception"),
-    ("PT012", "kind = 'With' and a['items_src'] rlike '(^|,)pytest[.]raises[(]' and cast(a['n_body'] as int) > 1", "several statements in raises"),
+    ("PT012", "kind = 'With' and a['items_src'] rlike '(^|,)pytest[.]raises[(]' and try_cast(a['n_body'] as int) > 1", "several statements in raises"),
     ("PT016", "kind = 'Call' and name = 'pytest.fail' and a['n_args'] is null and a['kw'] = ''", "fail without a message"),
     ("PT023", "kind in ('FunctionDef','AsyncFunctionDef','ClassDef') and a['decorator_calls'] rlike '(^|,)pytest[.]mark[.](?!usefixtures)[a-z_]+[(][)](,|$)'", "needless parentheses on a mark"),
     ("PT026", "kind in ('FunctionDef','AsyncFunctionDef','ClassDef') and a['decorator_calls'] rlike '(^|,)pytest[.]mark[.]usefixtures[(][)](,|$)'", "usefixtures without fixtures"),
     ("PT028", f"{_DEF} and name like 'test!_%' escape '!' and a['param_defaults'] <> ''", "test parameter with a default"),
     ("PT029", "kind = 'Call' and name = 'pytest.warns' and a['n_args'] is null and a['kw'] not like '%expected_warning%'", "warns without a warning"),
     ("PT030", "kind = 'Call' and name = 'pytest.warns' and a['arg0_src'] in ('Warning','UserWarning','DeprecationWarning') and a['kw'] not like '%match%'", "warns is too broad"),
-    ("PT031", "kind = 'With' and a['items_src'] rlike '(^|,)pytest[.]warns[(]' and cast(a['n_body'] as int) > 1", "several statements in warns"),
+    ("PT031", "kind = 'With' and a['items_src'] rlike '(^|,)pytest[.]warns[(]' and try_cast(a['n_body'] as int) > 1", "several statements in warns"),
     ("LOG004", f"kind = 'Call' and {_LOG} and a['method'] = 'exception' and not in_handler", "exception logged outside a handler"),
     ("LOG007", f"kind = 'Call' and {_LOG} and a['method'] = 'exception' and a['kw_exc_info'] = 'False'", "exception without its trace"),
     ("LOG014", f"kind = 'Call' and {_LOG} and a['method'] in ('debug','info','warning','error','critical') and a['kw_exc_info'] = 'True' and not in_handler", "exc_info outside a handler"),

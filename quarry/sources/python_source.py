@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +45,14 @@ def dotted(node: ast.AST) -> str | None:
     return ".".join(reversed([*parts, node.id])) if isinstance(node, ast.Name) else None
 
 
+def constant(value: object) -> str:
+    """A constant as Python writes it; an integer of more digits than that allows in hexadecimal ones."""
+    try:
+        return repr(value)
+    except ValueError:
+        return hex(value)
+
+
 def _kinds(body: list) -> str:
     return ",".join(type(x).__name__ for x in body)
 
@@ -56,12 +66,30 @@ def _name(node: ast.AST) -> str | None:
 
 
 class Texts(dict):
-    """Source of nodes as the parser writes it back, each made once."""
+    """Source of nodes as the parser writes it back, each made once; of nodes too deep for that, as it stands in the file."""
+
+    def __init__(self, source: str = ""):
+        self.source = source
+        self.lines: list[bytes] | None = None
 
     def __missing__(self, node: ast.AST) -> str:
-        text = self[node] = ast.unparse(node)
+        try:
+            text = ast.unparse(node)
+        except (RecursionError, ValueError):
+            text = self.sliced(node)
+        self[node] = text
         return text
 
+    def sliced(self, node: ast.AST) -> str:
+        if getattr(node, "end_lineno", None) is None:
+            return ""
+        if self.lines is None:
+            self.lines = [x.encode() for x in re.split("(?<=\n)|(?<=\r)(?!\n)", self.source)]
+        rows = self.lines[node.lineno - 1 : node.end_lineno]
+        rows[-1] = rows[-1][: node.end_col_offset]
+        rows[0] = rows[0][node.col_offset :]
+        return b"".join(rows).decode(errors="replace")
+
 
 SIMPLE = (ast.Assign, ast.AugAssign, ast.AnnAssign, ast.Expr, ast.Return, ast.Raise, ast.Delete, ast.Assert, ast.Pass, ast.Break, ast.Continue)
 WRITTEN = (ast.Compare, ast.BoolOp, ast.BinOp, ast.Subscript, ast.Call, ast.IfExp, ast.Attribute, ast.comprehension, ast.DictComp, ast.Lambda, *SIMPLE)
@@ -79,7 +107,7 @@ def _attrs(node: ast.AST, texts: Texts) -> dict[str, str]:
             if (name := dotted(value)) is not None:
                 found[f"{field}_name"] = name
             elif isinstance(value, ast.Constant):
-                found[f"{field}_value"] = repr(value.value)
+                found[f"{field}_value"] = constant(value.value)
         elif isinstance(value, (int, str)) and field not in ("id", "name", "lineno"):
             found[field] = str(value)
     if isinstance(node, WRITTEN):
@@ -198,7 +226,7 @@ def _attrs(node: ast.AST, texts: Texts) -> dict[str, str]:
     if isinstance(annotation, ast.Constant) and isinstance(annotation.value, str):
         try:
             ast.parse(annotation.value.strip(), mode="eval")
-        except (SyntaxError, ValueError):
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
             found["bad_annotation"] = "1"
     if isinstance(node, ast.JoinedStr):
         found["placeholders"] = str(sum(isinstance(v, ast.FormattedValue) for v in node.values))
@@ -227,13 +255,14 @@ def _step(node: ast.AST, place: int) -> str:
 class Place:
     """Where a node stands."""
 
-    __slots__ = ("parent", "parent_kind", "parent_test", "scope", "func", "field", "siblings", "handler", "in_handler", "in_loop", "in_async", "in_function", "in_class", "func_end", "last", "around", "position", "before", "prev_kind", "params", "bases", "decorators", "parent_name")
+    __slots__ = ("parent", "parent_kind", "parent_test", "scope", "func", "field", "siblings", "handler", "in_handler", "in_loop", "in_async", "in_function", "in_class", "func_end", "last", "around", "position", "before", "prev_kind", "params", "bases", "decorators", "parent_name", "outer")
 
     def __init__(self):
         self.parent = self.parent_kind = self.parent_test = self.scope = self.func = self.field = self.handler = self.in_function = self.in_class = self.func_end = None
         self.siblings, self.in_handler, self.in_loop, self.in_async, self.last = 1, False, False, False, False
         self.around: tuple[int, ...] = ()
         self.position, self.before, self.prev_kind, self.params, self.bases, self.decorators, self.parent_name = 0, "", None, None, None, None, None
+        self.outer: tuple | None = None
 
     def inside(self, **changes) -> Place:
         new = Place.__new__(Place)
@@ -264,11 +293,11 @@ def node_rows(path: str, text: str) -> Iterator[tuple]:
     """
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError) as error:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
         place = (None, None, None, None, False, None, False, False, None, None, False, None, 0, "", None, None, None, None, None)
         yield (path, 0, None, None, None, None, "SyntaxError", getattr(error, "lineno", None), getattr(error, "offset", None), None, None, None, str(error), {}, *place)
         return
-    texts, imported = Texts(), _imported(tree)
+    texts, imported = Texts(text), _imported(tree)
     stack: list[tuple[ast.AST, Place]] = [(tree, Place())]
     number = 0
     while stack:
@@ -276,7 +305,7 @@ def node_rows(path: str, text: str) -> Iterator[tuple]:
         own, number = number, number + 1
         kind, name = type(node).__name__, _name(node)
         function = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda))
-        value = repr(node.value) if isinstance(node, ast.Constant) else None
+        value = constant(node.value) if isinstance(node, ast.Constant) else None
         full = name
         if isinstance(node, ast.Call) and name is not None:
             head, _, rest = name.partition(".")
@@ -309,7 +338,7 @@ def node_rows(path: str, text: str) -> Iterator[tuple]:
         children = []
         for field, child in ast.iter_fields(node):
             # Decorators, defaults, bases and annotations belong to the scope around.
-            outside = isinstance(node, SCOPES[:4]) and field in ("decorator_list", "bases", "keywords", "returns")
+            outside = isinstance(node, SCOPES[:4]) and field in ("decorator_list", "bases", "keywords", "returns", "type_params")
             of = child if isinstance(child, list) else [child]
             count = sum(isinstance(x, ast.AST) for x in of)
             before: set[str] = set()
@@ -319,6 +348,10 @@ def node_rows(path: str, text: str) -> Iterator[tuple]:
                     below = inner.inside(field=field, siblings=count, position=k, before=told, prev_kind=last_kind)
                     if outside:
                         below.scope, below.func, below.around = at.scope, at.func, at.around
+                    elif isinstance(node, (ast.arguments, ast.arg)) and field in ("defaults", "kw_defaults", "annotation"):
+                        below.scope, below.func, below.around = at.outer
+                    elif function and field == "args":
+                        below.outer = (at.scope, at.func, at.around)
                     elif function and field == "body":
                         below.last = True
                     if isinstance(node, (ast.For, ast.AsyncFor, ast.While)):
@@ -413,13 +446,18 @@ def qualified(of: DataFrame, found: DataFrame, column: str) -> DataFrame:
 
 
 def bindings(of: DataFrame) -> DataFrame:
-    """(path, scope, name, kind, row, node): where names are bound."""
+    """(path, scope, name, kind, row, node): where names are bound. A walrus in a comprehension binds in the function around, type parameters where their function or class stands."""
     stored = of.filter("kind = 'Name' and attrs['ctx'] in ('Store', 'Del')").select("path", "scope", "name", F.lit("assignment").alias("kind"), "row", "node")
+    walrus = of.filter("kind = 'Name' and attrs['ctx'] = 'Store' and parent_kind = 'NamedExpr'").select("path", F.coalesce("func", F.lit(0)).alias("scope"), "name", F.lit("assignment").alias("kind"), "row", "node")
     defined = of.filter("kind in ('FunctionDef', 'AsyncFunctionDef', 'ClassDef')").select("path", "scope", "name", F.col("kind"), "row", "node")
     params = of.filter("kind = 'arg'").select("path", "scope", "name", F.lit("argument").alias("kind"), "row", "node")
     handlers = of.filter("kind = 'ExceptHandler' and name is not null").select("path", "scope", "name", F.lit("exception").alias("kind"), "row", "node")
+    captured = of.filter("kind in ('MatchAs', 'MatchStar') and name is not null").select("path", "scope", "name", F.lit("capture").alias("kind"), "row", "node")
+    rest = of.filter("kind = 'MatchMapping' and attrs['rest'] is not null").select("path", "scope", F.col("attrs")["rest"].alias("name"), F.lit("capture").alias("kind"), "row", "node")
+    generic = of.filter("kind in ('TypeVar', 'ParamSpec', 'TypeVarTuple')").select("path", "scope", "name", F.lit("type parameter").alias("kind"), "row", "node")
     imported = imports(of).filter("coalesce(name, '') <> '*'").select("path", "scope", F.col("bound").alias("name"), F.lit("import").alias("kind"), "row", "node")
-    return stored.unionByName(defined).unionByName(params).unionByName(handlers).unionByName(imported)
+    every = [walrus, defined, params, handlers, captured, rest, generic, imported]
+    return reduce(DataFrame.unionByName, every, stored)
 
 
 def references(of: DataFrame) -> DataFrame:
