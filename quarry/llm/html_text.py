@@ -3,8 +3,8 @@
 A page is cut into tags and text by one regular expression and built into a tree with the end-tag rules that
 matter here (a block closes an open paragraph, list items and table cells close their kind). Boilerplate subtrees, known by
 their element (menus, footers, sidebars, controls, scripts, styles ...), role or class words (adverts, notices, comments ...),
-are left out. Forms, and elements with class words that say less for certain (share, related ...), go with them unless
-they wrap the page: then most of its paragraphs' plain text stands in them. Then
+are left out. Class words that tell of a page's state (has-sidebar, menu-closed ...) say nothing. Elements known by class words alone stay if hardly any text stands outside them and most of the page's
+paragraphs inside; forms, and elements with words that say less for certain (share, related ...), stay if most of its paragraphs' plain text stands in them. Then
 
 * every paragraph-like block passes points to its parent and, halved, to the levels above it: one, one per comma, and up to three
   for its length;
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,7 +56,7 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that are no part of an article wherever they stand.
-DROPPED = set("nav footer aside button select input textarea script style noscript iframe template dialog menu head title link meta svg math object embed canvas audio video noembed noframes label fieldset".split())
+DROPPED = set("nav footer aside button select input textarea script style noscript iframe template dialog menu head title link meta svg math object embed canvas audio video noembed noframes label".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar tablist toolbar".split())
 #: Words of class and id that mark what is no article text.
 JUNK = set(
@@ -66,6 +66,13 @@ JUNK = set(
 )
 #: Words that mark it too, but also stand on wrappers of a whole page.
 UNSURE = set("banner promo promotion promoted discussion widget widgets notice notices share sharing social related recommended recommendations".split())
+#: Parts of a class word that make it tell of a page's state or layout ("has-sidebar", "menu-closed") rather than of what the element is.
+STATE = set(
+    "no not has have with without is are hide hides show shows free open opened close closed enable enabled disable disabled active inactive visible invisible collapsed expanded "
+    "sticky fixed page pages site layout template theme wrap wrapper wrapped container single type format status support supports supported".split()
+)
+#: Text outside junk, in characters, below which what looks like junk wraps the page.
+REST = 100
 #: Share of the page's plain paragraph text, and characters of it, that make an unsure element a wrapper.
 WRAPS, WRAPPED = 0.6, 200
 #: Class words that keep an element although another word would drop it.
@@ -80,14 +87,17 @@ BONUS = {"article": 30.0, "main": 25.0, "section": 2.0, "div": 1.0, "blockquote"
 
 #: Elements in which a paragraph outside is not closed.
 BARRIER = set("table td th caption button object".split())
-SURE, MAYBE, NO = "boilerplate", "unsure", "content"
+SURE, JUNKY, MAYBE, NO = "boilerplate", "junk", "unsure", "content"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "unsure", "points", "chars", "linked", "named", "in_p", "in_article")
+    __slots__ = ("tag", "parent", "children", "dropped", "unsure", "junk", "points", "chars", "linked", "named", "in_p", "in_article", "depth", "block")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, named: bool):
-        self.tag, self.parent, self.dropped, self.named, self.unsure = tag, parent, dropped, named, False
+        self.tag, self.parent, self.dropped, self.named, self.unsure, self.junk = tag, parent, dropped, named, False, False
+        self.depth = 0 if parent is None else parent.depth + 1
+        # The depth of the innermost block, itself included.
+        self.block = self.depth if parent is None or tag in BLOCK else parent.block
         self.children: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
         # Whether a paragraph is open that a block would close, and whether an article is.
@@ -102,8 +112,8 @@ def _attributes(raw: str) -> dict[str, str]:
 def _judged(tag: str, raw: str, parent: Node) -> tuple[str, bool]:
     """Whether an element is boilerplate, and whether it says that it holds the content."""
     found = _attributes(raw)
-    words = set(re.split(r"[^a-z0-9]+", (found.get("class", "") + " " + found.get("id", "")).lower()))
-    words |= {w for v in (found.get("class", ""), found.get("id", "")) for w in v.lower().replace("_", "-").split()}
+    whole = {w for v in (found.get("class", ""), found.get("id", "")) for w in v.lower().replace("_", "-").split()}
+    words = {x for w in whole for x in re.split(r"[^a-z0-9]+", w)} | whole
     named = bool(words & CONTENT) or found.get("itemprop", "").lower() == "articlebody" or found.get("role", "").lower() in ("main", "article")
     if tag in DROPPED or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true":
         return SURE, False
@@ -111,22 +121,25 @@ def _judged(tag: str, raw: str, parent: Node) -> tuple[str, bool]:
         return SURE, False
     if (tag == "header" or (words & {"header"} and not named)) and not parent.in_article:
         return SURE, False
-    if tag == "form":
+    if tag in ("form", "fieldset"):
         return MAYBE, named
-    if tag not in ("html", "body", "article", "main") and words & (JUNK | UNSURE) and not (named and not words & {"comment", "comments", "ad", "ads", "sidebar"}):
-        return SURE if words & JUNK else MAYBE, False
+    # Compound words of a page's state say nothing of the element itself.
+    told = {x for w in whole if not STATE & set(parts := re.split(r"[^a-z0-9]+", w)) for x in (w, *parts)}
+    if tag not in ("html", "body", "article", "main") and told & (JUNK | UNSURE) and not (named and not told & {"comment", "comments", "ad", "ads", "sidebar"}):
+        return JUNKY if told & JUNK else MAYBE, False
     return NO, named
 
 
 def tree(page: str) -> Node:
     root = Node("#root", None, False, False)
     at, place, size = root, 0, len(page)
-    open_: Counter[str] = Counter()
+    # Open elements by tag, outermost first.
+    open_: dict[str, list[Node]] = {}
 
     def climb(to: Node) -> None:
         nonlocal at
         while at is not to:
-            open_[at.tag] -= 1
+            open_[at.tag].pop()
             at = at.parent
 
     while place < size:
@@ -143,35 +156,24 @@ def tree(page: str) -> Node:
             continue
         tag = found[2].lower()
         if found[1]:
-            if tag == "br" or (tag == "p" and not open_["p"]):
+            standing = open_.get(tag)
+            if tag == "br" or (tag == "p" and not standing):
                 at.children.append(Node(tag, at, at.dropped, False))
-                continue
-            node = at if open_[tag] else root
-            while node is not root and node.tag != tag:
-                # An end tag of an inline element does not reach out of its block.
-                if tag not in BLOCK and node.tag in BLOCK:
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                climb(node.parent)
+            # An end tag of an inline element does not reach out of its block.
+            elif standing and (tag in BLOCK or standing[-1].depth > at.block):
+                climb(standing[-1].parent)
             continue
         if tag in BLOCK and at.in_p:
-            node = at
-            while node.tag != "p":
-                node = node.parent
-            climb(node.parent)
+            climb(open_["p"][-1].parent)
         if tag in CLOSES:
-            node, last = at, None
-            while node is not root and node.tag not in SCOPE[tag]:
-                if node.tag in CLOSES[tag]:
-                    last = node
-                node = node.parent
-            if last is not None:
-                climb(last.parent)
+            scope = max((open_[x][-1].depth for x in SCOPE[tag] if open_.get(x)), default=0)
+            # The outermost element to close inside the innermost scope.
+            firsts = [nodes[i] for x in CLOSES[tag] if (nodes := open_.get(x)) and (i := bisect_right(nodes, scope, key=lambda n: n.depth)) < len(nodes)]
+            if firsts:
+                climb(min(firsts, key=lambda n: n.depth).parent)
         kind, named = (SURE, False) if at.dropped else _judged(tag, found[3], at)
         node = Node(tag, at, kind == SURE, named)
-        node.unsure = kind == MAYBE
+        node.unsure, node.junk = kind == MAYBE, kind == JUNKY
         at.children.append(node)
         if tag in RAW:
             closing = re.compile(rf"</{tag}[\s/>]", re.I).search(page, place)
@@ -182,17 +184,40 @@ def tree(page: str) -> Node:
                 place = page.find(">", closing.start()) + 1 or size
         elif tag not in VOID and not (found[3].endswith("/") and tag not in BLOCK):
             at = node
-            open_[tag] += 1
+            open_.setdefault(tag, []).append(node)
     _decide(root)
     return root
 
 
 def _decide(root: Node) -> None:
-    """Drop the unsure elements that do not wrap the page."""
+    """Drop what looks like junk unless hardly any text stands outside, then the unsure elements that do not wrap the page."""
     nodes = _order(root)
+    if any(n.junk for n in nodes):
+        outside = 0
+        shut: set[int] = set()
+        for node in nodes:
+            if node.junk or node.tag == "a" or (node.parent is not None and id(node.parent) in shut):
+                shut.add(id(node))
+            else:
+                outside += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        if outside >= REST or _plain(root, nodes)[id(root)] < WRAPPED:
+            for node in nodes:
+                node.dropped = node.dropped or node.junk
+        else:
+            for node in nodes:
+                node.unsure = node.unsure or node.junk
+        nodes = _order(root)
     if not any(n.unsure for n in nodes):
         return
-    # Plain paragraph text of each subtree: outside links, under something paragraph-like.
+    plain = _plain(root, nodes)
+    whole = plain[id(root)]
+    for node in nodes:
+        if node.unsure and (plain[id(node)] < WRAPPED or plain[id(node)] < WRAPS * whole):
+            node.dropped = True
+
+
+def _plain(root: Node, nodes: list[Node]) -> dict[int, int]:
+    """Plain paragraph text of each subtree: outside links, under something paragraph-like."""
     plain: dict[int, int] = {}
     linked = {id(n) for n in nodes if n.tag == "a"}
     told = {id(root): False}
@@ -203,10 +228,7 @@ def _decide(root: Node) -> None:
         plain[id(node)] = plain.get(id(node), 0) + own
         if node.parent is not None:
             plain[id(node.parent)] = plain.get(id(node.parent), 0) + plain[id(node)]
-    whole = plain[id(root)]
-    for node in nodes:
-        if node.unsure and (plain[id(node)] < WRAPPED or plain[id(node)] < WRAPS * whole):
-            node.dropped = True
+    return plain
 
 
 def _order(root: Node) -> list[Node]:
@@ -280,7 +302,7 @@ def container(root: Node) -> list[Node]:
         dense = sibling.linked < 0.25 * max(1, sibling.chars)
         if (
             sibling is best
-            or (by_node.get(id(sibling), 0.0) >= max(10.0, 0.2 * most) and dense)
+            or (by_node.get(id(sibling), 0.0) >= max(0.2 * most, min(10.0, 0.5 * most)) and dense)
             or (before and sibling.tag in ("h1", "h2", "h3") and best.tag not in ("article", "main") and dense)
             or (sibling.tag == "p" and best.tag not in ("article", "main") and sibling.chars > 80 and dense)
         ):

@@ -231,3 +231,33 @@ def test_deep_pages_take_time_in_proportion():
 
     seconds(1000)
     assert seconds(32_000) < 16 * max(seconds(4000), 0.05)
+
+
+FIVE = "".join(f"<p>This is a long paragraph number {i}, with commas, and enough words to count as text of an article.</p>" for i in range(5))
+
+
+@pytest.mark.parametrize("words", "site has-sidebar|content no-sidebar|layout-with-nav|menu-closed wrap|article-with-comments|comments-enabled|modal-open|reply-page|ad-free|sidebar|page hide-cookie-notice".split("|"))
+def test_wrappers_with_common_class_words_keep_their_article(words):
+    """Wrappers as site themes write them; real sidebars and comments inside and beside them go."""
+    bare = f'<body><div class="{words}">{FIVE}</div></body>'
+    full = f'<body><nav><a href=x>a</a></nav><div class="{words}"><h1>T</h1>{FIVE}<div class="left-sidebar"><p>Side text, not wanted, at all.</p></div></div><div class="comments"><p>Reader says, yes, no.</p></div></body>'
+    for page in (bare, full):
+        text = html_text.extract(page)
+        assert text.count("long paragraph") == 5 and "Side text" not in text and "Reader" not in text
+
+
+def test_short_articles_forms_and_longer_comments():
+    assert html_text.extract(f"<body><form><fieldset>{FIVE}</fieldset></form></body>").count("long paragraph") == 5
+    assert html_text.extract("<body><div><div>Short.</div><div>One.</div><div>Third part here.</div></div></body>") == "Short.\nOne.\nThird part here."
+    article = "Short article text, only one line of it, but the real one it is indeed, it has more than one hundred characters."
+    assert html_text.extract(f'<body><div class="article"><p>{article}</p></div><div class="comments">{FIVE * 3}</div></body>') == article
+
+
+def test_pages_are_read_in_linear_time():
+    def seconds(page):
+        began = time.process_time()
+        html_text.extract(page)
+        return time.process_time() - began
+
+    for page in (lambda n: "<ul>" + "<div>" * n + "<li>" * n, lambda n: "<b><div>" + "<i>" * n + "</b>" * n):
+        assert seconds(page(24_000)) < 1 + 8 * seconds(page(6_000))
