@@ -16,7 +16,7 @@ the text, and the costly part only the texts that name a license.
 
 Defined results: null and empty texts have no words, no finds, empty labels and score 0. Ties of equal
 intervals go to the earlier rule. Repeated rows and null ids are scanned row by row; other columns are
-not read.
+not read. Very long texts are scanned whole, in time that grows with their words and finds; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +35,16 @@ BASE = [
     ("cc by nc", "cc-by-nc"),
 ]
 
+#: SPDX identifiers as words, with labels, and family names written with their version. Fixed values.
+SPDX = [
+    ("0bsd", "0bsd"), ("agpl-3", "agpl 3 0"), ("agpl-3", "agpl 3 0 only"), ("agpl-3+", "agpl 3 0 or later"), ("apache-2", "apache 2 0"), ("artistic-2.0", "artistic 2 0"), ("bsd-2", "bsd 2 clause"), ("bsd-3", "bsd 3 clause"),
+    ("bsl-1.0", "bsl 1 0"), ("cc-by-4.0", "cc by 4 0"), ("cc-by-nc-4.0", "cc by nc 4 0"), ("cc-by-sa-4.0", "cc by sa 4 0"), ("cc0", "cc0 1 0"), ("cddl-1.0", "cddl 1 0"), ("epl-1.0", "epl 1 0"), ("epl-2.0", "epl 2 0"),
+    ("eupl-1.2", "eupl 1 2"), ("gpl-2", "gpl 2 0"), ("gpl-2", "gpl 2 0 only"), ("gpl-2+", "gpl 2 0 or later"), ("gpl-3", "gpl 3 0"), ("gpl-3", "gpl 3 0 only"), ("gpl-3+", "gpl 3 0 or later"), ("isc", "isc"),
+    ("lgpl-2.1", "lgpl 2 1"), ("lgpl-2.1", "lgpl 2 1 only"), ("lgpl-2.1+", "lgpl 2 1 or later"), ("lgpl-3", "lgpl 3 0"), ("lgpl-3", "lgpl 3 0 only"), ("lgpl-3+", "lgpl 3 0 or later"), ("mit", "mit"), ("mpl-2.0", "mpl 2 0"),
+    ("python", "psf 2 0"), ("unlicense", "unlicense"), ("zlib", "zlib"),
+]
+JOINED = [("gpl-2", "gplv2"), ("gpl-3", "gplv3"), ("lgpl-2", "lgplv2"), ("lgpl-2.1", "lgplv2 1"), ("lgpl-3", "lgplv3"), ("agpl-3", "agplv3"), ("apache-2", "apachev2")]
+
 #: License families: label, keyword that must stand in the text, names as word patterns, versions
 #: (label suffix, word pattern). Names and versions are public license names.
 FAMILIES = [
@@ -44,7 +54,7 @@ FAMILIES = [
     ("lgpl", "lesser", ["gnu lesser general public licen[sc]e", "lesser general public licen[sc]e"], [("2.1", "2 1"), ("3", "3 0|3")]),
     ("agpl", "agpl", ["agpl", "gnu agpl"], [("1", "1 0|1"), ("3", "3 0|3")]),
     ("agpl", "affero", ["gnu affero general public licen[sc]e", "affero general public licen[sc]e"], [("1", "1 0|1"), ("3", "3 0|3")]),
-    ("apache", "apache", ["apache licen[sc]e", "apache software licen[sc]e", "apache"], [("1.0", "1 0"), ("1.1", "1 1"), ("2", "2 0|2")]),
+    ("apache", "apache", ["apache licen[sc]e", "apache software licen[sc]e"], [("1.0", "1 0"), ("1.1", "1 1"), ("2", "2 0|2")]),
     ("mpl", "mozilla", ["mozilla public licen[sc]e"], [("1.0", "1 0"), ("1.1", "1 1"), ("2.0", "2 0|2")]),
     ("mpl", "mpl", ["mpl"], [("1.0", "1 0"), ("1.1", "1 1"), ("2.0", "2 0|2")]),
     ("epl", "eclipse", ["eclipse public licen[sc]e"], [("1.0", "1 0|1"), ("2.0", "2 0|2")]),
@@ -128,7 +138,7 @@ SIGNATURES = [
     ("cecill", "cecill", "cecill( free software license agreement)?", 60, 0.85),
     ("cecill", "french", "governed by the cecill( b| c)? license under french law and abiding by the rules of distribution of free software", 80, 0.95),
     ("cpl-1.0", "common", "common public license( version)? (1 0|v1 0)", 60, 0.9),
-    ("curl", "fee", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 82, 0.9),
+    ("curl", "fee", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is without warranty of any kind", 86, 0.9),
     ("ecl-2.0", "educational", "educational community license version 2 0", 60, 0.9),
     ("elastic-2.0", "elastic", "elastic license (2 0|v2)", 60, 0.9),
     ("elastic-2.0", "hosted", "you may not provide the software to third parties as a hosted or managed service", 80, 0.95),
@@ -225,6 +235,10 @@ def _rules() -> list[tuple[str, str, str, int, float, list[str]]]:
     ``needs`` are plain pieces of every text that the pattern hits, in words as the pattern writes them.
     """
     rules = [(*rule, _start(rule[2])) for rule in SIGNATURES]
+    rules += [(label, "spdx", f"spdx license identifier {words}", 90, 0.97, ["license identifier"]) for label, words in SPDX]
+    for label, word in JOINED:
+        rules.append((label, word.split()[0], word, 50, 0.9, [word]))
+        rules.append((f"{label}+", word.split()[0], f"{word} (or (any )?later|or newer)( version)?", 60, 0.9, [word, " or "]))
     any_grant, later = f"({'|'.join(GRANTS)})", "(or (any )?later|or newer)( version)?"
     named = [(label, key, name, versions) for label, key, names, versions in FAMILIES for name in names]
     for label, key, name, versions in named:
@@ -319,18 +333,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             f"struct({_literal(label)} as label, {_needed(needs)} as needs, {_literal(_spaced(pattern))} as pattern, {priority} as priority, {confidence}D as confidence, {i} as rule)"
         )
     families = ", ".join(f"struct({_literal(f' {key} ')} as word, array({', '.join(own)}) as rules)" for key, own in by_key.items())
-    gate = f"s rlike {_literal(' (?:' + '|'.join(KEYWORDS) + ') ')}"
+    # A set lookup per word: an alternation of a hundred words would be tried at every word.
+    gate = f"arrays_overlap(split(s, '  ?'), array({', '.join(map(_literal, KEYWORDS))}))"
     present = f"flatten(transform(filter(array({families}), f -> contains(s, f.word)), f -> f.rules))"
     hit = "forall(r.needs, k -> contains(s, k)) and s rlike r.pattern"
     tried = texts.withColumn("tried", F.expr(f"if({gate}, filter({present}, r -> {hit}), null)"))
     interval = "struct(r.label as label, x.start as start, x.stop as stop, r.priority as priority, r.confidence as confidence, r.rule as rule)"
     finds = f"flatten(transform(tried, r -> transform({_finds('r.pattern')}, x -> {interval})))"
     found = tried.withColumn("finds", F.expr(f"if(tried is null, null, {finds})"))
-    beats = (
-        "y.start <= x.start and y.stop >= x.stop and (y.priority > x.priority or (y.priority = x.priority and "
-        "(y.stop - y.start > x.stop - x.start or (y.start = x.start and y.stop = x.stop and y.rule < x.rule))))"
-    )
-    alive = f"filter(finds, x -> not exists(finds, y -> {beats}))"
+    # Finds in order of their starts, of equal ones the longest and strongest first: what contains a find then stands before it, and it is enough to know how far the finds of
+    # each priority reach so far. One step per find, whatever their number.
+    ranks = sorted({r[3] for r in RULES})
+    key = "struct(x.start as a, -x.stop as b, -x.priority as c, x.rule as d, x as x)"
+    ordered = f"transform(array_sort(transform(finds, x -> {key})), k -> k.x)"
+    place = f"array_position(array({', '.join(map(str, ranks))}), x.priority)"
+    held = f"exists(slice(a.reach, cast({place} as int), {len(ranks)}), r -> r >= x.stop)"
+    reach = f"transform(a.reach, (r, i) -> if(i + 1 = {place} and r < x.stop, x.stop, r))"
+    zero_reach = f"array_repeat(-1L, {len(ranks)})"
+    typed = "cast(array() as array<struct<label:string,start:bigint,stop:bigint,priority:int,confidence:double,rule:int>>)"
+    step = f"struct({reach} as reach, if({held}, a.kept, concat(a.kept, array(x))) as kept)"
+    alive = f"aggregate({ordered}, struct({zero_reach} as reach, {typed} as kept), (a, x) -> {step}, a -> a.kept)"
     order = "struct(x.start as start, x.stop as stop, x.label as label, x.priority as priority, x.confidence as confidence)"
     empty = "cast(array() as array<struct<start:bigint,stop:bigint,label:string,priority:int,confidence:double>>)"
     return found.select(

@@ -92,3 +92,31 @@ def test_a_body_outranks_the_names_inside_it(spark):
     apache = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."
     rows = license_scan.scan(spark.createDataFrame([(1, body), (2, apache), (3, None)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [[(d.label, d.start) for d in r.detections] for r in rows] == [[("mit", 0)], [("apache-2", 0)], []]
+
+
+ISC = "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        (ISC + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES', {"isc"}),
+        (ISC + ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED', {"curl"}),
+        ("SPDX-License-Identifier: MIT", {"mit"}),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later", {"gpl-2+"}),
+        ("GPLv3", {"gpl-3"}),
+        ("GPLv2 or later", {"gpl-2+"}),
+        ("LGPLv2.1", {"lgpl-2.1"}),
+        ("the Apache helicopter", set()),
+    ],
+)
+def test_wordings_that_differ_in_little(spark, text, labels):
+    found = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().detections
+    assert {d.label for d in found} == labels
+
+
+def test_many_finds_in_one_text_and_an_empty_table(spark):
+    many = spark.createDataFrame([(1, "gnu gpl version 2 and " * 4000)], "doc_id long, text string")
+    found = license_scan.scan(many).first()
+    assert found.n_words == 20_000 and len(found.detections) == 4000 and {d.label for d in found.detections} == {"gpl-2"}
+    assert license_scan.scan(many.limit(0)).count() == 0
