@@ -60,7 +60,17 @@ def ratified(proposed: DataFrame, known: DataFrame, key: list[str]) -> DataFrame
     return proposed.join(told, key, "left").withColumn("state", F.when(F.col("_known"), "ratified").otherwise("proposed")).drop("_known")
 
 
+#: Digits that hold any rank of 64 bits in base 255.
+PLACES = 8
+
+
 def digits(rank, base: int = 255):
-    """A rank from 1 as digits of ``base``, the highest first, joined by dots."""
-    above = F.floor((rank - 1) / base)
-    return F.when(above > 0, F.concat(above.cast("string"), F.lit("."), (F.pmod(rank - 1, F.lit(base)) + 1).cast("string"))).otherwise(rank.cast("string"))
+    """A rank from 1 as digits from 1 to ``base``, the highest first, joined by dots; as many as it needs."""
+
+    def place(a, _):
+        low = F.pmod(a["rest"] - 1, F.lit(base))
+        text = F.concat((low + 1).cast("string"), F.when(a["text"] == "", F.lit("")).otherwise(F.concat(F.lit("."), a["text"])))
+        return F.when(a["rest"] > 0, F.struct(((a["rest"] - 1 - low) / base).cast("long").alias("rest"), text.alias("text"))).otherwise(a)
+
+    start = F.struct(rank.cast("long").alias("rest"), F.lit("").alias("text"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(PLACES)), start, place, lambda a: F.when(rank.isNotNull(), a["text"]))

@@ -295,18 +295,23 @@ def string_quotes(spark, sf):
     return table(spark, sf, "part").select("p_partkey", trivia.leading_quote(literal).alias("opening"), trivia.raw_contents(literal).alias("inner"))
 
 
-@query("SELECT op, rank FROM (VALUES ('or', 4), ('and', 5), ('not', 6), ('==', 7), ('|', 8), ('+', 12), ('*', 13), ('**', 15), ('?', NULL)) v(op, rank)")
+OPERATORS = ["or", "and", "not", "==", "|", "+", "*", "**", "?"]
+
+
+@query("SELECT p_partkey, op, rank FROM part JOIN (VALUES (0, 'or', 4), (1, 'and', 5), (2, 'not', 6), (3, '==', 7), (4, '|', 8), (5, '+', 12), (6, '*', 13), (7, '**', 15), (8, '?', 0)) v(i, op, rank) ON p_size % 9 = i")
 def operator_precedence(spark, sf):
-    asked = spark.createDataFrame([(x,) for x in ("or", "and", "not", "==", "|", "+", "*", "**", "?")], "op string")
-    return asked.select("op", trivia.precedence(F.col("op")).alias("rank"))
+    """The rank of an operator that a part's size picks, 0 for what is none."""
+    op = F.element_at(F.array(*map(F.lit, OPERATORS)), (F.col("p_size") % 9 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", op.alias("op")).withColumn("rank", F.coalesce(trivia.precedence(F.col("op")), F.lit(0)))
 
 
-@query("SELECT code, CASE WHEN regexp_matches(code, '^PLW?[0-9CERW]') THEN 'pylint' WHEN regexp_matches(code, '^FURB') THEN 'refurbishment' WHEN regexp_matches(code, '^UP[0-9]') THEN 'upgrades' WHEN regexp_matches(code, '^SIM') THEN 'simplification' WHEN regexp_matches(code, '^S[0-9]') THEN 'security' ELSE 'other' END AS origin FROM (VALUES " + ", ".join(f"('{c}')" for c, *_ in CASES) + ") v(code)")
+@query("SELECT p_partkey, code, CASE WHEN regexp_matches(code, '^PLW?[0-9CERW]') THEN 'pylint' WHEN regexp_matches(code, '^FURB') THEN 'refurbishment' WHEN regexp_matches(code, '^UP[0-9]') THEN 'upgrades' WHEN regexp_matches(code, '^SIM') THEN 'simplification' WHEN regexp_matches(code, '^S[0-9]') THEN 'security' ELSE 'other' END AS origin FROM part JOIN (VALUES " + ", ".join(f"({i}, '{c}')" for i, (c, *_) in enumerate(CASES)) + f") v(i, code) ON p_partkey % {len(CASES)} = i")
 def rule_origins(spark, sf):
-    """The table of rules with their families."""
-    codes = spark.createDataFrame([(c,) for c, *_ in CASES], "code string")
+    """The family of a rule that a part's number picks."""
+    code = F.element_at(F.array(*[F.lit(c) for c, *_ in CASES]), (F.col("p_partkey") % len(CASES) + 1).cast("int"))
+    of = table(spark, sf, "part").select("p_partkey", code.alias("code"))
     found = trivia.origin(F.col("code"))
-    return codes.select("code", F.when(found.isin("pylint", "refurbishment", "upgrades", "simplification", "security"), found).otherwise("other").alias("origin"))
+    return of.select("p_partkey", "code", F.when(found.isin("pylint", "refurbishment", "upgrades", "simplification", "security"), found).otherwise("other").alias("origin"))
 
 
 # --- editor questions and classes on generated sources

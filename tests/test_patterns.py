@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.names import fnv64
-from quarry.operators import codemods, dataflow, exports, globs, namefilter, prefixes, treepatterns
+from quarry.operators import bundles, codemods, dataflow, exports, globs, namefilter, prefixes, treepatterns
 from quarry.sources import files as file_sources
 from quarry.streaming import changes, refine
 
@@ -325,3 +325,12 @@ def test_name_filters_miss_nothing_and_skip_most(spark):
     changed = files.withColumn("text", F.when(F.col("path") == "abc.py", "changed = 1").otherwise(F.col("text")))
     kept = {r.path for r in namefilter.files_to_parse(changed, stored, ["größe1"]).collect()}
     assert {"word.py", "abc.py"} <= kept and len(kept) < 0.1 * len(texts)
+
+
+def test_addresses_of_any_rank(spark):
+    def plain(rank):
+        return plain((rank - 1) // 255) + [(rank - 1) % 255 + 1] if rank else []
+
+    ranks = [1, 254, 255, 256, 510, 511, 65280, 65281, 65282, 16_646_655, 16_646_656, 2**62]
+    got = spark.createDataFrame([(r,) for r in [*ranks, None]], "r long").select("r", bundles.digits(F.col("r")).alias("a")).collect()
+    assert {r.r: r.a for r in got} == {r: ".".join(map(str, plain(r))) for r in ranks} | {None: None}
