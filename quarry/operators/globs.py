@@ -1,9 +1,10 @@
 """Patterns of paths as tables: which of thousands of globs hold for which paths.
 
-A glob is cut into its alternatives (``{a,b}``), and of each alternative the most telling fixed part becomes its key: the whole path, the folders before the first
-wildcard, the names after the last one, or up to ``KEY`` characters that the last name begins or ends with. A path has as keys all its folders, all its
-trailing names and the beginnings and endings of its last name: the nodes that a trie of prefixes and one of suffixes would lead it through. Paths and globs
-meet by an equi-join on these keys, so that a path is tried only against globs whose fixed part it has; the regular expression of the glob decides.
+A glob is cut into its alternatives (``{a,b}``), and the fixed parts of each alternative are its keys: the whole path, the folders before the first
+wildcard, the names after the last one, whole names between wildcards, and up to ``KEY`` characters that the last name begins or ends with. A path has as keys all its folders, names and
+trailing names and the beginnings and endings of its last name: the nodes that a trie of prefixes and one of suffixes would lead it through. The paths under each
+key are counted, and an alternative waits under its rarest one; if one of its keys has no path it holds nowhere. Paths and globs
+meet by an equi-join on these keys, so that a path is tried only against globs whose rarest fixed part it has; the regular expression of the glob decides.
 
 Globs: ``*`` and ``?`` stay within a name, ``**`` spans folders, ``[ab]`` and ``[!ab]`` are classes, ``{a,b}`` alternatives, a backslash makes the next character plain. A glob without a slash is tried
 on the last name. A glob without any fixed part meets every path, as it must. Null paths and null or empty globs match nothing.
@@ -35,8 +36,8 @@ def alternatives(glob: str) -> list[str]:
     return list(dict.fromkeys(x for part in found.group(1).split(",") for x in alternatives(before + part + after)))
 
 
-def parsed(glob: str) -> tuple[str, str]:
-    """(regular expression over the whole path, key) of a glob without alternatives."""
+def parsed(glob: str) -> tuple[str, list[str]]:
+    """(regular expression over the whole path, keys) of a glob without alternatives."""
     if "/" not in glob:
         glob = "**/" + glob
     # Pieces: plain text, or a wildcard's expression. '**/' ends at a name's beginning.
@@ -62,7 +63,7 @@ def parsed(glob: str) -> tuple[str, str]:
     wild = [k for k, (plain, _) in enumerate(pieces) if not plain]
     text = lambda some: "".join(p for _, p in some)
     if not wild:
-        return expression, "x:" + text(pieces)
+        return expression, ["x:" + text(pieces)]
     head, tail, last = text(pieces[: wild[0]]), text(pieces[wild[-1] + 1 :]), pieces[wild[-1]][1]
     keys = [("d:", head.rpartition("/")[0])]
     if last == "(?:.*/)?":
@@ -77,21 +78,27 @@ def parsed(glob: str) -> tuple[str, str]:
     if begins and all(plain or not p.startswith(".") for plain, p in name):
         opening = next((k for k, (plain, _) in enumerate(name) if not plain), len(name))
         keys.append(("h:", text(name[:opening])[:KEY]))
-    kind, key = max(keys, key=lambda x: len(x[1]))
-    return expression, kind + key if key else "n:"
+    # Names without a wildcard, wherever they stand.
+    name, whole = "", True
+    for plain, p in [*pieces, (True, "/")]:
+        if p == "(?:.*/)?" or plain and p == "/":
+            keys += [("c:", name)] if whole else []
+            name, whole = "", True
+        else:
+            name, whole = name + p, whole and plain
+    return expression, list(dict.fromkeys(kind + key for kind, key in keys if key)) or ["n:"]
 
 
 def compiled(patterns: DataFrame, glob_col: str = "glob") -> DataFrame:
-    """``patterns`` with ``_key``, ``_regex`` and ``_salt``, a row per alternative, as a written table."""
+    """``patterns`` with ``_alternative``, ``_keys`` and ``_regex``, a row per alternative, as a written table."""
     ship(patterns.sparkSession)
 
-    @F.pandas_udf("array<struct<_key:string,_regex:string>>")
+    @F.pandas_udf("array<struct<_alternative:int,_keys:array<string>,_regex:string>>")
     def parts(globs: pd.Series) -> pd.Series:
-        return globs.map(lambda g: [{"_key": k, "_regex": r} for r, k in map(parsed, alternatives(g))] if g else [])
+        return globs.map(lambda g: [{"_alternative": i, "_keys": k, "_regex": r} for i, (r, k) in enumerate(map(parsed, alternatives(g)))] if g else [])
 
     each = patterns.withColumn("_p", F.explode(parts(F.coalesce(F.col(glob_col), F.lit("")))))
-    salted = each.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return written(salted.select(*patterns.columns, "_p.*", "_salt"))
+    return written(each.select(*patterns.columns, "_p.*"))
 
 
 def path_keys(path: Column) -> Column:
@@ -104,7 +111,7 @@ def path_keys(path: Column) -> Column:
     folders = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.array().cast("array<string>"))
     trailing = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "/"))
     return F.array_distinct(F.concat(
-        F.array(F.lit("n:"), F.concat(F.lit("x:"), path)), with_kind("d:", folders), with_kind("t:", trailing),
+        F.array(F.lit("n:"), F.concat(F.lit("x:"), path)), with_kind("d:", folders), with_kind("t:", trailing), with_kind("c:", parts),
         with_kind("e:", F.transform(lengths, lambda i: F.right(name, i))), with_kind("h:", F.transform(lengths, lambda i: F.left(name, i))),
     ))
 
@@ -112,9 +119,18 @@ def path_keys(path: Column) -> Column:
 def matches(paths: DataFrame, patterns: DataFrame, glob_col: str = "glob", path_col: str = "path") -> DataFrame:
     """(path, columns of ``patterns``): each distinct path with each row of ``patterns`` whose glob holds for it, once."""
     of = compiled(patterns.withColumn("_row", F.monotonically_increasing_id()), glob_col)
+    asked = of.select(F.explode("_keys").alias("_key")).distinct()
     distinct = paths.select(F.col(path_col).alias("_path")).where("_path is not null").distinct()
-    keyed = distinct.select("_path", F.pmod(F.xxhash64("_path"), F.lit(SALT)).cast("int").alias("_salt"), F.explode(path_keys(F.col("_path"))).alias("_key"))
-    found = keyed.join(of, ["_key", "_salt"]).where(F.rlike("_path", F.col("_regex")))
+    keyed = written(distinct.select("_path", F.explode(path_keys(F.col("_path"))).alias("_key")).join(asked, "_key"))
+    rarity = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    each = of.select("_row", "_alternative", F.size("_keys").alias("_all"), F.explode("_keys").alias("_key")).join(rarity, "_key")
+    rarest = each.groupBy("_row", "_alternative", "_all").agg(F.min_by("_key", F.struct("_n", "_key")).alias("_key"), F.count(F.lit(1)).alias("_found")).where("_found = _all")
+    placed = of.join(rarest.select("_row", "_alternative", "_key"), ["_row", "_alternative"]).drop("_keys")
+    salted = placed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    dealt = keyed.withColumn("_salt", F.pmod(F.xxhash64("_path"), F.lit(SALT)).cast("int"))
+    # A merge join goes through the paths of a key glob by glob, so that an expression is compiled once a key and part; the parts are many, as few bytes make many pairs.
+    parts = 4 * paths.sparkSession.sparkContext.defaultParallelism
+    found = salted.repartition(parts, "_key", "_salt").hint("merge").join(dealt.repartition(parts, "_key", "_salt"), ["_key", "_salt"]).where(F.rlike("_path", F.col("_regex")))
     # A row can hold by several alternatives.
     return found.dropDuplicates(["_path", "_row"]).select(F.col("_path").alias(path_col), *patterns.columns)
 
