@@ -24,7 +24,7 @@ from quarry.shipping import ship
 #: Characters of a last name's beginning or ending that a key holds at most.
 KEY = 8
 #: Parts that the rows of one key are dealt to; globs, the smaller side, are repeated for each.
-SALT = 8
+SALT = 32
 
 
 def alternatives(glob: str) -> list[str]:
