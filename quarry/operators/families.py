@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.rel import cut
@@ -47,21 +47,70 @@ def top(rows: DataFrame, value: str, k: int) -> DataFrame:
     return histogram(rows, value).orderBy(F.desc("n"), value).limit(k)
 
 
+#: Names longer than this have too many shortened forms for the second round.
+LONGEST = 32
+
+
+def _shortened(value: Column, times: int) -> Column:
+    """Digests of the distinct forms of a text with at most ``times`` characters left out."""
+    held = F.array(value)
+    for _ in range(times):
+        one_less = F.flatten(
+            F.transform(held, lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))))
+        )
+        held = F.array_distinct(F.concat(held, one_less))
+    return F.array_distinct(F.transform(held, lambda s: F.xxhash64(s)))
+
+
+def _within(asked: DataFrame, listed: DataFrame, most: int) -> DataFrame:
+    """(a, best) of the names that some candidate is at most ``most`` edits from; every candidate that near is compared.
+
+    Two texts at most k edits apart have a form in common with at most k characters left out of each, so an equi-join of these forms loses
+    none, and what meets there is at most 2k edits apart: a group holds near texts alone, however frequent a part of a name is.
+    """
+    left, right = (df.select(c, F.explode(_shortened(F.col(c), most)).alias("form")) for df, c in ((asked, "a"), (listed, "c")))
+    met = left.join(right, "form").withColumn("d", F.levenshtein("a", "c", most)).filter("d >= 0")
+    return met.groupBy("a").agg(F.min(F.struct("d", "c")).alias("best"))
+
+
+def _nearer(best: Column, c: Column) -> Column:
+    d = F.levenshtein(F.col("a"), c)
+    return F.when((F.abs(F.length("a") - F.length(c)) < best.d) & (d < best.d), F.struct(d.alias("d"), c.alias("c"))).otherwise(best)
+
+
+def _by_blocks(asked: DataFrame, listed: DataFrame, n: int, block: int) -> DataFrame:
+    """(a, best) over all candidates, of which a task holds one block at a time; a candidate whose length alone sets it too far off is not compared."""
+    parts, found = 1 + (n - 1) // block, None
+    for part in range(parts):
+        held = sorted(listed.filter(F.pmod(F.xxhash64("c"), F.lit(parts)) == part).toArrow().column("c").to_pylist())
+        if not held:
+            continue
+        # In order, so that a later candidate has to be nearer.
+        start = F.struct(F.levenshtein(F.col("a"), F.lit(held[0])).alias("d"), F.lit(held[0]).alias("c"))
+        folded = F.reduce(F.lit(held[1:]), start, _nearer) if held[1:] else start
+        one = cut(asked.select("a", folded.alias("best")))
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("a").agg(F.min("best").alias("best")) if parts > 1 else found
+
+
 def nearest(names: DataFrame, candidates: DataFrame, name: str, candidate: str, block: int = 5_000) -> DataFrame:
     """Each distinct name with the candidate of least edit distance; ties go to the candidate that sorts first.
 
-    The distinct candidates are written and taken in blocks of about ``block``, of which a task holds one; any number of them is compared.
+    Up to ``block`` candidates are compared in one narrow pass. Of more, names first meet the candidates one edit away, those that met none
+    the candidates two edits away, both by joins of shortened forms; only names with nothing that near are compared with all candidates, block by block.
+    A null name has no distance; without candidates, nearest and distance are null.
     """
     listed = cut(candidates.select(F.col(candidate).alias("c")).filter("c is not null").distinct())
-    parts = 1 + listed.count() // block
-    asked = cut(names.select(name).distinct())
-    found = None
-    for part in range(parts):
-        held = listed.filter(F.pmod(F.xxhash64("c"), F.lit(parts)) == part).toArrow().column("c").to_pylist()
-        scored = F.array(*[F.struct(F.levenshtein(F.col(name), F.lit(c)).alias("d"), F.lit(c).alias("c")) for c in sorted(held)])
-        if held:
-            one = cut(asked.select(name, F.array_min(scored).alias("best")))
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        return asked.select(name, F.lit(None).cast("string").alias("nearest"), F.lit(None).cast("int").alias("distance"))
-    return found.groupBy(name).agg(F.min("best").alias("best")).select(name, F.col("best.c").alias("nearest"), F.col("best.d").alias("distance"))
+    n = listed.count()
+    rest = names.select(F.col(name).alias("a")).distinct()
+    found = rest.filter("a is null" if n else "true").select("a", F.lit(None).cast("struct<d:int,c:string>").alias("best"))
+    if n:
+        rest = cut(rest.filter("a is not null"))
+        if n > block:
+            for most, longest in ((1, None), (2, LONGEST)):
+                some = rest if longest is None else rest.filter(F.length("a") <= longest)
+                near = listed if longest is None else listed.filter(F.length("c") <= longest + most)
+                met = cut(_within(some, near, most))
+                found, rest = found.unionByName(met), cut(rest.join(met, "a", "left_anti"))
+        found = found.unionByName(_by_blocks(rest, listed, n, block))
+    return found.select(F.col("a").alias(name), F.col("best.c").alias("nearest"), F.col("best.d").alias("distance"))

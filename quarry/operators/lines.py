@@ -22,14 +22,30 @@ TASK_TAG = r"\b(TODO|FIXME|XXX|HACK|BUG)\b"
 COPYRIGHT = r"(?i)copyright\s+((?:\(c\)|©)\s+)?((\d{4}|present)(-(\d{4}|present))*)"
 
 
+#: Lines of which the running sum of lengths is built in one go; a text's sums cost lines times RUN at most, and its runs are few.
+RUN = 128
+
+
+def _running(sizes: str) -> Column:
+    """The sums of what stands before each member of an array of bigints, run by run, so that no array is copied once per member of a long text."""
+    whole = F.expr(f"transform(sequence(0, cast((size({sizes}) - 1) div {RUN} as int)), j -> transform(sequence(j * {RUN} + 1, least(size({sizes}), (j + 1) * {RUN})), i -> element_at({sizes}, i)))")
+    before = F.reduce(whole, F.array(F.lit(0).cast("long")), lambda a, run: F.array_append(a, F.element_at(a, -1) + F.reduce(run, F.lit(0).cast("long"), lambda x, y: x + y)))
+    inside = F.zip_with(whole, before, lambda run, base: F.when(run.isNotNull(), F.reduce(run, F.array(base), lambda a, x: F.array_append(a, F.element_at(a, -1) + x), lambda a: F.slice(a, 1, F.size(run)))))
+    return F.flatten(F.filter(inside, lambda x: x.isNotNull()))
+
+
 def lines(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """(key, line_no from 1, start as a byte offset, line, last) of every text; a final line feed opens no further line."""
+    """(key, line_no from 1, start as a byte offset, line, last) of every text; a final line feed opens no further line.
+
+    Offsets are summed inside the row, without a shuffle, and so each of several texts of one key has its own.
+    """
     parts = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
-    each = files.filter(F.col(text).isNotNull()).select(key, F.posexplode(parts).alias("i", "line"), F.size(parts).alias("n"))
-    kept = each.filter("i < n - 1 or line <> ''")
-    window = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("line") + 1).over(window), F.lit(0))
-    return kept.select(key, (F.col("i") + 1).alias("line_no"), start.alias("start"), "line", (F.col("i") == F.col("n") - 1).alias("last"))
+    cut = files.filter(F.col(text).isNotNull()).select(key, parts.alias("parts"))
+    # The number of lines is taken below the generator, which would otherwise copy all parts into each of its rows.
+    sized = cut.select(key, "parts", F.size("parts").alias("n"), F.transform("parts", lambda x: F.octet_length(x).cast("long") + 1).alias("sizes"))
+    each = sized.select(key, "n", F.posexplode(F.arrays_zip("parts", _running("sizes").alias("starts"))).alias("i", "one"))
+    kept = each.select(key, "i", "n", F.col("one.parts").alias("line"), F.col("one.starts").alias("start")).filter("i < n - 1 or line <> ''")
+    return kept.select(key, (F.col("i") + 1).alias("line_no"), "start", "line", (F.col("i") == F.col("n") - 1).alias("last"))
 
 
 def split_lines(files: DataFrame, key: str, text: str) -> DataFrame:

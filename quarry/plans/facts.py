@@ -253,6 +253,16 @@ def did_you_mean(spark, sf):
     return families.nearest(part, part, "p_name", "p_type")
 
 
+@query("""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark), c AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS known FROM conversations),
+x AS (SELECT word, known, levenshtein(word, known) AS d FROM n, c)
+SELECT word, arg_min(known, (d, known)) AS nearest, min(d)::INT AS distance FROM x GROUP BY word""")
+def nearest_words(spark, sf):
+    """Every word of the benchmark with the nearest word of the conversations: near ones by shortened forms, the rest in blocks."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    asked, known = (table(spark, sf, name).select(words.alias(column)) for name, column in (("benchmark", "word"), ("conversations", "known")))
+    return families.nearest(asked, known, "word", "known")
+
+
 @query("SELECT n_nationkey, '{\"source\":{\"corpus\":\"star\",\"signature\":\"n:' || n_nationkey || '\"},\"fact_name\":\"/name\",\"fact_value\":\"' || base64(encode(n_name)) || '\"}' AS entry FROM nation")
 def kythe_export(spark, sf):
     facts = table(spark, sf, "nation").select(

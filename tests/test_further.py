@@ -1,11 +1,15 @@
 """Resolution, bundles, trivia and graphs on small tables, beyond what the registered queries show."""
 
+import random
+import re
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import names, trivia
-from quarry.operators import bundles, families, graph, rel, resolve
+from quarry.operators import bundles, families, graph, lines, rel, resolve
 
 
 def rows(df):
@@ -33,6 +37,49 @@ def test_nearest_compares_every_candidate(spark):
     assert rows(families.nearest(ask, known.limit(0), "n", "c")) == sorted(((a, None, None) for a in asked), key=repr)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        before, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(before[j] + (x != y), before[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+@pytest.mark.parametrize("block", [9, 5_000])
+def test_nearest_equals_brute_force(spark, block):
+    """Names none, one, two and more edits away, shared beginnings, texts of no and of many characters, characters beyond ASCII, a null."""
+    rng = random.Random(3)
+    held = {"common" + "".join(rng.choices("abß𝄞", k=rng.randint(0, 6))) for _ in range(60)} | {"", "a", "x" * 33, "x" * 34, "y" * 60}
+    asked = {"", "b", "zz", "x" * 30, "x" * 31, "x" * 32, "x" * 35, "x" * 36, "y" * 58, "q" * 50, None}
+    for word in sorted(held):
+        for edits in range(4):
+            letters = list(word)
+            for _ in range(edits):
+                at = rng.randint(0, len(letters))
+                letters[at : at + rng.randint(0, 1)] = rng.choices("abß𝄞c", k=rng.randint(0, 1))
+            asked.add("".join(letters))
+    ask, known = spark.createDataFrame([(a,) for a in asked], "n string"), spark.createDataFrame([(h,) for h in held] * 2 + [(None,)], "c string")
+    got = {r[0]: r[1:] for r in rows(families.nearest(ask, known, "n", "c", block=block))}
+    wanted = {a: min((distance(a, h), h) for h in held) if a is not None else (None, None) for a in asked}
+    assert got == {a: (h, d) for a, (d, h) in wanted.items()}
+
+
+def test_lines_have_their_offsets(spark):
+    """Long and empty texts, every kind of line end, and several texts of one key."""
+    texts = [(1, "\n".join("é" * (i % 7) for i in range(3_000))), (1, "a\n"), (2, ""), (3, "é\r\nb\r\r\n\n"), (4, "\n" * 256), (5, "\n" * 127), (6, None)]
+    wanted = []
+    for key, text in texts:
+        parts, start = re.sub("\r\n?", "\n", text).split("\n") if text is not None else [], 0
+        for i, line in enumerate(parts):
+            if line or i < len(parts) - 1:
+                wanted.append((key, i + 1, start, line, i == len(parts) - 1))
+            start += len(line.encode()) + 1
+    found = lines.lines(spark.createDataFrame(texts, "k int, t string"), "k", "t")
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+
+
 def test_imports_prefer_members_and_sources(spark):
     files = spark.createDataFrame([("a/__init__.py",), ("a/b.py",), ("a/b.pyi",), ("c.pyi",)], "path string")
     asked = spark.createDataFrame([("a", "b"), ("a", "x"), ("c", None), ("d", None)], "module string, name string")
