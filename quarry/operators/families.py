@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,20 +76,24 @@ def _within(asked: DataFrame, listed: DataFrame, most: int) -> DataFrame:
 
 
 def _nearer(best: Column, c: Column) -> Column:
-    d = F.levenshtein(F.col("a"), c)
-    return F.when((F.abs(F.length("a") - F.length(c)) < best.d) & (d < best.d), F.struct(d.alias("d"), c.alias("c"))).otherwise(best)
+    # With a bound the distance is worked out only as far as it stays below, and is -1 beyond.
+    d = F.call_function("levenshtein", F.col("a"), c, best.d - 1)
+    return F.when((F.abs(F.length("a") - F.length(c)) < best.d) & (d >= 0), F.struct(F.levenshtein(F.col("a"), c).alias("d"), c.alias("c"))).otherwise(best)
 
 
 def _by_blocks(asked: DataFrame, listed: DataFrame, n: int, block: int) -> DataFrame:
     """(a, best) over all candidates, of which a task holds one block at a time; a candidate whose length alone sets it too far off is not compared."""
     parts, found = 1 + (n - 1) // block, None
+    # A name may take a block's worth of comparisons, so that few bytes of names are much work.
+    asked = asked.repartition(asked.sparkSession.sparkContext.defaultParallelism * 4)
     for part in range(parts):
         held = sorted(listed.filter(F.pmod(F.xxhash64("c"), F.lit(parts)) == part).toArrow().column("c").to_pylist())
         if not held:
             continue
         # In order, so that a later candidate has to be nearer.
         start = F.struct(F.levenshtein(F.col("a"), F.lit(held[0])).alias("d"), F.lit(held[0]).alias("c"))
-        folded = F.reduce(F.lit(held[1:]), start, _nearer) if held[1:] else start
+        # One literal, since as many as there are candidates take long to hand over.
+        folded = F.reduce(F.from_json(F.lit(json.dumps(held[1:])), "array<string>"), start, _nearer)
         one = cut(asked.select("a", folded.alias("best")))
         found = one if found is None else found.unionByName(one)
     return found.groupBy("a").agg(F.min("best").alias("best")) if parts > 1 else found
