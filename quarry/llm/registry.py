@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_model": language_model.query,
     "op9_decontamination": decontamination.query,
     "op10_quality_rules": quality_rules.query,
+    "quality_ablation": quality_rules.ablation_query,
     "op11_impact_search": impact_index.query,
     "op12_lloyd": lloyd.query,
     "op13_bpe_automaton": bpe_automaton.query,
@@ -25,6 +26,7 @@ ORACLES = {
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
+    "quality_ablation": quality_rules.ABLATION_SQL,
     "op11_impact_search": impact_index.ORACLE_SQL,
     "op12_lloyd": lloyd.ORACLE_SQL,
 }

@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import html_text, license_scan, quality_rules, token_counts, toxicity
@@ -35,6 +36,34 @@ def test_quality_counts(odd_docs):
         assert tuple(r[n] for n in names) == plain_quality(r.text)
 
 
+def test_further_quality_counts(odd_docs, spark):
+    """Words and lines of every kind, among them lines of white space and letters that look like others."""
+    texts = ["The ſ be BE thé\nTo, of…\n", "- a...\n\t• b…  \r\n-\n* \u2028c.\n \n", "{x} {} \u017fthe 12 3.\u0085\n“Yes.”\rno!\n", "12 34 ٣ é Ω\u212a"]
+    docs = odd_docs.select("text").union(spark.createDataFrame([(t,) for t in texts], "text string"))
+    ledger = quality_rules.ledger(docs.withColumn("doc_id", F.lit(1)), carry=True)
+    for r in ledger.collect():
+        text = r.row.text or ""
+        words, lines = SPACE.findall(text), [x.rstrip(" \t\r") for x in text.split("\n") if SPACE.search(x)]
+        assert r.n_stop_words == sum(lower(w) in quality_rules.STOP_WORDS for w in words)
+        assert r.n_lettered == sum(any(c > "\x7f" or c.isalpha() for c in w) for w in words)
+        assert r.n_bullets == sum(x.lstrip(" \t")[:1] in ("-", "*", "•") and x.lstrip(" \t") != "" for x in lines)
+        assert r.n_ellipses == sum(x.endswith(("...", "…")) for x in lines)
+        assert r.n_ended == sum(x.endswith((".", "!", "?", '"', "”", "。", "！", "？")) for x in lines)
+        assert r.n_braces == text.count("{") + text.count("}")
+
+
+def test_a_stored_ledger_serves_every_policy(odd_docs):
+    stored = quality_rules.store(odd_docs)
+    assert stored.inputFiles()
+    bits = [r.failed_bits for r in stored.collect()]
+    for policy in quality_rules.POLICIES:
+        mask = quality_rules.policy_mask(policy) | quality_rules.policy_mask("base")
+        assert quality_rules.apply_policy(stored, policy).filter("kept").count() == sum(b & mask == 0 for b in bits)
+        assert quality_rules.keep(odd_docs, policy).count() == sum(b & mask == 0 for b in bits)
+    plan = quality_rules.keep(odd_docs, "v1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "[-*•]" not in plan and "[-*•]" in quality_rules.keep(odd_docs, "v2")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_quality_policy_keeps_columns_and_drops_failures(odd_docs, no_docs):
     kept = quality_rules.keep(odd_docs)
     assert kept.columns == odd_docs.columns
@@ -45,9 +74,11 @@ def test_quality_policy_keeps_columns_and_drops_failures(odd_docs, no_docs):
 def test_ablation_counts_what_one_rule_alone_rejects(odd_docs):
     ledger = quality_rules.ledger(odd_docs)
     bits = [r.failed_bits for r in ledger.collect()]
-    for r in quality_rules.ablation(ledger).collect():
-        bit = quality_rules.BIT[r.rule]
-        assert (r.n_docs, r.n_failed, r.n_only) == (len(bits), sum(b & bit > 0 for b in bits), sum(b == bit for b in bits))
+    for policy in ("v1", "v2"):
+        mask = quality_rules.policy_mask(policy)
+        for r in quality_rules.ablation(ledger, policy).collect():
+            bit = quality_rules.BIT[r.rule]
+            assert (r.n_docs, r.n_failed, r.n_only) == (len(bits), sum(b & bit > 0 for b in bits), sum(b & mask == bit for b in bits))
 
 
 def test_token_counts_are_the_library_s(odd_docs, no_docs):
