@@ -4,14 +4,18 @@ Counts: every word of every training text is counted (a task counts its words, S
 gives the base score ``sum log10((c + 1) / (N + V + 1))``. A word is known by 64 bits: 57 of its hash and
 7 of its *class*, a number made from its first letters.
 
-Model: a symbol is a *head* (one of the ``HEADS`` most frequent words, or the end) or the class of any other
-word. The log-bilinear network predicts the next symbol from the vectors of the two before:
-``s(w | u, v) = (C1[v] + C2[u]) . R[w] + b[w]``. It is trained in numpy by noise-contrastive estimation
-against the symbol counts: every task takes one pass over all its training texts from the same start, and the
-tasks' parameters are averaged by tokens. Normalisers of all symbol pairs come from batched matrix
-products, so probabilities are exact and scoring is a table lookup. Within a class a word has
-``(c + 1) / (class tokens + class words + 1)``; heads and classes with their words and one unknown word
-each sum to 1.
+Model: a symbol is a *head*, the end, or the class of any other word. Heads are all words that occur ``HEAD_COUNT``
+times or more, so their number grows with the corpus (at least the ``HEADS`` and at most the ``MAX_HEADS`` most frequent words).
+Symbols are ordered by frequency and cut into about as many groups as a group has symbols, by equal sums of the roots of
+their shares. The log-bilinear network predicts the next symbol's group, then the symbol within its group, from the vectors of the two
+symbols before: ``s(x | u, v) = (C1[v] + C2[u]) . R[x] + b[x]``. Both levels are trained in numpy by noise-contrastive estimation,
+against the groups' and the group's own symbol counts. Normalisers of both levels come from batched matrix products, so
+probabilities are exact and a token costs about ``2 * sqrt(symbols)`` products. Within a class a word has
+``(c + 1) / (class tokens + class words + 1)``; heads and classes with their words and one unknown word each sum to 1.
+
+Training texts are dealt by a hash of id and text to shards, one per ``SHARD_TOKENS`` training tokens (at most ``SHARDS``), and read
+in the order of that hash; every shard takes one pass from the same start, and the shards' parameters are
+averaged by tokens in the order of shards. So the fit depends on the rows alone, not on how the input is split.
 
 Words with at least the cut-off count are looked up in a broadcast table of at most ``TOP`` entries;
 the cut-off is read from a histogram of counts, so it is exact at any size. The rare words of a text
@@ -38,14 +42,17 @@ from pyspark.sql import functions as F
 from quarry.llm.common import crc_mod, map_arrow, save, space_words, table, text_bytes
 
 HEADS = 384
+HEAD_COUNT = 200
+MAX_HEADS = 16_384
 CLASSES = 128
-SYMBOLS = HEADS + CLASSES
 DIM = 16
 TOP = 200_000
 NOISE = 32
 BATCH = 4096
 RATE = 0.05
-BLOCKS = 64
+BLOCKS = 256
+SHARD_TOKENS = 4_000_000
+SHARDS = 8192
 #: Tokens handled at a time in a task.
 CHUNK = 400_000
 MEMO = 1_000_000
@@ -110,40 +117,46 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Vocabulary:
-    """The frequent words with their counts, the heads among them, and the class totals."""
+    """The frequent words with their counts, the symbols in order of frequency, and the groups they are cut into."""
 
-    def __init__(self, names: np.ndarray, counts: np.ndarray, class_rows: list[tuple[int, int, int]]):
+    def __init__(self, names: np.ndarray, counts: np.ndarray, ends: int, class_rows: list[tuple[int, int, int]]):
         order = np.argsort(names)
         self.names, self.counts = names[order], counts[order]
-        by_count = np.lexsort((self.names, -self.counts))
-        by_count = by_count[self.names[by_count] != END]
-        heads = by_count[: HEADS - 1]
-        self.symbol = (HEADS + (self.names & np.uint64(127))).astype(np.int32)
-        self.symbol[heads] = np.arange(1, len(heads) + 1)
-        self.symbol[self.names == END] = 0
+        words = np.lexsort((self.names, -self.counts))
+        words = words[self.names[words] != END]
+        frequent = int((self.counts[words] >= HEAD_COUNT).sum())
+        heads = words[: min(max(frequent, HEADS), MAX_HEADS)]
         tokens, types = np.zeros(CLASSES), np.zeros(CLASSES)
         for cls, n, v in class_rows:
             tokens[cls], types[cls] = n, v
-        self.n, self.v = int(tokens.sum()), int(types.sum())
-        taken = self.symbol < HEADS
-        head_class = (self.names[taken] & np.uint64(127)).astype(int)
-        np.subtract.at(tokens, head_class, self.counts[taken])
-        np.subtract.at(types, head_class, 1)
-        self.class_log = np.log10(tokens + types + 1)
-        head_counts = np.zeros(HEADS)
-        head_counts[self.symbol[taken]] = self.counts[taken]
-        symbol_counts = np.r_[head_counts, tokens] + 0.5
-        self.prior = symbol_counts / symbol_counts.sum()
+        self.n, self.v = int(tokens.sum()) + ends, int(types.sum()) + (ends > 0)
+        classes = (self.names & np.uint64(127)).astype(int)
+        np.subtract.at(tokens, classes[heads], self.counts[heads])
+        np.subtract.at(types, classes[heads], 1)
+        mass = np.r_[self.counts[heads], ends, tokens] + 0.5
+        by_mass = np.argsort(-mass, kind="stable")
+        rank = np.empty(len(mass), np.int32)
+        rank[by_mass] = np.arange(len(mass))
+        self.prior = mass[by_mass] / mass.sum()
+        self.end, self.class_symbol = rank[len(heads)], rank[len(heads) + 1 :]
+        self.symbol = self.class_symbol[classes]
+        self.symbol[heads] = rank[: len(heads)]
+        self.symbol[self.names == END] = self.end
+        self.in_class, self.class_log = np.zeros(len(mass), bool), np.zeros(len(mass))
+        self.in_class[self.class_symbol] = True
+        self.class_log[self.class_symbol] = np.log10(tokens + types + 1)
 
     def look_up(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the table (or -1) and symbols."""
-        if not len(self.names):
-            return np.full(len(names), -1), (HEADS + (names & np.uint64(127))).astype(np.int32) * (names != END)
-        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        found = self.names[at] == names
-        symbols = np.where(found, self.symbol[at], HEADS + (names & np.uint64(127)).astype(np.int32))
-        symbols[names == END] = 0
-        return np.where(found, at, -1), symbols
+        symbols = self.class_symbol[(names & np.uint64(127)).astype(int)]
+        found = np.full(len(names), -1)
+        if len(self.names):
+            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+            known = self.names[at] == names
+            found[known] = at[known]
+            symbols[known] = self.symbol[at[known]]
+        symbols[names == END] = self.end
+        return found, symbols
 
 
 def stream(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,96 +171,145 @@ def stream(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bilinear:
+    """Context vectors of symbols, and output vectors of groups (level 0) and of symbols (level 1)."""
+
     def __init__(self, prior: np.ndarray):
-        rng = np.random.default_rng(5)
-        self.near, self.far, self.out = (rng.normal(0, 0.05, (SYMBOLS, DIM)) for _ in range(3))
-        self.bias = np.log(prior)
-        self.prior = prior
+        size, rng = len(prior), np.random.default_rng(5)
+        share = np.sqrt(prior).cumsum()
+        cuts = np.searchsorted(share, share[-1] * np.arange(1, int(np.ceil(np.sqrt(size)))) / np.ceil(np.sqrt(size)))
+        self.edges = np.unique(np.r_[0, cuts, size])
+        self.group = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+        masses = np.add.reduceat(prior, self.edges[:-1])
+        self.prior = [masses, prior / masses[self.group]]
+        self.shapes = [(size, DIM), (size, DIM), (len(masses), DIM), (size, DIM), (len(masses),), (size,)]
+        vectors = [rng.normal(0, 0.05, shape) for shape in self.shapes[:4]]
+        self.place([*vectors, np.log(self.prior[0]), np.log(self.prior[1])])
+        self.speed = [np.full(shape, 1e-6, np.float32) for shape in self.shapes]
+
+    def place(self, parts: list[np.ndarray]) -> None:
+        self.parts = [p.astype(np.float32) for p in parts]
+        self.near, self.far = self.parts[:2]
+        self.out, self.bias = self.parts[2:4], self.parts[4:]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.near.ravel(), self.far.ravel(), self.out.ravel(), self.bias]).astype(np.float32)
+        return np.concatenate([p.ravel() for p in self.parts])
 
     def load(self, flat: np.ndarray) -> None:
-        size = SYMBOLS * DIM
-        parts = flat[:size], flat[size : 2 * size], flat[2 * size : 3 * size]
-        self.near, self.far, self.out = (p.reshape(SYMBOLS, DIM).astype(float) for p in parts)
-        self.bias = flat[3 * size :].astype(float)
-
-    def learn(self, grams: np.ndarray, weights: np.ndarray, speed: dict, rng: np.random.Generator) -> None:
-        """One pass of noise-contrastive estimation over (before last, last, next) symbols with their counts."""
-        for at in np.array_split(rng.permutation(len(grams)), max(1, len(grams) // BATCH)):
+        ends = np.cumsum([np.prod(shape) for shape in self.shapes])[:-1]
+        self.place([p.reshape(shape) for p, shape in zip(np.split(flat, ends), self.shapes, strict=True)])
+
+    def learn(self, grams: np.ndarray, weights: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass over (before last, last, next) symbols with their counts, group by group and for the groups themselves."""
+        target = self.group[grams[:, 2]]
+        work = [(0, 0, at) for at in np.array_split(rng.permutation(len(grams)), len(grams) // BATCH + 1)]
+        order = np.argsort(target, kind="stable")
+        for g, at in zip(np.unique(target), np.split(order, np.flatnonzero(np.diff(target[order])) + 1), strict=True):
+            if self.edges[g + 1] - self.edges[g] > 1:
+                work += [(1, g, part) for part in np.array_split(rng.permutation(at), len(at) // BATCH + 1)]
+        for i in rng.permutation(len(work)):
+            level, g, at = work[i]
             far, near, word = grams[at].T
-            weight = weights[at] / weights[at].sum()
-            noise = rng.choice(SYMBOLS, NOISE, p=self.prior)
-            hidden = self.near[near] + self.far[far]
-            own = np.einsum("bd,bd->b", hidden, self.out[word]) + self.bias[word] - np.log(NOISE * self.prior[word])
-            other = hidden @ self.out[noise].T + self.bias[noise] - np.log(NOISE * self.prior[noise])
-            miss = (1 / (1 + np.exp(-np.clip(own, -30, 30))) - 1) * weight
-            false = weight[:, None] / (1 + np.exp(-np.clip(other, -30, 30)))
-            back = miss[:, None] * self.out[word] + false @ self.out[noise]
-            grads = {
-                "near": summed(near, back), "far": summed(far, back),
-                "out": summed(word, miss[:, None] * hidden) + summed(noise, false.T @ hidden),
-                "bias": np.bincount(word, miss, SYMBOLS) + np.bincount(noise, false.sum(axis=0), SYMBOLS),
-            }
-            for k, g in grads.items():
-                seen = speed.setdefault(k, np.full_like(g, 1e-6))
-                seen += g * g
-                setattr(self, k, getattr(self, k) - RATE * g / np.sqrt(seen))
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores by (last, next) with the bias, by (before last, next), and log normalisers by (before last, last)."""
-        last = (self.near @ self.out.T + self.bias).astype(np.float32)
-        before = (self.far @ self.out.T).astype(np.float32)
-        norm = np.empty((SYMBOLS, SYMBOLS), np.float32)
-        for u in range(SYMBOLS):
-            score = last + before[u]
-            top = score.max(axis=1, keepdims=True)
-            norm[u] = np.log(np.exp(score - top).sum(axis=1)) + top[:, 0]
-        return last, before, norm
-
-
-def summed(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return np.stack([np.bincount(rows, values[:, j], SYMBOLS) for j in range(values.shape[1])], axis=1)
-
-
-def train(docs: DataFrame, vocabulary, text_col: str = "text") -> np.ndarray | None:
-    """Averaged parameters of one pass by every task over its texts."""
+            if level:
+                self._step(far, near, word - self.edges[g], weights[at], 1, slice(self.edges[g], self.edges[g + 1]), rng)
+            else:
+                self._step(far, near, target[at], weights[at], 0, slice(None), rng)
+
+    def _step(self, far, near, word, weight, level: int, span: slice, rng: np.random.Generator) -> None:
+        """One step of noise-contrastive estimation; ``word`` counts from the beginning of ``span``."""
+        prior, out, bias = self.prior[level][span], self.out[level][span], self.bias[level][span]
+        noise = rng.choice(len(prior), NOISE, p=prior / prior.sum())
+        offset = bias - np.log(NOISE * prior)
+        hidden = self.near[near] + self.far[far]
+        own = np.einsum("bd,bd->b", hidden, out[word]) + offset[word]
+        other = hidden @ out[noise].T + offset[noise]
+        weight = weight / weight.sum()
+        miss = (1 / (1 + np.exp(-np.clip(own, -30, 30))) - 1) * weight
+        false = weight[:, None] / (1 + np.exp(-np.clip(other, -30, 30)))
+        back = miss[:, None] * out[word] + false @ out[noise]
+        vectors = summed(word, miss[:, None] * hidden, len(prior)) + summed(noise, false.T @ hidden, len(prior))
+        shifts = np.bincount(word, miss, len(prior)) + np.bincount(noise, false.sum(axis=0), len(prior))
+        for part, symbols in ((0, near), (1, far)):
+            rows, inverse = np.unique(symbols, return_inverse=True)
+            self._move(part, rows, summed(inverse, back, len(rows)))
+        self._move(2 + level, span, vectors)
+        self._move(4 + level, span, shifts)
+
+    def _move(self, part: int, rows, grad: np.ndarray) -> None:
+        self.speed[part][rows] += grad * grad
+        self.parts[part][rows] -= RATE * grad / np.sqrt(self.speed[part][rows])
+
+    def log_probabilities(self, far: np.ndarray, near: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the next symbols' probabilities."""
+        target, found = self.group[word], np.empty(len(word))
+        order = np.argsort(target, kind="stable")
+        for at in np.split(np.arange(len(word)), range(BATCH, len(word), BATCH)):
+            found[at] = self._normalised(far[at], near[at], target[at], 0, slice(None))
+        for same in np.split(order, np.flatnonzero(np.diff(target[order])) + 1) if len(order) else ():
+            first, last = self.edges[target[same[0]]], self.edges[target[same[0]] + 1]
+            for at in np.split(same, range(BATCH, len(same), BATCH)) if last - first > 1 else ():
+                found[at] += self._normalised(far[at], near[at], word[at] - first, 1, slice(first, last))
+        return found
+
+    def _normalised(self, far, near, word, level: int, span: slice) -> np.ndarray:
+        score = (self.near[near] + self.far[far]) @ self.out[level][span].T + self.bias[level][span]
+        top = score.max(axis=1)
+        own = score[np.arange(len(word)), word] - top
+        return own - np.log(np.exp(score - top[:, None]).sum(axis=1))
+
+
+def summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    return np.stack([np.bincount(rows, values[:, j], size) for j in range(values.shape[1])], axis=1)
+
+
+def train(docs: DataFrame, vocabulary, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray | None:
+    """Parameters after one pass by every shard over its texts, averaged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary.value
-        model, words, speed, rng, tokens = Bilinear(vocab.prior), Words(), {}, np.random.default_rng(9), 0
+        model, words, rng, tokens = Bilinear(vocab.prior), Words(), np.random.default_rng(9), 0
+        size = len(vocab.prior)
         for batch in batches:
             for named in chunks(text_bytes(batch.column("t")), words):
                 names, places = stream(named)
                 symbols = vocab.look_up(names)[1].astype(np.int64)
-                grams = (symbols[places - 2] * SYMBOLS + symbols[places - 1]) * SYMBOLS + symbols[places]
+                grams = (symbols[places - 2] * size + symbols[places - 1]) * size + symbols[places]
                 grams, counts = np.unique(grams, return_counts=True)
-                split = np.stack([grams // SYMBOLS**2, grams // SYMBOLS % SYMBOLS, grams % SYMBOLS], axis=1)
-                model.learn(split, counts.astype(float), speed, rng)
+                split = np.stack([grams // size**2, grams // size % size, grams % size], axis=1)
+                model.learn(split, counts.astype(np.float32), rng)
                 tokens += len(places)
         if tokens:
             parts = np.array_split(model.flat(), BLOCKS)
+            shard = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(BLOCKS), pa.int32()), pa.array([tokens] * BLOCKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                ["block", "tokens", "part"],
-            )
+                [
+                    pa.array(range(BLOCKS), pa.int32()), pa.array([shard] * BLOCKS, pa.int32()),
+                    pa.array([tokens] * BLOCKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary()),
+                ],
+                ["block", "shard", "tokens", "part"],
+            )
 
     def averaged(group: pa.Table) -> pa.Table:
+        group = group.sort_by("shard")
         weights = group.column("tokens").to_numpy().astype(float)
         total, mean = weights.sum(), 0.0
-        for part, weight in zip(group.column("part").to_pylist(), weights, strict=True):
-            mean = mean + np.frombuffer(part, np.float32) * (weight / total)
+        for part, weight in zip(group.column("part"), weights, strict=True):
+            mean = mean + np.frombuffer(part.as_py(), np.float32) * (weight / total)
         return pa.table({"block": group.column("block").slice(0, 1), "part": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
-    # A group holds one small piece of each task's parameters.
-    trained = map_arrow(docs.select(F.col(text_col).alias("t")), run, "block int, tokens long, part binary")
+    shards = max(1, min(SHARDS, -(-vocabulary.value.n // SHARD_TOKENS)))
+    dealt = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"), F.col(text_col).alias("t")).repartition(shards, "k").sortWithinPartitions("k")
+    # A group holds one small piece of each shard's parameters.
+    trained = map_arrow(dealt.select("t"), run, "block int, shard int, tokens long, part binary")
     rows = trained.groupBy("block").applyInArrow(averaged, "block int, part binary").collect()
     if not rows:
         return None
     return np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(rows, key=lambda r: r.block)])
 
 
+def is_end():
+    return F.col("name") == F.lit(END - (1 << 64) if END >= 1 << 63 else END)
+
+
 def _vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     """The broadcast part of the counts, and the least count in it."""
     level = F.floor(F.log2("c") * 8).cast("int")
@@ -257,11 +319,11 @@ def _vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
         if size + row.n > TOP:
             break
         cut, size = row.level, size + row.n
-    top = counts.filter(level >= cut).toArrow()
+    top = counts.filter((level >= cut) | is_end()).toArrow()
     low = F.col("name").bitwiseAND(F.lit(127)).alias("cls")
-    classes = [tuple(r) for r in counts.groupBy(low).agg(F.sum("c"), F.count(F.lit(1))).collect()]
-    names = top.column("name").to_numpy().view(np.uint64)
-    return Vocabulary(names, top.column("c").to_numpy(), classes), cut
+    classes = [tuple(r) for r in counts.filter(~is_end()).groupBy(low).agg(F.sum("c"), F.count(F.lit(1))).collect()]
+    names, found = top.column("name").to_numpy().view(np.uint64), top.column("c").to_numpy()
+    return Vocabulary(names, found, int(found[names == END].sum()), classes), cut
 
 
 def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,13 +333,13 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     vocab, cut = _vocabulary(counts)
     vocabulary = context.broadcast(vocab)
     model = Bilinear(vocab.prior)
-    trained = train(training, vocabulary, text_col)
+    trained = train(training, vocabulary, id_col, text_col)
     if trained is not None:
         model.load(trained)
-    tables = context.broadcast(model.tables())
+    fitted = context.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, (last, before, norm), words = vocabulary.value, tables.value, Words()
+        vocab, model, words = vocabulary.value, fitted.value, Words()
         log_all, log_count = np.log10(vocab.n + vocab.v + 1), np.log10(vocab.counts + 1)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -287,13 +349,12 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
                 at, symbols = vocab.look_up(names)
                 at, names = at[places], names[places]
                 u, v, w = symbols[places - 2], symbols[places - 1], symbols[places]
-                model_log = (last[v, w].astype(float) + before[u, w] - norm[u, v]) / np.log(10)
+                model_log = model.log_probabilities(u, v, w) / np.log(10)
                 sizes = np.array([len(t) for t in named])
                 starts = np.cumsum(sizes) - sizes
                 known = at >= 0
                 logs = np.where(known, log_count[at] if len(log_count) else 0, 0)
-                in_class = w >= HEADS
-                model_log += np.where(in_class, logs - vocab.class_log[np.maximum(w - HEADS, 0)], 0)
+                model_log += np.where(vocab.in_class[w], logs - vocab.class_log[w], 0)
                 rare = np.split(names[~known].view(np.int64), np.cumsum(np.add.reduceat(~known, starts))[:-1])
                 arrays = [
                     batch.column("doc_id").slice(first, len(named)),
@@ -312,15 +373,13 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     schema = "doc_id long, row long, n_tokens long, known long, base double, model double, rare array<bigint>"
     rows = save(map_arrow(columns, run, schema), "scored")
     level = F.floor(F.log2("c") * 8).cast("int")
-    rare = rows.select("row", F.explode("rare").alias("name")).join(counts.filter(level < cut), "name")
-    # The end has no class; only where it is rare, in tiny tables, does it come this way.
-    in_class = F.when(F.col("name") != F.lit(END - (1 << 64) if END >= 1 << 63 else END), F.log10(F.col("c") + 1)).otherwise(0.0)
-    more = rare.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("logs"), F.sum(in_class).alias("class_logs"))
+    rare = rows.select("row", F.explode("rare").alias("name")).join(counts.filter((level < cut) & ~is_end()), "name")
+    more = rare.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("logs"))
     return rows.drop("rare").join(more, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(vocab.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
-        (F.col("model") + F.coalesce("class_logs", F.lit(0.0))).alias("score"),
+        (F.col("model") + F.coalesce("logs", F.lit(0.0))).alias("score"),
     )
 
 
