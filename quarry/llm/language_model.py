@@ -7,7 +7,7 @@ gives the base score ``sum log10((c + 1) / (N + V + 1))``. A word is known by 64
 Model: a symbol is a *head*, the end, or the class of any other word. Heads are all words that occur ``HEAD_COUNT``
 times or more, so their number grows with the corpus (at least the ``HEADS`` and at most the ``MAX_HEADS`` most frequent words).
 Symbols are ordered by frequency and cut into about as many groups as a group has symbols, by equal sums of the roots of
-their shares. The log-bilinear network predicts the next symbol's group, then the symbol within its group, from the vectors of the two
+their shares and an even part (so none has more than ``2 * sqrt(symbols) + 1``). The log-bilinear network predicts the next symbol's group, then the symbol within its group, from the vectors of the two
 symbols before: ``s(x | u, v) = (C1[v] + C2[u]) . R[x] + b[x]``. Both levels are trained in numpy by noise-contrastive estimation,
 against the groups' and the group's own symbol counts. Normalisers of both levels come from batched matrix products, so
 probabilities are exact and a token costs about ``2 * sqrt(symbols)`` products. Within a class a word has
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,7 +175,8 @@ class Bilinear:
 
     def __init__(self, prior: np.ndarray):
         size, rng = len(prior), np.random.default_rng(5)
-        share = np.sqrt(prior).cumsum()
+        roots = np.sqrt(prior)
+        share = (roots / roots.sum() + 1 / size).cumsum()
         cuts = np.searchsorted(share, share[-1] * np.arange(1, int(np.ceil(np.sqrt(size)))) / np.ceil(np.sqrt(size)))
         self.edges = np.unique(np.r_[0, cuts, size])
         self.group = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
@@ -218,7 +219,7 @@ class Bilinear:
         """One step of noise-contrastive estimation; ``word`` counts from the beginning of ``span``."""
         prior, out, bias = self.prior[level][span], self.out[level][span], self.bias[level][span]
         noise = rng.choice(len(prior), NOISE, p=prior / prior.sum())
-        offset = bias - np.log(NOISE * prior)
+        offset = bias - np.log(NOISE * prior).astype(np.float32)
         hidden = self.near[near] + self.far[far]
         own = np.einsum("bd,bd->b", hidden, out[word]) + offset[word]
         other = hidden @ out[noise].T + offset[noise]
@@ -226,17 +227,21 @@ class Bilinear:
         miss = (1 / (1 + np.exp(-np.clip(own, -30, 30))) - 1) * weight
         false = weight[:, None] / (1 + np.exp(-np.clip(other, -30, 30)))
         back = miss[:, None] * out[word] + false @ out[noise]
-        vectors = summed(word, miss[:, None] * hidden, len(prior)) + summed(noise, false.T @ hidden, len(prior))
-        shifts = np.bincount(word, miss, len(prior)) + np.bincount(noise, false.sum(axis=0), len(prior))
-        for part, symbols in ((0, near), (1, far)):
-            rows, inverse = np.unique(symbols, return_inverse=True)
-            self._move(part, rows, summed(inverse, back, len(rows)))
-        self._move(2 + level, span, vectors)
-        self._move(4 + level, span, shifts)
-
-    def _move(self, part: int, rows, grad: np.ndarray) -> None:
-        self.speed[part][rows] += grad * grad
-        self.parts[part][rows] -= RATE * grad / np.sqrt(self.speed[part][rows])
+        reached = np.r_[word, noise] + (span.start or 0)
+        self._move(2 + level, reached, np.concatenate([miss[:, None] * hidden, false.T @ hidden]))
+        self._move(4 + level, reached, np.r_[miss, false.sum(axis=0)])
+        self._move(0, near, back)
+        self._move(1, far, back)
+
+    def _move(self, part: int, symbols: np.ndarray, values: np.ndarray) -> None:
+        """Moves the rows of ``symbols`` against the sums of their values, slower the more they have moved."""
+        order = np.argsort(symbols, kind="stable")
+        ordered = symbols[order]
+        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        rows, grad = ordered[starts], np.add.reduceat(values[order], starts, axis=0)
+        speed = self.speed[part][rows] + grad * grad
+        self.speed[part][rows] = speed
+        self.parts[part][rows] -= RATE * grad / np.sqrt(speed)
 
     def log_probabilities(self, far: np.ndarray, near: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithms of the next symbols' probabilities."""
@@ -257,10 +262,6 @@ class Bilinear:
         return own - np.log(np.exp(score - top[:, None]).sum(axis=1))
 
 
-def summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    return np.stack([np.bincount(rows, values[:, j], size) for j in range(values.shape[1])], axis=1)
-
-
 def train(docs: DataFrame, vocabulary, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray | None:
     """Parameters after one pass by every shard over its texts, averaged."""
 
@@ -326,17 +327,23 @@ def _vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     return Vocabulary(names, found, int(found[names == END].sum()), classes), cut
 
 
-def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` per row of ``docs``."""
-    context = docs.sparkSession.sparkContext
+def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, Broadcast, Bilinear]:
+    """The counts of all words, the least count in the broadcast vocabulary, that vocabulary, and the network."""
     counts = save(word_counts(training, text_col), "counts")
     vocab, cut = _vocabulary(counts)
-    vocabulary = context.broadcast(vocab)
+    vocabulary = training.sparkSession.sparkContext.broadcast(vocab)
     model = Bilinear(vocab.prior)
     trained = train(training, vocabulary, id_col, text_col)
     if trained is not None:
         model.load(trained)
-    fitted = context.broadcast(model)
+    return counts, cut, vocabulary, model
+
+
+def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` per row of ``docs``."""
+    counts, cut, vocabulary, model = fit(training, id_col, text_col)
+    vocab = vocabulary.value
+    fitted = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model, words = vocabulary.value, fitted.value, Words()

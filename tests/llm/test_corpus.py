@@ -242,11 +242,71 @@ def test_model_beats_the_base_on_held_out_text(spark, sf):
     assert scored.score > scored.base
 
 
-def test_normalisers():
-    model = language_model.Bilinear(np.full(language_model.SYMBOLS, 1 / language_model.SYMBOLS))
-    last, before, norm = model.tables()
-    for u, v in ((0, 0), (3, 400), (511, 7)):
-        assert math.isclose(float(np.exp(last[v].astype(float) + before[u] - norm[u, v]).sum()), 1, rel_tol=1e-4)
+def test_scores_equal_a_plain_scorer(spark, sf):
+    """Every token's probability from loops over the parameters, with counts of the words themselves."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) < 4000")
+    training = docs.filter(crc_mod("doc_id", 7) != 2)
+    _, _, vocabulary, model = language_model.fit(training)
+    vocab, counts = vocabulary.value, collections.Counter()
+    for r in training.collect():
+        counts.update(SPACE.findall(lower(r.text)) + [" "])
+    classes = collections.defaultdict(lambda: [0, 0])
+    known = dict(zip(vocab.names.tolist(), vocab.symbol.tolist(), strict=True))
+
+    def symbol(word):
+        name = language_model.name_of(word.encode())
+        return vocab.end if word == " " else known.get(name, vocab.class_symbol[name & 127])
+
+    for w, c in counts.items():
+        if vocab.in_class[symbol(w)]:
+            classes[symbol(w)][0] += c
+            classes[symbol(w)][1] += 1
+
+    def softmax(u, v, out, bias, own):
+        hidden = [float(x) + float(y) for x, y in zip(model.near[v], model.far[u], strict=True)]
+        scores = [math.exp(sum(h * float(o) for h, o in zip(hidden, row, strict=True)) + float(b)) for row, b in zip(out, bias, strict=True)]
+        return scores[own] / sum(scores)
+
+    got = {r.doc_id: r.score for r in language_model.score(docs, training).collect()}
+    texts = {r.doc_id: r.text for r in docs.orderBy("doc_id").limit(8).collect()}
+    for i, text in texts.items():
+        want, u, v = 0.0, vocab.end, vocab.end
+        for word in [*SPACE.findall(lower(text)), " "]:
+            w = symbol(word)
+            g = int(model.group[w])
+            first, last = model.edges[g], model.edges[g + 1]
+            want += math.log10(softmax(u, v, model.out[0], model.bias[0], g))
+            want += math.log10(softmax(u, v, model.out[1][first:last], model.bias[1][first:last], w - first))
+            if vocab.in_class[w]:
+                want += math.log10((counts[word] + 1) / (sum(classes[w]) + 1))
+            u, v = v, w
+        assert math.isclose(got[i], want, rel_tol=1e-4), (i, got[i], want)
+
+
+def test_scores_do_not_depend_on_the_split(spark, sf, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 20_000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    few, many = ({r.doc_id: r for r in language_model.score(d, d.filter(crc_mod("doc_id", 7) != 2)).collect()} for d in (docs.repartition(4), docs.repartition(64, "lang", "doc_id")))
+    assert few.keys() == many.keys()
+    for i, r in few.items():
+        assert r[:4] == many[i][:4] and math.isclose(r.score, many[i].score, rel_tol=1e-5)
+
+
+def test_symbols_grow_with_the_corpus():
+    words = sorted((w for w in map(language_model.name_of, (f"w{i}".encode() for i in range(30_000)))), key=str)
+    names = np.array(words, np.uint64)
+    sizes = []
+    for common in (100, 1_000, 5_000, 29_000):
+        counts = np.r_[np.full(common, 1_000), np.ones(len(names) - common, int)]
+        classes = (names & np.uint64(127)).astype(int)
+        rows = [(k, int(counts[classes == k].sum()), int((classes == k).sum())) for k in range(language_model.CLASSES)]
+        vocab = language_model.Vocabulary(names, counts, 50, rows)
+        sizes.append(len(vocab.prior) - 1 - language_model.CLASSES)
+        model = language_model.Bilinear(vocab.prior)
+        assert np.diff(model.edges).max() <= 2 * math.sqrt(len(vocab.prior)) + 1 and math.isclose(vocab.prior.sum(), 1)
+        u, v = np.full(len(vocab.prior), 3), np.full(len(vocab.prior), 9)
+        assert math.isclose(np.exp(model.log_probabilities(u, v, np.arange(len(vocab.prior)))).sum(), 1, rel_tol=1e-3)
+    assert sizes == [language_model.HEADS, 1_000, 5_000, language_model.MAX_HEADS]
 
 
 def test_language_model_without_texts(odd_docs, no_docs):
