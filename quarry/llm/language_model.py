@@ -201,15 +201,16 @@ class Bilinear:
 
     def learn(self, grams: np.ndarray, weights: np.ndarray, rng: np.random.Generator) -> None:
         """One pass over (before last, last, next) symbols with their counts, group by group and for the groups themselves."""
-        target = self.group[grams[:, 2]]
+        fars, nears, nexts = (np.ascontiguousarray(column) for column in grams.T)
+        target = self.group[nexts]
         work = [(0, 0, at) for at in np.array_split(rng.permutation(len(grams)), len(grams) // BATCH + 1)]
-        order = np.argsort(target, kind="stable")
+        order = ordered(target)
         for g, at in zip(np.unique(target), np.split(order, np.flatnonzero(np.diff(target[order])) + 1), strict=True):
             if self.edges[g + 1] - self.edges[g] > 1:
                 work += [(1, g, part) for part in np.array_split(rng.permutation(at), len(at) // BATCH + 1)]
         for i in rng.permutation(len(work)):
             level, g, at = work[i]
-            far, near, word = grams[at].T
+            far, near, word = fars[at], nears[at], nexts[at]
             if level:
                 self._step(far, near, word - self.edges[g], weights[at], 1, slice(self.edges[g], self.edges[g + 1]), rng)
             else:
@@ -224,8 +225,10 @@ class Bilinear:
         own = np.einsum("bd,bd->b", hidden, out[word]) + offset[word]
         other = hidden @ out[noise].T + offset[noise]
         weight = weight / weight.sum()
-        miss = (1 / (1 + np.exp(-np.clip(own, -30, 30))) - 1) * weight
-        false = weight[:, None] / (1 + np.exp(-np.clip(other, -30, 30)))
+        miss = (1 / (1 + np.exp(np.minimum(-own, 30))) - 1) * weight
+        np.exp(np.minimum(np.negative(other, out=other), 30, out=other), out=other)
+        other += 1
+        false = np.divide(weight[:, None], other, out=other)
         back = miss[:, None] * out[word] + false @ out[noise]
         reached = np.r_[word, noise] + (span.start or 0)
         self._move(2 + level, reached, np.concatenate([miss[:, None] * hidden, false.T @ hidden]))
@@ -235,10 +238,10 @@ class Bilinear:
 
     def _move(self, part: int, symbols: np.ndarray, values: np.ndarray) -> None:
         """Moves the rows of ``symbols`` against the sums of their values, slower the more they have moved."""
-        order = np.argsort(symbols, kind="stable")
-        ordered = symbols[order]
-        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        rows, grad = ordered[starts], np.add.reduceat(values[order], starts, axis=0)
+        order = ordered(symbols)
+        sorted_symbols = symbols[order]
+        starts = np.flatnonzero(np.diff(sorted_symbols, prepend=-1))
+        rows, grad = sorted_symbols[starts], np.add.reduceat(values[order], starts, axis=0)
         speed = self.speed[part][rows] + grad * grad
         self.speed[part][rows] = speed
         self.parts[part][rows] -= RATE * grad / np.sqrt(speed)
@@ -246,7 +249,7 @@ class Bilinear:
     def log_probabilities(self, far: np.ndarray, near: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithms of the next symbols' probabilities."""
         target, found = self.group[word], np.empty(len(word))
-        order = np.argsort(target, kind="stable")
+        order = ordered(target)
         for at in np.split(np.arange(len(word)), range(BATCH, len(word), BATCH)):
             found[at] = self._normalised(far[at], near[at], target[at], 0, slice(None))
         for same in np.split(order, np.flatnonzero(np.diff(target[order])) + 1) if len(order) else ():
@@ -257,9 +260,15 @@ class Bilinear:
 
     def _normalised(self, far, near, word, level: int, span: slice) -> np.ndarray:
         score = (self.near[near] + self.far[far]) @ self.out[level][span].T + self.bias[level][span]
-        top = score.max(axis=1)
-        own = score[np.arange(len(word)), word] - top
-        return own - np.log(np.exp(score - top[:, None]).sum(axis=1))
+        score -= score.max(axis=1, keepdims=True)
+        own = score[np.arange(len(word)), word]
+        return own - np.log(np.exp(score, out=score).sum(axis=1))
+
+
+def ordered(symbols: np.ndarray) -> np.ndarray:
+    """The stable order of symbols or groups; 16-bit numbers are sorted by radix."""
+    short = np.uint16 if len(symbols) and symbols.max() < 1 << 16 else symbols.dtype
+    return np.argsort(symbols.astype(short), kind="stable")
 
 
 def train(docs: DataFrame, vocabulary, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray | None:
