@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.rel import cut
+from quarry.operators.rel import cut, spread
 from quarry.shipping import ship
 
 FACT = "path string, module string, kind string, name string, target string, row int"
@@ -151,13 +151,20 @@ def facts(files: DataFrame) -> DataFrame:
     types = [pa.string()] * 5 + [pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows = list(fact_rows(path, text or "")) if path else []
-                columns = zip(*rows, strict=True) if rows else [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["path", "module", "kind", "name", "target", "row"])
+                held.extend(fact_rows(path, text or "") if path else ())
+                if len(held) >= 20_000:
+                    yield packed(held)
+                    held = []
+        if held:
+            yield packed(held)
 
-    return files.select("path", "text").mapInArrow(run, FACT)
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], ["path", "module", "kind", "name", "target", "row"])
+
+    return spread(files.select("path", "text")).mapInArrow(run, FACT)
 
 
 def closure(seed: DataFrame, step, key: list[str], order: list[str]) -> DataFrame:

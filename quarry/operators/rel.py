@@ -45,6 +45,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows dealt out over all cores, evenly or ``by`` columns, for work that is heavy beside the bytes it reads: a small file is one task, whatever is done with its rows."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, *by)
+
+
 def with_earlier_blocks(rows: DataFrame, by: list[str], per_block: Column, fold, name: str) -> DataFrame:
     """``rows`` (with ``_block``) with ``name``: ``fold`` of the aggregate ``per_block`` over the earlier blocks of the same ``by``, null in the first."""
     blocks = rows.groupBy(*by, "_block").agg(per_block.alias(name))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.rel import cut, range_join, written
+from quarry.operators.rel import cut, range_join, spread, written
 from quarry.shipping import ship
 
 TREE = "path string, node int, last int, parent int, field string, position int, kind string, name string, full string, value string, row int"
@@ -86,14 +86,21 @@ def tree(files: DataFrame) -> DataFrame:
     types = [pa.int32() if part.split()[1] == "int" else pa.string() for part in TREE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows = list(tree_rows(path, text or ""))
-                for at in range(0, len(rows), 20_000):
-                    columns = zip(*rows[at : at + 20_000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    return files.select("path", "text").mapInArrow(run, TREE)
+                for row in tree_rows(path, text or ""):
+                    held.append(row)
+                    if len(held) >= 20_000:
+                        yield packed(held)
+                        held = []
+        if held:
+            yield packed(held)
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+    return spread(files.select("path", "text")).mapInArrow(run, TREE)
 
 
 def step(kind: str, *below: dict, field: str | None = None, name: str | None = None, full: str | None = None, value: str | None = None, inside: bool = False, absent: bool = False) -> dict:

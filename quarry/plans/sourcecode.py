@@ -45,7 +45,7 @@ def lint_statistics(spark, sf):
 
 @query("SELECT 'parts/' || p_partkey || '.py' AS path, m AS module FROM part, (VALUES ('os'), ('sys')) v(m)")
 def import_scan(spark, sf):
-    return python_source.imports(python_source.nodes(files(spark, sf))).select("path", "module")
+    return python_source.imports(python_source.nodes(files(spark, sf), ["Import", "ImportFrom"])).select("path", "module")
 
 
 @query(f"SELECT CASE WHEN {SMALL} THEN 37 ELSE 34 END AS n_tokens, count(*) AS n_files FROM part GROUP BY 1")

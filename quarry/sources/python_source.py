@@ -11,13 +11,14 @@ import ast
 import io
 import re
 import tokenize
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.rel import spread
 from quarry.shipping import ship
 
 NODE = (
@@ -91,12 +92,20 @@ class Texts(dict):
         return b"".join(rows).decode(errors="replace")
 
 
+#: Nodes of which the rows below tell something: tests, parameters, bases.
+TOLD = (ast.If, ast.IfExp, ast.While, ast.Assert, ast.Return, ast.Raise, ast.UnaryOp, ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef)
+#: Nodes that only their fields tell of, such that have no nodes below, and what is no node of its own.
+PLAIN = (ast.arguments, ast.alias, ast.withitem, ast.Tuple, ast.List)
+LEAVES = (ast.Name, ast.Constant, ast.alias, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal)
+SIGNS = (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)
 SIMPLE = (ast.Assign, ast.AugAssign, ast.AnnAssign, ast.Expr, ast.Return, ast.Raise, ast.Delete, ast.Assert, ast.Pass, ast.Break, ast.Continue)
 WRITTEN = (ast.Compare, ast.BoolOp, ast.BinOp, ast.Subscript, ast.Call, ast.IfExp, ast.Attribute, ast.comprehension, ast.DictComp, ast.Lambda, *SIMPLE)
 
 
 def _attrs(node: ast.AST, texts: Texts) -> dict[str, str]:
     """What rules ask of a node beside its place: shapes and sources of children, flags as 1; always whole."""
+    if isinstance(node, ast.Name):
+        return {"ctx": type(node.ctx).__name__}
     found: dict[str, str] = {}
     for field, value in ast.iter_fields(node):
         if isinstance(value, list) and value and isinstance(value[0], ast.AST):
@@ -110,6 +119,8 @@ def _attrs(node: ast.AST, texts: Texts) -> dict[str, str]:
                 found[f"{field}_value"] = constant(value.value)
         elif isinstance(value, (int, str)) and field not in ("id", "name", "lineno"):
             found[field] = str(value)
+    if isinstance(node, PLAIN):
+        return found
     if isinstance(node, WRITTEN):
         found["text"] = texts[node]
     for part in ("body", "orelse"):
@@ -255,8 +266,6 @@ def _step(node: ast.AST, place: int) -> str:
 class Place:
     """Where a node stands."""
 
-    __slots__ = ("parent", "parent_kind", "parent_test", "scope", "func", "field", "siblings", "handler", "in_handler", "in_loop", "in_async", "in_function", "in_class", "func_end", "last", "around", "position", "before", "prev_kind", "params", "bases", "decorators", "parent_name", "outer")
-
     def __init__(self):
         self.parent = self.parent_kind = self.parent_test = self.scope = self.func = self.field = self.handler = self.in_function = self.in_class = self.func_end = None
         self.siblings, self.in_handler, self.in_loop, self.in_async, self.last = 1, False, False, False, False
@@ -266,8 +275,7 @@ class Place:
 
     def inside(self, **changes) -> Place:
         new = Place.__new__(Place)
-        for slot in Place.__slots__:
-            setattr(new, slot, changes.get(slot, getattr(self, slot)))
+        new.__dict__ = self.__dict__ | changes
         return new
 
 
@@ -286,8 +294,8 @@ def _imported(tree: ast.AST) -> dict[str, str]:
     return found
 
 
-def node_rows(path: str, text: str) -> Iterator[tuple]:
-    """A row per node, parents first; ``scope`` is the scope a name belongs to, ``func`` the nearest function.
+def node_rows(path: str, text: str, kinds: frozenset[str] | None = None) -> Iterator[tuple]:
+    """A row per node, parents first; ``scope`` is the scope a name belongs to, ``func`` the nearest function. With ``kinds`` only rows of these.
 
     A chained comparison has a row of kind ``Compare`` for each link: its own for the first, further ones with field ``link``.
     """
@@ -297,31 +305,40 @@ def node_rows(path: str, text: str) -> Iterator[tuple]:
         place = (None, None, None, None, False, None, False, False, None, None, False, None, 0, "", None, None, None, None, None)
         yield (path, 0, None, None, None, None, "SyntaxError", getattr(error, "lineno", None), getattr(error, "offset", None), None, None, None, str(error), {}, *place)
         return
-    texts, imported = Texts(text), _imported(tree)
+    texts, imported = Texts(text), None
     stack: list[tuple[ast.AST, Place]] = [(tree, Place())]
     number = 0
     while stack:
         node, at = stack.pop()
         own, number = number, number + 1
-        kind, name = type(node).__name__, _name(node)
+        kind = type(node).__name__
+        asked = kinds is None or kind in kinds
+        name = _name(node)
         function = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda))
-        value = constant(node.value) if isinstance(node, ast.Constant) else None
-        full = name
-        if isinstance(node, ast.Call) and name is not None:
-            head, _, rest = name.partition(".")
-            full = imported[head] + ("." + rest if rest else "") if head in imported else name
-        where = (getattr(node, "lineno", None), getattr(node, "col_offset", None), getattr(node, "end_lineno", None), getattr(node, "end_col_offset", None))
+        where = (getattr(node, "lineno", None), getattr(node, "col_offset", None), getattr(node, "end_lineno", None), getattr(node, "end_col_offset", None)) if asked or function else ()
         around = (own, *at.around) if isinstance(node, (*SCOPES, ast.Module)) else None
-        last = at.last and where[2] == at.func_end
-        place = (full, at.parent_kind, at.parent_test, at.siblings, at.in_handler, at.handler, at.in_loop, at.in_async, at.in_function, at.in_class, last, ",".join(map(str, around)) if around else None)
-        place += (at.position, at.before, at.prev_kind, at.params, at.bases, at.decorators, at.parent_name)
-        attrs = _attrs(node, texts)
-        yield (path, own, at.parent, at.scope, at.func, at.field, kind, *where, name, value, attrs, *place)
+        if asked:
+            value = constant(node.value) if isinstance(node, ast.Constant) else None
+            full = name
+            if isinstance(node, ast.Call) and name is not None:
+                imported = _imported(tree) if imported is None else imported
+                head, _, rest = name.partition(".")
+                full = imported[head] + ("." + rest if rest else "") if head in imported else name
+            last = at.last and where[2] == at.func_end
+            place = (full, at.parent_kind, at.parent_test, at.siblings, at.in_handler, at.handler, at.in_loop, at.in_async, at.in_function, at.in_class, last, ",".join(map(str, around)) if around else None)
+            place += (at.position, at.before, at.prev_kind, at.params, at.bases, at.decorators, at.parent_name)
+        # What the rows below tell of this one is read off its attributes.
+        attrs = _attrs(node, texts) if asked or isinstance(node, TOLD) else {}
+        if asked:
+            yield (path, own, at.parent, at.scope, at.func, at.field, kind, *where, name, value, attrs, *place)
         if isinstance(node, ast.Compare):
             for k in range(1, len(node.ops)):
-                link = {"n_ops": "1", **_link(node.comparators[k - 1], node.ops[k], node.comparators[k], texts)}
-                yield (path, number, own, at.scope, at.func, "link", kind, *where, None, None, link, *place)
+                if asked:
+                    link = {"n_ops": "1", **_link(node.comparators[k - 1], node.ops[k], node.comparators[k], texts)}
+                    yield (path, number, own, at.scope, at.func, "link", kind, *where, None, None, link, *place)
                 number += 1
+        if isinstance(node, LEAVES):
+            continue
         inner = at.inside(parent=own, parent_kind=kind, parent_name=name, parent_test=attrs.get("src"), last=False)
         if around is not None:
             # A class's names are not seen from inside its functions.
@@ -336,15 +353,20 @@ def node_rows(path: str, text: str) -> Iterator[tuple]:
         if isinstance(node, ast.ExceptHandler):
             inner.in_handler, inner.handler = True, name
         children = []
-        for field, child in ast.iter_fields(node):
+        for field in node._fields:
+            child = getattr(node, field, None)
+            if isinstance(child, list):
+                of, count = child, sum(isinstance(x, ast.AST) for x in child)
+            elif isinstance(child, ast.AST) and not isinstance(child, SIGNS):
+                of, count = (child,), 1
+            else:
+                continue
             # Decorators, defaults, bases and annotations belong to the scope around.
             outside = isinstance(node, SCOPES[:4]) and field in ("decorator_list", "bases", "keywords", "returns", "type_params")
-            of = child if isinstance(child, list) else [child]
-            count = sum(isinstance(x, ast.AST) for x in of)
             before: set[str] = set()
             told, last_kind = "", None
             for k, x in enumerate(of):
-                if isinstance(x, ast.AST) and not isinstance(x, (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)):
+                if isinstance(x, ast.AST) and not isinstance(x, SIGNS):
                     below = inner.inside(field=field, siblings=count, position=k, before=told, prev_kind=last_kind)
                     if outside:
                         below.scope, below.func, below.around = at.scope, at.func, at.around
@@ -357,6 +379,8 @@ def node_rows(path: str, text: str) -> Iterator[tuple]:
                     if isinstance(node, (ast.For, ast.AsyncFor, ast.While)):
                         below.in_loop = field == "body" or at.in_loop
                     children.append((x, below))
+                    if len(of) == 1:
+                        break
                     last_kind = type(x).__name__
                     if (what := _step(x, k)) not in before:
                         before.add(what)
@@ -409,12 +433,16 @@ def _mapped(files: DataFrame, rows, schema: str) -> DataFrame:
         arrays = [pa.array([list(x.items()) for x in c] if n == "attrs" else c, kinds[types[n]]) for n, c in zip(names, columns, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, names)
 
-    return files.select("path", "text").mapInArrow(run, schema)
+    return spread(files.select("path", "text")).mapInArrow(run, schema)
+
+
+#: The kinds of nodes that scopes, bindings and references are read from.
+NAMED = frozenset({x.__name__ for x in SCOPES} | set("Module Name arg ExceptHandler MatchAs MatchStar MatchMapping TypeVar ParamSpec TypeVarTuple Import ImportFrom".split()))
 
 
-def nodes(files: DataFrame) -> DataFrame:
-    """Syntax nodes of files (path, text)."""
-    return _mapped(files, node_rows, NODE)
+def nodes(files: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
+    """Syntax nodes of files (path, text); with ``kinds`` only these, so that no others are written out where a question asks for a few. Files that do not parse always have their row."""
+    return _mapped(files, node_rows if kinds is None else partial(node_rows, kinds=frozenset(kinds)), NODE)
 
 
 def tokens(files: DataFrame) -> DataFrame:
