@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ast
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.rel import cut
+
+#: The kinds of nodes that stand in blocks.
+KINDS = sorted({x.__name__ for x in ast.stmt.__subclasses__()} | {"ExceptHandler"})
 _BLOCKS = ["body", "orelse", "finalbody", "handlers"]
 
 
@@ -18,14 +24,14 @@ def statements(nodes: DataFrame) -> DataFrame:
     with_next = found.withColumn("after", F.when(F.col("field") != "handlers", F.lead("node").over(window)))
     around = with_next.select("path", F.col("node").alias("outer"), F.col("after").alias("outer_after"), F.col("kind").alias("outer_kind"), F.col("parent").alias("next_outer"))
     open_ = with_next.withColumn("outer", F.col("parent"))
-    while True:
-        rest = open_.filter("after is null and outer is not null and outer <> func")
-        if rest.isEmpty():
-            break
-        loop = F.col("outer_kind").isin("For", "AsyncFor", "While")
+    unsettled, settled, loop = "after is null and outer is not null and outer <> func", "after is not null or outer is null or outer = func", F.col("outer_kind").isin("For", "AsyncFor", "While")
+    done, rest = open_.filter(settled), cut(open_.filter(unsettled))
+    while not rest.isEmpty():
         moved = rest.join(around, ["path", "outer"], "left").withColumn("after", F.when(loop, F.col("outer")).otherwise(F.col("outer_after"))).withColumn("outer", F.col("next_outer")).select(open_.columns)
-        open_ = open_.filter("after is not null or outer is null or outer = func").unionByName(moved)
-    return open_.select("path", "func", "node", "kind", "after")
+        # Only what is not settled goes on, and no step reads an earlier one's plan again.
+        moved = cut(moved)
+        done, rest = done.unionByName(moved.filter(settled)), moved.filter(unsettled)
+    return done.select("path", "func", "node", "kind", "after")
 
 
 def edges(nodes: DataFrame) -> DataFrame:

@@ -10,6 +10,12 @@ from quarry.operators.lint import _scope_chain
 from quarry.sources import python_source as source
 
 
+#: The kinds of nodes that blocks to fold and symbols are read from.
+FOLDED = ["FunctionDef", "AsyncFunctionDef", "ClassDef", "If", "For", "While", "With", "Try", "Dict", "List", "Set", "Call", "Import", "ImportFrom"]
+SYMBOLS = ["Module", *[x.__name__ for x in source.SCOPES]]
+DEFINED = ["FunctionDef", "AsyncFunctionDef", "ClassDef"]
+
+
 def document_symbols(nodes: DataFrame) -> DataFrame:
     """(path, name, kind, row, end_row, container): functions and classes with the definition they stand in."""
     outer = nodes.select("path", F.col("node").alias("scope"), F.col("name").alias("container"))
@@ -70,7 +76,7 @@ def type_edges(nodes: DataFrame) -> DataFrame:
 
 def folding_ranges(nodes: DataFrame) -> DataFrame:
     """(path, row, end_row, kind) of blocks over several rows; of ranges from one row the longest."""
-    found = nodes.filter("end_row > row and kind in ('FunctionDef','AsyncFunctionDef','ClassDef','If','For','While','With','Try','Dict','List','Set','Call','Import','ImportFrom')")
+    found = nodes.filter("end_row > row").filter(F.col("kind").isin(FOLDED))
     return found.groupBy("path", "row").agg(F.max("end_row").alias("end_row"), F.max_by("kind", "end_row").alias("kind"))
 
 

@@ -4,44 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import incremental, models, navigate, suppress
+from quarry.operators import incremental, models, navigate, rel, suppress
 from quarry.plans.base import query, table
 from quarry.plans.sourcecode import SMALL, files
 from quarry.sources import python_source
 
 
-def _nodes(spark, sf):
-    return python_source.nodes(files(spark, sf))
+def _nodes(spark, sf, kinds):
+    return python_source.nodes(files(spark, sf), kinds)
+
+
+def _kept(spark, sf, kinds):
+    """Nodes for a question that reads them more than once: files are parsed once."""
+    return rel.written(_nodes(spark, sf, kinds))
 
 
 @query("SELECT 'parts/' || p_partkey || '.py' AS path, 'part_' || p_partkey AS name, 'function' AS kind, 5 AS row, 8 AS end_row FROM part")
 def document_symbols(spark, sf):
-    return navigate.document_symbols(_nodes(spark, sf)).select("path", "name", "kind", "row", "end_row")
+    return navigate.document_symbols(_kept(spark, sf, navigate.SYMBOLS)).select("path", "name", "kind", "row", "end_row")
 
 
 @query("SELECT 'part_' || p_partkey AS name FROM part WHERE regexp_matches('part_' || p_partkey, '(?i)p.*1.*7')")
 def workspace_symbols(spark, sf):
-    return navigate.workspace_symbols(_nodes(spark, sf), "p17").select("name")
+    return navigate.workspace_symbols(_kept(spark, sf, navigate.SYMBOLS), "p17").select("name")
 
 
 @query("""SELECT 'parts/' || p_partkey || '.py' AS path, name, row, def_row, def_kind FROM part, (VALUES ('x', 6, 5, 'argument'), ('sys', 8, 2, 'import')) v(name, row, def_row, def_kind)""")
 def definitions(spark, sf):
-    return navigate.definitions(_nodes(spark, sf)).select("path", "name", "row", "def_row", "def_kind")
+    return navigate.definitions(_kept(spark, sf, python_source.NAMED)).select("path", "name", "row", "def_row", "def_kind")
 
 
 @query("SELECT 'parts/' || p_partkey || '.py' AS path, name, token FROM part, (VALUES ('x', 'parameter'), ('sys', 'namespace')) v(name, token)")
 def semantic_tokens(spark, sf):
-    return navigate.semantic_tokens(_nodes(spark, sf)).select("path", "name", "token")
+    return navigate.semantic_tokens(_kept(spark, sf, python_source.NAMED)).select("path", "name", "token")
 
 
 @query("SELECT 'parts/' || p_partkey || '.py' AS path, row, end_row FROM part, (VALUES (5, 8), (6, 7)) v(row, end_row)")
 def folding_ranges(spark, sf):
-    return navigate.folding_ranges(_nodes(spark, sf)).select("path", "row", "end_row")
+    return navigate.folding_ranges(_nodes(spark, sf, navigate.FOLDED)).select("path", "row", "end_row")
 
 
 @query("SELECT 'part_' || p_partkey AS name, 'def part_' || p_partkey || '(x)' AS signature FROM part")
 def hover_signatures(spark, sf):
-    return navigate.hover(_nodes(spark, sf)).select("name", "signature")
+    return navigate.hover(_nodes(spark, sf, navigate.DEFINED)).select("name", "signature")
 
 
 @query(f"""SELECT 'parts/' || p_partkey || '.py' AS path, 'import os  # noqa: F401' AS first, CASE WHEN {SMALL} THEN 'def part_' || p_partkey || '(x=[]):  # noqa: B006' ELSE 'def part_' || p_partkey || '(x):' END AS fifth,

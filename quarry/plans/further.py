@@ -317,19 +317,20 @@ def rule_origins(spark, sf):
 # --- editor questions and classes on generated sources
 
 
-def _nodes(spark, sf):
-    return python_source.nodes(files(spark, sf))
+def _nodes(spark, sf, kinds):
+    """Nodes for questions that read them more than once: files are parsed once."""
+    return rel.written(python_source.nodes(files(spark, sf), kinds))
 
 
 @query("SELECT 'parts/' || p_partkey || '.py' AS path, name, rows FROM part, (VALUES ('x', '6'), ('sys', '8')) v(name, rows)")
 def symbol_references(spark, sf):
-    return navigate.references(_nodes(spark, sf)).select("path", "name", F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"))
+    return navigate.references(_nodes(spark, sf, python_source.NAMED)).select("path", "name", F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"))
 
 
 @query("SELECT 'parts/' || p_partkey || '.py' AS path, 'part_' || p_partkey AS caller, 'g' AS callee FROM part UNION ALL SELECT 'parts/' || p_partkey || '.py', '<module>', 'part_' || p_partkey FROM part")
 def outgoing_calls(spark, sf):
     calling = files(spark, sf).select("path", F.concat(F.replace("text", F.lit("return sys.path"), F.lit("return g(sys.path)")), F.regexp_extract("text", "def ([a-z_0-9]+)", 1), F.lit("(1)\n")).alias("text"))
-    return navigate.outgoing(python_source.nodes(calling)).select("path", "caller", F.explode("callees").alias("callee"))
+    return navigate.outgoing(rel.written(python_source.nodes(calling, ["Call", *navigate.DEFINED]))).select("path", "caller", F.explode("callees").alias("callee"))
 
 
 def _classes(spark, sf):
@@ -360,7 +361,7 @@ def override_sets(spark, sf):
 @query("SELECT 'parts/' || p_partkey || '.py' AS path, count(*) AS n_edges FROM part, (VALUES (1), (2), (3), (4)) v(i) GROUP BY 1")
 def control_flow(spark, sf):
     """A condition leads into its branch and past it, both returns lead out."""
-    return flow.edges(_nodes(spark, sf)).groupBy("path").agg(F.count(F.lit(1)).alias("n_edges"))
+    return flow.edges(_nodes(spark, sf, flow.KINDS)).groupBy("path").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity % 3 = 0 THEN 'insertion' WHEN l_quantity % 3 = 1 THEN 'deletion' ELSE 'replacement' END AS kind FROM lineitem""")
