@@ -346,8 +346,10 @@ def check(files: DataFrame, enabled: set[str] | None = None) -> DataFrame:
 
     # Every rule that joins relations reads them again; files are parsed once.
     nodes, tokens = written(source.nodes(files)), source.tokens(files)
+    # A file whose text has no such word has no such comment.
+    comments = source.tokens(files.filter(F.lower("text").contains("noqa")))
     if enabled is None or enabled & {code for code, *_ in [*TOKEN_RULES, *lint_rules.TOKEN_RULES]}:
-        tokens = written(tokens)
+        tokens = comments = written(tokens)
     found = check_nodes(nodes, enabled, [*NODE_RULES, *lint_more.NODE_RULES, *lint_rules.NODE_RULES])
     found = found.unionByName(check_lines(files, enabled, [*LINE_RULES, *lint_rules.LINE_RULES])).unionByName(check_tokens(tokens, enabled, [*TOKEN_RULES, *lint_rules.TOKEN_RULES]))
     joins = {"F401": unused_imports, "F811": redefined, "F821": undefined_names, "F841": unused_variables, "I001": unsorted_imports}
@@ -355,7 +357,7 @@ def check(files: DataFrame, enabled: set[str] | None = None) -> DataFrame:
         if enabled is None or code in enabled:
             found = found.unionByName(rule(nodes).select(*found.columns))
     found = found.unionByName(lint_more.joined(nodes, enabled)).unionByName(lint_files.check(files, nodes, tokens, enabled))
-    return suppressed(found, suppressions(tokens))[0]
+    return suppressed(found, suppressions(comments))[0]
 
 
 def statistics(found: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import dataflow, exports, flow, treepatterns
+from quarry.operators import dataflow, exports, flow, lint, treepatterns
 from quarry.plans import editor, further
 from quarry.sources import python_source
 
@@ -56,3 +56,13 @@ def test_functions_are_solved_whole_across_batches(spark):
         assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_only_files_with_the_word_are_read_for_suppressions(spark, monkeypatch):
+    rows = [("a.py", "import os\n"), ("b.py", "import os  # NoQA\n"), ("c.py", "import os  # noqa: F401\n"), ("d.py", "import os  # noqa: E501\n"), ("e.py", "import os\nx = '# noqa'\n"), ("f.py", None)]
+    asked = []
+    plain = python_source.tokens
+    monkeypatch.setattr(python_source, "tokens", lambda files: asked.append(files) or plain(files))
+    found = lint.check(spark.createDataFrame(rows, "path string, text string"), {"F401"})
+    assert sorted(r.path for r in found.collect()) == ["a.py", "d.py", "e.py"]
+    assert sorted(r.path for r in asked[-1].collect()) == ["b.py", "c.py", "d.py", "e.py"]
