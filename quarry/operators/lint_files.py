@@ -109,6 +109,7 @@ NODE_JOINS = {
     ("PLR6301",): methods_without_self, ("RUF029",): needless_async, ("FA100", "FA102"): future_annotations, ("A005",): names_that_hide,
 }
 FILE_RULES = {("INP001",): packages, ("W391",): endings, ("CPY001",): notices}
+JOINED = {c for codes in NODE_JOINS for c in codes}
 CODES = [c for table in (NODE_JOINS, FILE_RULES) for codes in table for c in codes]
 
 

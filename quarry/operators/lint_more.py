@@ -288,6 +288,9 @@ def repeated_methods(nodes: DataFrame) -> DataFrame:
 
 JOINS = {"C901": over_limits, "ARG001": unused_arguments, "A001": shadowed_builtins, "F822": undefined_exports, "B007": unused_loop_variables, "PIE794": repeated_methods}
 
+#: The codes they give.
+JOINED = {*JOINS, "A002", *(code for code, *_ in LIMITS)}
+
 
 def joined(nodes: DataFrame, enabled: set[str] | None = None) -> DataFrame:
     """(path, row, col, code, message) of the rules that join or aggregate nodes."""

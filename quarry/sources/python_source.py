@@ -11,7 +11,7 @@ import ast
 import io
 import re
 import tokenize
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial, reduce
 
 import pyarrow as pa
@@ -72,6 +72,8 @@ class Texts(dict):
     def __init__(self, source: str = ""):
         self.source = source
         self.lines: list[bytes] | None = None
+        #: Whether some name may be ``__all__``; names of other than plain characters are normalised.
+        self.exports = "__all__" in source or not source.isascii()
 
     def __missing__(self, node: ast.AST) -> str:
         try:
@@ -91,6 +93,10 @@ class Texts(dict):
         rows[0] = rows[0][node.col_offset :]
         return b"".join(rows).decode(errors="replace")
 
+    def later(self, node: ast.AST) -> Callable[[], str]:
+        """The text of a node, made when it is asked for."""
+        return partial(self.__getitem__, node)
+
 
 #: Nodes of which the rows below tell something: tests, parameters, bases.
 TOLD = (ast.If, ast.IfExp, ast.While, ast.Assert, ast.Return, ast.Raise, ast.UnaryOp, ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef)
@@ -102,11 +108,256 @@ SIMPLE = (ast.Assign, ast.AugAssign, ast.AnnAssign, ast.Expr, ast.Return, ast.Ra
 WRITTEN = (ast.Compare, ast.BoolOp, ast.BinOp, ast.Subscript, ast.Call, ast.IfExp, ast.Attribute, ast.comprehension, ast.DictComp, ast.Lambda, *SIMPLE)
 
 
-def _attrs(node: ast.AST, texts: Texts) -> dict[str, str]:
-    """What rules ask of a node beside its place: shapes and sources of children, flags as 1; always whole."""
+def _told(found: Found, attrs: frozenset[str] | None) -> dict[str, str]:
+    """The attributes that are asked for, all without ``attrs``; what is not asked for is not written."""
+    return {k: v() if callable(v) else v for k, v in found.items() if attrs is None or k in attrs}
+
+
+def _repeated(nodes: list[ast.AST], texts: Texts) -> str:
+    written = [texts[x] for x in nodes]
+    return ",".join(sorted({x for x in written if written.count(x) > 1}))
+
+
+def _below(node: ast.AST, texts: Texts) -> Found:
+    """What a node tells the rows below it: its test, parameters, bases and decorators."""
+    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)):
+        a = node.args
+        return {"params": ",".join([x.arg for x in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]])}
+    if isinstance(node, ast.ClassDef):
+        return {"base_names": ",".join([dotted(b.value if isinstance(b, ast.Subscript) else b) or "?" for b in node.bases]), "decorators": _decorators(node)}
+    part = getattr(node, "test", None) or getattr(node, "value", None) or getattr(node, "exc", None) or getattr(node, "operand", None)
+    return {"src": texts.later(part) if part is not None else ""}
+
+
+def _decorators(node: ast.AST) -> str:
+    return ",".join([dotted(d.func if isinstance(d, ast.Call) else d) or "?" for d in getattr(node, "decorator_list", [])])
+
+
+Found = dict[str, str | Callable[[], str]]
+#: (classes of nodes, function that adds what it tells of such a node).
+TELLERS: list[tuple[tuple[type[ast.AST], ...], Callable]] = []
+
+
+def _tells(*classes: type[ast.AST]) -> Callable:
+    def register(function: Callable) -> Callable:
+        TELLERS.append((classes, function))
+        return function
+
+    return register
+
+
+@_tells(*WRITTEN)
+def _text(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["text"] = texts.later(node)
+    if texts.exports:
+        found["exports"] = texts.later(node)
+
+
+@_tells(ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Module)
+def _heading(node: ast.AST, texts: Texts, found: Found) -> None:
+    if (doc := ast.get_docstring(node, clean=False)) is not None:
+        found["doc"] = doc
+    found["decorators"] = _decorators(node)
+    if node.body and isinstance(node.body[0], ast.Expr):
+        found["first"] = type(node.body[0].value).__name__
+
+
+@_tells(ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
+def _parameters(node: ast.AST, texts: Texts, found: Found) -> None:
+    a = node.args
+    names = [x.arg for x in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]]
+    found |= {"params": ",".join(names), "n_params": str(len(names)), "defaults": _kinds([*a.defaults, *[d for d in a.kw_defaults if d]])}
+    found["n_positional"] = str(len(a.posonlyargs) + len(a.args))
+    found["default_calls"] = ",".join(dotted(d.func) or "?" for d in [*a.defaults, *a.kw_defaults] if isinstance(d, ast.Call))
+    plain = [*a.posonlyargs, *a.args]
+    defaults = [*[None] * (len(plain) - len(a.defaults)), *a.defaults]
+    found["param_defaults"] = lambda: ";".join(f"{x.arg}={texts[d]}" for x, d in zip([*plain, *a.kwonlyargs], [*defaults, *a.kw_defaults], strict=True) if d is not None)
+    found["param_types"] = lambda: ";".join(f"{x.arg}:{texts[x.annotation]}" for x in [*plain, *a.kwonlyargs] if x.annotation is not None)
+    found["positional_types"] = lambda: ";".join(f"{x.arg}:{texts[x.annotation]}" for x in plain if x.annotation is not None)
+    found["positional_defaults"] = lambda: ";".join(f"{x.arg}={texts[d]}" for x, d in zip(plain, defaults, strict=True) if d is not None)
+    if getattr(node, "returns", None) is not None:
+        found["returns_src"] = texts.later(node.returns)
+    none = [(x, d) for x, d in zip([*plain, *a.kwonlyargs], [*defaults, *a.kw_defaults], strict=True) if isinstance(d, ast.Constant) and d.value is None]
+    found["none_defaults"] = lambda: ";".join(texts[x.annotation] for x, _ in none if x.annotation is not None)
+
+
+@_tells(ast.ClassDef)
+def _class(node: ast.AST, texts: Texts, found: Found) -> None:
+    found |= _below(node, texts)
+    found["bases_src"] = lambda: ",".join(texts[b] for b in node.bases)
+    found["class_kw"] = lambda: ",".join(f"{k.arg}={texts[k.value]}" for k in node.keywords)
+    found["methods"] = ",".join(x.name for x in node.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)))
+    assigned = [t.id for x in node.body if isinstance(x, ast.Assign) for t in x.targets if isinstance(t, ast.Name)]
+    found["fields"] = ",".join([*assigned, *(x.target.id for x in node.body if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name))])
+    found["inner_classes"] = ",".join(x.name for x in node.body if isinstance(x, ast.ClassDef))
+
+
+@_tells(ast.Call)
+def _call(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["kw"] = ",".join(k.arg or "**" for k in node.keywords)
+    found |= {f"kw_{k.arg}": texts.later(k.value) for k in node.keywords if k.arg}
+    for i, x in enumerate(node.args):
+        found[f"arg{i}"] = type(x).__name__
+        found[f"arg{i}_src"] = texts.later(x)
+    if isinstance(node.func, ast.Attribute):
+        found |= {"method": node.func.attr, "on": texts.later(node.func.value), "on_kind": type(node.func.value).__name__}
+
+
+@_tells(ast.Compare)
+def _compared(node: ast.AST, texts: Texts, found: Found) -> None:
+    found |= {"n_ops": str(len(node.ops)), **_link(node.left, node.ops[0], node.comparators[0], texts)}
+
+
+@_tells(ast.Constant)
+def _constant(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["type"] = type(node.value).__name__
+    found["chars"] = str(len(node.value)) if isinstance(node.value, (str, bytes)) else ""
+
+
+@_tells(ast.Dict)
+def _dict(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["repeated"] = lambda: _repeated([k for k in node.keys if isinstance(k, (ast.Constant, ast.Name))], texts)
+    found["spread_empty"] = str(int(any(k is None and isinstance(v, ast.Dict) for k, v in zip(node.keys, node.values, strict=True))))
+
+
+@_tells(ast.Set)
+def _set(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["repeated"] = lambda: _repeated([k for k in node.elts if isinstance(k, ast.Constant)], texts)
+
+
+@_tells(ast.If, ast.IfExp, ast.While, ast.Assert, ast.Return, ast.Raise, ast.UnaryOp)
+def _tested(node: ast.AST, texts: Texts, found: Found) -> None:
+    found |= _below(node, texts)
+
+
+@_tells(ast.IfExp)
+def _choice(node: ast.AST, texts: Texts, found: Found) -> None:
+    found |= {"body_src": texts.later(node.body), "orelse_src": texts.later(node.orelse)}
+
+
+@_tells(ast.BoolOp)
+def _parts(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["parts"] = lambda: " ; ".join(texts[v] for v in node.values)
+
+
+@_tells(ast.Import, ast.ImportFrom)
+def _import(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["names"] = ",".join(f"{x.name} {x.asname or ''}".strip() for x in node.names)
+
+
+@_tells(ast.Global, ast.Nonlocal)
+def _global(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["names_src"] = ",".join(node.names)
+
+
+@_tells(ast.Assign)
+def _assigned(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["target_names"] = ",".join(dotted(t) or "" for t in node.targets)
+    found["targets_src"] = lambda: ",".join(texts[t] for t in node.targets)
+    found["value_src"] = texts.later(node.value)
+
+
+@_tells(ast.AnnAssign, ast.AugAssign)
+def _annotated(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["target_src"] = texts.later(node.target)
+    found |= {"value_src": texts.later(node.value)} if node.value is not None else {}
+    found |= {"annotation_src": texts.later(node.annotation)} if isinstance(node, ast.AnnAssign) else {}
+
+
+@_tells(ast.Try)
+def _handled(node: ast.AST, texts: Texts, found: Found) -> None:
+    if node.handlers:
+        found["handler_body"] = _kinds(node.handlers[0].body)
+
+
+@_tells(ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+def _decorator_calls(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["decorator_calls"] = lambda: ",".join(texts[d] for d in node.decorator_list if isinstance(d, ast.Call))
+
+
+@_tells(ast.Try)
+def _handler_types(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["handler_types"] = lambda: ",".join(texts[h.type] if h.type else "" for h in node.handlers)
+
+
+@_tells(ast.ExceptHandler)
+def _handler(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["type_src"] = texts.later(node.type) if node.type else ""
+    first = node.body[0]
+    found["reraise"] = str(int(isinstance(first, ast.Raise) and (first.exc is None or (node.name is not None and dotted(first.exc) == node.name))))
+
+
+@_tells(ast.ListComp, ast.SetComp)
+def _comprehended(node: ast.AST, texts: Texts, found: Found) -> None:
+    g = node.generators[0]
+    found["same"] = str(int(not g.ifs and dotted(node.elt) is not None and dotted(node.elt) == dotted(g.target)))
+
+
+@_tells(ast.For, ast.AsyncFor, ast.comprehension)
+def _looped(node: ast.AST, texts: Texts, found: Found) -> None:
+    found |= {"target_src": texts.later(node.target), "iter_src": texts.later(node.iter)}
+
+
+@_tells(ast.With)
+def _with(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["items_src"] = lambda: ",".join(texts[i.context_expr] for i in node.items)
+
+
+@_tells(ast.Call)
+def _literal_method(node: ast.AST, texts: Texts, found: Found) -> None:
+    if isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Constant):
+        found |= {f"{node.func.attr}_literal": "1"} if node.func.attr in ("join", "split") else {}
+
+
+@_tells(ast.Call)
+def _spread(node: ast.AST, texts: Texts, found: Found) -> None:
+    stars = [(x.lineno, x.col_offset) for x in node.args if isinstance(x, ast.Starred)]
+    named = [(k.value.lineno, k.value.col_offset) for k in node.keywords if k.arg]
+    found["star_after_keyword"] = str(int(bool(stars and named) and max(stars) > min(named)))
+    found["spread_literal"] = str(int(any(k.arg is None and isinstance(k.value, ast.Dict) for k in node.keywords)))
+
+
+@_tells(ast.Lambda)
+def _lambda(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["empty_body"] = str(int(isinstance(node.body, (ast.List, ast.Dict)) and not getattr(node.body, "elts", getattr(node.body, "keys", None))))
+    found["body_src"] = texts.later(node.body)
+
+
+@_tells(ast.If)
+def _else_nested(node: ast.AST, texts: Texts, found: Found) -> None:
+    if len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If):
+        found["else_nested"] = str(int(node.orelse[0].col_offset > node.col_offset))
+
+
+@_tells(ast.For)
+def _yields(node: ast.AST, texts: Texts, found: Found) -> None:
+    if len(node.body) == 1 and isinstance(node.body[0], ast.Expr) and isinstance(node.body[0].value, ast.Yield):
+        given = node.body[0].value.value
+        found["yields_target"] = str(int(given is not None and dotted(given) is not None and dotted(given) == dotted(node.target)))
+
+
+@_tells(ast.Subscript)
+def _literal_length(node: ast.AST, texts: Texts, found: Found) -> None:
+    if isinstance(node.value, (ast.List, ast.Tuple)):
+        found["value_len"] = str(len(node.value.elts))
+
+
+@_tells(ast.JoinedStr)
+def _placeholders(node: ast.AST, texts: Texts, found: Found) -> None:
+    found["placeholders"] = str(sum(isinstance(v, ast.FormattedValue) for v in node.values))
+
+
+@_tells(ast.JoinedStr, ast.BinOp)
+def _constants(node: ast.AST, texts: Texts, found: Found) -> None:
+    parts = node.values if isinstance(node, ast.JoinedStr) else [node.left, node.right]
+    found["constants"] = "\n".join(repr(x.value) for x in parts if isinstance(x, ast.Constant) and isinstance(x.value, str))
+
+
+def _attrs(node: ast.AST, texts: Texts, tellers: tuple[Callable, ...]) -> Found:
+    """What rules ask of a node beside its place: shapes and sources of children, flags as 1; always whole, texts as functions that write them."""
     if isinstance(node, ast.Name):
         return {"ctx": type(node.ctx).__name__}
-    found: dict[str, str] = {}
+    found: Found = {}
     for field, value in ast.iter_fields(node):
         if isinstance(value, list) and value and isinstance(value[0], ast.AST):
             found[field] = _kinds(value)
@@ -121,136 +372,28 @@ def _attrs(node: ast.AST, texts: Texts) -> dict[str, str]:
             found[field] = str(value)
     if isinstance(node, PLAIN):
         return found
-    if isinstance(node, WRITTEN):
-        found["text"] = texts[node]
+    for tell in tellers:
+        tell(node, texts, found)
     for part in ("body", "orelse"):
         block = getattr(node, part, None)
         if isinstance(block, list) and len(block) == 1 and isinstance(block[0], SIMPLE):
-            found[f"{part}_only"] = texts[block[0]]
-    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Module)):
-        if (doc := ast.get_docstring(node, clean=False)) is not None:
-            found["doc"] = doc
-        found["decorators"] = ",".join(dotted(d.func if isinstance(d, ast.Call) else d) or "?" for d in getattr(node, "decorator_list", []))
-        if node.body and isinstance(node.body[0], ast.Expr):
-            found["first"] = type(node.body[0].value).__name__
-    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)):
-        a = node.args
-        names = [x.arg for x in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]]
-        found |= {"params": ",".join(names), "n_params": str(len(names)), "defaults": _kinds([*a.defaults, *[d for d in a.kw_defaults if d]])}
-        found["n_positional"] = str(len(a.posonlyargs) + len(a.args))
-        found["default_calls"] = ",".join(dotted(d.func) or "?" for d in [*a.defaults, *a.kw_defaults] if isinstance(d, ast.Call))
-        plain = [*a.posonlyargs, *a.args]
-        defaults = [*[None] * (len(plain) - len(a.defaults)), *a.defaults]
-        found["param_defaults"] = ";".join(f"{x.arg}={texts[d]}" for x, d in zip([*plain, *a.kwonlyargs], [*defaults, *a.kw_defaults], strict=True) if d is not None)
-        found["param_types"] = ";".join(f"{x.arg}:{texts[x.annotation]}" for x in [*plain, *a.kwonlyargs] if x.annotation is not None)
-        found["positional_types"] = ";".join(f"{x.arg}:{texts[x.annotation]}" for x in plain if x.annotation is not None)
-        found["positional_defaults"] = ";".join(f"{x.arg}={texts[d]}" for x, d in zip(plain, defaults, strict=True) if d is not None)
-        if getattr(node, "returns", None) is not None:
-            found["returns_src"] = texts[node.returns]
-        none = [(x, d) for x, d in zip([*plain, *a.kwonlyargs], [*defaults, *a.kw_defaults], strict=True) if isinstance(d, ast.Constant) and d.value is None]
-        found["none_defaults"] = ";".join(texts[x.annotation] for x, _ in none if x.annotation is not None)
-    if isinstance(node, ast.ClassDef):
-        found["base_names"] = ",".join(dotted(b.value if isinstance(b, ast.Subscript) else b) or "?" for b in node.bases)
-        found["bases_src"] = ",".join(texts[b] for b in node.bases)
-        found["class_kw"] = ",".join(f"{k.arg}={texts[k.value]}" for k in node.keywords)
-        found["methods"] = ",".join(x.name for x in node.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)))
-        assigned = [t.id for x in node.body if isinstance(x, ast.Assign) for t in x.targets if isinstance(t, ast.Name)]
-        found["fields"] = ",".join([*assigned, *(x.target.id for x in node.body if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name))])
-        found["inner_classes"] = ",".join(x.name for x in node.body if isinstance(x, ast.ClassDef))
-    if isinstance(node, ast.Call):
-        found["kw"] = ",".join(k.arg or "**" for k in node.keywords)
-        found |= {f"kw_{k.arg}": texts[k.value] for k in node.keywords if k.arg}
-        for i, x in enumerate(node.args):
-            found[f"arg{i}"] = type(x).__name__
-            found[f"arg{i}_src"] = texts[x]
-        if isinstance(node.func, ast.Attribute):
-            found |= {"method": node.func.attr, "on": texts[node.func.value], "on_kind": type(node.func.value).__name__}
-    if isinstance(node, ast.Compare):
-        found |= {"n_ops": str(len(node.ops)), **_link(node.left, node.ops[0], node.comparators[0], texts)}
-    if isinstance(node, ast.Constant):
-        found["type"] = type(node.value).__name__
-        found["chars"] = str(len(node.value)) if isinstance(node.value, (str, bytes)) else ""
-    if isinstance(node, ast.Dict):
-        keys = [texts[k] for k in node.keys if isinstance(k, (ast.Constant, ast.Name))]
-        found["repeated"] = ",".join(sorted({k for k in keys if keys.count(k) > 1}))
-        found["spread_empty"] = str(int(any(k is None and isinstance(v, ast.Dict) for k, v in zip(node.keys, node.values, strict=True))))
-    if isinstance(node, ast.Set):
-        items = [texts[k] for k in node.elts if isinstance(k, ast.Constant)]
-        found["repeated"] = ",".join(sorted({k for k in items if items.count(k) > 1}))
-    if isinstance(node, (ast.If, ast.IfExp, ast.While, ast.Assert, ast.Return, ast.Raise, ast.UnaryOp)):
-        part = getattr(node, "test", None) or getattr(node, "value", None) or getattr(node, "exc", None) or getattr(node, "operand", None)
-        found["src"] = texts[part] if part is not None else ""
-    if isinstance(node, ast.IfExp):
-        found |= {"body_src": texts[node.body], "orelse_src": texts[node.orelse]}
-    if isinstance(node, ast.BoolOp):
-        found["parts"] = " ; ".join(texts[v] for v in node.values)
-    if isinstance(node, (ast.Import, ast.ImportFrom)):
-        found["names"] = ",".join(f"{x.name} {x.asname or ''}".strip() for x in node.names)
-    if isinstance(node, (ast.Global, ast.Nonlocal)):
-        found["names_src"] = ",".join(node.names)
-    if isinstance(node, ast.Assign):
-        found["target_names"] = ",".join(dotted(t) or "" for t in node.targets)
-        found["targets_src"] = ",".join(texts[t] for t in node.targets)
-        found["value_src"] = texts[node.value]
-    if isinstance(node, (ast.AnnAssign, ast.AugAssign)):
-        found["target_src"] = texts[node.target]
-        found |= {"value_src": texts[node.value]} if node.value is not None else {}
-        found |= {"annotation_src": texts[node.annotation]} if isinstance(node, ast.AnnAssign) else {}
-    if isinstance(node, ast.Try) and node.handlers:
-        found["handler_body"] = _kinds(node.handlers[0].body)
+            found[f"{part}_only"] = texts.later(block[0])
     for field in ("value", "msg"):
         if isinstance(getattr(node, field, None), ast.Call):
             found["call_name" if field == "value" else "msg_call"] = dotted(getattr(node, field).func) or ""
-    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-        found["decorator_calls"] = ",".join(texts[d] for d in node.decorator_list if isinstance(d, ast.Call))
-    if isinstance(node, ast.Try):
-        found["handler_types"] = ",".join(texts[h.type] if h.type else "" for h in node.handlers)
-    if isinstance(node, ast.ExceptHandler):
-        found["type_src"] = texts[node.type] if node.type else ""
-        first = node.body[0]
-        found["reraise"] = str(int(isinstance(first, ast.Raise) and (first.exc is None or (node.name is not None and dotted(first.exc) == node.name))))
-    if isinstance(node, (ast.ListComp, ast.SetComp)):
-        g = node.generators[0]
-        found["same"] = str(int(not g.ifs and dotted(node.elt) is not None and dotted(node.elt) == dotted(g.target)))
-    if isinstance(node, (ast.For, ast.AsyncFor, ast.comprehension)):
-        found |= {"target_src": texts[node.target], "iter_src": texts[node.iter]}
-    if isinstance(node, ast.With):
-        found["items_src"] = ",".join(texts[i.context_expr] for i in node.items)
-    if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Constant):
-        found |= {f"{node.func.attr}_literal": "1"} if node.func.attr in ("join", "split") else {}
-    if isinstance(node, ast.Call):
-        stars = [(x.lineno, x.col_offset) for x in node.args if isinstance(x, ast.Starred)]
-        named = [(k.value.lineno, k.value.col_offset) for k in node.keywords if k.arg]
-        found["star_after_keyword"] = str(int(bool(stars and named) and max(stars) > min(named)))
-        found["spread_literal"] = str(int(any(k.arg is None and isinstance(k.value, ast.Dict) for k in node.keywords)))
-    if isinstance(node, ast.Lambda):
-        found["empty_body"] = str(int(isinstance(node.body, (ast.List, ast.Dict)) and not getattr(node.body, "elts", getattr(node.body, "keys", None))))
-        found["body_src"] = texts[node.body]
-    if isinstance(node, ast.If) and len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If):
-        found["else_nested"] = str(int(node.orelse[0].col_offset > node.col_offset))
-    if isinstance(node, ast.For) and len(node.body) == 1 and isinstance(node.body[0], ast.Expr) and isinstance(node.body[0].value, ast.Yield):
-        given = node.body[0].value.value
-        found["yields_target"] = str(int(given is not None and dotted(given) is not None and dotted(given) == dotted(node.target)))
-    if isinstance(node, ast.Subscript) and isinstance(node.value, (ast.List, ast.Tuple)):
-        found["value_len"] = str(len(node.value.elts))
     annotation = getattr(node, "annotation", None) or getattr(node, "returns", None)
     if isinstance(annotation, ast.Constant) and isinstance(annotation.value, str):
         try:
             ast.parse(annotation.value.strip(), mode="eval")
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             found["bad_annotation"] = "1"
-    if isinstance(node, ast.JoinedStr):
-        found["placeholders"] = str(sum(isinstance(v, ast.FormattedValue) for v in node.values))
-    if isinstance(node, (ast.JoinedStr, ast.BinOp)):
-        parts = node.values if isinstance(node, ast.JoinedStr) else [node.left, node.right]
-        found["constants"] = "\n".join(repr(x.value) for x in parts if isinstance(x, ast.Constant) and isinstance(x.value, str))
     return found
 
 
-def _link(left: ast.AST, op: ast.AST, right: ast.AST, texts: Texts) -> dict[str, str]:
+def _link(left: ast.AST, op: ast.AST, right: ast.AST, texts: Texts) -> Found:
     """One comparison of a chain."""
     return {
-        "op": type(op).__name__, "left": type(left).__name__, "right": type(right).__name__, "left_src": texts[left], "right_src": texts[right],
+        "op": type(op).__name__, "left": type(left).__name__, "right": type(right).__name__, "left_src": texts.later(left), "right_src": texts.later(right),
     }
 
 
@@ -282,20 +425,55 @@ class Place:
 def _imported(tree: ast.AST) -> dict[str, str]:
     """What the file's imports bind each name to; of several the greatest."""
     found: dict[str, str] = {}
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            pairs = [(x.asname or x.name.split(".")[0], x.name if x.asname else x.name.split(".")[0]) for x in node.names]
-        elif isinstance(node, ast.ImportFrom) and not node.level:
-            pairs = [(x.asname or x.name, f"{node.module or ''}.{x.name}") for x in node.names]
-        else:
-            continue
-        for bound, target in pairs:
-            found[bound] = max(found.get(bound, ""), target)
+    # Imports are statements, and these stand in blocks only.
+    blocks = [tree.body]
+    for block in blocks:
+        for node in block:
+            if isinstance(node, ast.Import):
+                pairs = [(x.asname or x.name.split(".")[0], x.name if x.asname else x.name.split(".")[0]) for x in node.names]
+            elif isinstance(node, ast.ImportFrom) and not node.level:
+                pairs = [(x.asname or x.name, f"{node.module or ''}.{x.name}") for x in node.names]
+            else:
+                blocks += [below for field in BLOCKS if isinstance(below := getattr(node, field, None), list) and below]
+                continue
+            for bound, target in pairs:
+                found[bound] = max(found.get(bound, ""), target)
     return found
 
 
-def node_rows(path: str, text: str, kinds: frozenset[str] | None = None) -> Iterator[tuple]:
-    """A row per node, parents first; ``scope`` is the scope a name belongs to, ``func`` the nearest function. With ``kinds`` only rows of these.
+#: Fields that hold statements, or what holds such.
+BLOCKS = ("body", "orelse", "finalbody", "handlers", "cases")
+#: Fields that hold no nodes with rows of their own.
+BARE = frozenset("ctx op ops id attr arg module level kind type_comment conversion simple is_async".split())
+
+
+class Shape:
+    """What the class of a node alone tells."""
+
+    def __init__(self, cls: type[ast.AST]):
+        self.kind = cls.__name__
+        self.function = issubclass(cls, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda))
+        self.scope = issubclass(cls, (*SCOPES, ast.Module))
+        self.leaf, self.told = issubclass(cls, LEAVES), issubclass(cls, TOLD)
+        self.named_below = self.function or issubclass(cls, (ast.ClassDef, ast.ExceptHandler))
+        self.loop, self.argument = issubclass(cls, (ast.For, ast.AsyncFor, ast.While)), issubclass(cls, (ast.arguments, ast.arg))
+        self.fields = tuple(f for f in cls._fields if f not in BARE)
+        self.tellers = tuple(tell for classes, tell in TELLERS if issubclass(cls, classes))
+        self.outside = ("decorator_list", "bases", "keywords", "returns", "type_params") if issubclass(cls, SCOPES[:4]) else ()
+
+
+class Shapes(dict):
+    def __missing__(self, cls: type[ast.AST]) -> Shape:
+        self[cls] = shape = Shape(cls)
+        return shape
+
+
+SHAPES = Shapes()
+
+
+def node_rows(path: str, text: str, kinds: frozenset[str] | None = None, attrs: frozenset[str] | None = None, columns: frozenset[str] | None = None) -> Iterator[tuple]:
+    """A row per node, parents first; ``scope`` is the scope a name belongs to, ``func`` the nearest function. With ``kinds`` only rows of these, with ``attrs`` only these
+    attributes; without one of ``columns``, what it costs to fill it is saved.
 
     A chained comparison has a row of kind ``Compare`` for each link: its own for the first, further ones with field ``link``.
     """
@@ -306,77 +484,78 @@ def node_rows(path: str, text: str, kinds: frozenset[str] | None = None) -> Iter
         yield (path, 0, None, None, None, None, "SyntaxError", getattr(error, "lineno", None), getattr(error, "offset", None), None, None, None, str(error), {}, *place)
         return
     texts, imported = Texts(text), None
+    full_asked, test_asked = columns is None or "full" in columns, columns is None or "parent_test" in columns
     stack: list[tuple[ast.AST, Place]] = [(tree, Place())]
     number = 0
     while stack:
         node, at = stack.pop()
         own, number = number, number + 1
-        kind = type(node).__name__
+        shape = SHAPES[type(node)]
+        kind, function = shape.kind, shape.function
         asked = kinds is None or kind in kinds
-        name = _name(node)
-        function = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda))
+        name = _name(node) if asked or shape.named_below else None
         where = (getattr(node, "lineno", None), getattr(node, "col_offset", None), getattr(node, "end_lineno", None), getattr(node, "end_col_offset", None)) if asked or function else ()
-        around = (own, *at.around) if isinstance(node, (*SCOPES, ast.Module)) else None
+        around = (own, *at.around) if shape.scope else None
         if asked:
-            value = constant(node.value) if isinstance(node, ast.Constant) else None
+            value = constant(node.value) if kind == "Constant" else None
             full = name
-            if isinstance(node, ast.Call) and name is not None:
+            if full_asked and kind == "Call" and name is not None:
                 imported = _imported(tree) if imported is None else imported
                 head, _, rest = name.partition(".")
                 full = imported[head] + ("." + rest if rest else "") if head in imported else name
             last = at.last and where[2] == at.func_end
-            place = (full, at.parent_kind, at.parent_test, at.siblings, at.in_handler, at.handler, at.in_loop, at.in_async, at.in_function, at.in_class, last, ",".join(map(str, around)) if around else None)
+            test = at.parent_test() if test_asked and callable(at.parent_test) else at.parent_test if test_asked else None
+            place = (full, at.parent_kind, test, at.siblings, at.in_handler, at.handler, at.in_loop, at.in_async, at.in_function, at.in_class, last, ",".join(map(str, around)) if around else None)
             place += (at.position, at.before, at.prev_kind, at.params, at.bases, at.decorators, at.parent_name)
-        # What the rows below tell of this one is read off its attributes.
-        attrs = _attrs(node, texts) if asked or isinstance(node, TOLD) else {}
-        if asked:
-            yield (path, own, at.parent, at.scope, at.func, at.field, kind, *where, name, value, attrs, *place)
-        if isinstance(node, ast.Compare):
+            yield (path, own, at.parent, at.scope, at.func, at.field, kind, *where, name, value, _told(_attrs(node, texts, shape.tellers), attrs), *place)
+        if kind == "Compare":
             for k in range(1, len(node.ops)):
                 if asked:
                     link = {"n_ops": "1", **_link(node.comparators[k - 1], node.ops[k], node.comparators[k], texts)}
-                    yield (path, number, own, at.scope, at.func, "link", kind, *where, None, None, link, *place)
+                    yield (path, number, own, at.scope, at.func, "link", kind, *where, None, None, _told(link, attrs), *place)
                 number += 1
-        if isinstance(node, LEAVES):
+        if shape.leaf:
             continue
-        inner = at.inside(parent=own, parent_kind=kind, parent_name=name, parent_test=attrs.get("src"), last=False)
+        # What the rows below tell of this one.
+        known = _below(node, texts) if shape.told else {}
+        inner = at.inside(parent=own, parent_kind=kind, parent_name=name if asked else _name(node), parent_test=known.get("src"), last=False)
         if around is not None:
             # A class's names are not seen from inside its functions.
-            inner.scope, inner.around = own, at.around if isinstance(node, ast.ClassDef) else around
+            inner.scope, inner.around = own, at.around if kind == "ClassDef" else around
         if function:
-            inner.func, inner.in_loop, inner.in_async = own, False, isinstance(node, ast.AsyncFunctionDef)
+            inner.func, inner.in_loop, inner.in_async = own, False, kind == "AsyncFunctionDef"
             if name is not None:
                 inner.in_function, inner.func_end, inner.in_handler, inner.handler = name, where[2], False, None
-            inner.params = attrs["params"]
-        if isinstance(node, ast.ClassDef):
-            inner.in_class, inner.in_loop, inner.bases, inner.decorators = name, False, attrs["base_names"], attrs["decorators"]
-        if isinstance(node, ast.ExceptHandler):
+            inner.params = known["params"]
+        elif kind == "ClassDef":
+            inner.in_class, inner.in_loop, inner.bases, inner.decorators = name, False, known["base_names"], known["decorators"]
+        elif kind == "ExceptHandler":
             inner.in_handler, inner.handler = True, name
         children = []
-        for field in node._fields:
+        for field in shape.fields:
             child = getattr(node, field, None)
+            if not child or isinstance(child, str):
+                continue
             if isinstance(child, list):
                 of, count = child, sum(isinstance(x, ast.AST) for x in child)
-            elif isinstance(child, ast.AST) and not isinstance(child, SIGNS):
-                of, count = (child,), 1
             else:
-                continue
+                of, count = (child,), 1
             # Decorators, defaults, bases and annotations belong to the scope around.
-            outside = isinstance(node, SCOPES[:4]) and field in ("decorator_list", "bases", "keywords", "returns", "type_params")
+            outside = field in shape.outside
             before: set[str] = set()
             told, last_kind = "", None
             for k, x in enumerate(of):
-                if isinstance(x, ast.AST) and not isinstance(x, SIGNS):
+                if isinstance(x, ast.AST):
                     below = inner.inside(field=field, siblings=count, position=k, before=told, prev_kind=last_kind)
                     if outside:
                         below.scope, below.func, below.around = at.scope, at.func, at.around
-                    elif isinstance(node, (ast.arguments, ast.arg)) and field in ("defaults", "kw_defaults", "annotation"):
+                    elif shape.argument and field in ("defaults", "kw_defaults", "annotation"):
                         below.scope, below.func, below.around = at.outer
                     elif function and field == "args":
                         below.outer = (at.scope, at.func, at.around)
                     elif function and field == "body":
                         below.last = True
-                    if isinstance(node, (ast.For, ast.AsyncFor, ast.While)):
+                    if shape.loop:
                         below.in_loop = field == "body" or at.in_loop
                     children.append((x, below))
                     if len(of) == 1:
@@ -409,9 +588,13 @@ def token_rows(path: str, text: str) -> Iterator[tuple]:
         yield (path, -1, "ERRORTOKEN", broken, *[None] * 14)
 
 
-def _mapped(files: DataFrame, rows, schema: str) -> DataFrame:
+def _mapped(files: DataFrame, rows, schema: str, only: Iterable[str] | None = None) -> DataFrame:
+    """The rows of every file; of their columns ``only`` some."""
     ship(files.sparkSession)
-    names = [part.split()[0] for part in schema.replace("map<string,string>", "map").split(", ")]
+    parts = schema.split(", ")
+    taken = [i for i, part in enumerate(parts) if only is None or part.split()[0] in only]
+    schema = ", ".join(parts[i] for i in taken)
+    names = [parts[i].split()[0] for i in taken]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,7 +612,8 @@ def _mapped(files: DataFrame, rows, schema: str) -> DataFrame:
     types = dict(part.split() for part in schema.replace("map<string,string>", "map").split(", "))
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*held, strict=True))
+        every = list(zip(*held, strict=True))
+        columns = [every[i] for i in taken]
         arrays = [pa.array([list(x.items()) for x in c] if n == "attrs" else c, kinds[types[n]]) for n, c in zip(names, columns, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, names)
 
@@ -440,9 +624,10 @@ def _mapped(files: DataFrame, rows, schema: str) -> DataFrame:
 NAMED = frozenset({x.__name__ for x in SCOPES} | set("Module Name arg ExceptHandler MatchAs MatchStar MatchMapping TypeVar ParamSpec TypeVarTuple Import ImportFrom".split()))
 
 
-def nodes(files: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
-    """Syntax nodes of files (path, text); with ``kinds`` only these, so that no others are written out where a question asks for a few. Files that do not parse always have their row."""
-    return _mapped(files, node_rows if kinds is None else partial(node_rows, kinds=frozenset(kinds)), NODE)
+def nodes(files: DataFrame, kinds: Iterable[str] | None = None, attrs: Iterable[str] | None = None, columns: Iterable[str] | None = None) -> DataFrame:
+    """Syntax nodes of files (path, text); with ``kinds``, ``attrs`` and ``columns`` only these, so that no others are made where a question asks for a few. Files that do not parse always have their row."""
+    asked = {k: frozenset(v) for k, v in (("kinds", kinds), ("attrs", attrs), ("columns", columns)) if v is not None}
+    return _mapped(files, partial(node_rows, **asked), NODE, asked.get("columns"))
 
 
 def tokens(files: DataFrame) -> DataFrame:
