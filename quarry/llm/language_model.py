@@ -47,6 +47,8 @@ MAX_HEADS = 16_384
 CLASSES = 128
 DIM = 16
 TOP = 200_000
+#: Leading bits by which names are looked up.
+LEADING = 20
 NOISE = 32
 BATCH = 4096
 RATE = 0.05
@@ -56,6 +58,9 @@ SHARDS = 8192
 #: Tokens handled at a time in a task.
 CHUNK = 400_000
 MEMO = 1_000_000
+#: Tokens scored by one product, few enough for their scores to stay in a core's cache, and scores of which exponentials can be summed as they are.
+SCORED = 1024
+SAFE = 80
 
 
 class Words(dict):
@@ -76,6 +81,14 @@ class Words(dict):
         return found
 
 
+WORDS = Words()
+
+
+def kept_words() -> Words:
+    """The names of this worker, which last from task to task; a function sent to a worker would bring a copy of its own of the object."""
+    return WORDS
+
+
 def name_of(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) & ~127 | zlib.crc32(word[:2]) % CLASSES
 
@@ -102,7 +115,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``name, c`` over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = kept_words()
         for batch in batches:
             held: list[tuple[np.ndarray, np.ndarray]] = []
             for named in chunks(text_bytes(batch.column("t")), words):
@@ -122,6 +135,8 @@ class Vocabulary:
     def __init__(self, names: np.ndarray, counts: np.ndarray, ends: int, class_rows: list[tuple[int, int, int]]):
         order = np.argsort(names)
         self.names, self.counts = names[order], counts[order]
+        # Where the names begin that have the same leading bits, or greater ones.
+        self.begins = np.r_[0, np.bincount((self.names >> np.uint64(64 - LEADING)).astype(np.int64), minlength=1 << LEADING).cumsum()].astype(np.int32)
         words = np.lexsort((self.names, -self.counts))
         words = words[self.names[words] != END]
         frequent = int((self.counts[words] >= HEAD_COUNT).sum())
@@ -151,10 +166,19 @@ class Vocabulary:
         symbols = self.class_symbol[(names & np.uint64(127)).astype(int)]
         found = np.full(len(names), -1)
         if len(self.names):
-            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-            known = self.names[at] == names
-            found[known] = at[known]
-            symbols[known] = self.symbol[at[known]]
+            lead = (names >> np.uint64(64 - LEADING)).astype(np.int32)
+            at, past = self.begins[lead], self.begins[lead + 1]
+            # Names of the same leading bits are few; each round tries the next of them for all that are left.
+            left = np.flatnonzero(at < past)
+            while len(left):
+                tried = at[left]
+                same = self.names[tried] == names[left]
+                hit = left[same]
+                found[hit] = tried[same]
+                symbols[hit] = self.symbol[tried[same]]
+                left = left[~same]
+                at[left] += 1
+                left = left[at[left] < past[left]]
         symbols[names == END] = self.end
         return found, symbols
 
@@ -221,48 +245,81 @@ class Bilinear:
         prior, out, bias = self.prior[level][span], self.out[level][span], self.bias[level][span]
         noise = rng.choice(len(prior), NOISE, p=prior / prior.sum())
         offset = bias - np.log(NOISE * prior).astype(np.float32)
-        hidden = self.near[near] + self.far[far]
-        own = np.einsum("bd,bd->b", hidden, out[word]) + offset[word]
+        hidden = np.take(self.near, near, axis=0)
+        hidden += np.take(self.far, far, axis=0)
+        own = np.einsum("bd,bd->b", hidden, np.take(out, word, axis=0)) + offset[word]
         other = hidden @ out[noise].T + offset[noise]
         weight = weight / weight.sum()
         miss = (1 / (1 + np.exp(np.minimum(-own, 30))) - 1) * weight
         np.exp(np.minimum(np.negative(other, out=other), 30, out=other), out=other)
         other += 1
         false = np.divide(weight[:, None], other, out=other)
-        back = miss[:, None] * out[word] + false @ out[noise]
-        reached = np.r_[word, noise] + (span.start or 0)
-        self._move(2 + level, reached, np.concatenate([miss[:, None] * hidden, false.T @ hidden]))
-        self._move(4 + level, reached, np.r_[miss, false.sum(axis=0)])
-        self._move(0, near, back)
-        self._move(1, far, back)
-
-    def _move(self, part: int, symbols: np.ndarray, values: np.ndarray) -> None:
-        """Moves the rows of ``symbols`` against the sums of their values, slower the more they have moved."""
-        order = ordered(symbols)
-        sorted_symbols = symbols[order]
-        starts = np.flatnonzero(np.diff(sorted_symbols, prepend=-1))
-        rows, grad = sorted_symbols[starts], np.add.reduceat(values[order], starts, axis=0)
+        told = np.take(out, word, axis=0)
+        told *= miss[:, None]
+        told += false @ out[noise]
+        # Vectors and biases are reached by the same symbols; the last column is the bias's.
+        reached = np.empty((len(word) + NOISE, DIM + 1), np.float32)
+        np.multiply(hidden, miss[:, None], out=reached[: len(word), :DIM])
+        reached[: len(word), DIM] = miss
+        np.matmul(false.T, hidden, out=reached[len(word) :, :DIM])
+        reached[len(word) :, DIM] = false.sum(axis=0)
+        rows, grad = summed(np.r_[word, noise] + (span.start or 0), reached)
+        self._move(2 + level, rows, grad[:, :DIM])
+        self._move(4 + level, rows, grad[:, DIM])
+        self._move(0, *summed(near, told))
+        self._move(1, *summed(far, told))
+
+    def _move(self, part: int, rows: np.ndarray, grad: np.ndarray) -> None:
+        """Moves distinct rows against the sums of their values, slower the more they have moved."""
         speed = self.speed[part][rows] + grad * grad
         self.speed[part][rows] = speed
         self.parts[part][rows] -= RATE * grad / np.sqrt(speed)
 
     def log_probabilities(self, far: np.ndarray, near: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithms of the next symbols' probabilities."""
+        # Equal triples are scored once, and the groups once for equal contexts, which stand together.
+        size = len(self.group)
+        grams, inverse = np.unique((far.astype(np.int64) * size + near) * size + word, return_inverse=True)
+        far, near, word = grams // size**2, grams // size % size, grams % size
         target, found = self.group[word], np.empty(len(word))
+        starts = np.flatnonzero(np.diff(grams // size, prepend=-1))
+        for first in range(0, len(starts), SCORED):
+            at = starts[first : first + SCORED]
+            end = starts[first + SCORED] if first + SCORED < len(starts) else len(grams)
+            row = np.repeat(np.arange(len(at)), np.diff(at, append=end))
+            found[at[0] : end] = self._normalised(far[at], near[at], row, target[at[0] : end], 0, slice(None))
         order = ordered(target)
-        for at in np.split(np.arange(len(word)), range(BATCH, len(word), BATCH)):
-            found[at] = self._normalised(far[at], near[at], target[at], 0, slice(None))
         for same in np.split(order, np.flatnonzero(np.diff(target[order])) + 1) if len(order) else ():
             first, last = self.edges[target[same[0]]], self.edges[target[same[0]] + 1]
-            for at in np.split(same, range(BATCH, len(same), BATCH)) if last - first > 1 else ():
-                found[at] += self._normalised(far[at], near[at], word[at] - first, 1, slice(first, last))
-        return found
-
-    def _normalised(self, far, near, word, level: int, span: slice) -> np.ndarray:
-        score = (self.near[near] + self.far[far]) @ self.out[level][span].T + self.bias[level][span]
-        score -= score.max(axis=1, keepdims=True)
-        own = score[np.arange(len(word)), word]
-        return own - np.log(np.exp(score, out=score).sum(axis=1))
+            for at in np.split(same, range(SCORED, len(same), SCORED)) if last - first > 1 else ():
+                found[at] += self._normalised(far[at], near[at], np.arange(len(at)), word[at] - first, 1, slice(first, last))
+        return found[inverse]
+
+    def _normalised(self, far, near, row, word, level: int, span: slice) -> np.ndarray:
+        """Logarithms of what follows the contexts; the ``row`` of a word is its context."""
+        out, bias = self.out[level][span], self.bias[level][span]
+        # One product adds the bias as well: the last component of a context is 1.
+        hidden = np.empty((len(near), DIM + 1), np.float32)
+        np.add(np.take(self.near, near, axis=0), np.take(self.far, far, axis=0), out=hidden[:, :DIM])
+        hidden[:, DIM] = 1
+        weights = np.concatenate([out, bias[:, None]], axis=1)
+        score = hidden @ weights.T
+        # No product is larger than that of the lengths; within it exponentials are summed as they are, else a common term is taken off.
+        if not np.einsum("bd,bd->b", hidden, hidden).max() * np.einsum("bd,bd->b", weights, weights).max() < SAFE**2:
+            score -= score.max(axis=1, keepdims=True)
+        own = score[row, word]
+        return own - np.log(np.exp(score, out=score) @ np.ones(score.shape[1], np.float32))[row]
+
+
+def summed(symbols: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct symbols, and the sums of their values."""
+    order = ordered(symbols)
+    sorted_symbols = symbols[order]
+    new = np.empty(len(symbols), bool)
+    new[0] = True
+    np.not_equal(sorted_symbols[1:], sorted_symbols[:-1], out=new[1:])
+    starts = np.flatnonzero(new)
+    return sorted_symbols[starts], np.add.reduceat(np.take(values, order, axis=0), starts, axis=0)
 
 
 def ordered(symbols: np.ndarray) -> np.ndarray:
@@ -276,7 +333,7 @@ def train(docs: DataFrame, vocabulary, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary.value
-        model, words, rng, tokens = Bilinear(vocab.prior), Words(), np.random.default_rng(9), 0
+        model, words, rng, tokens = Bilinear(vocab.prior), kept_words(), np.random.default_rng(9), 0
         size = len(vocab.prior)
         for batch in batches:
             for named in chunks(text_bytes(batch.column("t")), words):
@@ -355,7 +412,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     fitted = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, model, words = vocabulary.value, fitted.value, Words()
+        vocab, model, words = vocabulary.value, fitted.value, kept_words()
         log_all, log_count = np.log10(vocab.n + vocab.v + 1), np.log10(vocab.counts + 1)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
