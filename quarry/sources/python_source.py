@@ -58,8 +58,8 @@ def _kinds(body: list) -> str:
     return ",".join(type(x).__name__ for x in body)
 
 
-def _name(node: ast.AST) -> str | None:
-    for field in ("name", "id", "attr", "arg", "module"):
+def _name(node: ast.AST, fields: tuple[str, ...]) -> str | None:
+    for field in fields:
         value = getattr(node, field, None)
         if isinstance(value, str):
             return value
@@ -134,26 +134,26 @@ def _decorators(node: ast.AST) -> str:
 
 
 Found = dict[str, str | Callable[[], str]]
-#: (classes of nodes, function that adds what it tells of such a node).
-TELLERS: list[tuple[tuple[type[ast.AST], ...], Callable]] = []
+#: (classes of nodes, function that adds what it tells of such a node, pattern of the attributes it may add).
+TELLERS: list[tuple[tuple[type[ast.AST], ...], Callable, re.Pattern]] = []
 
 
-def _tells(*classes: type[ast.AST]) -> Callable:
+def _tells(*classes: type[ast.AST], gives: str) -> Callable:
     def register(function: Callable) -> Callable:
-        TELLERS.append((classes, function))
+        TELLERS.append((classes, function, re.compile(gives)))
         return function
 
     return register
 
 
-@_tells(*WRITTEN)
+@_tells(*WRITTEN, gives="text|exports")
 def _text(node: ast.AST, texts: Texts, found: Found) -> None:
     found["text"] = texts.later(node)
     if texts.exports:
         found["exports"] = texts.later(node)
 
 
-@_tells(ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Module)
+@_tells(ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Module, gives="doc|decorators|first")
 def _heading(node: ast.AST, texts: Texts, found: Found) -> None:
     if (doc := ast.get_docstring(node, clean=False)) is not None:
         found["doc"] = doc
@@ -162,7 +162,7 @@ def _heading(node: ast.AST, texts: Texts, found: Found) -> None:
         found["first"] = type(node.body[0].value).__name__
 
 
-@_tells(ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
+@_tells(ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, gives="params|n_params|defaults|n_positional|default_calls|param_(defaults|types)|positional_(defaults|types)|returns_src|none_defaults")
 def _parameters(node: ast.AST, texts: Texts, found: Found) -> None:
     a = node.args
     names = [x.arg for x in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]]
@@ -181,7 +181,7 @@ def _parameters(node: ast.AST, texts: Texts, found: Found) -> None:
     found["none_defaults"] = lambda: ";".join(texts[x.annotation] for x, _ in none if x.annotation is not None)
 
 
-@_tells(ast.ClassDef)
+@_tells(ast.ClassDef, gives="base_names|decorators|bases_src|class_kw|methods|fields|inner_classes")
 def _class(node: ast.AST, texts: Texts, found: Found) -> None:
     found |= _below(node, texts)
     found["bases_src"] = lambda: ",".join(texts[b] for b in node.bases)
@@ -192,7 +192,7 @@ def _class(node: ast.AST, texts: Texts, found: Found) -> None:
     found["inner_classes"] = ",".join(x.name for x in node.body if isinstance(x, ast.ClassDef))
 
 
-@_tells(ast.Call)
+@_tells(ast.Call, gives=r"kw|kw_.*|arg\d+(_src)?|method|on|on_kind")
 def _call(node: ast.AST, texts: Texts, found: Found) -> None:
     found["kw"] = ",".join(k.arg or "**" for k in node.keywords)
     found |= {f"kw_{k.arg}": texts.later(k.value) for k in node.keywords if k.arg}
@@ -203,113 +203,113 @@ def _call(node: ast.AST, texts: Texts, found: Found) -> None:
         found |= {"method": node.func.attr, "on": texts.later(node.func.value), "on_kind": type(node.func.value).__name__}
 
 
-@_tells(ast.Compare)
+@_tells(ast.Compare, gives="n_ops|op|left|right|left_src|right_src")
 def _compared(node: ast.AST, texts: Texts, found: Found) -> None:
     found |= {"n_ops": str(len(node.ops)), **_link(node.left, node.ops[0], node.comparators[0], texts)}
 
 
-@_tells(ast.Constant)
+@_tells(ast.Constant, gives="type|chars")
 def _constant(node: ast.AST, texts: Texts, found: Found) -> None:
     found["type"] = type(node.value).__name__
     found["chars"] = str(len(node.value)) if isinstance(node.value, (str, bytes)) else ""
 
 
-@_tells(ast.Dict)
+@_tells(ast.Dict, gives="repeated|spread_empty")
 def _dict(node: ast.AST, texts: Texts, found: Found) -> None:
     found["repeated"] = lambda: _repeated([k for k in node.keys if isinstance(k, (ast.Constant, ast.Name))], texts)
     found["spread_empty"] = str(int(any(k is None and isinstance(v, ast.Dict) for k, v in zip(node.keys, node.values, strict=True))))
 
 
-@_tells(ast.Set)
+@_tells(ast.Set, gives="repeated")
 def _set(node: ast.AST, texts: Texts, found: Found) -> None:
     found["repeated"] = lambda: _repeated([k for k in node.elts if isinstance(k, ast.Constant)], texts)
 
 
-@_tells(ast.If, ast.IfExp, ast.While, ast.Assert, ast.Return, ast.Raise, ast.UnaryOp)
+@_tells(ast.If, ast.IfExp, ast.While, ast.Assert, ast.Return, ast.Raise, ast.UnaryOp, gives="src")
 def _tested(node: ast.AST, texts: Texts, found: Found) -> None:
     found |= _below(node, texts)
 
 
-@_tells(ast.IfExp)
+@_tells(ast.IfExp, gives="body_src|orelse_src")
 def _choice(node: ast.AST, texts: Texts, found: Found) -> None:
     found |= {"body_src": texts.later(node.body), "orelse_src": texts.later(node.orelse)}
 
 
-@_tells(ast.BoolOp)
+@_tells(ast.BoolOp, gives="parts")
 def _parts(node: ast.AST, texts: Texts, found: Found) -> None:
     found["parts"] = lambda: " ; ".join(texts[v] for v in node.values)
 
 
-@_tells(ast.Import, ast.ImportFrom)
+@_tells(ast.Import, ast.ImportFrom, gives="names")
 def _import(node: ast.AST, texts: Texts, found: Found) -> None:
     found["names"] = ",".join(f"{x.name} {x.asname or ''}".strip() for x in node.names)
 
 
-@_tells(ast.Global, ast.Nonlocal)
+@_tells(ast.Global, ast.Nonlocal, gives="names_src")
 def _global(node: ast.AST, texts: Texts, found: Found) -> None:
     found["names_src"] = ",".join(node.names)
 
 
-@_tells(ast.Assign)
+@_tells(ast.Assign, gives="target_names|targets_src|value_src")
 def _assigned(node: ast.AST, texts: Texts, found: Found) -> None:
     found["target_names"] = ",".join(dotted(t) or "" for t in node.targets)
     found["targets_src"] = lambda: ",".join(texts[t] for t in node.targets)
     found["value_src"] = texts.later(node.value)
 
 
-@_tells(ast.AnnAssign, ast.AugAssign)
+@_tells(ast.AnnAssign, ast.AugAssign, gives="target_src|value_src|annotation_src")
 def _annotated(node: ast.AST, texts: Texts, found: Found) -> None:
     found["target_src"] = texts.later(node.target)
     found |= {"value_src": texts.later(node.value)} if node.value is not None else {}
     found |= {"annotation_src": texts.later(node.annotation)} if isinstance(node, ast.AnnAssign) else {}
 
 
-@_tells(ast.Try)
+@_tells(ast.Try, gives="handler_body")
 def _handled(node: ast.AST, texts: Texts, found: Found) -> None:
     if node.handlers:
         found["handler_body"] = _kinds(node.handlers[0].body)
 
 
-@_tells(ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+@_tells(ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, gives="decorator_calls")
 def _decorator_calls(node: ast.AST, texts: Texts, found: Found) -> None:
     found["decorator_calls"] = lambda: ",".join(texts[d] for d in node.decorator_list if isinstance(d, ast.Call))
 
 
-@_tells(ast.Try)
+@_tells(ast.Try, gives="handler_types")
 def _handler_types(node: ast.AST, texts: Texts, found: Found) -> None:
     found["handler_types"] = lambda: ",".join(texts[h.type] if h.type else "" for h in node.handlers)
 
 
-@_tells(ast.ExceptHandler)
+@_tells(ast.ExceptHandler, gives="type_src|reraise")
 def _handler(node: ast.AST, texts: Texts, found: Found) -> None:
     found["type_src"] = texts.later(node.type) if node.type else ""
     first = node.body[0]
     found["reraise"] = str(int(isinstance(first, ast.Raise) and (first.exc is None or (node.name is not None and dotted(first.exc) == node.name))))
 
 
-@_tells(ast.ListComp, ast.SetComp)
+@_tells(ast.ListComp, ast.SetComp, gives="same")
 def _comprehended(node: ast.AST, texts: Texts, found: Found) -> None:
     g = node.generators[0]
     found["same"] = str(int(not g.ifs and dotted(node.elt) is not None and dotted(node.elt) == dotted(g.target)))
 
 
-@_tells(ast.For, ast.AsyncFor, ast.comprehension)
+@_tells(ast.For, ast.AsyncFor, ast.comprehension, gives="target_src|iter_src")
 def _looped(node: ast.AST, texts: Texts, found: Found) -> None:
     found |= {"target_src": texts.later(node.target), "iter_src": texts.later(node.iter)}
 
 
-@_tells(ast.With)
+@_tells(ast.With, gives="items_src")
 def _with(node: ast.AST, texts: Texts, found: Found) -> None:
     found["items_src"] = lambda: ",".join(texts[i.context_expr] for i in node.items)
 
 
-@_tells(ast.Call)
+@_tells(ast.Call, gives="join_literal|split_literal")
 def _literal_method(node: ast.AST, texts: Texts, found: Found) -> None:
     if isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Constant):
         found |= {f"{node.func.attr}_literal": "1"} if node.func.attr in ("join", "split") else {}
 
 
-@_tells(ast.Call)
+@_tells(ast.Call, gives="star_after_keyword|spread_literal")
 def _spread(node: ast.AST, texts: Texts, found: Found) -> None:
     stars = [(x.lineno, x.col_offset) for x in node.args if isinstance(x, ast.Starred)]
     named = [(k.value.lineno, k.value.col_offset) for k in node.keywords if k.arg]
@@ -317,48 +317,76 @@ def _spread(node: ast.AST, texts: Texts, found: Found) -> None:
     found["spread_literal"] = str(int(any(k.arg is None and isinstance(k.value, ast.Dict) for k in node.keywords)))
 
 
-@_tells(ast.Lambda)
+@_tells(ast.Lambda, gives="empty_body|body_src")
 def _lambda(node: ast.AST, texts: Texts, found: Found) -> None:
     found["empty_body"] = str(int(isinstance(node.body, (ast.List, ast.Dict)) and not getattr(node.body, "elts", getattr(node.body, "keys", None))))
     found["body_src"] = texts.later(node.body)
 
 
-@_tells(ast.If)
+@_tells(ast.If, gives="else_nested")
 def _else_nested(node: ast.AST, texts: Texts, found: Found) -> None:
     if len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If):
         found["else_nested"] = str(int(node.orelse[0].col_offset > node.col_offset))
 
 
-@_tells(ast.For)
+@_tells(ast.For, gives="yields_target")
 def _yields(node: ast.AST, texts: Texts, found: Found) -> None:
     if len(node.body) == 1 and isinstance(node.body[0], ast.Expr) and isinstance(node.body[0].value, ast.Yield):
         given = node.body[0].value.value
         found["yields_target"] = str(int(given is not None and dotted(given) is not None and dotted(given) == dotted(node.target)))
 
 
-@_tells(ast.Subscript)
+@_tells(ast.Subscript, gives="value_len")
 def _literal_length(node: ast.AST, texts: Texts, found: Found) -> None:
     if isinstance(node.value, (ast.List, ast.Tuple)):
         found["value_len"] = str(len(node.value.elts))
 
 
-@_tells(ast.JoinedStr)
+@_tells(ast.JoinedStr, gives="placeholders")
 def _placeholders(node: ast.AST, texts: Texts, found: Found) -> None:
     found["placeholders"] = str(sum(isinstance(v, ast.FormattedValue) for v in node.values))
 
 
-@_tells(ast.JoinedStr, ast.BinOp)
+@_tells(ast.JoinedStr, ast.BinOp, gives="constants")
 def _constants(node: ast.AST, texts: Texts, found: Found) -> None:
     parts = node.values if isinstance(node, ast.JoinedStr) else [node.left, node.right]
     found["constants"] = "\n".join(repr(x.value) for x in parts if isinstance(x, ast.Constant) and isinstance(x.value, str))
 
 
-def _attrs(node: ast.AST, texts: Texts, tellers: tuple[Callable, ...]) -> Found:
+#: Attributes that ``_attrs`` adds by itself.
+OWN = frozenset({"body_only", "orelse_only", "call_name", "msg_call", "bad_annotation"})
+
+
+class Asked(dict):
+    """For each class of nodes (its fields, tellers, whether ``OWN``) that the attributes asked for are made from, all without ``attrs``; None where nothing is."""
+
+    def __init__(self, attrs: frozenset[str] | None):
+        self.attrs = attrs
+
+    def __missing__(self, cls: type[ast.AST]) -> tuple | None:
+        attrs = self.attrs
+        fields = tuple(f for f in cls._fields if attrs is None or attrs & {f, f"n_{f}", f"{f}_name", f"{f}_value"})
+        tellers = tuple(tell for classes, tell, gives in TELLERS if issubclass(cls, classes) and (attrs is None or any(map(gives.fullmatch, attrs))))
+        own = attrs is None or bool(attrs & OWN)
+        self[cls] = made = (fields, tellers, own) if fields or tellers or own else None
+        return made
+
+
+#: By the attributes asked for, kept from file to file.
+ASKED: dict[frozenset[str] | None, Asked] = {}
+
+
+def _attrs(node: ast.AST, texts: Texts, asked: Asked) -> Found:
     """What rules ask of a node beside its place: shapes and sources of children, flags as 1; always whole, texts as functions that write them."""
+    made = asked[type(node)]
+    if made is None:
+        return {}
     if isinstance(node, ast.Name):
         return {"ctx": type(node.ctx).__name__}
+    fields, tellers, own = made
     found: Found = {}
-    for field, value in ast.iter_fields(node):
+    for field in fields:
+        value = getattr(node, field, None)
         if isinstance(value, list) and value and isinstance(value[0], ast.AST):
             found[field] = _kinds(value)
             found[f"n_{field}"] = str(len(value))
@@ -374,6 +402,8 @@ def _attrs(node: ast.AST, texts: Texts, tellers: tuple[Callable, ...]) -> Found:
         return found
     for tell in tellers:
         tell(node, texts, found)
+    if not own:
+        return found
     for part in ("body", "orelse"):
         block = getattr(node, part, None)
         if isinstance(block, list) and len(block) == 1 and isinstance(block[0], SIMPLE):
@@ -381,7 +411,7 @@ def _attrs(node: ast.AST, texts: Texts, tellers: tuple[Callable, ...]) -> Found:
     for field in ("value", "msg"):
         if isinstance(getattr(node, field, None), ast.Call):
             found["call_name" if field == "value" else "msg_call"] = dotted(getattr(node, field).func) or ""
-    annotation = getattr(node, "annotation", None) or getattr(node, "returns", None)
+    annotation = (getattr(node, "annotation", None) or getattr(node, "returns", None)) if asked.attrs is None or "bad_annotation" in asked.attrs else None
     if isinstance(annotation, ast.Constant) and isinstance(annotation.value, str):
         try:
             ast.parse(annotation.value.strip(), mode="eval")
@@ -407,18 +437,18 @@ def _step(node: ast.AST, place: int) -> str:
 
 
 class Place:
-    """Where a node stands."""
+    """Where nodes of one field stand: what the nodes around tell them."""
 
     def __init__(self):
-        self.parent = self.parent_kind = self.parent_test = self.scope = self.func = self.field = self.handler = self.in_function = self.in_class = self.func_end = None
-        self.siblings, self.in_handler, self.in_loop, self.in_async, self.last = 1, False, False, False, False
+        self.parent = self.parent_kind = self.parent_test = self.scope = self.func = self.handler = self.in_function = self.in_class = self.func_end = None
+        self.in_handler, self.in_loop, self.in_async = False, False, False
         self.around: tuple[int, ...] = ()
-        self.position, self.before, self.prev_kind, self.params, self.bases, self.decorators, self.parent_name = 0, "", None, None, None, None, None
+        self.params, self.bases, self.decorators, self.parent_name = None, None, None, None
         self.outer: tuple | None = None
 
-    def inside(self, **changes) -> Place:
+    def inside(self) -> Place:
         new = Place.__new__(Place)
-        new.__dict__ = self.__dict__ | changes
+        new.__dict__ = self.__dict__.copy()
         return new
 
 
@@ -447,6 +477,13 @@ BLOCKS = ("body", "orelse", "finalbody", "handlers", "cases")
 BARE = frozenset("ctx op ops id attr arg module level kind type_comment conversion simple is_async".split())
 
 
+#: Fields in which a node may be missing between others, and fields that belong to the scope around a function.
+SPARSE = ("keys", "kw_defaults")
+DEFAULTS = ("defaults", "kw_defaults", "annotation")
+#: Columns that number nodes; without them nodes that nothing is asked of need no number.
+NUMBERED = frozenset({"node", "parent", "scope", "func", "around"})
+
+
 class Shape:
     """What the class of a node alone tells."""
 
@@ -454,11 +491,12 @@ class Shape:
         self.kind = cls.__name__
         self.function = issubclass(cls, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda))
         self.scope = issubclass(cls, (*SCOPES, ast.Module))
-        self.leaf, self.told = issubclass(cls, LEAVES), issubclass(cls, TOLD)
+        self.leaf = issubclass(cls, LEAVES)
+        self.tested = issubclass(cls, TOLD) and not self.function and cls is not ast.ClassDef
         self.named_below = self.function or issubclass(cls, (ast.ClassDef, ast.ExceptHandler))
         self.loop, self.argument = issubclass(cls, (ast.For, ast.AsyncFor, ast.While)), issubclass(cls, (ast.arguments, ast.arg))
         self.fields = tuple(f for f in cls._fields if f not in BARE)
-        self.tellers = tuple(tell for classes, tell in TELLERS if issubclass(cls, classes))
+        self.names = tuple(f for f in ("name", "id", "attr", "arg", "module") if f in cls._fields)
         self.outside = ("decorator_list", "bases", "keywords", "returns", "type_params") if issubclass(cls, SCOPES[:4]) else ()
 
 
@@ -484,16 +522,22 @@ def node_rows(path: str, text: str, kinds: frozenset[str] | None = None, attrs:
         yield (path, 0, None, None, None, None, "SyntaxError", getattr(error, "lineno", None), getattr(error, "offset", None), None, None, None, str(error), {}, *place)
         return
     texts, imported = Texts(text), None
-    full_asked, test_asked = columns is None or "full" in columns, columns is None or "parent_test" in columns
-    stack: list[tuple[ast.AST, Place]] = [(tree, Place())]
+    if (told_of := ASKED.get(attrs)) is None:
+        told_of = ASKED[attrs] = Asked(attrs)
+    full_asked, test_asked, params_asked, before_asked, parent_named = (columns is None or c in columns for c in ("full", "parent_test", "params_around", "before", "parent_name"))
+    class_asked = columns is None or not columns.isdisjoint(("class_bases", "class_decorators"))
+    # The leaves that have to be walked: all, where nodes are numbered.
+    leaves = None if kinds is None or columns is None or not columns.isdisjoint(NUMBERED) else kinds
+    # A node, the place of its field, and its own place in there.
+    stack: list[tuple] = [(tree, Place(), None, 1, 0, "", None, False)]
     number = 0
     while stack:
-        node, at = stack.pop()
+        node, at, field, siblings, position, before, prev_kind, last = stack.pop()
         own, number = number, number + 1
         shape = SHAPES[type(node)]
         kind, function = shape.kind, shape.function
         asked = kinds is None or kind in kinds
-        name = _name(node) if asked or shape.named_below else None
+        name = _name(node, shape.names) if asked or shape.named_below else None
         where = (getattr(node, "lineno", None), getattr(node, "col_offset", None), getattr(node, "end_lineno", None), getattr(node, "end_col_offset", None)) if asked or function else ()
         around = (own, *at.around) if shape.scope else None
         if asked:
@@ -503,11 +547,12 @@ def node_rows(path: str, text: str, kinds: frozenset[str] | None = None, attrs:
                 imported = _imported(tree) if imported is None else imported
                 head, _, rest = name.partition(".")
                 full = imported[head] + ("." + rest if rest else "") if head in imported else name
-            last = at.last and where[2] == at.func_end
-            test = at.parent_test() if test_asked and callable(at.parent_test) else at.parent_test if test_asked else None
-            place = (full, at.parent_kind, test, at.siblings, at.in_handler, at.handler, at.in_loop, at.in_async, at.in_function, at.in_class, last, ",".join(map(str, around)) if around else None)
-            place += (at.position, at.before, at.prev_kind, at.params, at.bases, at.decorators, at.parent_name)
-            yield (path, own, at.parent, at.scope, at.func, at.field, kind, *where, name, value, _told(_attrs(node, texts, shape.tellers), attrs), *place)
+            test = at.parent_test() if callable(at.parent_test) else at.parent_test
+            place = (
+                full, at.parent_kind, test, siblings, at.in_handler, at.handler, at.in_loop, at.in_async, at.in_function, at.in_class, last and where[2] == at.func_end,
+                ",".join(map(str, around)) if around else None, position, before, prev_kind, at.params, at.bases, at.decorators, at.parent_name,
+            )
+            yield (path, own, at.parent, at.scope, at.func, field, kind, *where, name, value, _told(_attrs(node, texts, told_of), attrs), *place)
         if kind == "Compare":
             for k in range(1, len(node.ops)):
                 if asked:
@@ -517,8 +562,11 @@ def node_rows(path: str, text: str, kinds: frozenset[str] | None = None, attrs:
         if shape.leaf:
             continue
         # What the rows below tell of this one.
-        known = _below(node, texts) if shape.told else {}
-        inner = at.inside(parent=own, parent_kind=kind, parent_name=name if asked else _name(node), parent_test=known.get("src"), last=False)
+        inner = at.inside()
+        inner.parent, inner.parent_kind = own, kind
+        inner.parent_test = _below(node, texts)["src"] if test_asked and shape.tested else None
+        if parent_named:
+            inner.parent_name = name if asked else _name(node, shape.names)
         if around is not None:
             # A class's names are not seen from inside its functions.
             inner.scope, inner.around = own, at.around if kind == "ClassDef" else around
@@ -526,45 +574,53 @@ def node_rows(path: str, text: str, kinds: frozenset[str] | None = None, attrs:
             inner.func, inner.in_loop, inner.in_async = own, False, kind == "AsyncFunctionDef"
             if name is not None:
                 inner.in_function, inner.func_end, inner.in_handler, inner.handler = name, where[2], False, None
-            inner.params = known["params"]
+            if params_asked:
+                inner.params = _below(node, texts)["params"]
         elif kind == "ClassDef":
-            inner.in_class, inner.in_loop, inner.bases, inner.decorators = name, False, known["base_names"], known["decorators"]
+            inner.in_class, inner.in_loop = name, False
+            if class_asked:
+                told = _below(node, texts)
+                inner.bases, inner.decorators = told["base_names"], told["decorators"]
         elif kind == "ExceptHandler":
             inner.in_handler, inner.handler = True, name
         children = []
-        for field in shape.fields:
-            child = getattr(node, field, None)
+        for part in shape.fields:
+            child = getattr(node, part, None)
             if not child or isinstance(child, str):
                 continue
-            if isinstance(child, list):
-                of, count = child, sum(isinstance(x, ast.AST) for x in child)
-            else:
-                of, count = (child,), 1
+            below = inner
             # Decorators, defaults, bases and annotations belong to the scope around.
-            outside = field in shape.outside
-            before: set[str] = set()
+            if part in shape.outside:
+                below = inner.inside()
+                below.scope, below.func, below.around = at.scope, at.func, at.around
+            elif shape.argument and part in DEFAULTS:
+                below = inner.inside()
+                below.scope, below.func, below.around = at.outer
+            elif function and part == "args":
+                below = inner.inside()
+                below.outer = (at.scope, at.func, at.around)
+            elif shape.loop and part == "body":
+                below = inner.inside()
+                below.in_loop = True
+            ends = function and part == "body"
+            if not isinstance(child, list):
+                if isinstance(child, ast.AST) and (leaves is None or (of := SHAPES[type(child)]).kind in leaves or not of.leaf):
+                    children.append((child, below, part, 1, 0, "", None, ends))
+                continue
+            count = sum(isinstance(x, ast.AST) for x in child) if part in SPARSE else len(child)
+            seen: set[str] = set()
             told, last_kind = "", None
-            for k, x in enumerate(of):
+            for k, x in enumerate(child):
                 if isinstance(x, ast.AST):
-                    below = inner.inside(field=field, siblings=count, position=k, before=told, prev_kind=last_kind)
-                    if outside:
-                        below.scope, below.func, below.around = at.scope, at.func, at.around
-                    elif shape.argument and field in ("defaults", "kw_defaults", "annotation"):
-                        below.scope, below.func, below.around = at.outer
-                    elif function and field == "args":
-                        below.outer = (at.scope, at.func, at.around)
-                    elif function and field == "body":
-                        below.last = True
-                    if shape.loop:
-                        below.in_loop = field == "body" or at.in_loop
-                    children.append((x, below))
-                    if len(of) == 1:
-                        break
-                    last_kind = type(x).__name__
-                    if (what := _step(x, k)) not in before:
-                        before.add(what)
-                        told = ",".join(sorted(before))
-        stack.extend(reversed(children))
+                    of = SHAPES[type(x)]
+                    if leaves is None or of.kind in leaves or not of.leaf:
+                        children.append((x, below, part, count, k, told, last_kind, ends))
+                    last_kind = of.kind
+                    if before_asked and len(child) > 1 and (what := _step(x, k)) not in seen:
+                        seen.add(what)
+                        told = ",".join(sorted(seen))
+        children.reverse()
+        stack += children
 
 
 def token_rows(path: str, text: str) -> Iterator[tuple]:
