@@ -5,6 +5,7 @@ wildcard, the names after the last one, whole names between wildcards, and up to
 trailing names and the beginnings and endings of its last name: the nodes that a trie of prefixes and one of suffixes would lead it through. The paths under each
 key are counted, and an alternative waits under its rarest one; if one of its keys has no path it holds nowhere. Paths and globs
 meet by an equi-join on these keys, so that a path is tried only against globs whose rarest fixed part it has; the regular expression of the glob decides.
+``counts`` tries each text of a glob once, however many rows have it, and forms no pairs of paths and rows.
 
 Globs: ``*`` and ``?`` stay within a name, ``**`` spans folders, ``[ab]`` and ``[!ab]`` are classes, ``{a,b}`` alternatives, a backslash makes the next character plain. A glob without a slash is tried
 on the last name. A glob without any fixed part meets every path, as it must. Null paths and null or empty globs match nothing.
@@ -18,11 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.rel import written
+from quarry.operators.rel import spread, written
 from quarry.shipping import ship
 
 #: Characters of a last name's beginning or ending that a key holds at most.
-KEY = 8
+KEY = 32
 #: Parts that the rows of one key are dealt to; globs, the smaller side, are repeated for each.
 SALT = 32
 
@@ -97,31 +98,30 @@ def compiled(patterns: DataFrame, glob_col: str = "glob") -> DataFrame:
     def parts(globs: pd.Series) -> pd.Series:
         return globs.map(lambda g: [{"_alternative": i, "_keys": k, "_regex": r} for i, (r, k) in enumerate(map(parsed, alternatives(g)))] if g else [])
 
-    each = patterns.withColumn("_p", F.explode(parts(F.coalesce(F.col(glob_col), F.lit("")))))
+    each = spread(patterns).withColumn("_p", F.explode(parts(F.coalesce(F.col(glob_col), F.lit("")))))
     return written(each.select(*patterns.columns, "_p.*"))
 
 
-def path_keys(path: Column) -> Column:
-    """All keys under which a glob that holds for the path may stand."""
+def path_keys(path: Column, openings: list[int], endings: list[int]) -> Column:
+    """All keys under which a glob that holds for the path may stand; of the last name's beginnings and endings those of the lengths that some glob asks for."""
     parts = F.split(path, "/")
     name = F.element_at(parts, -1)
     n = F.size(parts)
     with_kind = lambda kind, items: F.transform(items, lambda x: F.concat(F.lit(kind), x))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(KEY), F.greatest(F.length(name), F.lit(1))))
     folders = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.array().cast("array<string>"))
     trailing = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "/"))
-    return F.array_distinct(F.concat(
-        F.array(F.lit("n:"), F.concat(F.lit("x:"), path)), with_kind("d:", folders), with_kind("t:", trailing), with_kind("c:", parts),
-        with_kind("e:", F.transform(lengths, lambda i: F.right(name, i))), with_kind("h:", F.transform(lengths, lambda i: F.left(name, i))),
-    ))
+    ends = [F.concat(F.lit("e:"), F.right(name, F.lit(i))) for i in endings] + [F.concat(F.lit("h:"), F.left(name, F.lit(i))) for i in openings]
+    return F.array_distinct(F.concat(F.array(F.lit("n:"), F.concat(F.lit("x:"), path), *ends), with_kind("d:", folders), with_kind("t:", trailing), with_kind("c:", parts)))
 
 
-def matches(paths: DataFrame, patterns: DataFrame, glob_col: str = "glob", path_col: str = "path") -> DataFrame:
-    """(path, columns of ``patterns``): each distinct path with each row of ``patterns`` whose glob holds for it, once."""
+def _held(paths: DataFrame, patterns: DataFrame, glob_col: str) -> DataFrame:
+    """``paths`` (distinct, in ``_path``) with the rows of ``patterns`` (and their ``_row``) whose glob holds, once for each alternative that does."""
     of = compiled(patterns.withColumn("_row", F.monotonically_increasing_id()), glob_col)
     asked = of.select(F.explode("_keys").alias("_key")).distinct()
-    distinct = paths.select(F.col(path_col).alias("_path")).where("_path is not null").distinct()
-    keyed = written(distinct.select("_path", F.explode(path_keys(F.col("_path"))).alias("_key")).join(asked, "_key"))
+    # At most KEY lengths of each kind.
+    lengths = asked.select(F.left("_key", F.lit(2)).alias("kind"), (F.length("_key") - 2).alias("n")).where("kind in ('h:', 'e:')").distinct().collect()
+    openings, endings = (sorted(r.n for r in lengths if r.kind == kind) for kind in ("h:", "e:"))
+    keyed = written(spread(paths).withColumn("_key", F.explode(path_keys(F.col("_path"), openings, endings))).join(asked, "_key"))
     rarity = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     each = of.select("_row", "_alternative", F.size("_keys").alias("_all"), F.explode("_keys").alias("_key")).join(rarity, "_key")
     rarest = each.groupBy("_row", "_alternative", "_all").agg(F.min_by("_key", F.struct("_n", "_key")).alias("_key"), F.count(F.lit(1)).alias("_found")).where("_found = _all")
@@ -130,11 +130,28 @@ def matches(paths: DataFrame, patterns: DataFrame, glob_col: str = "glob", path_
     dealt = keyed.withColumn("_salt", F.pmod(F.xxhash64("_path"), F.lit(SALT)).cast("int"))
     # A merge join goes through the paths of a key glob by glob, so that an expression is compiled once a key and part; the parts are many, as few bytes make many pairs.
     parts = 4 * paths.sparkSession.sparkContext.defaultParallelism
-    found = salted.repartition(parts, "_key", "_salt").hint("merge").join(dealt.repartition(parts, "_key", "_salt"), ["_key", "_salt"]).where(F.rlike("_path", F.col("_regex")))
+    return salted.repartition(parts, "_key", "_salt").hint("merge").join(dealt.repartition(parts, "_key", "_salt"), ["_key", "_salt"]).where(F.rlike("_path", F.col("_regex")))
+
+
+def _distinct(paths: DataFrame, path_col: str) -> DataFrame:
+    """(_path, _times): each path once, with how often it stands in ``paths``."""
+    return paths.where(F.col(path_col).isNotNull()).groupBy(F.col(path_col).alias("_path")).agg(F.count(F.lit(1)).alias("_times"))
+
+
+def matches(paths: DataFrame, patterns: DataFrame, glob_col: str = "glob", path_col: str = "path") -> DataFrame:
+    """(path, columns of ``patterns``): each distinct path with each row of ``patterns`` whose glob holds for it, once."""
+    found = _held(_distinct(paths, path_col).select("_path"), patterns, glob_col)
     # A row can hold by several alternatives.
     return found.dropDuplicates(["_path", "_row"]).select(F.col("_path").alias(path_col), *patterns.columns)
 
 
+def counts(paths: DataFrame, patterns: DataFrame, glob_col: str = "glob", path_col: str = "path") -> DataFrame:
+    """``patterns`` with ``n``, how many rows of ``paths`` their glob holds for; those that hold for none have no row."""
+    found = _held(_distinct(paths, path_col), patterns.select(glob_col).distinct(), glob_col)
+    once = found.groupBy(glob_col, "_path").agg(F.max("_times").alias("_times"))
+    return patterns.join(once.groupBy(glob_col).agg(F.sum("_times").alias("n")), glob_col).select(*patterns.columns, "n")
+
+
 def last_match(paths: DataFrame, patterns: DataFrame, at: str, values: list[str], glob_col: str = "glob", path_col: str = "path") -> DataFrame:
     """(path, at, values): for each path the matching row of ``patterns`` with the greatest ``at`` (of equal ones the greatest values); paths without a match have no row."""
     found = matches(paths, patterns.select(glob_col, at, *values), glob_col, path_col)

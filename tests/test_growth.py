@@ -1,10 +1,11 @@
 """Work on files grows with the files, over all cores: a table of one small file is parsed by many tasks, once, and no step reads all earlier ones again."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import dataflow, exports, flow, lint, treepatterns
-from quarry.plans import editor, further
+from quarry.operators import dataflow, exports, flow, globs, lint, treepatterns
+from quarry.plans import base, editor, further, patterns
 from quarry.sources import python_source
 
 
@@ -66,3 +67,40 @@ def test_only_files_with_the_word_are_read_for_suppressions(spark, monkeypatch):
     found = lint.check(spark.createDataFrame(rows, "path string, text string"), {"F401"})
     assert sorted(r.path for r in found.collect()) == ["a.py", "d.py", "e.py"]
     assert sorted(r.path for r in asked[-1].collect()) == ["b.py", "c.py", "d.py", "e.py"]
+
+
+@pytest.fixture
+def repeated(spark, tmp_path):
+    """Customers twice under other keys, so that their paths repeat, and parts three times, so that their patterns do."""
+    for name, key, times, shift in (("customer", "c_custkey", 2, 150), ("part", "p_partkey", 3, 3000), ("nation", None, 1, 0), ("region", None, 1, 0)):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        if key:
+            rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn(key, F.col(key) + shift * F.col("_i")).drop("_i")
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def _by_sql(name, folder):
+    con = duckdb.connect()
+    for table in ("customer", "part", "nation", "region"):
+        con.execute(f"CREATE TABLE {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    return sorted(con.execute(base.ORACLES[name]).fetchall())
+
+
+def _compiled(monkeypatch):
+    asked, plain = [], globs.compiled
+    monkeypatch.setattr(globs, "compiled", lambda patterns, *a: asked.append(patterns) or plain(patterns, *a))
+    return asked
+
+
+def test_glob_matches_tries_a_text_once_and_counts_every_file(spark, repeated, monkeypatch):
+    asked = _compiled(monkeypatch)
+    found = patterns.glob_matches(spark, repeated)
+    assert sorted(map(tuple, found.collect())) == _by_sql("glob_matches", repeated)
+    assert asked[0].count() == patterns._globs(spark, repeated).select("glob").distinct().count() < 600
+
+
+def test_globs_wait_under_the_whole_beginning_of_a_name():
+    # 'Customer' alone would lead every pattern to every file of the folder.
+    assert "h:Customer#000000005." in globs.parsed("*/*/BUILDING/Customer#000000005.*")[1]
+    assert "e:a_long_ending_of_a_name.py" in globs.parsed("x/*a_long_ending_of_a_name.py")[1]
