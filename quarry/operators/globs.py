@@ -5,7 +5,7 @@ wildcard, the names after the last one, whole names between wildcards, and up to
 trailing names and the beginnings and endings of its last name: the nodes that a trie of prefixes and one of suffixes would lead it through. The paths under each
 key are counted, and an alternative waits under its rarest one; if one of its keys has no path it holds nowhere. Paths and globs
 meet by an equi-join on these keys, so that a path is tried only against globs whose rarest fixed part it has; the regular expression of the glob decides.
-``counts`` tries each text of a glob once, however many rows have it, and forms no pairs of paths and rows.
+``last_match`` and ``counts`` try each text of a glob once, however many rows have it, and form no pairs of paths and rows.
 
 Globs: ``*`` and ``?`` stay within a name, ``**`` spans folders, ``[ab]`` and ``[!ab]`` are classes, ``{a,b}`` alternatives, a backslash makes the next character plain. A glob without a slash is tried
 on the last name. A glob without any fixed part meets every path, as it must. Null paths and null or empty globs match nothing.
@@ -154,8 +154,10 @@ def counts(paths: DataFrame, patterns: DataFrame, glob_col: str = "glob", path_c
 
 def last_match(paths: DataFrame, patterns: DataFrame, at: str, values: list[str], glob_col: str = "glob", path_col: str = "path") -> DataFrame:
     """(path, at, values): for each path the matching row of ``patterns`` with the greatest ``at`` (of equal ones the greatest values); paths without a match have no row."""
-    found = matches(paths, patterns.select(glob_col, at, *values), glob_col, path_col)
-    return found.groupBy(path_col).agg(F.max(F.struct(at, *values)).alias("_m")).select(path_col, f"_m.{at}", *[f"_m.{v}" for v in values])
+    # Of rows with one glob only the last can be the last of a path.
+    last = patterns.groupBy(glob_col).agg(F.max(F.struct(at, *values)).alias("_m"))
+    found = _held(_distinct(paths, path_col).select("_path"), last, glob_col)
+    return found.groupBy(F.col("_path").alias(path_col)).agg(F.max("_m").alias("_m")).select(path_col, f"_m.{at}", *[f"_m.{v}" for v in values])
 
 
 def not_ignored(findings: DataFrame, ignores: DataFrame, path_col: str = "path", code_col: str = "code") -> DataFrame:

@@ -104,3 +104,16 @@ def test_globs_wait_under_the_whole_beginning_of_a_name():
     # 'Customer' alone would lead every pattern to every file of the folder.
     assert "h:Customer#000000005." in globs.parsed("*/*/BUILDING/Customer#000000005.*")[1]
     assert "e:a_long_ending_of_a_name.py" in globs.parsed("x/*a_long_ending_of_a_name.py")[1]
+
+
+def test_glob_overrides_tries_a_text_once_and_takes_its_last_part(spark, repeated, monkeypatch):
+    asked = _compiled(monkeypatch)
+    found = patterns.glob_overrides(spark, repeated)
+    assert sorted(map(tuple, found.collect())) == _by_sql("glob_overrides", repeated)
+    assert asked[0].count() == patterns._globs(spark, repeated).select("glob").distinct().count() < 600
+
+
+def test_last_match_of_equal_globs_and_values(spark):
+    of = spark.createDataFrame([("*.py", 1, "a"), ("*.py", 1, "b"), ("{x,*}.py", 1, "c"), ("*.py", None, "z"), ("b.*", 0, "q"), (None, 9, "n")], "glob string, at int, v string")
+    paths = spark.createDataFrame([("x.py",), ("x.py",), ("b.txt",), (None,)], "path string")
+    assert sorted(map(tuple, globs.last_match(paths, of, "at", ["v"]).collect())) == [("b.txt", 0, "q"), ("x.py", 1, "c")]
