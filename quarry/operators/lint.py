@@ -260,16 +260,19 @@ def exported_names(nodes: DataFrame) -> DataFrame:
 
 
 def unused_imports(nodes: DataFrame) -> DataFrame:
-    """Imported names that no scope which sees the import reads, that no annotation in quotes names, and that the module does not export."""
-    used = source.references(nodes).join(_scope_chain(nodes), ["path", "scope"]).select("path", F.col("at").alias("scope"), F.col("name").alias("bound"))
+    """Imported names that no scope which sees the import reads, that no annotation in quotes names, and that the module does not export.
+
+    All sides grow with the files, whatever the planner takes them for by the bytes read, so that none goes through the driver to be broadcast.
+    """
+    used = source.references(nodes).join(_scope_chain(nodes).hint("merge"), ["path", "scope"]).select("path", F.col("at").alias("scope"), F.col("name").alias("bound"))
     quoted = nodes.filter("kind = 'Constant' and field in ('annotation', 'returns', 'slice') and attrs['type'] = 'str'")
     # Quoted names and exports are taken for uses of the import wherever it stands in the file.
     named = quoted.select("path", F.explode(F.regexp_extract_all("value", F.lit(r"[^\W\d]\w*"), F.lit(0))).alias("bound")).unionByName(exported_names(nodes))
     found = source.imports(nodes).filter("coalesce(name, '') <> '*' and module <> '__future__' and coalesce(asname, '') <> coalesce(name, module)")
     # A name that a function declares global is one of the module's.
     lifted = _declared(nodes).filter("kind = 'Global'").select("path", "scope", F.col("name").alias("bound"), F.lit(True).alias("_lifted"))
-    placed = found.join(lifted.distinct(), ["path", "scope", "bound"], "left").withColumn("scope", F.when(F.col("_lifted"), F.lit(0)).otherwise(F.col("scope")))
-    unused = placed.join(used.distinct(), ["path", "scope", "bound"], "left_anti").join(named.distinct(), ["path", "bound"], "left_anti")
+    placed = found.join(lifted.distinct().hint("merge"), ["path", "scope", "bound"], "left").withColumn("scope", F.when(F.col("_lifted"), F.lit(0)).otherwise(F.col("scope")))
+    unused = placed.join(used.distinct().hint("merge"), ["path", "scope", "bound"], "left_anti").join(named.distinct().hint("merge"), ["path", "bound"], "left_anti")
     return unused.select("path", "row", F.lit(0).alias("col"), F.lit("F401").alias("code"), F.concat("bound", F.lit(" imported but unused")).alias("message"))
 
 

@@ -77,4 +77,4 @@ def without_unused_imports(files: DataFrame, unused: DataFrame) -> DataFrame:
     """``files`` (path, text) without the lines of imports of which nothing is used; ``unused`` has path, row."""
     rows = unused.groupBy("path").agg(F.collect_set("row").alias("rows"))
     kept = F.expr("array_join(transform(filter(transform(split(text, '\\n', -1), (x, i) -> struct(x, i)), s -> rows is null or not array_contains(rows, s.i + 1)), s -> s.x), '\\n')")
-    return files.join(rows, "path", "left").select("path", kept.alias("text"))
+    return files.join(rows.hint("merge"), "path", "left").select("path", kept.alias("text"))

@@ -148,7 +148,7 @@ def taint_reasons(spark, sf):
 def imports_removed(spark, sf):
     """Generated files without their unused import."""
     of = files(spark, sf)
-    unused = lint.unused_imports(python_source.nodes(of)).select("path", "row")
+    unused = lint.unused_imports(lint.parsed(of, {"F401"}, [], {"F401"})).select("path", "row")
     lines = F.split("text", "\n", -1)
     return resolve.without_unused_imports(of, unused).select("path", F.get(lines, F.lit(0)).alias("first"), (F.size(lines) - 1).alias("n_lines"))
 

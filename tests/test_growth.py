@@ -117,3 +117,10 @@ def test_last_match_of_equal_globs_and_values(spark):
     of = spark.createDataFrame([("*.py", 1, "a"), ("*.py", 1, "b"), ("{x,*}.py", 1, "c"), ("*.py", None, "z"), ("b.*", 0, "q"), (None, 9, "n")], "glob string, at int, v string")
     paths = spark.createDataFrame([("x.py",), ("x.py",), ("b.txt",), (None,)], "path string")
     assert sorted(map(tuple, globs.last_match(paths, of, "at", ["v"]).collect())) == [("b.txt", 0, "q"), ("x.py", 1, "c")]
+
+
+def test_unused_imports_are_parsed_once_and_no_side_is_broadcast(spark, sf):
+    # Tables by file grow with the files, whatever the bytes read say of them.
+    plan = further.imports_removed(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 5
