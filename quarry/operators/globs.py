@@ -149,7 +149,8 @@ def counts(paths: DataFrame, patterns: DataFrame, glob_col: str = "glob", path_c
     """``patterns`` with ``n``, how many rows of ``paths`` their glob holds for; those that hold for none have no row."""
     found = _held(_distinct(paths, path_col), patterns.select(glob_col).distinct(), glob_col)
     once = found.groupBy(glob_col, "_path").agg(F.max("_times").alias("_times"))
-    return patterns.join(once.groupBy(glob_col).agg(F.sum("_times").alias("n")), glob_col).select(*patterns.columns, "n")
+    # Patterns may be many while the bytes they are read from are few; merged, they are not broadcast through the driver.
+    return patterns.join(once.groupBy(glob_col).agg(F.sum("_times").alias("n")).hint("merge"), glob_col).select(*patterns.columns, "n")
 
 
 def last_match(paths: DataFrame, patterns: DataFrame, at: str, values: list[str], glob_col: str = "glob", path_col: str = "path") -> DataFrame:

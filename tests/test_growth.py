@@ -1,5 +1,7 @@
 """Work on files grows with the files, over all cores: a table of one small file is parsed by many tasks, once, and no step reads all earlier ones again."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +126,8 @@ def test_unused_imports_are_parsed_once_and_no_side_is_broadcast(spark, sf):
     plan = further.imports_removed(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "InArrow" not in plan
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 5
+
+
+def test_all_patterns_are_not_broadcast_to_join_their_counts(spark, sf):
+    plan = patterns.glob_matches(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"\w+Join\b", plan)[0] == "SortMergeJoin"
